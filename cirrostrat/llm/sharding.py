@@ -19,51 +19,54 @@ from cirrostrat.runtime import stash
 ROW_BYTES = 16
 
 
-def capacity_plan(units: DataFrame, shards: int) -> DataFrame:
-    """(unit, shard) from (unit, bytes): one row holds all units, at most 2**unit_bits of them."""
-    whole = units.agg(F.sort_array(F.collect_list(F.struct("unit", "bytes"))).alias("u"))
-    whole = whole.withColumn("total", _total(F.col("u")))
-    largest = F.slice(F.sort_array(F.transform("u", lambda x: F.struct(x["bytes"].alias("bytes"), x["unit"].alias("unit"))), asc=False), 1, shards - 1)
-    alone = F.aggregate(
-        "large",
-        F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("taken")),
-        lambda a, x: F.when(x["bytes"] * (shards - a["n"]) > F.col("total") - a["taken"], F.struct((a["n"] + 1).alias("n"), (a["taken"] + x["bytes"]).alias("taken"))).otherwise(a),
-    )
-    whole = whole.withColumn("large", largest).withColumn("n_alone", alone["n"])
-    whole = whole.withColumn("alone", F.expr("transform(slice(large, 1, n_alone), x -> x.unit)"))
-    whole = whole.withColumn("rest", F.expr("filter(u, x -> NOT array_contains(alone, x.unit))")).withColumn("k", shards - F.col("n_alone"))
-    most = F.aggregate("rest", F.lit(0).cast("long"), lambda a, x: F.greatest(a, x["bytes"]))
-    whole = whole.withColumn("most", most).withColumn("mean", F.ceil(_total(F.col("rest")) / F.col("k")))
-    # `mean + most` always suffices for a greedy filling, and nothing under `max(mean, most)` does.
-    whole = whole.withColumn("lo", F.greatest("mean", "most")).withColumn("hi", F.col("mean") + F.col("most"))
-
-    def shards_needed(capacity: Column) -> Column:
-        return F.aggregate(
-            "rest",
-            F.struct(F.lit(1).alias("n"), F.lit(0).cast("long").alias("fill")),
-            lambda a, x: F.when(a["fill"] + x["bytes"] > capacity, F.struct((a["n"] + 1).alias("n"), x["bytes"].alias("fill"))).otherwise(F.struct(a["n"].alias("n"), (a["fill"] + x["bytes"]).alias("fill"))),
-        )["n"]
-
-    def halve(b: Column, _: Column) -> Column:
-        middle = F.floor((b["lo"] + b["hi"]) / 2)
-        narrower = F.when(shards_needed(middle) <= F.col("k"), F.struct(b["lo"].alias("lo"), middle.alias("hi"))).otherwise(F.struct((middle + 1).alias("lo"), b["hi"].alias("hi")))
-        return F.when(b["lo"] >= b["hi"], b).otherwise(narrower)
-
-    whole = whole.withColumn("capacity", F.aggregate(F.sequence(F.lit(1), F.lit(62)), F.struct("lo", "hi"), halve)["hi"])
-    # A shard ends where the next unit would pass the capacity, or where each unit left needs its own shard.
-    cuts = F.expr("""
-        aggregate(rest, named_struct('n', 1, 'fill', 0L, 'seen', 0, 'cuts', cast(array() AS array<bigint>)), (a, x) ->
-            IF(a.seen > 0 AND a.n < k AND (a.fill + x.bytes > capacity OR size(rest) - a.seen <= k - a.n),
-               named_struct('n', a.n + 1, 'fill', x.bytes, 'seen', a.seen + 1, 'cuts', concat(a.cuts, array(x.unit))),
-               named_struct('n', a.n, 'fill', a.fill + x.bytes, 'seen', a.seen + 1, 'cuts', a.cuts))).cuts""")
-    whole = whole.withColumn("cuts", cuts)
-    placed = whole.select("alone", "n_alone", "cuts", F.explode("u").alias("x"))
-    shard = F.expr("IF(array_contains(alone, x.unit), array_position(alone, x.unit) - 1, n_alone + size(filter(cuts, c -> c <= x.unit)))")
-    return placed.select(F.col("x.unit").alias("unit"), shard.cast("int").alias("shard"))
-
-
-def _total(groups: Column) -> Column:
-    return F.aggregate(groups, F.lit(0).cast("long"), lambda a, x: a + x["bytes"])
+def shards_needed(sizes: list[int], capacity: int) -> int:
+    """How many shards a greedy filling in the given order takes; each size is `capacity` at most."""
+    n, fill = 1, 0
+    for x in sizes:
+        if fill + x > capacity:
+            n, fill = n + 1, 0
+        fill += x
+    return n
+
+
+def smallest_capacity(sizes: list[int], shards: int) -> int:
+    """The least capacity with which a greedy filling takes no more than `shards`, by binary search. The mean plus the
+    largest size always suffices; neither the mean nor the largest size can be undercut."""
+    mean, most = -(-sum(sizes) // shards), max(sizes)
+    low, high = max(mean, most), mean + most
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if shards_needed(sizes, middle) <= shards else (middle + 1, high)
+    return high
+
+
+def partition(units: dict[int, int], shards: int) -> tuple[list[int], list[int]]:
+    """From the sizes of units: those that get shard 0, 1, ... alone, and the units at which each further shard but the first begins."""
+    left, alone = sum(units.values()), []
+    for unit in sorted(units, key=lambda u: (-units[u], u))[: shards - 1]:
+        if units[unit] * (shards - len(alone)) <= left:
+            break
+        alone.append(unit)
+        left -= units[unit]
+    order = sorted(units.keys() - set(alone))
+    if not order:
+        return alone, []
+    sizes, open_shards = [units[u] for u in order], shards - len(alone)
+    capacity, cuts, fill = smallest_capacity(sizes, open_shards), [], 0
+    for i, (unit, x) in enumerate(zip(order, sizes)):
+        # A shard ends where the next unit would pass the capacity, or where each unit left needs its own shard.
+        if i and len(cuts) < open_shards - 1 and (fill + x > capacity or len(order) - i <= open_shards - 1 - len(cuts)):
+            cuts.append(unit)
+            fill = 0
+        fill += x
+    return alone, cuts
+
+
+def shard_of(unit: Column, alone: list[int], cuts: list[int]) -> Column:
+    """The shard of a unit, from the at most `shards` numbers of the plan."""
+    begun = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<bigint>"), lambda c: c <= unit))
+    own = F.array_position(F.array(*map(F.lit, alone)).cast("array<bigint>"), unit)
+    return F.when(own > 0, own - 1).otherwise(begun + len(alone)).cast("int")
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, *, id_col: str = "doc_id", text_col: str = "text", unit_bits: int = 14, slot_parts: int = 1024) -> DataFrame:
@@ -78,9 +81,9 @@ def shard_documents(docs: DataFrame, shards: int = 40, *, id_col: str = "doc_id"
         F.crc32(F.encode(text, "UTF-8")).alias("crc"),
         F.shiftrightunsigned(F.xxhash64(text), 64 - unit_bits).alias("unit"),
     ), "sizes")
-    plan = stash(capacity_plan(sized.groupBy("unit").agg(F.sum("size").alias("bytes")), shards), "shards")
+    units = {r.unit: r.bytes for r in sized.groupBy("unit").agg(F.sum("size").alias("bytes")).collect()}  # at most 2**unit_bits rows
     part = F.pmod(F.xxhash64("id", "crc", "size"), F.lit(slot_parts)).cast("int")
-    placed = sized.join(F.broadcast(plan), "unit").withColumn("part", part)  # plan: at most 2**unit_bits rows
+    placed = sized.withColumn("shard", shard_of(F.col("unit"), *partition(units, shards))).withColumn("part", part)
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = placed.groupBy("shard", "part").agg(F.count("*").alias("n")).select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("shard", "part").orderBy("id", "crc", "size")
