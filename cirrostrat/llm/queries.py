@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cirrostrat.llm.chat import format_conversations, learned_text, read_turns
 from cirrostrat.llm.host_rules import judge_documents
+from cirrostrat.llm.minhash import near_duplicates
 from cirrostrat.llm.mixing import mix_sources
 from cirrostrat.llm.records import encode_and_read_back
 from cirrostrat.llm.sharding import shard_documents
@@ -31,6 +32,10 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, num=85, den=100)
+
+
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_read_back(spark, table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -67,7 +72,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_records, op3_mixing, op4_sharding, op6_url_filter, op8_chat, op9_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash, op2_token_records, op3_mixing, op4_sharding, op6_url_filter, op8_chat, op9_quality_rules)}
 
 MIXING_SQL = r"""
 WITH sized AS (
