@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from cirrostrat.llm.chat import format_conversations, learned_text, read_turns
 from cirrostrat.llm.host_rules import judge_documents
+from cirrostrat.llm.html_text import extract_text
 from cirrostrat.llm.minhash import near_duplicates
 from cirrostrat.llm.mixing import mix_sources
+from cirrostrat.llm.neighbours import nearest
 from cirrostrat.llm.records import encode_and_read_back
 from cirrostrat.llm.sharding import shard_documents
 from cirrostrat.llm.url_rules import judge_urls
@@ -50,6 +52,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
@@ -72,7 +79,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash, op2_token_records, op3_mixing, op4_sharding, op6_url_filter, op8_chat, op9_quality_rules)}
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash, op2_token_records, op3_mixing, op4_sharding, op5_html_text, op6_url_filter, op8_chat, op9_quality_rules, op10_neighbours)}
 
 MIXING_SQL = r"""
 WITH sized AS (
@@ -135,4 +146,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
+NEIGHBOURS_SQL = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(c.e, c.e))) AS score
+          FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM pairs) WHERE rank <= 5
+"""
+
 ORACLES: dict[str, str] = {"op3_mixing": MIXING_SQL, "op8_chat": CHAT_SQL, "op9_quality_rules": QUALITY_SQL}
