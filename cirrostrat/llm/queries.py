@@ -13,6 +13,7 @@ from cirrostrat.llm.html_text import extract_text
 from cirrostrat.llm.minhash import near_duplicates
 from cirrostrat.llm.mixing import mix_sources
 from cirrostrat.llm.neighbours import nearest
+from cirrostrat.llm.pieces import encode_documents
 from cirrostrat.llm.records import encode_and_read_back
 from cirrostrat.llm.sharding import shard_documents
 from cirrostrat.llm.url_rules import judge_urls
@@ -64,6 +65,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, labelled, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
@@ -83,7 +88,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash, op2_token_records, op3_mixing, op4_sharding, op5_html_text, op6_url_filter, op8_chat, op9_quality_rules, op10_neighbours)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash, op2_token_records, op3_mixing, op4_sharding, op5_html_text, op6_url_filter, op7_sentencepiece, op8_chat, op9_quality_rules, op10_neighbours)}
 
 MIXING_SQL = r"""
 WITH sized AS (
