@@ -138,7 +138,7 @@ def _(t: Tables) -> DataFrame:
     s AS (SELECT field, count(v) AS n, stddev_samp(v) * pow(count(v), -0.2) AS h, min(v) AS low, max(v) AS high FROM obs GROUP BY field),
     c AS (SELECT field, n, h, low, high, (floor((v - low) / h * 10) + 0.5) * h / 10 + low AS x, count(*) AS k FROM obs JOIN s USING (field) GROUP BY ALL),
     g AS (SELECT *, low + (high - low) * point / 99 AS "at" FROM c, (SELECT unnest(range(100))::INT AS point))
-    SELECT field, point, "at", sum(exp(-0.5 * pow(("at" - x) / h, 2)) * k) / any_value(n * h * 2.5066282746310002::DOUBLE) AS density FROM g GROUP BY field, point, "at"""", "at density")
+    SELECT field, point, "at", sum(exp(-0.5 * pow(("at" - x) / h, 2)) * k) / any_value(n * h * 2.5066282746310002::DOUBLE) AS density FROM g GROUP BY field, point, "at" """, "at density")
 def _(t: Tables) -> DataFrame:
     return agg.kernel_density(t.obs, ["field"], "v")
 
