@@ -158,7 +158,7 @@ def _(t: Tables) -> DataFrame:
     return agg.plane_fit(pairs(t), ["station"], "obs", "step", "model")
 
 
-@query("a28_common_slope", f"{PAIRS}, c AS (SELECT station, avg(obs) OVER w AS mx, avg(model) OVER w AS my, obs - avg(obs) OVER w AS x, model - avg(model) OVER w AS y FROM pairs WINDOW w AS (PARTITION BY station)), b AS (SELECT sum(x * y) / sum(x * x) AS slope FROM c) SELECT station, slope, any_value(my) - slope * any_value(mx) AS "offset" FROM c, b GROUP BY station, slope", "slope offset")
+@query("a28_common_slope", f"{PAIRS}, c AS (SELECT station, avg(obs) OVER w AS mx, avg(model) OVER w AS my, obs - avg(obs) OVER w AS x, model - avg(model) OVER w AS y FROM pairs WINDOW w AS (PARTITION BY station)), b AS (SELECT sum(x * y) / sum(x * x) AS slope FROM c) SELECT station, slope, any_value(my) - slope * any_value(mx) AS offset FROM c, b GROUP BY station, slope", "slope offset")
 def _(t: Tables) -> DataFrame:
     return agg.common_slope(pairs(t), "station", "obs", "model")
 
