@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("select_queries", "aggregate_queries", "window_queries", "join_queries", "space_queries")
+MODULES = ("select_queries", "aggregate_queries", "window_queries", "join_queries", "space_queries", "source_queries", "stream_queries")
 
 
 def _load() -> None:
