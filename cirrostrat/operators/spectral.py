@@ -48,7 +48,7 @@ def segments(df: DataFrame, keys: Sequence[str], t: str, value: str, n: int) ->
     met = df.filter(F.col(value).isNotNull()).join(ends, list(keys)).filter("_t1 > _t0").withColumn("_half", (F.col("_t1") - F.col("_t0")) / n / 2)
     place = (x - F.col("_t0")) / F.col("_half")
     first = F.floor(place).cast("int")
-    met = met.withColumn("segment", F.explode(F.array_distinct(F.array(F.greatest(first - 1, F.lit(0)), F.least(first, F.lit(2 * n - 2))))))
+    met = met.withColumn("segment", F.explode(F.array_distinct(F.array(*(F.greatest(F.lit(0), F.least(c, F.lit(2 * n - 2))) for c in (first - 1, first))))))
     met = met.withColumn("_u", (place - F.col("segment")) / 2).filter("_u BETWEEN 0 AND 1")
     return met.withColumn("_w", 0.5 - 0.5 * F.cos(2 * pi * F.col("_u"))).withColumn("_width", 2 * F.col("_half")).drop("_t0", "_t1", "_half", "_u")
 
