@@ -39,3 +39,11 @@ def stash(df: DataFrame, kind: str = "stash") -> DataFrame:
     path = fresh_path(df.sparkSession, kind)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let this session hand Python workers at most so many rows at once. Jobs over long texts call it, as a batch of the usual 10,000
+    texts is a large part of a worker's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
