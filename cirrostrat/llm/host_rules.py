@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cirrostrat.llm.arrowtext import Texts, mix, repeated, runs
-from cirrostrat.runtime import stash
+from cirrostrat.runtime import small_batches, stash
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -64,6 +64,7 @@ def base_failed(min_words: int = 10, max_repeat: int = 20) -> F.Column:
 
 def measure_documents(docs: DataFrame, *, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
     """id, host, the five measures and base_failed of each document, in one pass over the texts."""
+    small_batches(docs.sparkSession)
     thin = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
     schema = T.StructType([thin.schema["id"], thin.schema["host"], *(T.StructField(m, T.LongType()) for m in MEASURES)])
     return thin.mapInArrow(_measured("text"), schema).withColumn("base_failed", base_failed())
@@ -96,6 +97,7 @@ def keep_documents(docs: DataFrame, host_limit: float = 0.5, *, id_col: str = "d
     rates = host_rates(measure_documents(docs, id_col=id_col, host_col=host_col, text_col=text_col))
     bad = stash(rates.filter(F.col("rate") > host_limit).select(F.col("host").alias("__host")), "bad")
 
+    small_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from cirrostrat.runtime import small_batches
+
 #: Elements that begin and end a block.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements whose ends matter, as they hold regions or what is left out.
@@ -135,6 +137,7 @@ def main_text(html: str | None) -> str:
 
 def extract_text(pages: DataFrame, *, html_col: str = "html", out: str = "text") -> DataFrame:
     """The columns of `pages` without `html_col`, and the main text as `out` (in place of a column of that name)."""
+    small_batches(pages.sparkSession)
     kept = [f for f in pages.schema.fields if f.name not in (html_col, out)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from cirrostrat.llm.arrowtext import Texts, mix, runs, whole_groups
 from cirrostrat.llm.links import components, local_labels
 from cirrostrat.llm.units import ragged
-from cirrostrat.runtime import stash
+from cirrostrat.runtime import small_batches, stash
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
@@ -209,6 +209,7 @@ def _in_blocks(rows: DataFrame, group: list[str], blocks: Column, by: str) -> Da
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, *, id_col: str = "doc_id", text_col: str = "text", width: int = 64, miss: float = 1e-6, list_rows: int = 2048, group_shingles: int = 2_000_000) -> DataFrame:
     """id, n_shingles, component_id, kept of each row: documents are linked from a Jaccard similarity of num / den on."""
+    small_batches(docs.sparkSession)
     similarity = num / den
     prefix, threshold = min(width, prefix_length(similarity, miss)), match_threshold(width, similarity, miss)
     thin = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

@@ -16,6 +16,7 @@ rows. Other columns are passed on.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ from pyspark.sql import types as T
 
 from cirrostrat.llm.arrowtext import Texts, runs
 from cirrostrat.llm.units import Cache, ragged
+from cirrostrat.runtime import small_batches
 
 MARK = "▁"
 
@@ -51,9 +53,9 @@ class Vocabulary:
         self.kind, self.scores, self.byte_ids, self.unknown = kind, scores, byte_ids, unknown
         self.ids = {p: i for i, p in enumerate(pieces) if not special[i]}
         self.pieces = pieces
-        self.longest = max(map(len, self.ids))
         self.penalty = min((scores[i] for i in self.ids.values()), default=0.0) - 10.0
-        self.stable: dict[tuple[int, int], bool] = {}
+        self.stable: dict[int, bool] = {}
+        self.tails = {p[i:] for p in self.ids for i in range(len(p))}
         raw = [p.replace(MARK, " ").encode() if not special[i] else b"" for i, p in enumerate(pieces)]
         for b, i in byte_ids.items():
             raw[i] = bytes([b])
@@ -75,66 +77,74 @@ class Vocabulary:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _follows(self, before: int | None, piece: int, text: str) -> bool:
-        """Whether `piece` (its text; negative for a letter outside the vocabulary) may follow the piece before it."""
-        if before is None or before < 0 or piece < 0:
-            key, whole, parts = (-1, piece), text, [text]
-            if before is not None and before >= 0 and piece < 0:
-                return True
-        else:
-            key, whole, parts = (before, piece), self.pieces[before] + text, [self.pieces[before], text]
-        known = self.stable.get(key)
-        if known is None:
-            if len(self.stable) > 1_000_000:
-                self.stable.clear()
-            known = self.stable[key] = self.merged(whole) == parts
-        return known
+    def _stays(self, before: int, piece: int) -> bool:
+        """Whether merging the letters of two pieces (of one, where `before` is -1) gives them again. Remembered by the caller."""
+        parts = [self.pieces[piece]] if before < 0 else [self.pieces[before], self.pieces[piece]]
+        if len(self.stable) > 400_000:
+            self.stable.clear()
+        found = self.stable[before * 1_048_576 + piece] = self.merged("".join(parts)) == parts
+        return found
 
     def words(self, words: list[str]) -> list[list[int]]:
         """The ids of marked words, in the order given."""
         order = sorted(range(len(words)), key=words.__getitem__)
         out: list[list[int]] = [[]] * len(words)
-        last: list[int | None] = [None]  # by prefix length: the last piece, its length and, for unigram, the best sum
-        size, best, previous = [0], [0.0], ""
+        # By prefix length: the last piece (-1 at the start, -2 for a letter outside the vocabulary), its length, the best sum.
+        last, size, best, previous = [-1], [0], [0.0], ""
+        extend = self._merging if self.kind == "bpe" else self._summing
         for w in order:
             word = words[w]
-            same = 0
-            for a, b in zip(previous, word):
-                if a != b:
-                    break
-                same += 1
+            same = len(commonprefix((previous, word)))
             del last[same + 1 :], size[same + 1 :], best[same + 1 :]
-            for end in range(same + 1, len(word) + 1):
-                self._step(word, end, last, size, best)
+            extend(word, same, last, size, best)
             ids, at = [], len(word)
             while at:
-                piece = last[at]
-                ids.append(self._letter(word[at - 1]) if piece < 0 else [piece])
+                if (piece := last[at]) < 0:
+                    ids += self._letter(word[at - 1])[::-1]
+                else:
+                    ids.append(piece)
                 at -= size[at]
-            out[w] = [i for x in reversed(ids) for i in x]
+            ids.reverse()
+            out[w] = ids
             previous = word
         return out
 
-    def _step(self, word: str, end: int, last: list[int | None], size: list[int], best: list[float]) -> None:
-        top, found, length = -float("inf"), None, 1
-        for n in range(min(self.longest, end), 0, -1):
-            text = word[end - n : end]
-            piece = self.ids.get(text)
-            if piece is None:
-                if n > 1:
-                    continue
-                piece = -2
-            if self.kind == "bpe":
-                if self._follows(last[end - n], piece, text):
-                    found, length = piece, n
+    def _merging(self, word: str, same: int, last: list[int], size: list[int], best: list[float]) -> None:
+        """Forward states from prefix length `same` on: the one last piece that may follow the state before it. The piece grows leftwards while it
+        ends some piece of the vocabulary."""
+        ids, tails, stable = self.ids, self.tails, self.stable
+        for end in range(same + 1, len(word) + 1):
+            found, start = -2, end - 1
+            while start >= 0:
+                text = word[start:end]
+                if text not in tails:
+                    start = end - 1
+                    break
+                piece = ids.get(text)
+                if piece is not None:
+                    before = max(last[start], -1)
+                    ok = stable.get(before * 1_048_576 + piece)
+                    if self._stays(before, piece) if ok is None else ok:
+                        found = piece
+                        break
+                start -= 1
+            last.append(found)
+            size.append(end - max(start, 0) if found >= 0 else 1)
+
+    def _summing(self, word: str, same: int, last: list[int], size: list[int], best: list[float]) -> None:
+        """Forward states from prefix length `same` on: the best sum of scores."""
+        for end in range(same + 1, len(word) + 1):
+            top, found, length = best[end - 1] + self.penalty, -2, 1
+            for start in range(end - 1, -1, -1):
+                text = word[start:end]
+                if text not in self.tails:
                     break
-            else:
-                score = best[end - n] + (self.scores[piece] if piece >= 0 else self.penalty)
-                if score > top:
-                    top, found, length = score, piece, n
-        last.append(found)
-        size.append(length)
-        best.append(top)
+                piece = self.ids.get(text)
+                if piece is not None and best[start] + self.scores[piece] > top:
+                    top, found, length = best[start] + self.scores[piece], piece, end - start
+            last.append(found)
+            size.append(length)
+            best.append(top)
 
     def _letter(self, letter: str) -> list[int]:
         return [self.byte_ids[b] for b in letter.encode()] if self.byte_ids else [self.unknown]
@@ -182,6 +192,7 @@ def decode(ids: list[int], path: str, kind: str = "bpe") -> str:
 def encode_documents(docs: DataFrame, path: str, kind: str = "bpe", *, text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """The columns of `docs` (the text only if asked for), ids, n_pieces, and whether decoding gives the text again (with spaces for
     marks). Input columns of these names are left out."""
+    small_batches(docs.sparkSession)
     kept = [f for f in docs.schema.fields if f.name not in ("ids", "n_pieces", "decodes") and (keep_text or f.name != text_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

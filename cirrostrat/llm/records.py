@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from cirrostrat.llm.arrowtext import Texts, runs
 from cirrostrat.llm.units import Cache
-from cirrostrat.runtime import fresh_path, stash
+from cirrostrat.runtime import fresh_path, small_batches, stash
 
 if TYPE_CHECKING:
     from tokenizers import Tokenizer
@@ -163,6 +163,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, width: int) -> Callable[[I
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int = 0, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write all documents; return the manifest (part, file, n_records, n_ids, bytes), one row per file. `width` is 2
     where the vocabulary has at most 65,536 ids, else 4."""
+    small_batches(docs.sparkSession)
     thin = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     dealt = thin.repartitionByRange(F.col("id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("id").asc_nulls_first())
     return stash(dealt.mapInArrow(_writer(folder, tokenizer, end_id, width), "part int, file string, n_records long, n_ids long, bytes long"), "manifest")

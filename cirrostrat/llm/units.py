@@ -25,7 +25,7 @@ def ragged(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
 
 
 class Cache:
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], bound: int = 1_000_000) -> None:
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], bound: int = 300_000) -> None:
         self.encode, self.bound = encode, bound
         self._clear()
 
