@@ -32,6 +32,8 @@ LEFT_OUT = frozenset("aside dialog footer form header menu nav button select tex
 #: Parts of class and id names, and roles, of elements that are never content.
 LEFT_OUT_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|breadcrumbs?|comments?|consent|cookies?|disclaimer|disqus|footer|gdpr|header|menu|modal|nav|navbar|navigation|newsletter|notices?|popup|promo|promoted|related|repl(?:y|ies)|respond|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
 LEFT_OUT_ROLE = frozenset({"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"})
+#: A tag that the page ends inside of.
+CUT_TAG = re.compile(r"<[/A-Za-z!?][^<>]*\Z")
 HOLDERS = frozenset({"article", "main", "section", "div", "body"})
 
 
@@ -117,7 +119,7 @@ def threshold(values: np.ndarray) -> float:
 
 def main_text(html: str | None) -> str:
     parser = Lines()
-    parser.feed(html or "")
+    parser.feed(CUT_TAG.sub("", html or ""))
     parser.close()
     parser.end_line()
     lines = parser.lines

@@ -94,23 +94,26 @@ def _ranker(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
         for table in whole_groups(batches, "g"):
             g, asks = table.column("g").to_numpy(), table.column("asks").to_numpy(zero_copy_only=False)
             cid, ids = table.column("cid").to_numpy(), table.column("ids").combine_chunks()
-            x = _vectors(table.column("vec"))
-            unit = x / np.linalg.norm(x, axis=1)[:, None]
+            vec = table.column("vec").combine_chunks()
+            flat, at = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64), vec.offsets.to_numpy() - vec.offsets[0].as_py()
             bounds = np.concatenate(([0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]))
             for start, end in zip(bounds[:-1], bounds[1:]):
-                rows, queries = (start + np.flatnonzero(asks[start:end] == a) for a in (False, True))
-                if not len(rows) or not len(queries):
+                ask, own = asks[start:end], cid[start:end]
+                if ask.all() or not ask.any():
                     continue
+                x = flat[at[start] : at[end]].reshape(end - start, -1)  # the vectors of a group are equally long
+                unit = x / np.linalg.norm(x, axis=1)[:, None]
+                rows, queries = np.flatnonzero(~ask), np.flatnonzero(ask)
                 score = unit[queries] @ unit[rows].T
                 k = min(most, len(rows))
                 least = np.partition(score, len(rows) - k, axis=1)[:, len(rows) - k]
                 q, r = np.nonzero(score >= least[:, None] - 1e-12)
                 exact = cosine(x[queries[q]], x[rows[r]])
-                order = np.lexsort((cid[rows[r]], -exact, q))
+                order = np.lexsort((own[rows[r]], -exact, q))
                 place = np.arange(len(order)) - np.searchsorted(q[order], np.arange(len(queries)))[q[order]]
                 kept = order[place < most]
                 found = rows[r[kept]]
-                yield pa.RecordBatch.from_arrays([pa.array(cid[queries[q[kept]]]), pa.array(cid[found]), ids.take(pa.array(found)), pa.array(exact[kept])], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(own[queries[q[kept]]]), pa.array(own[found]), ids.take(pa.array(found + start)), pa.array(exact[kept])], schema=schema)
 
     return run
 
