@@ -110,3 +110,22 @@ def distant_dropped(dist: DataFrame) -> DataFrame:
     total = dist.groupBy(F.col("a").alias("station")).agg(F.sum(F.pow("metres", F.lit(2))).alias("weight"))
     w = Window.partitionBy()
     return total.withColumn("_limit", F.avg("weight").over(w) + F.stddev_samp("weight").over(w)).filter("weight <= _limit").drop("_limit")
+
+
+def aligned(weights: DataFrame, reference: DataFrame, place: str) -> DataFrame:
+    """Weights (place, component, weight) with the signs that agree with a reference's components."""
+    dot = weights.join(reference.select(place, "component", F.col("weight").alias("_r")), [place, "component"]).groupBy("component").agg(F.sum(F.expr("weight * _r")).alias("_d"))
+    return weights.join(dot, "component").withColumn("weight", F.when(F.col("_d") < 0, -F.col("weight")).otherwise(F.col("weight"))).drop("_d")
+
+
+def scaled(weights: DataFrame, score: DataFrame, time: str) -> tuple[DataFrame, DataFrame]:
+    """Weights and scores such that each component's scores have a mean square of one."""
+    size = score.groupBy("component").agg(F.sqrt(F.avg(F.pow("score", F.lit(2)))).alias("_s"))
+    return weights.join(size, "component").withColumn("weight", F.col("weight") * F.col("_s")).drop("_s"), score.join(size, "component").withColumn("score", F.try_divide("score", "_s")).select(time, "component", "score")
+
+
+def rotated(rows: DataFrame, matrix: np.ndarray, keys: Sequence[str], value: str) -> DataFrame:
+    """Components mixed by a K x K matrix: new component c is the sum over k of matrix[k, c] times component k."""
+    mix = rows.sparkSession.createDataFrame([(k, c, float(matrix[k, c])) for k in range(matrix.shape[0]) for c in range(matrix.shape[1])], "component int, _c int, _m double")
+    out = rows.join(F.broadcast(mix), "component").groupBy(*keys, "_c").agg(F.sum(F.col(value) * F.col("_m")).alias(value))  # K x K rows
+    return out.withColumnRenamed("_c", "component")

@@ -167,3 +167,21 @@ def blocked(sun: DataFrame, horizons: DataFrame, sectors: int, key: str = "stati
     """`blocked` where the horizon at the sun's azimuth is above it; `mu` is the sine of the sun's height, `azimuth` in degrees."""
     at = sun.withColumn("sector", F.least(F.lit(sectors - 1), F.floor(F.pmod(F.col("azimuth"), F.lit(360.0)) / (360 / sectors))).cast("int"))
     return at.join(horizons.select(key, "sector", "angle"), [key, "sector"], "left").withColumn("blocked", F.coalesce(F.sin(F.radians("angle")) > F.col("mu"), F.lit(False))).drop("angle")
+
+
+def _bilinear(stations: DataFrame, cells: DataFrame) -> DataFrame:
+    return bilinear_weights(surrounding_square(stations, cells))
+
+
+def _nearest(stations: DataFrame, cells: DataFrame) -> DataFrame:
+    return nearest_cell(stations, cells).select("station", "i", "j", F.lit(0.25).alias("w")).withColumn("copy", F.explode(F.array(*map(F.lit, range(4))))).drop("copy")
+
+
+#: Interpolators by name: from stations and cells to weights (station, i, j, w) of four rows each.
+INTERPOLATORS = {"bilinear": _bilinear, "affine": affine_weights, "nearest": _nearest}
+
+
+def interpolated(grid: DataFrame, stations: DataFrame, keys: Sequence[str], how: str = "bilinear", value: str = "v") -> DataFrame:
+    """Values at stations by the interpolator of that name."""
+    cells = grid.select("i", "j", "lon", "lat").distinct()
+    return interpolate(grid, INTERPOLATORS[how](stations, cells), keys, value)

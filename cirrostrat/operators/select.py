@@ -132,3 +132,11 @@ def blanked(df: DataFrame, periods: DataFrame, sensor: str, ts: str, value: str)
     spans = periods.select(F.col(sensor).alias("_sensor"), "from_s", "to_s")
     hit = (F.col(sensor) == F.col("_sensor")) & seconds(ts).between(F.col("from_s"), F.col("to_s"))
     return df.join(spans, hit, "left").withColumn(value, F.when(F.col("_sensor").isNull(), F.col(value))).drop("_sensor", "from_s", "to_s")
+
+
+def without_gaps(df: DataFrame, keys: list[str], ts: str, value: str, n: int) -> DataFrame:
+    """Rows of the keys that have no run of `n` or more nulls in a row."""
+    from cirrostrat.operators.windows import islands
+
+    gaps = islands(df, keys, ts, F.col(value).isNull()).filter(F.col("length") >= n).select(*keys).distinct()
+    return df.join(gaps, keys, "left_anti")

@@ -259,3 +259,22 @@ def merged_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str) -
     x = df.withColumn("_new", F.coalesce((F.col(start) > reach).cast("int"), F.lit(0)))
     x = x.withColumn("_part", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return x.groupBy(*keys, "_part").agg(F.min(start).alias("start"), F.max(end).alias("end")).drop("_part")
+
+
+def local_polynomial(df: DataFrame, keys: Sequence[str], ts: str, value: str, at: DataFrame, scale: int, degree: int = 2) -> DataFrame:
+    """As `local_line`, of any degree: moments are summed by Spark, and the small system of each spot is solved in batches."""
+    wide, p = 4 * scale, 2 * degree + 1
+    data = df.filter(F.col(value).isNotNull()).select(*keys, seconds(ts).alias("_t"), F.col(value).alias("_v")).withColumn("_b", F.expr(f"_t DIV {wide}"))
+    spots = at.withColumn("_b", F.explode(F.expr(f"sequence(s DIV {wide} - 1, s DIV {wide} + 1)")))
+    near = spots.join(data, [*keys, "_b"]).withColumn("_d", (F.col("_t") - F.col("s")).cast("double") / scale).filter("abs(_d) <= 4")
+    w = F.exp(-0.5 * F.col("_d") * F.col("_d"))
+    power = lambda k: F.pow("_d", F.lit(k)) if k else F.lit(1.0)
+    sums = near.groupBy(*keys, "s").agg(F.array(*(F.sum(w * power(k)) for k in range(p))).alias("_m"), F.array(*(F.sum(w * power(k) * F.col("_v")) for k in range(degree + 1))).alias("_r"))
+
+    @F.pandas_udf(T.DoubleType())
+    def solve(m: pd.Series, r: pd.Series) -> pd.Series:
+        moments, right = np.stack(m.to_numpy()), np.stack(r.to_numpy())
+        at_ij = np.arange(degree + 1)[:, None] + np.arange(degree + 1)
+        return pd.Series([np.linalg.lstsq(a[at_ij], b, rcond=None)[0][0] for a, b in zip(moments, right)])
+
+    return sums.select(*keys, "s", solve("_m", "_r").alias("smooth"))

@@ -243,3 +243,16 @@ def _(t: Tables) -> DataFrame:
 def flagship(t: Tables) -> DataFrame:
     """Hourly errors of forecasts by station and lead day."""
     return aggregate.error_statistics(join.errors(aligned(t), "v", "obs").withColumn("lead", F.expr("step DIV 24")), ["station", "lead"])
+
+
+OBSERVED = """p AS (SELECT station, field, (t - 900) - (t - 900) % 3600 AS b, t, v FROM obs WHERE field IN ('view', 'error')), q AS (SELECT station, field, b, v, 900 - greatest(0, t - b - 3600) AS w FROM p UNION ALL SELECT station, field, b + 3600, v, t - b - 3600 FROM p WHERE t > b + 3600),
+    hr AS (SELECT station, field, b + 3600 AS h, sum(w * v) / sum(w) AS obs FROM q GROUP BY ALL),
+    e AS (SELECT f.station, f.step, x.variable, CASE WHEN x.variable = 't2' THEN f.v - (hr.obs + 273.15) WHEN f.step <> 0 THEN f.v - hr.obs END AS error FROM fcst f CROSS JOIN (VALUES ('t2', 'view'), ('rain', 'error')) AS x(variable, field) LEFT JOIN hr ON hr.station = f.station AND hr.field = x.field AND hr.h = f.valid)"""
+
+
+@query("u3_validation_report", f"{OBSERVED} SELECT variable, station, (step // 24)::INT AS lead, count(error) AS n, avg(error) AS bias, sqrt(avg(error * error)) AS rmse, avg(abs(error)) AS mae, stddev_samp(error) AS std FROM e GROUP BY ALL", "bias rmse mae std")
+def _(t: Tables) -> DataFrame:
+    from cirrostrat.plans import validation
+
+    found = [validation.variable_errors(t.fcst, t.obs, name, F.lit(900)) for name in validation.VARIABLES]
+    return validation.report(found[0].unionByName(found[1]))

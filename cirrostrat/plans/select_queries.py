@@ -232,3 +232,9 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     day = F.to_date("o_orderdate")
     return t("orders").select(F.col("o_orderkey").alias("k"), times.season_class(day).alias("class"), (F.unix_date(times.season_start(day)).cast("long") * 86400).alias("season"), times.water_year(day, 4, 6).alias("water_year"))
+
+
+@query("p12_without_gaps", "x AS (SELECT station, h, v > 60 AS gap, row_number() OVER (PARTITION BY station ORDER BY h) AS n FROM hourly WHERE field = 'view'), r AS (SELECT station, n - row_number() OVER (PARTITION BY station ORDER BY h) AS run FROM x WHERE gap), bad AS (SELECT DISTINCT station FROM (SELECT station, run FROM r GROUP BY ALL HAVING count(*) >= 6)) SELECT station, h FROM hourly WHERE field = 'view' AND station NOT IN (SELECT station FROM bad)")
+def _(t: Tables) -> DataFrame:
+    rows = t.seen.withColumn("v", F.when(F.col("v") <= 60, F.col("v")))
+    return select.without_gaps(rows, ["station"], "h", "v", 6).select("station", "h")

@@ -333,3 +333,30 @@ def top_of_run(rows: object) -> object:
 
 
 
+
+
+@query("u2_interpolators", f"{WEIGHTS}, near1 AS (SELECT station, i, j FROM wt QUALIFY row_number() OVER (PARTITION BY station ORDER BY w DESC, i, j) = 1) SELECT station, d, 'bilinear' AS how, sum(w * v) AS v FROM grid JOIN wt USING (i, j) GROUP BY station, d UNION ALL SELECT station, d, 'nearest', v FROM grid JOIN near1 USING (i, j)", "v")
+def _(t: Tables) -> DataFrame:
+    out = [grid.interpolated(t.grid, off(t), ["d"], how).withColumn("how", F.lit(how)) for how in ("bilinear", "nearest")]
+    inside = out[0].select("station").distinct()
+    return out[0].unionByName(out[1].join(inside, "station", "left_semi"))
+
+
+@query("m16_rotated_components", rounds="difference")
+def _(t: Tables) -> DataFrame:
+    """A turn of the components and its inverse give the scores again; the largest difference by component."""
+    import numpy as np
+
+    weights, _ = eof.loadings(matrix(t), "place", "time", "v", 2)
+    weights, score = eof.scaled(weights, eof.scores(matrix(t), weights, "place", "time", "v"), "time")
+    turn = np.array([[0.6, 0.8], [-0.8, 0.6]])
+    back = eof.rotated(eof.rotated(score, turn, ["time"], "score"), turn.T, ["time"], "score").withColumnRenamed("score", "again")
+    return score.join(back, ["time", "component"]).groupBy("component").agg(F.max(F.abs(F.col("score") - F.col("again"))).alias("difference"), F.count("*").alias("n"))
+
+
+@query("w20_local_polynomial", rounds="smooth")
+def _(t: Tables) -> DataFrame:
+    from cirrostrat.operators.windows import local_polynomial
+
+    at = t.series.groupBy("field").agg(F.explode(F.sequence(F.min("h"), F.max("h"), F.lit(86400).cast("long"))).alias("s"))
+    return local_polynomial(t.series, ["field"], "h", "v", at, 10800)
