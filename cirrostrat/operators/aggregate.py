@@ -140,16 +140,21 @@ def density_mode(density: DataFrame, keys: Sequence[str]) -> DataFrame:
     return density.groupBy(*keys).agg(F.max_by("at", F.struct("density", -F.col("at"))).alias("mode"))
 
 
+def _not_negative(c: Column) -> Column:
+    """Zero for what rounding made negative; null stays null."""
+    return F.when(c < 0, F.lit(0.0)).otherwise(c)
+
+
 def line_fit(df: DataFrame, keys: Sequence[str], x: str, y: str, intercept: bool = True) -> DataFrame:
     """n, slope, icpt, rmse and adjusted r2 of y on x; rows with a null don't count."""
     p, q = F.col(x), F.col(y)
     both = df.filter(p.isNotNull() & q.isNotNull())
     if intercept:
         fit = both.groupBy(*keys).agg(F.count("*").alias("n"), F.regr_slope(q, p).alias("slope"), F.regr_intercept(q, p).alias("icpt"), F.regr_r2(q, p).alias("_r2"), F.regr_syy(q, p).alias("_syy"))
-        return fit.withColumn("rmse", F.sqrt(F.greatest(F.lit(0.0), (1 - F.col("_r2")) * F.col("_syy") / F.col("n")))).withColumn("r2_adj", F.expr("1 - (1 - _r2) * try_divide(n - 1, n - 2)")).drop("_r2", "_syy")
+        return fit.withColumn("rmse", F.sqrt(_not_negative((1 - F.col("_r2")) * F.col("_syy") / F.col("n")))).withColumn("r2_adj", F.expr("1 - (1 - _r2) * try_divide(n - 1, n - 2)")).drop("_r2", "_syy")
     sums = both.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(p * q).alias("_xy"), F.sum(p * p).alias("_xx"), F.sum(q * q).alias("_yy"))
     sums = sums.withColumn("slope", F.try_divide("_xy", "_xx")).withColumn("icpt", F.lit(0.0))
-    rss = F.greatest(F.lit(0.0), F.col("_yy") - F.col("slope") * F.col("_xy"))
+    rss = _not_negative(F.col("_yy") - F.col("slope") * F.col("_xy"))
     return sums.withColumn("rmse", F.sqrt(rss / F.col("n"))).withColumn("r2_adj", 1 - rss / F.col("_yy") * F.expr("try_divide(n, n - 1)")).drop("_xy", "_xx", "_yy")
 
 

@@ -143,7 +143,7 @@ def _(t: Tables) -> DataFrame:
     return agg.kernel_density(t.obs, ["field"], "v")
 
 
-LSQ = "regr_slope(y, x) AS slope, regr_intercept(y, x) AS icpt, sqrt((1 - regr_r2(y, x)) * regr_syy(y, x) / count(*)) AS rmse, 1 - (1 - regr_r2(y, x)) * (count(*) - 1) / (count(*) - 2) AS r2_adj"
+LSQ = "regr_slope(y, x) AS slope, regr_intercept(y, x) AS icpt, sqrt((1 - regr_r2(y, x)) * regr_syy(y, x) / count(*)) AS rmse, 1 - (1 - regr_r2(y, x)) * (count(*) - 1) / nullif(count(*) - 2, 0) AS r2_adj"
 
 
 @query("a26_line_fit", f"{PAIRS}, p AS (SELECT station, obs AS x, model AS y FROM pairs) SELECT station, 'line' AS kind, count(*) AS n, {LSQ} FROM p GROUP BY station UNION ALL SELECT station, 'origin', count(*), sum(x * y) / sum(x * x), 0, sqrt((sum(y * y) - sum(x * y) * sum(x * y) / sum(x * x)) / count(*)), 1 - (sum(y * y) - sum(x * y) * sum(x * y) / sum(x * x)) / sum(y * y) * count(*) / (count(*) - 1) FROM p GROUP BY station", "slope icpt rmse r2_adj")
@@ -171,7 +171,7 @@ def _(t: Tables) -> DataFrame:
     return agg.lapse_table(rows, "model", "dz", "error", "station")
 
 
-@query("a30_regression_map", f"{CELLS} SELECT i, j, count(*) AS n, regr_slope(c.v, x.x) AS slope, corr(c.v, x.x) AS r, corr(c.v, x.x) * sqrt((count(*) - 2) / (1 - corr(c.v, x.x) * corr(c.v, x.x))) AS t FROM cells c JOIN idx x ON c.month = x.month + 2 GROUP BY i, j", "slope r t")
+@query("a30_regression_map", f"{CELLS} SELECT i, j, count(*) AS n, regr_slope(c.v, x.x) AS slope, corr(c.v, x.x) AS r, CASE WHEN count(*) > 2 AND abs(corr(c.v, x.x)) < 1 THEN corr(c.v, x.x) * sqrt((count(*) - 2) / (1 - corr(c.v, x.x) * corr(c.v, x.x))) END AS t FROM cells c JOIN idx x ON c.month = x.month + 2 GROUP BY i, j", "slope r t")
 def _(t: Tables) -> DataFrame:
     return agg.regression_map(cells(t), index(t), ["i", "j"], lag=2)
 
@@ -186,7 +186,7 @@ def _(t: Tables) -> DataFrame:
     return agg.field_regression(cells(t), cells(t).withColumn("month", F.col("month") + 1), ["i", "j"])
 
 
-@query("a32_correlation", f"{PAIRS} SELECT station, step // 24 AS lead, count(*) AS n, corr(obs, model) AS r, corr(obs, model) * sqrt((count(*) - 2) / (1 - corr(obs, model) * corr(obs, model))) AS t FROM pairs GROUP BY ALL", "r t")
+@query("a32_correlation", f"{PAIRS} SELECT station, step // 24 AS lead, count(*) AS n, corr(obs, model) AS r, CASE WHEN count(*) > 2 AND abs(corr(obs, model)) < 1 THEN corr(obs, model) * sqrt((count(*) - 2) / (1 - corr(obs, model) * corr(obs, model))) END AS t FROM pairs GROUP BY ALL", "r t")
 def _(t: Tables) -> DataFrame:
     return agg.correlation(pairs(t).withColumn("lead", F.expr("step DIV 24")), ["station", "lead"], "obs", "model")
 

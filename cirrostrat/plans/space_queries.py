@@ -74,9 +74,9 @@ def _(t: Tables) -> DataFrame:
     return grid.interpolate(t.grid, grid.affine_weights(off(t), cells(t)), ["d"])
 
 
-@query("j22_nearest_interpolation", f"{CELLS}, d AS (SELECT station, i, j, {FAR} AS metres FROM near s, cells c WHERE abs(s.lon - c.lon) < 1 AND abs(s.lat - c.lat) < 1), n AS (SELECT station, i, j FROM d QUALIFY row_number() OVER (PARTITION BY station ORDER BY round(metres, 6), i, j) = 1) SELECT station, d, v FROM grid JOIN n USING (i, j)", "v")
+@query("j22_nearest_interpolation", f"{CELLS}, d AS (SELECT station, i, j, {FAR} AS metres FROM near s, cells c WHERE abs(s.lon - c.lon) < 1 AND abs(s.lat - c.lat) < 1), n AS (SELECT station, i, j FROM d WHERE metres < 30000 QUALIFY row_number() OVER (PARTITION BY station ORDER BY round(metres, 6), i, j) = 1) SELECT station, d, v FROM grid JOIN n USING (i, j)", "v")
 def _(t: Tables) -> DataFrame:
-    return t.grid.join(grid.nearest_cell(near(t), cells(t)), ["i", "j"]).select("station", "d", "v")
+    return t.grid.join(grid.nearest_cell(near(t), cells(t)).filter("metres < 30000"), ["i", "j"]).select("station", "d", "v")
 
 
 @query("j23_distances", f"{DIST} SELECT a, b, metres FROM dist", "metres")
@@ -130,9 +130,9 @@ def _(t: Tables) -> DataFrame:
     return vertical.rate_variability(vertical.lapse_rates(levels(t), ["station", "field"], "k", "v", "z"), ["k"])
 
 
-@query("v4_at_pressures", f"{LEVELS}, s AS (SELECT station, field, ln(p / 100) AS x0, v AS v0, lead(ln(p / 100)) OVER w AS x1, lead(v) OVER w AS v1 FROM lev WINDOW w AS (PARTITION BY station, field ORDER BY p)) SELECT station, field, l::INT AS level, v0 + (v1 - v0) * (ln(l) - x0) / (x1 - x0) AS v FROM s, (VALUES (850), (700), (500), (400), (300), (250)) AS x(l) WHERE ln(l) >= x0 AND ln(l) < x1", "v")
+@query("v4_at_pressures", f"{LEVELS}, s AS (SELECT station, field, ln(p / 100) AS x0, v AS v0, lead(ln(p / 100)) OVER w AS x1, lead(v) OVER w AS v1 FROM lev WINDOW w AS (PARTITION BY station, field ORDER BY p)) SELECT station, field, l::INT AS level, v0 + (v1 - v0) * (ln(l) - x0) / (x1 - x0) AS v FROM s, (VALUES (850), (700), (500), (401), (300), (250)) AS x(l) WHERE ln(l) >= x0 AND ln(l) < x1", "v")
 def _(t: Tables) -> DataFrame:
-    return vertical.at_pressures(levels(t).withColumn("p", F.col("p") / 100), ["station", "field"], "p", "v", (850, 700, 500, 400, 300, 250))
+    return vertical.at_pressures(levels(t).withColumn("p", F.col("p") / 100), ["station", "field"], "p", "v", (850, 700, 500, 401, 300, 250))
 
 
 @query("v6_boundary_layer", f"{LEVELS}, s AS (SELECT station, field, k, v - lag(v) OVER (PARTITION BY station, field ORDER BY k) AS d FROM lev), top AS (SELECT station, field, min(k) FILTER (d > 0) AS top FROM s GROUP BY ALL), c AS (SELECT station, field, arg_min(k, v) AS base, min(v) AS t FROM lev WHERE z < 3000 GROUP BY ALL), u AS (SELECT l.station, l.field, max(v) AS w FROM lev l JOIN c ON c.station = l.station AND c.field = l.field WHERE z < 3000 AND k > base GROUP BY ALL) SELECT station, field, top, base, CASE WHEN base IS NOT NULL THEN w - t END AS strength FROM top LEFT JOIN (SELECT * FROM c JOIN u USING (station, field) WHERE w - t >= 0.5) USING (station, field)", "strength")
@@ -310,7 +310,7 @@ def _(t: Tables) -> DataFrame:
 @query("r11_r12_horizon", rounds="angle metres")
 def _(t: Tables) -> DataFrame:
     terrain = cells(t).withColumn("elev", 1000 + 500 * F.sin(F.col("i")) + 300 * F.cos(F.col("j")))
-    rim = grid.horizon(near(t), terrain, 20000.0, 36)
+    rim = grid.horizon(near(t), terrain, 100_000.0, 36, degrees=1.0)
     sun = near(t).select("station", F.lit(0.05).alias("mu")).withColumn("azimuth", F.explode(F.array(F.lit(35.0), F.lit(125.0), F.lit(275.0))))
     hit = grid.blocked(sun, rim, 36).groupBy("station").agg(F.sum(F.col("blocked").cast("long")).alias("hits"))
     return rim.join(hit, "station")
