@@ -143,7 +143,7 @@ def _(t: Tables) -> DataFrame:
     return agg.kernel_density(t.obs, ["field"], "v")
 
 
-LSQ = "regr_slope(y, x) AS slope, regr_intercept(y, x) AS icpt, sqrt((1 - regr_r2(y, x)) * regr_syy(y, x) / count(*)) AS rmse, 1 - (1 - regr_r2(y, x)) * (count(*) - 1) / nullif(count(*) - 2, 0) AS r2_adj"
+LSQ = "regr_slope(y, x) AS slope, regr_intercept(y, x) AS icpt, sqrt(CASE WHEN regr_r2(y, x) > 1 THEN 0 ELSE (1 - regr_r2(y, x)) * regr_syy(y, x) / count(*) END) AS rmse, 1 - (1 - regr_r2(y, x)) * (count(*) - 1) / nullif(count(*) - 2, 0) AS r2_adj"
 
 
 @query("a26_line_fit", f"{PAIRS}, p AS (SELECT station, obs AS x, model AS y FROM pairs) SELECT station, 'line' AS kind, count(*) AS n, {LSQ} FROM p GROUP BY station UNION ALL SELECT station, 'origin', count(*), sum(x * y) / sum(x * x), 0, sqrt((sum(y * y) - sum(x * y) * sum(x * y) / sum(x * x)) / count(*)), 1 - (sum(y * y) - sum(x * y) * sum(x * y) / sum(x * x)) / sum(y * y) * count(*) / (count(*) - 1) FROM p GROUP BY station", "slope icpt rmse r2_adj")
