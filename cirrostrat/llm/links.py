@@ -22,10 +22,11 @@ def components(links: DataFrame) -> DataFrame:
     links, mark = _settled(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # Minima are written before the join, so that both of its sides are plain shuffles and Spark can split a hub's links.
+        low = stash(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stash(large.filter("u != v").distinct(), "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = stash(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         links, now = _settled(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
         if now == mark:
