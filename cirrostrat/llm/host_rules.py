@@ -1,6 +1,6 @@
 """Quality rules per document, and host verdicts from the rates at which documents fail them.
 
-A document fails with under `min_words` words, or where over `max_repeat` percent of its words stand in five-word
+A document fails with under `MIN_WORDS` words, or where over `MAX_REPEAT` percent of its words stand in five-word
 windows that occur twice or more in it. Failures are summed by host; a host's rate is shrunk towards the others' by a
 beta prior whose mean and strength are fitted to the hosts' rates by moments, and a host whose shrunk rate is above
 `host_limit` is rejected with all its documents.
@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,8 +58,13 @@ def _measured(text_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return run
 
 
-def base_failed(min_words: int = 10, max_repeat: int = 20) -> F.Column:
-    return (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
+#: A document fails with fewer words, or with a larger percentage of them in repeated windows.
+MIN_WORDS, MAX_REPEAT = 10, 20
+
+
+def fails(n_words: Column | np.ndarray, n_repeat_words: Column | np.ndarray) -> Column | np.ndarray:
+    """The base rule, for columns and arrays alike."""
+    return (n_words < MIN_WORDS) | (100 * n_repeat_words > MAX_REPEAT * n_words)
 
 
 def measure_documents(docs: DataFrame, *, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -67,7 +72,7 @@ def measure_documents(docs: DataFrame, *, id_col: str = "doc_id", host_col: str
     small_batches(docs.sparkSession)
     thin = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
     schema = T.StructType([thin.schema["id"], thin.schema["host"], *(T.StructField(m, T.LongType()) for m in MEASURES)])
-    return thin.mapInArrow(_measured("text"), schema).withColumn("base_failed", base_failed())
+    return thin.mapInArrow(_measured("text"), schema).withColumn("base_failed", fails(F.col("n_words"), F.col("n_repeat_words")))
 
 
 def host_rates(judged: DataFrame) -> DataFrame:
@@ -103,7 +108,7 @@ def keep_documents(docs: DataFrame, host_limit: float = 0.5, *, id_col: str = "d
             keep = []
             for _, _, t in runs(batch.column(text_col)):
                 m = measures(t)
-                keep.append((m["n_words"] >= 10) & (100 * m["n_repeat_words"] <= 20 * m["n_words"]))
+                keep.append(~fails(m["n_words"], m["n_repeat_words"]))
             if keep:
                 yield batch.filter(pa.array(np.concatenate(keep)))
 
