@@ -16,7 +16,7 @@ from cirrostrat.llm.neighbours import nearest
 from cirrostrat.llm.pieces import encode_documents
 from cirrostrat.llm.records import encode_and_read_back
 from cirrostrat.llm.sharding import shard_documents
-from cirrostrat.llm.url_rules import judge_urls
+from cirrostrat.llm.url_rules import document_of, judge_urls
 from cirrostrat.runtime import table
 
 URL_RULES = [
@@ -60,8 +60,8 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    labelled = pages.join(labels, "page_id").filter(F.col("bad").isNotNull()).select("url", "bad")
+    labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    labelled = pages.withColumn("doc_id", document_of(F.col("url"))).join(labels, "doc_id").filter(F.col("bad").isNotNull()).select("url", "bad")
     return judge_urls(pages, labelled, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 

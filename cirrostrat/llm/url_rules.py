@@ -33,6 +33,11 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(after_scheme(url), r"\A[^/?#]*(/[^?#]*)", 1), F.lit(""))
 
 
+def document_of(url: Column) -> Column:
+    """The number that a URL's path ends in, with or without an extension (/en/7817, /en/7817.html): the page's document. Null without one."""
+    return F.regexp_extract(path_of(url), r"/(\d+)(?:\.\w+)?/?\z", 1).try_cast("long")
+
+
 def tokens_of(url: Column) -> Column:
     """Distinct tokens of a URL: its host, the host's last two labels, path parts, query names and extension."""
     host = host_of(url)

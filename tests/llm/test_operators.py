@@ -339,6 +339,18 @@ def test_odd_urls(spark):
     assert url_rules.judge_urls(df.filter("false"), none, URL_RULES).count() == 0
 
 
+def test_labels_are_those_of_the_document_in_the_url(spark, tmp_path):
+    ends = ["http://x.com/en/7817", "x://x/7.html?a=9", "http://x/en/8/#9", "http://x/1/en", "http://x.com/", None, "7", "http://x/99999999999999999999"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(ends)], "i int, url string").select("i", url_rules.document_of(F.col("url")).alias("d"))
+    assert [r.d for r in df.orderBy("i").collect()] == [7817, 7, 8, None, None, None, None, None]
+    pages = [(1000 + i, f"http://{'bad' if i % 4 == 1 else 'good'}.site/x/{i}{'.html' if i % 3 else ''}", "") for i in range(120)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    labels = [(i, int(i % 4 != 1), 0) for i in range(120)] + [(1000 + i, int(i % 4 == 1), 0) for i in range(120)]  # the page ids are other documents
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = QUERIES["op6_url_filter"](spark, str(tmp_path)).collect()
+    assert len(got) == 120 and all(r.verdict == ("block" if r.host == "bad.site" else "allow") for r in got)
+
+
 # 7
 
 
