@@ -1,7 +1,9 @@
 """URL verdicts: fixed host-and-path rules first, then association rules mined from labelled pages.
 
 Each URL becomes a set of tokens (host, site, path parts, query names, extension). FP-growth over the token sets of
-labelled pages, with a token for a bad label, gives rules `tokens -> bad`; those with enough support and confidence are
+labelled pages, with a token for a bad label, gives rules `tokens -> bad`. Support is a count of bad pages, the same for
+every size of input. Confidence is judged against the share of bad labels among all: the lower end of its Wilson interval
+must have at least `min_odds` times the odds of that share (a lift that holds for frequent bad labels, too). Rules are
 posted under each of their tokens, and a URL matches a rule when all the rule's postings are found.
 
 Nulls: a null URL, or one without `://`, has an empty host and path and no tokens, so no rule of either kind matches
@@ -48,16 +50,24 @@ def tokens_of(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.array_compact(F.array_distinct(F.concat(at, parts, names, ending))))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.5, min_count: int = 20) -> DataFrame:
-    """(rule_id, tokens, confidence, support) for rules that end in a bad label, from (url, bad). A rule that holds another one of at least its
-    confidence is left out, as it never decides anything."""
+def wilson_lower(share: Column, n: Column, z: float) -> Column:
+    """The lower end of the Wilson interval of a share of n."""
+    return (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def mine_rules(labelled: DataFrame, min_support: float = 0.0, min_confidence: float = 0.0, min_count: int = 20, min_odds: float = 2.0, z: float = 1.96) -> DataFrame:
+    """(rule_id, tokens, confidence, support) for rules that end in a bad label, from (url, bad). `min_count` bad pages hold a rule's tokens at least.
+    A rule that holds another one of at least its confidence is left out, as it never decides anything."""
     items = F.concat(tokens_of(F.col("url")), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>")))
     baskets = stash(labelled.filter(tokens_of(F.col("url")).isNotNull()).select(items.alias("items")), "baskets")
-    n = baskets.count()
-    if not n:
+    n, n_bad = baskets.agg(F.count("*"), F.count_if(F.array_contains("items", BAD))).first()
+    if n_bad < max(1, min_count):
         return labelled.sparkSession.sql("SELECT 0L AS rule_id, cast(array() AS array<string>) AS tokens, 0D AS confidence, 0D AS support LIMIT 0")
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_count / n)), minConfidence=min_confidence).fit(baskets)
+    bar = min_odds * n_bad / (min_odds * n_bad + n - n_bad)
+    least = max(min_support, (min_count - 0.5) / n)  # FP-growth takes the next whole count
+    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min(1.0, max(min_confidence, bar))).fit(baskets)
     rules = model.associationRules.filter(F.array_contains("consequent", BAD))
+    rules = rules.filter(wilson_lower(F.col("confidence"), F.col("support") * n / F.col("confidence"), z) >= bar)
     rules = stash(rules.select(F.sort_array("antecedent").alias("tokens"), "confidence", "support"), "rules")
     other = rules.select(F.col("tokens").alias("t"), F.col("confidence").alias("c"), F.explode("tokens").alias("token"))
     inside = rules.withColumn("token", F.explode("tokens")).join(other, "token").groupBy("tokens", "t").agg(F.count("*").alias("n"), F.first("confidence").alias("confidence"), F.first("c").alias("c"))
@@ -82,7 +92,7 @@ def fixed_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
     return choice
 
 
-def judge_urls(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str, str]], *, id_col: str = "page_id", url_col: str = "url", min_support: float = 0.005, min_confidence: float = 0.5) -> DataFrame:
+def judge_urls(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str, str]], *, id_col: str = "page_id", url_col: str = "url", min_support: float = 0.0, min_confidence: float = 0.0) -> DataFrame:
     """id, host, path, rule, verdict, mined (whether a mined rule matches) of each page."""
     slim = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     bad = stash(matched_urls(slim.select("url"), mine_rules(labelled, min_support, min_confidence)), "bad_urls").withColumnRenamed("url", "bad_url")

@@ -351,6 +351,22 @@ def test_labels_are_those_of_the_document_in_the_url(spark, tmp_path):
     assert len(got) == 120 and all(r.verdict == ("block" if r.host == "bad.site" else "allow") for r in got)
 
 
+def test_a_rules_support_is_a_count_and_its_confidence_a_lift(spark):
+    def mined(rows):
+        df = spark.createDataFrame(rows, "url string, bad boolean")
+        return {tuple(r.tokens) for r in url_rules.mine_rules(df).collect()}
+
+    clean = [(f"http://h{i % 50}.c{i % 50}/{i}", False) for i in range(11_700)]
+    odd = [(f"http://odd.site/{i}", i < 40) for i in range(100)]  # 0.3% of the pages; 40 of 100 are bad, of all 2 in 100
+    rest = [(f"http://h{i % 50}.c{i % 50}/x{i}", True) for i in range(200)]
+    assert ("host=odd.site",) in mined(clean + odd + rest)
+    even = [(f"http://{'ab'[i % 2]}.site/{i}", i % 4 < 2) for i in range(400)]  # one half of everything is bad, on both hosts
+    assert not mined(even)
+    few = [(f"http://odd.site/{i}", True) for i in range(19)]
+    assert not mined(clean + rest + few) and not mined(few) and mined(clean[:300] + few + [("http://odd.site/x", True)])
+    assert not mined([(u, False) for u, _ in even])
+
+
 # 7
 
 
