@@ -1,10 +1,11 @@
 """Main text of web pages: streaming parser events, text-to-tag ratios, Gaussian smoothing, threshold clustering.
 
 The parser's events give lines, one for each block of text, each with its characters and the tags met since the line
-before. Ratios of characters to tags are smoothed along the page and split into two clusters. Lines stand in regions
+before. Ratios of characters to tags are smoothed along the page and split into two clusters, on every page. Lines stand in regions
 (article, main, section, div, body); lines inside menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments are never content. An article or main element with lines is the content; without one, the regions in
-which more than half of the characters fall in the upper cluster are. A region is taken whole, so that short paragraphs stay.
+styles and reader comments are never content. Article and main elements are the content if they hold most of the upper cluster's
+characters; if not, the regions in which more than half of the characters fall in the upper cluster are. A region is taken whole,
+so that short paragraphs stay.
 
 A null or empty page has empty text, as has one without content. Equal rows give equal results. No rows give no rows. Other
 columns are passed on.
@@ -117,23 +118,30 @@ def threshold(values: np.ndarray) -> float:
     return float(at)
 
 
+def in_upper(rate: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Lines in the upper cluster of the page or, where none of those in question is, in their own."""
+    upper = rate >= threshold(rate)
+    return upper if (upper & among).any() else rate >= threshold(rate[among])
+
+
 def main_text(html: str | None) -> str:
     parser = Lines()
     parser.feed(CUT_TAG.sub("", html or ""))
     parser.close()
     parser.end_line()
     lines = parser.lines
-    allowed = [i for i, x in enumerate(lines) if not x[4]]
-    if not allowed:
+    inside = np.array([not x[4] for x in lines], bool)
+    if not inside.any():
         return ""
-    if any(lines[i][3] for i in allowed):
-        return "\n".join(lines[i][0] for i in allowed if lines[i][3])
     size = np.array([len(x[0]) for x in lines])
-    upper = (rate := smoothed(size / np.maximum(1, [x[1] for x in lines]))) >= threshold(rate)
+    rate = smoothed(size / np.maximum(1, [x[1] for x in lines]))
+    article = np.array([x[3] for x in lines], bool)
+    upper = in_upper(rate, inside) & inside
+    allowed = np.flatnonzero(inside)
+    if 2 * size[upper & article].sum() > size[upper].sum():
+        return "\n".join(lines[i][0] for i in allowed if article[i])
     regions = np.array([x[2] for x in lines])
-    inside = np.zeros(len(lines), bool)
-    inside[allowed] = True
-    kept = [r for r in np.unique(regions[inside]) if 2 * size[inside & upper & (regions == r)].sum() > size[inside & (regions == r)].sum()]
+    kept = {r for r in np.unique(regions[inside]).tolist() if 2 * size[upper & (regions == r)].sum() > size[inside & (regions == r)].sum()}
     return "\n".join(lines[i][0] for i in allowed if not kept or regions[i] in kept)
 
 

@@ -288,6 +288,17 @@ def test_main_text_leaves_the_frame_out():
     assert html_text.main_text(f"<body><div><a>x</a> <a>y</a></div><div>{long}<p>Short.</p></div></body>").endswith("\nShort.")
 
 
+def test_article_only_votes_on_regions():
+    body = "".join(f"<p>{i} long words of a text that goes on and on, as the body of a page does, line by line.</p>" for i in range(6))
+    teaser = "<article><h3>Read too</h3><p>A card.</p></article>"
+    for page in (f"<body><div>{body}</div>{teaser}</body>", f"<body>{teaser}<div><section>{body}</section></div></body>"):
+        assert len([x for x in html_text.main_text(page).split("\n") if "long words" in x]) == 6
+    assert html_text.main_text(f"<body><div>Short line</div><article>{body}<p>End.</p></article></body>").endswith("\nEnd.")
+    assert "Short line" not in html_text.main_text(f"<body><div>Short line</div><article>{body}</article></body>")
+    two = html_text.main_text(f"<body><article>{body}</article><article>{body}</article></body>")  # none holds most, both together do
+    assert two.count("long words") == 12
+
+
 def test_pages_give_their_articles(spark, sf):
     import html
 
