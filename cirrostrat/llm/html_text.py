@@ -1,11 +1,14 @@
 """Main text of web pages: streaming parser events, text-to-tag ratios, Gaussian smoothing, threshold clustering.
 
 The parser's events give lines, one for each block of text, each with its characters and the tags met since the line
-before. Ratios of characters to tags are smoothed along the page and split into two clusters, on every page. Lines stand in regions
-(article, main, section, div, body); lines inside menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and reader comments are never content. Article and main elements are the content if they hold most of the upper cluster's
-characters; if not, the regions in which more than half of the characters fall in the upper cluster are. A region is taken whole,
-so that short paragraphs stay.
+before. Ratios of characters to tags are smoothed along the page and split into two clusters, on every page. Lines stand in
+regions (article, main, section, div, body); lines inside menus, headers, footers, asides, forms, scripts and styles are never
+content. Article and main elements are the content if they hold most of the upper cluster's characters; if not, the regions
+in which more than half of the characters fall in the upper cluster are. A region is taken whole, so that short paragraphs stay.
+
+Elements named as adverts, notices, sidebars, reader comments and the like are left out, too, but a name alone never removes an
+article or an element with most of the upper cluster: such a one stays if it has an article or three upper lines, and
+articles outside of it have less than a tenth of its characters.
 
 A null or empty page has empty text, as has one without content. Equal rows give equal results. No rows give no rows. Other
 columns are passed on.
@@ -30,73 +33,130 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 NESTED = frozenset("article aside body dialog div footer form header main menu nav section table ul ol dl figure button select textarea noscript template svg title head iframe object".split())
 #: Elements that are never content.
 LEFT_OUT = frozenset("aside dialog footer form header menu nav button select textarea noscript template svg title head iframe object script style".split())
-#: Parts of class and id names, and roles, of elements that are never content.
-LEFT_OUT_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|breadcrumbs?|comments?|consent|cookies?|disclaimer|disqus|footer|gdpr|header|menu|modal|nav|navbar|navigation|newsletter|notices?|popup|promo|promoted|related|repl(?:y|ies)|respond|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+#: Further elements that can be left out by name, role or `hidden`. Those but span end where another block begins.
+TRACKED = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 span".split())
+ITEMS = frozenset("li dt dd".split())
+ENDED_BY_ITEM, ENDED_BY_BLOCK = TRACKED - {"span"}, TRACKED - ITEMS - {"span"}
+#: Class and id names, and what may stand beside them in a name; a name with any other part, as in no-sidebar or comment-open, says nothing.
+LEFT_OUT_NAMES = frozenset("ad ads advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer gdpr header menu modal nav navbar navigation newsletter notice notices popup promo promoted related reply replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+BESIDE_NAMES = frozenset("area bar block bottom box button buttons card container global google inner item items left links list message outer page policy post posts primary right secondary section signup site slot top unit widgets wrap wrapper".split())
 LEFT_OUT_ROLE = frozenset({"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"})
 #: A tag that the page ends inside of.
 CUT_TAG = re.compile(r"<[/A-Za-z!?][^<>]*\Z")
 HOLDERS = frozenset({"article", "main", "section", "div", "body"})
 
 
+def named_out(names: str) -> bool:
+    """Whether one of the names, each taken whole, is that of something beside the content."""
+    for name in names.lower().split():
+        parts = {x for x in re.split(r"[-_]+|\d+", name) if x}
+        if parts & LEFT_OUT_NAMES and parts <= LEFT_OUT_NAMES | BESIDE_NAMES:
+            return True
+    return False
+
+
 class Lines(HTMLParser):
-    """Collects [text, tags, region, in an article, left out] for each block."""
+    """Collects [text, tags, region, in an article, left out, elements that are left out by name] for each block."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, bool]] = []
-        self.open: list[tuple[str, bool]] = []
+        self.lines: list[tuple[str, int, int, bool, bool, tuple[int, ...]]] = []
+        self.open: list[tuple[str, bool, bool, list[str] | None]] = []
         self.regions, self.region, self.articles, self.out, self.seen = 0, [0], 0, 0, False
+        self.names: list[int] = []
         self.text: list[str] = []
         self.tags = 0
 
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, self.region[-1], self.articles > 0, self.out > 0))
+            self.lines.append((text, self.tags, self.region[-1], self.articles > 0, self.out > 0, tuple(self.names)))
             self.tags = 0
         self.text = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS or tag in LEFT_OUT:
             self.end_line()
+            if tag in BLOCKS:
+                self._end_tracked(ENDED_BY_ITEM if tag in ITEMS else ENDED_BY_BLOCK)
         elif tag == "br":
             self.text.append(" ")
         self.tags += 1
-        if tag not in NESTED:
+        if tag not in NESTED and tag not in TRACKED:
             return
         if tag in ("article", "main", "body") and not self.seen:
-            while self.open and any(out for _, out in self.open):  # an element that was never closed
+            while self.open and any(out or name for _, out, name, _ in self.open):  # an element that was never closed
                 self._pop()
             self.seen = tag != "body"
-        out = tag in LEFT_OUT
+        out, name = tag in LEFT_OUT, False
         if attrs and not out and tag not in ("body", "html"):
             named = dict(attrs)
-            out = bool(LEFT_OUT_NAME.search(f"{named.get('class') or ''} {named.get('id') or ''}")) or (named.get("role") or "").lower() in LEFT_OUT_ROLE or "hidden" in named
-        self.open.append((tag, out))
+            out = (named.get("role") or "").lower() in LEFT_OUT_ROLE or "hidden" in named
+            name = not out and named_out(f"{named.get('class') or ''} {named.get('id') or ''}")
+        aside = self.text if tag == "span" and (out or name) else None  # the line goes on behind it
+        if aside is not None:
+            self.text = []
+        self.open.append((tag, out, name, aside))
         self.out += out
         self.articles += tag in ("article", "main")
         self.regions += 1
         self.region.append(self.regions if tag in HOLDERS else self.region[-1])
+        if name:
+            self.names.append(self.regions)
 
     def _pop(self) -> None:
-        tag, out = self.open.pop()
+        tag, out, name, aside = self.open[-1]
+        if tag != "span" or aside is not None:
+            self.end_line()
+        self.open.pop()
         self.region.pop()
         self.out -= out
         self.articles -= tag in ("article", "main")
+        if name:
+            self.names.pop()
+        if aside is not None:
+            self.text = aside
+
+    def _end_tracked(self, tags: frozenset[str]) -> None:
+        """End the outermost of such elements inside the innermost element of NESTED."""
+        depth = len(self.open)
+        while depth and self.open[depth - 1][0] in TRACKED:
+            depth -= 1
+        found = next((i for i in range(depth, len(self.open)) if self.open[i][0] in tags), len(self.open))
+        while len(self.open) > found:
+            self._pop()
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS or tag in LEFT_OUT:
             self.end_line()
         self.tags += 1
-        if tag in NESTED and any(t == tag for t, _ in self.open):
+        if tag in NESTED and any(x[0] == tag for x in self.open):
             while self.open[-1][0] != tag:
                 self._pop()
             self._pop()
+        elif tag in TRACKED:
+            self._end_innermost(tag)
+
+    def _end_innermost(self, tag: str) -> None:
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] not in TRACKED:
+                return
+            if self.open[i][0] == tag:
+                while len(self.open) > i:
+                    self._pop()
+                return
 
     def handle_data(self, data: str) -> None:
         if self.cdata_elem not in ("script", "style"):
             self.text.append(data)
 
+    def finish(self) -> None:
+        self.close()
+        self.end_line()
+        while self.open:
+            self._pop()
+        self.end_line()
+
 
 def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     reach = int(np.ceil(3 * sigma))
@@ -127,8 +187,7 @@ def in_upper(rate: np.ndarray, among: np.ndarray) -> np.ndarray:
 def main_text(html: str | None) -> str:
     parser = Lines()
     parser.feed(CUT_TAG.sub("", html or ""))
-    parser.close()
-    parser.end_line()
+    parser.finish()
     lines = parser.lines
     inside = np.array([not x[4] for x in lines], bool)
     if not inside.any():
@@ -136,6 +195,18 @@ def main_text(html: str | None) -> str:
     size = np.array([len(x[0]) for x in lines])
     rate = smoothed(size / np.maximum(1, [x[1] for x in lines]))
     article = np.array([x[3] for x in lines], bool)
+    named = {name for x in lines for name in x[5]}
+    if named:
+        upper = in_upper(rate, inside) & inside
+        unnamed = inside & np.array([not x[5] for x in lines], bool)
+        for name in list(named):
+            at = inside & np.array([name in x[5] for x in lines], bool)
+            most = 2 * size[at & upper].sum() > size[upper].sum()
+            if most and (article[at].any() or (at & upper).sum() >= 3) and 10 * size[article & unnamed].sum() < size[at].sum():
+                named.discard(name)
+        inside &= np.array([named.isdisjoint(x[5]) for x in lines], bool)
+        if not inside.any():
+            return ""
     upper = in_upper(rate, inside) & inside
     allowed = np.flatnonzero(inside)
     if 2 * size[upper & article].sum() > size[upper].sum():

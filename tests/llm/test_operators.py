@@ -299,6 +299,23 @@ def test_article_only_votes_on_regions():
     assert two.count("long words") == 12
 
 
+def test_names_alone_leave_no_body_out():
+    body = "".join(f"<p>{i} long words of a text that goes on and on, as the body of a page does, line by line.</p>" for i in range(6))
+    want = html_text.main_text(f"<body><article>{body}</article></body>")
+    for name in ("post no-sidebar", "sidebar", "comment-open", "social-share-on", "has-related"):
+        assert html_text.main_text(f"<body><article class='{name}'>{body}</article></body>") == want
+        assert html_text.main_text(f"<body><div id=page class='{name}'><div>{body}</div></div></body>") == want
+        assert html_text.main_text(f"<body><article>One.</article><div class='{name}'><main>{body}</main></div></body>").endswith(want)
+    beside = "<p class=ad>Buy<ul><li class='notice'>Notice <b>bold</b><li class='share'>Share</ul><h2 class=sponsored>Paid</h2><div class='cookie-banner'>Cookies</div><p hidden>Hid</p><p class=advert>Open advert"
+    assert html_text.main_text(f"<body><article>{beside}{body}</article></body>") == want
+    line = "<p>Words <span class=advert>buy <span>this</span> now</span>go on.</p>"
+    assert html_text.main_text(f"<body><article>{line}{body}</article></body>") == "Words go on.\n" + want
+    assert html_text.main_text("<body><article><p>Words <span class=ad>x</p><p>on.</p></article></body>") == "Words\non."
+    comments = f"<section class=comments>{body}</section>"
+    assert html_text.main_text(f"<body><article>{body}</article>{comments}{comments}</body>") == want
+    assert html_text.main_text(f"<body><article></article><div class=ad>{'long ' * 50}</div></body>") == ""
+
+
 def test_pages_give_their_articles(spark, sf):
     import html
 
