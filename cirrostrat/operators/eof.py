@@ -3,6 +3,7 @@ series); it is solved on the driver, which `max_series` keeps to a bounded size.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 
 import numpy as np
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from cirrostrat.operators.aggregate import covariance
 from cirrostrat.runtime import stash
 
+log = logging.getLogger(__name__)
+
 
 def centred(df: DataFrame, place: str, value: str) -> DataFrame:
     return df.withColumn(value, F.col(value) - F.avg(value).over(Window.partitionBy(place)))
@@ -68,7 +71,8 @@ def rms_difference(a: DataFrame, b: DataFrame, keys: Sequence[str], x: str, y: s
 
 def fill_gaps(df: DataFrame, place: str, time: str, value: str, k: int, rounds: int = 100, settled: float = 1e-6, max_series: int = 3000) -> DataFrame:
     """(place, time, value, filled): gaps from k components, refilled until the fit to what was observed stops changing. Each round is two
-    passes over a written table; the D x D problem is solved on the driver. Every (place, time) of `df` has a row, null where missing."""
+    passes over a written table; the D x D problem is solved on the driver. Every (place, time) of `df` has a row, null where missing.
+    Rounds and the last loss are logged, as a warning if `rounds` ended before the fit had settled."""
     means = df.groupBy(place).agg(F.avg(value).alias("_mean"))
     base = stash(df.join(means, place).select(place, time, value, "_mean", (F.col(value) - F.col("_mean")).alias("_x")), "gaps")
     current, last = base.withColumn("_y", F.coalesce("_x", F.lit(0.0))), None
@@ -86,8 +90,11 @@ def fill_gaps(df: DataFrame, place: str, time: str, value: str, k: int, rounds:
         loss = current.agg(F.avg(F.pow(F.col("_x") - F.col("_r"), F.lit(2)))).first()[0] or 0.0
         current = current.drop("_r")
         if n > 1 and last is not None and abs(last - loss) < settled:
+            log.info("gaps settled in round %d, loss %g", n + 1, loss)
             break
         last = loss
+    else:
+        log.warning("gaps not settled after %d rounds, loss %s", rounds, last)
     return current.select(place, time, value, (F.col("_y") + F.col("_mean")).alias("filled"))
 
 

@@ -207,7 +207,7 @@ def _(t: Tables) -> DataFrame:
 @query("e2_filled_gaps", rounds="v filled")
 def _(t: Tables) -> DataFrame:
     gappy = eof.random_mask(matrix(t), ["place", "time"], 0.1).withColumn("v", F.when(~F.col("masked"), F.col("v"))).drop("masked")
-    return eof.fill_gaps(gappy, "place", "time", "v", 3, rounds=3).filter("v IS NULL")
+    return eof.fill_gaps(gappy, "place", "time", "v", 3).filter("v IS NULL")
 
 
 @query("e3_reconstruction_error", rounds="rms missing")

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cirrostrat import plans
 from cirrostrat.functions import geo, physics, stats, times
 from cirrostrat.operators import aggregate, binning, compare, eof, grid, join, regress, select, spectral, vertical, windows
 
@@ -216,6 +217,12 @@ def test_components_and_gap_filling_recover_low_rank(spark):
     assert rms < 0.3 * x.std()
 
 
+def test_filled_gaps_of_the_query_settle(spark, sf, caplog):
+    caplog.set_level("INFO", "cirrostrat.operators.eof")
+    assert plans.queries()["e2_filled_gaps"](spark, sf).count() > 0
+    assert [r.message[:12] for r in caplog.records] == ["gaps settled"]
+
+
 def test_local_and_laplacian_slopes(spark):
     rng = np.random.default_rng(1)
     data = [(p, c, float(x), (3.0 if p == "a" else -5.0) * float(x) + 1 + rng.normal() / 50) for p in "ab" for c in (0, 1) for x in rng.normal(size=20)]
