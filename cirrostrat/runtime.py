@@ -38,12 +38,22 @@ def stash(df: DataFrame, kind: str = "stash") -> DataFrame:
     and gives the planner the true size, so that a small table is broadcast and a large one is not."""
     path = fresh_path(df.sparkSession, kind)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept.stash_path = path
+    return kept
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let this session hand Python workers at most so many rows at once. Jobs over long texts call it, as a batch of the usual 10,000
-    texts is a large part of a worker's memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def drop_stash(df: DataFrame) -> None:
+    """Delete a table that `stash` wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stash_path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def small_batches(spark: SparkSession, mb: int = 4) -> None:
+    """Let this session hand Python workers at most so many megabytes at once (a larger row comes alone). Jobs over long texts call it, as
+    a batch of the usual 64 MB takes several times that in a worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) <= mb << 20:
+        spark.conf.set(key, f"{mb}m")
