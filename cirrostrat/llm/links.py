@@ -6,32 +6,36 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cirrostrat.runtime import stash
+from cirrostrat.runtime import drop_stash, stash
 
 
-def _settled(links: DataFrame) -> tuple[DataFrame, tuple]:
-    """The distinct links, written out, and a mark by which two such tables are told apart."""
-    kept = stash(links.filter("u != v").distinct(), "links")
-    return kept, tuple(kept.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1_000_003)).first())
+def _distinct(links: DataFrame) -> DataFrame:
+    return stash(links.filter("u != v").distinct(), "links")
+
+
+def _stars(links: DataFrame) -> bool:
+    """Whether each u has one v only, and no v is a u as well."""
+    if not links.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        return False
+    return links.select(F.col("v").alias("u")).distinct().join(links.select("u"), "u", "left_semi").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) for every node of `links` (a, b): the smallest node that it reaches. The number of rounds
-    grows with the logarithm of the longest chain. Minima are combined before the shuffle, and the joins are on
-    plain keys, which Spark splits where one is frequent."""
-    links, mark = _settled(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
-    while True:
+    """(node, component) for every node of `links` (a, b): the smallest node that it reaches. Links with a null end are left out, and
+    one from a node to itself gives no row. The number of rounds grows with the logarithm of the longest chain. Minima are combined before
+    the shuffle, and the joins are on plain keys, which Spark splits where one is frequent."""
+    links = _distinct(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    while not _stars(links):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Minima are written before the join, so that both of its sides are plain shuffles and Spark can split a hub's links.
-        low = stash(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = stash(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stash(large.filter("u != v").distinct(), "large")
         low = stash(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        links, now = _settled(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
-        if now == mark:
-            break
-        mark = now
+        used, links = (links, least, large, low), _distinct(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+        for df in used:
+            drop_stash(df)
     ends = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return ends.unionByName(ends.select(F.col("component").alias("node"), "component").distinct())
 

@@ -1,21 +1,25 @@
 """Near-duplicate documents: minhash signatures, an inverted join of their coordinates, and full sets to confirm.
 
 1. Each document's distinct word shingles give a signature of minima, and a fingerprint of the whole set. Documents
-   with one fingerprint are one class, represented by its smallest id, so that copies cost nothing further on.
-2. Classes are posted under (coordinate, value) for a prefix of the coordinates. Inside a posting list, a pair is looked at
-   only at the first coordinate where it collides; the collisions of its whole signatures are counted, and it is retained from a
-   match threshold on. The prefix and the threshold are the smallest and the largest with which a pair at the wanted
-   similarity is missed with a probability under `miss` each. A list writes a spanning forest of its retained pairs.
-3. The components of these links hold all true links. The texts of a component meet, and the sizes of the
+   with one fingerprint are one class, so that copies cost nothing further on.
+2. Classes are posted under (coordinate, value) for a prefix of the coordinates, and a pair of a posting list is retained
+   where its whole signatures collide in a threshold of coordinates or more. Collisions are counted by merging the lists of the
+   coordinates inside the posting list: the shortest ones, of which a retained pair must share one, give candidates, and
+   the longest ones are skipped and probed for candidates only. Prefix and threshold are the smallest and the largest with which
+   a pair at the wanted similarity is missed with a probability under `miss` each.
+3. The components of retained pairs hold all true links. The texts of a component meet, and the sizes of the
    intersections of their full shingle sets are counted; links at or over the wanted similarity remain.
 4. The components of the remaining links are the groups of near duplicates.
 
-Long lists and large components are cut into blocks, and each pair of blocks is a group of its own: no group holds
-more than a bounded number of rows, and no pair is lost.
+Only components matter, so pairs that are known to be connected are never looked at (`linked_inside`). A posting list or component
+that is larger than a block is dealt into blocks several times over, which connects what is dense; then the members outside of
+its largest connected part, if any are left, meet all others, block by block. No group holds more than two blocks, and no link
+between different parts is lost.
 
 Nulls: a null or wordless text has no shingles and is linked with nothing, as is a row whose id is null (its component
-is null and it is kept). Rows that share an id count as one document, linked through any of their texts. No rows give no
-rows. Other columns are not read.
+is null and it is kept). Rows that share an id count as one document, linked through any of their texts; `keep_one_of_each`
+chooses among texts, so that no text goes with another one's id. Ties go to the smallest id. No rows give no rows. Other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -25,13 +29,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cirrostrat.llm.arrowtext import Texts, mix, runs, whole_groups
 from cirrostrat.llm.links import components, local_labels
 from cirrostrat.llm.units import ragged
-from cirrostrat.runtime import small_batches, stash
+from cirrostrat.runtime import drop_stash, small_batches, stash
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
@@ -82,6 +86,17 @@ def prefix_length(similarity: float, miss: float) -> int:
     return math.ceil(math.log(miss) / math.log(1 - similarity))
 
 
+def prints_of(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Two 64-bit sums over each set, which tell sets apart; 0 for an empty one."""
+    some = np.diff(offsets) > 0
+    prints = np.zeros((2, len(some)), np.uint64)
+    if some.any():
+        start = offsets[:-1][some]
+        prints[0, some] = np.add.reduceat(flat, start)
+        prints[1, some] = np.add.reduceat(mix(flat ^ np.uint64(0xA5A5A5A5A5A5A5A5)), start)
+    return prints
+
+
 def _signer(k: int, width: int, prefix: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,16 +104,11 @@ def _signer(k: int, width: int, prefix: int) -> Callable[[Iterator[pa.RecordBatc
                 flat, offsets = shingle_sets(t, k)
                 n = np.diff(offsets)
                 some, minima = n > 0, signatures(flat, offsets, width)
-                prints = np.zeros((2, len(n)), np.uint64)
-                if some.any():
-                    start = offsets[:-1][some]
-                    prints[0, some] = np.add.reduceat(flat, start)
-                    prints[1, some] = np.add.reduceat(mix(flat ^ np.uint64(0xA5A5A5A5A5A5A5A5)), start)
                 heads, sigs = np.zeros((len(n), prefix), np.uint32), np.zeros((len(n), width), np.uint16)
                 heads[some], sigs[some] = minima[:, :prefix], minima.astype(np.uint16)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(i, j - i), pa.array(n), *(pa.array(p.view(np.int64)) for p in prints), pa.array([x.tobytes() for x in heads], pa.binary()), pa.array([x.tobytes() for x in sigs], pa.binary())],
-                    ["id", "n", "print1", "print2", "head", "sig"],
+                    [*(batch.column(c).slice(i, j - i) for c in ("id", "t")), pa.array(n), *(pa.array(p.view(np.int64)) for p in prints_of(flat, offsets)), pa.array([x.tobytes() for x in heads], pa.binary()), pa.array([x.tobytes() for x in sigs], pa.binary())],
+                    ["id", "t", "n", "print1", "print2", "head", "sig"],
                 )
 
     return run
@@ -109,74 +119,107 @@ def _matrix(column: pa.ChunkedArray, dtype: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
 
 
-def _pairs(bounds: np.ndarray, chunk: int = 65_536) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of rows inside each group, some at a time. Groups of one size go together."""
-    sizes = np.diff(bounds)
+def _pairs(sizes: np.ndarray, starts: np.ndarray, chunk: int = 65_536) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows inside each small group, some at a time. Groups of one size go together."""
     for m in np.unique(sizes[sizes > 1]):
-        starts = bounds[:-1][sizes == m]
-        for i in range(0, m - 1, max(1, chunk // m)):
-            left = np.arange(i, min(m - 1, i + max(1, chunk // m)))
-            a = np.repeat(left, m - 1 - left)
-            b = np.concatenate([np.arange(x + 1, m) for x in left])
-            step = max(1, chunk // len(a))
-            for s in range(0, len(starts), step):
-                at = starts[s : s + step, None]
-                yield (at + a).ravel(), (at + b).ravel()
+        a, b = np.triu_indices(m, 1)
+        at, step = starts[sizes == m], max(1, chunk // len(a))
+        for s in range(0, len(at), step):
+            yield (at[s : s + step, None] + a).ravel(), (at[s : s + step, None] + b).ravel()
 
 
 def _bounds(groups: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(groups[1:] != groups[:-1]) + 1, [len(groups)]))
 
 
-def _forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+def _forest(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     """Links from each row to the first row that it reaches."""
-    label = local_labels(len(ids), a, b)
-    moved = np.flatnonzero(label != np.arange(len(ids)))
-    return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], ["a", "b"])
-
-
-def _collider(threshold: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Links between the rows of each posting list whose signatures collide often enough."""
+    label = local_labels(len(nodes), a, b)
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], ["a", "b"])
+
+
+def linked_inside(label: np.ndarray, side: np.ndarray, partners: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links i - j of one group, enough for its components. `partners(i, left)` gives those of the rows `left` that are linked with i: of
+    the later rows, those not yet connected with i, and on another side than i where sides are given (2: none)."""
+    label, found = label.copy(), ([], [])
+    for i in range(len(label) - 1):
+        left = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        if side[i] != 2:
+            left = left[side[left] != side[i]]
+        if len(left) and len(hits := partners(i, left)):
+            found[0].append(np.full(len(hits), i))
+            found[1].append(hits)
+            label[np.isin(label, label[hits])] = label[i]
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(found[0]), np.concatenate(found[1])) if found[0] else (none, none)
+
+
+def merging_lists(sig: np.ndarray, threshold: int) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Partners whose signatures collide in `threshold` coordinates or more: rows of the shortest lists of i's coordinates are candidates,
+    the `threshold` - 1 longest are skipped and probed. Where fewer rows are left than the lists hold, all of these are probed."""
+    m, width = sig.shape
+    order = np.argsort(sig, axis=0, kind="stable")
+    listed, length = np.empty((m, width), np.int64), np.empty((m, width), np.int64)
+    for c in range(width):
+        bounds = _bounds(sig[order[:, c], c])
+        size = np.diff(bounds)
+        listed[order[:, c], c], length[order[:, c], c] = np.repeat(bounds[:-1], size), np.repeat(size, size)
+    short = np.argsort(length, axis=1, kind="stable")[:, : max(1, width - threshold + 1)]
+
+    def partners(i: int, left: np.ndarray) -> np.ndarray:
+        if length[i, short[i]].sum() < len(left):
+            rows = np.concatenate([order[listed[i, c] : listed[i, c] + length[i, c], c] for c in short[i]])
+            left = np.intersect1d(rows, left)
+        return left[(sig[left] == sig[i]).sum(1) >= threshold]
+
+    return partners
+
+
+def _collider(threshold: int, small: int = 24) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links between the rows of each posting list whose signatures collide often enough. Lists of few rows are compared many at a
+    time, each pair at the first coordinate where it collides; in longer ones, lists of coordinates are merged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "g"):
-            ids, own, at = (table.column(c).to_numpy() for c in ("rep", "own", "at"))
+            node, label, side, at = (table.column(c).to_numpy() for c in ("node", "label", "side", "at"))
             head, sig = _matrix(table.column("head"), np.uint32), _matrix(table.column("sig"), np.uint16)
-            apart = table.column("apart").to_numpy(zero_copy_only=False)
-            before = np.arange(head.shape[1]) < at[:, None]
-            found = []
-            for a, b in _pairs(_bounds(table.column("g").to_numpy())):
-                new = ~((head[a] == head[b]) & before[a]).any(1) & (~apart[a] | (own[a] != own[b]))
+            bounds = _bounds(table.column("g").to_numpy())
+            before, sizes, found = np.arange(head.shape[1]) < at[:, None], np.diff(bounds), []
+            for a, b in _pairs(sizes[sizes <= small], bounds[:-1][sizes <= small]):
+                new = ~((head[a] == head[b]) & before[a]).any(1) & (label[a] != label[b]) & ((side[a] == 2) | (side[a] != side[b]))
                 a, b = a[new], b[new]
                 enough = (sig[a] == sig[b]).sum(1) >= threshold
                 found.append((a[enough], b[enough]))
+            for start, end in zip(bounds[:-1][sizes > small], bounds[1:][sizes > small]):
+                a, b = linked_inside(label[start:end], side[start:end], merging_lists(sig[start:end], threshold))
+                found.append((a + start, b + start))
             if found:
-                yield _forest(ids, *(np.concatenate(x) for x in zip(*found)))
+                yield _forest(node, *(np.concatenate(x) for x in zip(*found)))
 
     return run
 
 
-def _linked(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs i < j of sets with den * |intersection| >= num * |union|, from the lists of the documents that share each shingle."""
+def sharing_shingles(sets: list[np.ndarray], num: int, den: int) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Partners with den * |intersection| >= num * |union|, counted from the lists of the documents that share each shingle."""
     n = np.array([len(s) for s in sets])
-    if len(sets) == 2:
-        both = n.sum() - len(np.unique(np.concatenate(sets)))
-        return (np.array([0]), np.array([1])) if den * both >= num * (n.sum() - both) else (np.zeros(0, int), np.zeros(0, int))
     flat, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
     order = np.argsort(flat, kind="stable")
     bounds = _bounds(flat[order])
     listed, df = doc[order], np.diff(bounds)
-    shingle = np.empty(len(flat), np.int64)
+    shingle, ends = np.empty(len(flat), np.int64), np.cumsum(n)
     shingle[order] = np.repeat(np.arange(len(df)), df)
-    ends, left, right = np.cumsum(n), [], []
-    for i in range(len(sets) - 1):
+
+    def partners(i: int, left: np.ndarray) -> np.ndarray:
+        left = left[(den * n[left] >= num * n[i]) & (den * n[i] >= num * n[left])]  # others are too long or too short
+        if not len(left):
+            return left
         own = shingle[ends[i] - n[i] : ends[i]]
         own = own[df[own] > 1]
-        both = np.bincount(ragged(listed, bounds[own], df[own]), minlength=len(sets))
-        good = np.flatnonzero(den * both[i + 1 :] >= num * (n[i] + n[i + 1 :] - both[i + 1 :])) + i + 1
-        left.append(np.full(len(good), i))
-        right.append(good)
-    return np.concatenate(left), np.concatenate(right)
+        both = np.bincount(ragged(listed, bounds[own], df[own]), minlength=len(sets))[left]
+        return left[den * both >= num * (n[i] + n[left] - both)]
+
+    return partners
 
 
 def _confirmer(k: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -184,64 +227,138 @@ def _confirmer(k: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "g"):
+            node, label, side = (table.column(c).to_numpy() for c in ("node", "label", "side"))
             sets: list[np.ndarray] = []
             for _, _, t in runs(table.column("text")):
                 flat, offsets = shingle_sets(t, k)
                 sets += np.split(flat, offsets[1:-1]) if len(offsets) > 1 else []
-            bounds, left, right = _bounds(table.column("g").to_numpy()), [], []
+            bounds, found = _bounds(table.column("g").to_numpy()), []
             for start, end in zip(bounds[:-1], bounds[1:]):
                 if end - start > 1:
-                    a, b = _linked(sets[start:end], num, den)
-                    left.append(a + start)
-                    right.append(b + start)
-            if left:
-                yield _forest(table.column("id").to_numpy(), np.concatenate(left), np.concatenate(right))
+                    a, b = linked_inside(label[start:end], side[start:end], sharing_shingles(sets[start:end], num, den))
+                    found.append((a + start, b + start))
+            if found:
+                yield _forest(node, *(np.concatenate(x) for x in zip(*found)))
 
     return run
 
 
-def _in_blocks(rows: DataFrame, group: list[str], blocks: Column, by: str) -> DataFrame:
-    """Deal each row into the groups of all pairs of blocks that hold its own: columns own, apart and g are added."""
-    rows = rows.withColumn("blocks", blocks.cast("int")).withColumn("own", F.pmod(F.xxhash64(F.lit(7), by), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.withColumn("apart", F.col("own") != F.col("other")).withColumn("g", F.xxhash64(*group, F.least("own", "other"), F.greatest("own", "other"))).drop("blocks", "other")
+Linker = Callable[[DataFrame], DataFrame]
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, *, id_col: str = "doc_id", text_col: str = "text", width: int = 64, miss: float = 1e-6, list_rows: int = 2048, group_shingles: int = 2_000_000) -> DataFrame:
-    """id, n_shingles, component_id, kept of each row: documents are linked from a Jaccard similarity of num / den on."""
+def connected(members: DataFrame, linker: Linker, most_rows: int, most_weight: int, deals: int = 3) -> DataFrame:
+    """(node, component) from `members` (node, grp, weight, ...): nodes are connected if `linker` links them inside some group. It takes
+    the members with g (rows of one g meet), label (rows of one label are connected already) and side, and gives links (a, b).
+
+    A group of several blocks is dealt into them `deals` times, each time anew. What this doesn't connect with the largest
+    part of the group is the rest: its blocks meet one another and those of the largest part."""
+    blocks = F.greatest(F.ceil(F.count("*") / most_rows), F.ceil(F.sum("weight") / most_weight)).cast("int")
+    sizes = stash(members.groupBy("grp").agg(F.count("*").alias("rows"), blocks.alias("blocks")).filter("rows > 1").drop("rows"), "sizes")
+    sized = members.join(sizes, "grp")
+
+    def block(seed: object, of: str) -> object:
+        return F.pmod(F.xxhash64(seed, "node"), F.col(of)).cast("int")
+
+    deal = F.explode(F.sequence(F.lit(1), F.when(F.col("blocks") > 1, deals).otherwise(1)))
+    once = sized.withColumn("deal", deal).withColumn("g", F.xxhash64("grp", "deal", block(F.col("deal"), "blocks")))
+    links = stash(linker(once.withColumn("label", F.col("node")).withColumn("side", F.lit(2))), "links")
+    if sizes.filter("blocks > 1").isEmpty():
+        return stash(components(links), "parts")
+
+    parts = stash(components(links), "parts")
+    large = sized.filter("blocks > 1").join(parts, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component", "blocks")
+    counts = large.groupBy("grp", "label").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    of = counts.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.max_by("w", F.struct("n", "label")).alias("w_main"), F.sum("n").alias("n"), F.sum("w").alias("w")).filter("n > n_main")
+
+    def cut(n: object, w: object) -> object:
+        return F.greatest(F.ceil(n / most_rows), F.ceil(w / most_weight), F.lit(1)).cast("int")
+
+    of = stash(of.select("grp", "main", cut(F.col("n_main"), F.col("w_main")).alias("mains"), cut(F.col("n") - F.col("n_main"), F.col("w") - F.col("w_main")).alias("rests")), "rests")
+    if of.isEmpty():
+        return parts
+    # Blocks 0 to rests - 1 are of the rest, those after it of the largest part. A pair of blocks is a group.
+    met = large.join(of, "grp").withColumn("own", F.when(F.col("label") == F.col("main"), F.col("rests") + block(F.lit(0), "mains")).otherwise(block(F.lit(0), "rests")))
+    last = F.when(F.col("own") < F.col("rests"), F.col("rests") + F.col("mains") - 1).otherwise(F.col("rests") - 1)
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), last))).withColumn("g", F.xxhash64("grp", F.lit("met"), F.least("own", "other"), F.greatest("own", "other")))
+    side = F.when(F.col("own") > F.col("other"), 1).when(F.col("own") < F.col("other"), 0)
+    # Inside one block of the rest all rows meet, in the group of the block with itself.
+    more = linker(met.withColumn("side", F.coalesce(side, F.lit(2))).drop("own", "other", "main", "mains", "rests"))
+    return stash(components(links.unionByName(more)), "parts")
+
+
+def _near(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str, width: int, miss: float, list_rows: int, block_rows: int, block_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """(uid, id, t, n, node, grp, low) of each row: its class, the group of near duplicates that this is in, and the group's smallest
+    id; and (id, rows) of the ids that several rows have. t is a hash of the text. Wordless rows and those without id are alone."""
     small_batches(docs.sparkSession)
     similarity = num / den
     prefix, threshold = min(width, prefix_length(similarity, miss)), match_threshold(width, similarity, miss)
-    thin = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = stash(thin.mapInArrow(_signer(k, width, prefix), "id long, n long, print1 long, print2 long, head binary, sig binary"), "signed")
+    thin = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
+    signed = thin.select("id", "t", "text").mapInArrow(_signer(k, width, prefix), "id long, t long, n long, print1 long, print2 long, head binary, sig binary")
+    signed = stash(signed.withColumn("uid", F.monotonically_increasing_id()), "signed")
+    shared = stash(signed.filter("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("rows")).filter("rows > 1"), "shared")
     whole = ["n", "print1", "print2"]
-    classes = signed.filter("n > 0 AND id IS NOT NULL").groupBy(*whole).agg(F.min("id").alias("rep"), F.min("head").alias("head"), F.min("sig").alias("sig"))
-    classes = stash(classes, "classes")
+    # head and sig are the same in all rows of a class; its text is that of its row of the smallest id (and t).
+    classes = signed.filter("n > 0 AND id IS NOT NULL").groupBy(*whole).agg(F.min("uid").alias("node"), F.min(F.struct("id", "t")).alias("first"), F.min("head").alias("head"), F.min("sig").alias("sig"))
+    classes = stash(classes.select(*whole, "node", F.col("first.id").alias("rep"), F.col("first.t").alias("t"), "head", "sig"), "classes")
 
     at = F.explode(F.sequence(F.lit(0), F.lit(prefix - 1)))
-    posted = classes.select("rep", "head", at.alias("at")).select("rep", "at", F.xxhash64("at", F.substring("head", F.col("at") * 4 + 1, F.lit(4))).alias("key"))
-    lists = posted.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1")
-    collided = posted.join(lists, "key").join(classes.select("rep", "head", "sig"), "rep")
-    dealt = _in_blocks(collided, ["key"], F.ceil(F.col("rows") / list_rows), "rep").select("g", "rep", "own", "apart", "at", "head", "sig")
-    found = dealt.repartition("g").sortWithinPartitions("g").mapInArrow(_collider(threshold), "a long, b long")
-    maybe = stash(components(found), "maybe")
-
-    sized = maybe.join(classes.select(F.col("rep").alias("node"), "n"), "node")
-    totals = sized.groupBy("component").agg(F.sum("n").alias("shingles"))
-    members = sized.select("node", "component").join(totals, "component")
-    texts = thin.join(members, F.col("id") == F.col("node"))
-    met = _in_blocks(texts, ["component"], F.ceil(F.col("shingles") / group_shingles), "node").select("g", "id", "text")
-    sure = met.repartition("g").sortWithinPartitions("g").mapInArrow(_confirmer(k, num, den), "a long, b long")
-    groups = stash(components(sure), "groups")
-
-    placed = classes.join(groups, F.col("rep") == F.col("node"), "left").select(*whole, F.coalesce("component", "rep").alias("component"))
-    of = signed.select("id", *whole).join(placed, whole, "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return of.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
-
-
-def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **how: object) -> DataFrame:
-    """The rows of `docs` whose documents are kept. Of rows that share an id, one stays."""
-    gone = near_duplicates(docs, id_col=id_col, **how).filter(~F.col("kept")).select(F.col(id_col).alias("__gone")).distinct()
-    left = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
-    return left.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(left.filter(F.col(id_col).isNull()))
+    posted = classes.select("node", "head", at.alias("at")).select("node", "at", F.xxhash64("at", F.substring("head", F.col("at") * 4 + 1, F.lit(4))).alias("grp"), F.lit(0).alias("weight"))
+
+    def collide(dealt: DataFrame) -> DataFrame:
+        dealt = dealt.select("g", "node", "label", "side", "at").join(classes.select("node", "head", "sig"), "node")
+        return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(_collider(threshold), "a long, b long")
+
+    maybe = connected(posted, collide, list_rows, list_rows)
+    members = maybe.join(classes.select("node", "rep", "t", F.col("n").alias("weight")), "node").withColumnRenamed("component", "grp")
+
+    repeats = not shared.isEmpty()
+
+    def confirm(dealt: DataFrame) -> DataFrame:
+        dealt = dealt.select("g", "node", "label", "side", F.col("rep").alias("id"), "t")
+        texts = thin
+        if repeats:  # rows may repeat whole: one of each text is enough
+            texts = thin.join(dealt.select("id", "t").distinct(), ["id", "t"]).groupBy("id", "t").agg(F.first("text").alias("text"))
+        met = texts.join(dealt, ["id", "t"]).select("g", "node", "label", "side", "text")
+        return met.repartition("g").sortWithinPartitions("g").mapInArrow(_confirmer(k, num, den), "a long, b long")
+
+    groups = connected(members, confirm, block_rows, block_shingles)
+    placed = classes.select(*whole, "node", "rep").join(groups, "node", "left").withColumn("grp", F.coalesce("component", "node"))
+    lows = placed.filter("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("least"))
+    placed = stash(placed.join(lows, "component", "left").select(*whole, "grp", F.coalesce("least", "rep").alias("low")), "placed")
+    alone = (F.col("n") == 0) | F.col("id").isNull()
+    rows = signed.filter(~alone).select("uid", "id", "t", *whole).join(placed, whole).select("uid", "id", "t", "n", "grp", "low")
+    rows = rows.unionByName(signed.filter(alone).select("uid", "id", "t", "n", F.col("uid").alias("grp"), F.col("id").alias("low")))
+    return rows, shared
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, *, id_col: str = "doc_id", text_col: str = "text", width: int = 64, miss: float = 1e-6, list_rows: int = 2048, block_rows: int = 1024, block_shingles: int = 500_000) -> DataFrame:
+    """id, n_shingles, component_id, kept of each row: documents are linked from a Jaccard similarity of num / den on."""
+    rows, shared = _near(docs, k, num, den, id_col, text_col, width, miss, list_rows, block_rows, block_shingles)
+    if not shared.isEmpty():
+        # An id joins the groups of all its rows: they become one, and its smallest id that of all.
+        rows = stash(rows, "rows")
+        several = rows.join(shared.select("id"), "id").groupBy("id", "grp").agg(F.min("low").alias("low"))
+        firsts = several.groupBy("id").agg(F.min("grp").alias("b"))
+        joined = stash(components(several.join(firsts, "id").select(F.col("grp").alias("a"), "b")), "joined")
+        lows = joined.join(rows.select(F.col("grp").alias("node"), "low").distinct(), "node").groupBy("component").agg(F.min("low").alias("least"))
+        merged = stash(joined.join(lows, "component").select(F.col("node").alias("grp"), "least"), "merged")
+        rows = rows.join(merged, "grp", "left").withColumn("low", F.coalesce("least", "low"))
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("low").alias("component_id"), F.col("id").eqNullSafe(F.col("low")).alias("kept"))
+
+
+def keep_one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, *, id_col: str = "doc_id", text_col: str = "text", width: int = 64, miss: float = 1e-6, list_rows: int = 2048, block_rows: int = 1024, block_shingles: int = 500_000) -> DataFrame:
+    """The rows of `docs` that hold the text of each group's smallest id, one row for each group; and all rows without id. Of wordless
+    rows, one for each id stays. Whole rows are shuffled only where the table of ids to leave out is too large to broadcast."""
+    rows, shared = _near(docs, k, num, den, id_col, text_col, width, miss, list_rows, block_rows, block_shingles)
+    if shared.isEmpty():
+        gone = stash(rows.filter("id != low").select("id"), "gone")
+        return docs.join(gone, docs[id_col].cast("long") == gone["id"], "left_anti")
+    rows = stash(rows, "rows")
+    gone = stash(rows.filter("id != low").select("id").unionByName(shared.select("id")).distinct(), "gone")
+    plain = docs.join(gone, docs[id_col].cast("long") == gone["id"], "left_anti")
+    # Rows that share an id: the first of those with the chosen id in each group, by the hash of their text and of the whole row.
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    again = docs.select(F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("__t"), row.alias("__row")).join(shared.select(F.col("id").alias("__id")), "__id")
+    chosen = rows.filter("id = low").join(shared.select("id"), "id").select(F.col("id").alias("__id"), F.col("t").alias("__t"), F.when(F.col("n") > 0, F.col("grp")).alias("__grp")).distinct()
+    first = again.join(chosen, ["__id", "__t"]).groupBy("__id", "__grp").agg(F.min_by("__row", F.struct("__t", F.xxhash64(F.to_json("__row")))).alias("__row"))
+    return plain.unionByName(first.select("__row.*"))

@@ -108,7 +108,7 @@ def test_near_duplicates_match_brute_force(spark, sf, documents):
     assert got == {i: (n, c, i == c) for i, (n, c) in want.items()}
 
 
-@pytest.mark.parametrize("blocks", [{}, {"list_rows": 3, "group_shingles": 40}])
+@pytest.mark.parametrize("blocks", [{}, {"list_rows": 3, "block_rows": 5, "block_shingles": 400}])
 def test_chains_and_blocks_lose_no_link(spark, blocks):
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(400)]
@@ -123,6 +123,71 @@ def test_chains_and_blocks_lose_no_link(spark, blocks):
     assert got == {i: c for i, (_, c) in brute_groups(rows, 3, 85, 100).items()}
 
 
+def test_dense_groups_and_their_rest_lose_no_link(spark):
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(300)]
+    base, rows = list(rng.choice(words, 100)), []
+    for i in range(150):  # a dense group, a sparse one around it, and chains between both
+        own = base.copy()
+        for at in rng.choice(100, int(rng.integers(0, 3 if i < 90 else 9)), replace=False):
+            own[at] = f"y{rng.integers(60)}"
+        rows.append((int(rng.integers(1, 10**6)) * 1000 + i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: c for i, (_, c) in brute_groups(rows, 3, 85, 100).items()}
+    assert 1 < len(set(want.values())) < 100
+    for blocks in ({}, {"list_rows": 30, "block_rows": 30}, {"list_rows": 7, "block_rows": 4}):
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 3, 85, 100, **blocks).collect()}
+        assert got == want
+
+
+def test_lists_are_merged_as_all_pairs_would_be():
+    rng = np.random.default_rng(13)
+    for threshold in (1, 5, 12):
+        sig = rng.integers(0, 4, (60, 12)).astype(np.uint16)
+        sig[30:] = sig[rng.integers(0, 30, 30)]
+        sig[45:, ::3] = 9
+        label, side = np.arange(60), rng.integers(0, 2, 60)
+        for s in (np.full(60, 2), side):
+            pairs = [(i, j) for i in range(60) for j in range(i) if (sig[i] == sig[j]).sum() >= threshold and (s[i] == 2 or s[i] != s[j])]
+            want = links.local_labels(60, *np.array(pairs or np.zeros((0, 2), int)).T)
+            assert np.array_equal(links.local_labels(60, *minhash.linked_inside(label, s, minhash.merging_lists(sig, threshold))), want)
+
+
+def test_rows_that_share_an_id(spark):
+    a, b, c = ("unrelated words of the first text here", "quite another text it is with own words", "and a third one that nobody else has at all")
+    rows = [(5, b), (9, a), (9, b), (12, a), (20, c), (20, ""), (30, c), (40, ""), (40, " "), (41, None), (9, b), (50, "new " + a + " x y"), (50, "new " + a + " x y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__gone", F.lit(1)).withColumn("id", F.lit(2))
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, 3, 85, 100).collect())
+    assert {(i, c) for i, _, c, _ in got} == {(5, 5), (9, 5), (12, 5), (20, 20), (30, 20), (40, 40), (41, 41), (50, 50)} and len(got) == len(rows)
+    assert all(k == (i == c) for i, _, c, k in got)
+    kept = minhash.keep_one_of_each(df, k=3, num=85, den=100)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id, (r.text or "").strip()) for r in kept.collect()) == sorted([(5, b), (9, a), (20, c), (20, ""), (40, ""), (41, ""), (50, "new " + a + " x y")])
+
+
+def test_shared_ids_by_brute_force(spark):
+    rng = np.random.default_rng(14)
+    words = [f"w{i}" for i in range(200)]
+    bases = [list(rng.choice(words, 60)) for _ in range(12)]
+    rows = []
+    for i in range(120):
+        own = bases[int(rng.integers(12))].copy()
+        own[int(rng.integers(60))] = f"z{rng.integers(5)}"
+        rows.append((int(rng.integers(0, 90)), " ".join(own)))
+    texts = brute_groups([(n, t) for n, (_, t) in enumerate(rows)], 3, 85, 100)
+    both = [(i, 1000 + texts[n][1]) for n, (i, _) in enumerate(rows)]  # bipartite: ids and groups of texts
+    a, b = np.array([x for x, _ in both]), np.array([y for _, y in both])
+    label = links.local_labels(1200, a, b)
+    got = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, 100).collect()}
+    assert got == {(i, int(label[i])) for i, _ in rows}
+    kept = minhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), k=3, num=85, den=100).collect()
+    low = {}
+    for n, (i, _) in enumerate(rows):
+        low[texts[n][1]] = min(i, low.get(texts[n][1], i))
+    of = {(i, t): texts[n][1] for n, (i, t) in enumerate(rows)}
+    assert sorted((of[r.doc_id, r.text], r.doc_id) for r in kept) == sorted(low.items())
+
+
 def test_near_duplicates_of_odd_documents(odd, empty):
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(odd, 3, 85, 100).collect())
     by = {g[0]: g for g in got}
