@@ -15,9 +15,8 @@ def _distinct(links: DataFrame) -> DataFrame:
 
 def _stars(links: DataFrame) -> bool:
     """Whether each u has one v only, and no v is a u as well."""
-    if not links.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
-        return False
-    return links.select(F.col("v").alias("u")).distinct().join(links.select("u"), "u", "left_semi").isEmpty()
+    ends = links.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(links.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR up = 1 AND down = 1").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -30,7 +29,7 @@ def components(links: DataFrame) -> DataFrame:
         # Minima are written before the join, so that both of its sides are plain shuffles and Spark can split a hub's links.
         least = stash(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stash(large.filter("u != v").distinct(), "large")
+        large = stash(large.filter("u != v"), "large")
         low = stash(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         used, links = (links, least, large, low), _distinct(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))

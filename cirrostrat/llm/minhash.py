@@ -201,7 +201,8 @@ def _collider(threshold: int, small: int = 24) -> Callable[[Iterator[pa.RecordBa
 
 
 def sharing_shingles(sets: list[np.ndarray], num: int, den: int) -> Callable[[int, np.ndarray], np.ndarray]:
-    """Partners with den * |intersection| >= num * |union|, counted from the lists of the documents that share each shingle."""
+    """Partners with den * |intersection| >= num * |union|, counted from the lists of the documents that share each shingle. A partner
+    misses few of i's shingles, so it is found in the lists of that many and one more, the rarest ones; only such rows are counted."""
     n = np.array([len(s) for s in sets])
     flat, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
     order = np.argsort(flat, kind="stable")
@@ -215,8 +216,12 @@ def sharing_shingles(sets: list[np.ndarray], num: int, den: int) -> Callable[[in
         if not len(left):
             return left
         own = shingle[ends[i] - n[i] : ends[i]]
-        own = own[df[own] > 1]
-        both = np.bincount(ragged(listed, bounds[own], df[own]), minlength=len(sets))[left]
+        rare = own[np.argsort(df[own], kind="stable")[: n[i] - -(-num * n[i] // den) + 1]]
+        left = np.intersect1d(ragged(listed, bounds[rare], df[rare]), left)
+        if len(left) * n[i] < df[own].sum():
+            both = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for j in left], np.int64)
+        else:
+            both = np.bincount(ragged(listed, bounds[own], df[own]), minlength=len(sets))[left]
         return left[den * both >= num * (n[i] + n[left] - both)]
 
     return partners
@@ -246,12 +251,13 @@ def _confirmer(k: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]
 Linker = Callable[[DataFrame], DataFrame]
 
 
-def connected(members: DataFrame, linker: Linker, most_rows: int, most_weight: int, deals: int = 3) -> DataFrame:
+def connected(members: DataFrame, linker: Linker, most_rows: int, most_weight: int, deals: int = 2) -> DataFrame:
     """(node, component) from `members` (node, grp, weight, ...): nodes are connected if `linker` links them inside some group. It takes
     the members with g (rows of one g meet), label (rows of one label are connected already) and side, and gives links (a, b).
 
     A group of several blocks is dealt into them `deals` times, each time anew. What this doesn't connect with the largest
     part of the group is the rest: its blocks meet one another and those of the largest part."""
+    members = stash(members, "members")
     blocks = F.greatest(F.ceil(F.count("*") / most_rows), F.ceil(F.sum("weight") / most_weight)).cast("int")
     sizes = stash(members.groupBy("grp").agg(F.count("*").alias("rows"), blocks.alias("blocks")).filter("rows > 1").drop("rows"), "sizes")
     sized = members.join(sizes, "grp")
@@ -261,12 +267,11 @@ def connected(members: DataFrame, linker: Linker, most_rows: int, most_weight: i
 
     deal = F.explode(F.sequence(F.lit(1), F.when(F.col("blocks") > 1, deals).otherwise(1)))
     once = sized.withColumn("deal", deal).withColumn("g", F.xxhash64("grp", "deal", block(F.col("deal"), "blocks")))
-    links = stash(linker(once.withColumn("label", F.col("node")).withColumn("side", F.lit(2))), "links")
+    parts = stash(components(linker(once.withColumn("label", F.col("node")).withColumn("side", F.lit(2)))), "parts")
     if sizes.filter("blocks > 1").isEmpty():
-        return stash(components(links), "parts")
-
-    parts = stash(components(links), "parts")
+        return parts
     large = sized.filter("blocks > 1").join(parts, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component", "blocks")
+    large = stash(large, "large")
     counts = large.groupBy("grp", "label").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
     of = counts.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.max_by("w", F.struct("n", "label")).alias("w_main"), F.sum("n").alias("n"), F.sum("w").alias("w")).filter("n > n_main")
 
@@ -283,7 +288,7 @@ def connected(members: DataFrame, linker: Linker, most_rows: int, most_weight: i
     side = F.when(F.col("own") > F.col("other"), 1).when(F.col("own") < F.col("other"), 0)
     # Inside one block of the rest all rows meet, in the group of the block with itself.
     more = linker(met.withColumn("side", F.coalesce(side, F.lit(2))).drop("own", "other", "main", "mains", "rests"))
-    return stash(components(links.unionByName(more)), "parts")
+    return stash(components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "parts")
 
 
 def _near(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str, width: int, miss: float, list_rows: int, block_rows: int, block_shingles: int) -> tuple[DataFrame, DataFrame]:
@@ -314,7 +319,8 @@ def _near(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: st
     repeats = not shared.isEmpty()
 
     def confirm(dealt: DataFrame) -> DataFrame:
-        dealt = dealt.select("g", "node", "label", "side", F.col("rep").alias("id"), "t")
+        # Written out, it has a known size: texts are shuffled by it only where it is too large to broadcast.
+        dealt = stash(dealt.select("g", "node", "label", "side", F.col("rep").alias("id"), "t"), "dealt")
         texts = thin
         if repeats:  # rows may repeat whole: one of each text is enough
             texts = thin.join(dealt.select("id", "t").distinct(), ["id", "t"]).groupBy("id", "t").agg(F.first("text").alias("text"))
