@@ -1,13 +1,16 @@
 """Quality rules per document, and host verdicts from the rates at which documents fail them.
 
-A document fails with under `MIN_WORDS` words, or where over `MAX_REPEAT` percent of its words stand in five-word
-windows that occur twice or more in it. Failures are summed by host; a host's rate is shrunk towards the others' by a
-beta prior whose mean and strength are fitted to the hosts' rates by moments, and a host whose shrunk rate is above
-`host_limit` is rejected with all its documents.
-
-Nulls: a null text is empty (0 words, failed); a null host is no host, and its documents stand on their own. Equal
-rows count one by one. No rows give no rows. Other columns are left alone, whatever their names, except that
-`keep_documents` reserves names that begin with two underscores.
+A document fails the base rule with under `MIN_WORDS` words, or where over `MAX_REPEAT` percent of its words stand in five-word
+windows that occur twice or more in it. Failures are summed by host, and a host's rate is shrunk towards the others' by a beta
+prior. The prior's mean and strength are fitted to the hosts' rates by moments: what they vary beyond what chance gives hosts of their
+sizes. Hosts that differ by chance alone all get the common rate.
+
+A host's verdict is the share of symbols that its documents may have: `max_symbols` a word where nothing fails, less in proportion as
+the shrunk rate nears `host_limit`, and nothing passes above that. So a document with many symbols stays on a clean host
+and goes on one where others fail, and one without symbols goes only with its host.
+
+Nulls: a null text is empty (0 words, failed); a null host is no host, and its documents are judged as on one where nothing
+fails. Equal rows count one by one. No rows give no rows. Other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -78,38 +81,50 @@ def measure_documents(docs: DataFrame, *, id_col: str = "doc_id", host_col: str
 def host_rates(judged: DataFrame) -> DataFrame:
     """(host, n, failed, rate): failures by host, shrunk by a beta prior of the mean and strength of all hosts' rates."""
     hosts = judged.filter(F.col("host").isNotNull()).groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
-    hosts = stash(hosts.withColumn("raw", F.col("failed") / F.col("n")), "hosts")
-    prior = hosts.agg(F.avg("raw").alias("m"), F.coalesce(F.var_pop("raw"), F.lit(0.0)).alias("v"))
+    hosts = stash(hosts, "hosts")
+    # Moments weighted by documents: m is the common rate, v the hosts' variance around it, of which chance alone gives m (1 - m) * hosts / documents.
+    total = F.sum("n").cast("double")
+    prior = hosts.agg((F.sum("failed") / total).alias("m"), (F.sum(F.col("failed") * F.col("failed") / F.col("n")) / total).alias("square"), (F.count("*") / total).alias("by_chance"), total.alias("total"))
     spread = F.col("m") * (1 - F.col("m"))
-    prior = prior.select("m", F.when((F.col("v") > 0) & (spread > F.col("v")), spread / F.col("v") - 1).otherwise(F.lit(1.0)).alias("strength"))
+    beyond = F.col("square") - F.col("m") * F.col("m") - spread * F.col("by_chance")
+    strength = F.when(beyond > 0, F.greatest(spread / beyond - 1, F.lit(0.0))).otherwise(F.col("total"))
+    prior = prior.select("m", strength.alias("strength"))
     shrunk = (F.col("failed") + F.col("m") * F.col("strength")) / (F.col("n") + F.col("strength"))
     return hosts.join(F.broadcast(prior)).select("host", "n", "failed", shrunk.alias("rate"))  # prior: one row
 
 
-def judge_documents(docs: DataFrame, host_limit: float = 0.5, *, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
-    """One row per document: id, host, measures, base_failed, host_failed, kept. The text is read once."""
+def host_verdicts(judged: DataFrame, host_limit: float, max_symbols: float) -> DataFrame:
+    """(of_host, symbols): the symbols a word that documents of each host may have; under 0 if none may pass."""
+    allowed = F.when(F.col("rate") > host_limit, -1.0).otherwise(max_symbols * (1 - F.col("rate") / host_limit))
+    return stash(host_rates(judged).select(F.col("host").alias("of_host"), allowed.alias("symbols")), "verdicts")
+
+
+def judge_documents(docs: DataFrame, host_limit: float = 0.5, max_symbols: float = 0.5, *, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
+    """One row per document: id, host, measures, base_failed, host_failed (the host's verdict on it), kept. The text is read once."""
     judged = stash(measure_documents(docs, id_col=id_col, host_col=host_col, text_col=text_col), "measures")
-    bad = stash(host_rates(judged).filter(F.col("rate") > host_limit).select(F.col("host").alias("bad_host")), "bad")
-    met = judged.join(bad, F.col("host") == F.col("bad_host"), "left")
-    met = met.withColumn("host_failed", F.col("bad_host").isNotNull()).drop("bad_host")
+    met = judged.join(host_verdicts(judged, host_limit, max_symbols), F.col("host") == F.col("of_host"), "left")
+    failed = F.col("n_symbols") > F.coalesce("symbols", F.lit(max_symbols)) * F.col("n_words")
+    met = met.withColumn("host_failed", failed).drop("of_host", "symbols")
     met = met.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))
     return met.withColumnRenamed("id", id_col).withColumnRenamed("host", host_col)
 
 
-def keep_documents(docs: DataFrame, host_limit: float = 0.5, *, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that pass, with their columns. One pass finds the rejected hosts, a second one filters, so
-    that no text is shuffled; a table of rejected hosts that is too large to broadcast is joined by a shuffle."""
-    rates = host_rates(measure_documents(docs, id_col=id_col, host_col=host_col, text_col=text_col))
-    bad = stash(rates.filter(F.col("rate") > host_limit).select(F.col("host").alias("__host")), "bad")
+def keep_documents(docs: DataFrame, host_limit: float = 0.5, max_symbols: float = 0.5, *, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that pass, with their columns. One pass finds the hosts' verdicts, a second one filters, so that no text
+    is shuffled; a table of hosts that is too large to broadcast is joined by a shuffle."""
+    verdicts = host_verdicts(measure_documents(docs, id_col=id_col, host_col=host_col, text_col=text_col), host_limit, max_symbols)
+    rate = "__symbols"
+    while rate in docs.columns:
+        rate += "_"
 
-    small_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for _, _, t in runs(batch.column(text_col)):
+            for i, j, t in runs(batch.column(text_col)):
                 m = measures(t)
-                keep.append(~fails(m["n_words"], m["n_repeat_words"]))
-            if keep:
-                yield batch.filter(pa.array(np.concatenate(keep)))
+                keep = ~fails(m["n_words"], m["n_repeat_words"])
+                found = pa.array(m["n_symbols"] / np.maximum(1, m["n_words"]))
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, found], [*batch.schema.names, rate]).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema).join(bad, F.col(host_col) == F.col("__host"), "left_anti")
+    rated = docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField(rate, T.DoubleType())]))
+    met = rated.join(verdicts, rated[host_col] == verdicts["of_host"], "left")
+    return met.filter(rated[rate] <= F.coalesce(verdicts["symbols"], F.lit(max_symbols))).select(*(rated[c] for c in docs.columns))

@@ -5,11 +5,11 @@ by weight, until none is above. A source with budget b and size S gives floor(b
 fraction of one: its documents in the order of the keys -ln(u) / quality are taken while their words, summed in that
 order, come nearer to the rest of the budget. u is a hash of seed and id, so that reruns agree.
 
-The order is cut into buckets of the key. Only sums by (source, bucket) are gathered; just the bucket in which the
-rest of a source's budget ends is ordered row by row.
+The order is cut into buckets of equal ratio of the key, so that for any qualities a bucket holds a few of 10,000 documents of a source at
+most. Only sums by (source, bucket) are gathered; just the bucket in which the rest of a source's budget ends is ordered row by row.
 
-Nulls: a null text has size 0 and is never drawn; null sources form one source, ordered last; a null id is hashed as
-the word "null". Equal rows are drawn one by one. No rows give no rows. An input column named as `out` is replaced.
+Nulls: a null text has size 0 and is never drawn; null sources form one source, ordered last; a null id is hashed with
+the text. Equal rows are drawn one by one. No rows give no rows. An input column named as `out` is replaced; all others stay.
 """
 
 from __future__ import annotations
@@ -27,9 +27,11 @@ def n_words(text: Column) -> Column:
 
 
 def shape_quality(text: Column, size: Column, usual: float = 6.5) -> Column:
-    """A document weight in [0.01, 1] from the mean characters per word: 1 where it is usual, less on either side."""
+    """A document weight in [0.01, 1]: 1 with the usual characters per word and no symbols, less with other means on either side, and with
+    symbols, which halve it from one in four words on."""
     mean = F.coalesce(F.length(text) / F.nullif(size, F.lit(0)), F.lit(usual))
-    return F.greatest(F.lit(0.01), F.least(mean / usual, F.lit(usual) / mean))
+    symbols = F.coalesce((F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))) / F.nullif(size, F.lit(0)), F.lit(0.0))
+    return F.greatest(F.lit(0.01), F.least(mean / usual, F.lit(usual) / mean) / (1 + 4 * symbols))
 
 
 def budgets(sizes: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
@@ -49,16 +51,22 @@ def budgets(sizes: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
     return ranked.select("source", "source_size", F.least(F.col("room").cast("double"), level * F.col("w")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None, seed: int = 17, buckets: int = 4096, out: str = "mix") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: Column | None = None, seed: int = 17, buckets: int = 1024, out: str = "mix") -> DataFrame:
     """All rows and columns of `docs` and a struct `out` (size, source_size, target, epochs, drawn, taken): the words the
-    mix takes from the row are `taken`, its size times the epochs, plus once more if it was drawn."""
-    text, size = F.col(text_col), F.col("__size")
-    frame = docs.drop(out).withColumn("__size", n_words(text))
-    u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("long") + 0.5) / 2.0**52
-    frame = frame.withColumn("__key", -F.log(u) / (shape_quality(text, size) if quality is None else quality))
-    frame = frame.withColumn("__bucket", F.least(F.floor((1 - F.exp(-F.col("__key"))) * buckets), F.lit(buckets - 1)).cast("int"))
-
-    sums = stash(frame.groupBy(F.col(source_col).alias("source"), F.col("__bucket").alias("bucket")).agg(F.sum("__size").alias("n")), "sums")
+    mix takes from the row are `taken`, its size times the epochs, plus once more if it was drawn. The key has `buckets` buckets
+    for each power of 2."""
+    own = "__mix"  # the prefix of this function's columns, of which the input has none
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
+    name = "{}_{}".format
+    text, size, key, bucket = F.col(text_col), F.col(name(own, "size")), F.col(name(own, "key")), F.col(name(own, "bucket"))
+    frame = docs.drop(out).withColumn(name(own, "size"), n_words(text))
+    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.coalesce(text, F.lit(""))))))
+    u = (F.conv(F.substring(hashed, 1, 13), 16, 10).cast("long") + 0.5) / 2.0**52
+    frame = frame.withColumn(name(own, "key"), -F.log(u) / (shape_quality(text, size) if quality is None else quality))
+    frame = frame.withColumn(name(own, "bucket"), F.floor(F.log2(key) * buckets).cast("int"))
+
+    sums = stash(frame.groupBy(F.col(source_col).alias("source"), bucket.alias("bucket")).agg(F.sum(size).alias("n")), "sums")
     goals = budgets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), weights, cap)
     goals = goals.withColumn("epochs", F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)))
     goals = goals.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
@@ -67,16 +75,17 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int
     cut = plain.join(goals.select("source", "rest"), F.col("s").eqNullSafe(F.col("source"))).filter(F.col("upto") > F.col("rest"))
     cut = cut.groupBy("s").agg(F.min("bucket").alias("cut"), F.min_by(F.col("upto") - F.col("n"), F.col("bucket")).alias("before"))
     plan = goals.join(cut, F.col("source").eqNullSafe(F.col("s")), "left")
-    plan = stash(plan.select(*(F.col(c).alias(f"__{c}") for c in ("source", "source_size", "target", "epochs", "rest", "cut", "before"))), "budgets")
+    plan = stash(plan.select(*(F.col(c).alias(name(own, c)) for c in ("source", "source_size", "target", "epochs", "rest", "cut", "before"))), "budgets")
 
     # The plan has a row for each source; its true size is known, so Spark broadcasts it where it is small.
-    met = frame.join(plan, F.col(source_col).eqNullSafe(F.col("__source")), "left")
-    apart = F.coalesce(F.col("__bucket") == F.col("__cut"), F.lit(False))
-    clear = met.filter(~apart).withColumn("__drawn", F.coalesce(F.col("__bucket") < F.col("__cut"), F.lit(False)))
-    order = Window.partitionBy(source_col).orderBy("__key", id_col, "__size", text_col).rowsBetween(Window.unboundedPreceding, -1)
-    ahead = F.col("__before") + F.coalesce(F.sum("__size").over(order), F.lit(0))
-    edge = met.filter(apart).withColumn("__drawn", ahead + F.col("__size") / 2 <= F.col("__rest"))
+    of = {c: F.col(name(own, c)) for c in ("source", "source_size", "target", "epochs", "rest", "cut", "before", "drawn")}
+    met = frame.join(plan, F.col(source_col).eqNullSafe(of["source"]), "left")
+    apart = F.coalesce(bucket == of["cut"], F.lit(False))
+    clear = met.filter(~apart).withColumn(name(own, "drawn"), F.coalesce(bucket < of["cut"], F.lit(False)))
+    order = Window.partitionBy(source_col).orderBy(key, id_col, size, F.md5(text)).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = of["before"] + F.coalesce(F.sum(size).over(order), F.lit(0))
+    edge = met.filter(apart).withColumn(name(own, "drawn"), ahead + size / 2 <= of["rest"])
     both = clear.unionByName(edge)
-    taken = size * (F.col("__epochs") + F.col("__drawn").cast("long"))
-    fields = F.struct(size.alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__epochs").alias("epochs"), F.col("__drawn").alias("drawn"), taken.alias("taken"))
-    return both.withColumn(out, fields).drop("__size", "__key", "__bucket", "__drawn", *plan.columns)
+    taken = size * (of["epochs"] + of["drawn"].cast("long"))
+    fields = F.struct(size.alias("size"), *(of[c].alias(c) for c in ("source_size", "target", "epochs", "drawn")), taken.alias("taken"))
+    return both.select(*(F.col(f"`{c}`") for c in docs.columns if c != out), fields.alias(out))

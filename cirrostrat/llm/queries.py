@@ -93,11 +93,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 MIXING_SQL = r"""
 WITH sized AS (
     SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-           (('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+           (('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, 'null:' || coalesce(text, ''))), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
     FROM documents),
 keyed AS (
-    SELECT *, -ln(u) / greatest(0.01::DOUBLE, least(mean / 6.5::DOUBLE, 6.5::DOUBLE / mean)) AS k
-    FROM (SELECT *, coalesce(length(text)::DOUBLE / nullif(size, 0)::DOUBLE, 6.5::DOUBLE) AS mean FROM sized)),
+    SELECT *, -ln(u) / greatest(0.01::DOUBLE, least(mean / 6.5::DOUBLE, 6.5::DOUBLE / mean) / (1 + 4 * symbols)) AS k
+    FROM (SELECT *, coalesce(length(text)::DOUBLE / nullif(size, 0)::DOUBLE, 6.5::DOUBLE) AS mean,
+                 coalesce((length(text) - length(translate(text, '#*$%&|<>', '')))::DOUBLE / nullif(size, 0)::DOUBLE, 0) AS symbols FROM sized)),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 named AS (SELECT *, [1, 2, 3][(row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1] AS w, 3 * source_size AS room FROM sources),
 ranked AS (
@@ -109,7 +110,7 @@ goals AS (SELECT source, source_size, least(room::DOUBLE, level.v * w) AS target
 rest AS (SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0)::BIGINT AS epochs FROM goals),
 ahead AS (
     SELECT k.doc_id, k.size, r.source_size, r.target, r.epochs, r.target - r.epochs * r.source_size AS left_,
-           coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.k, k.doc_id, k.size, k.text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+           coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.k, k.doc_id, k.size, md5(k.text) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
     FROM keyed k JOIN rest r ON k.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, size, source_size, target, (size * (epochs + CASE WHEN before + size / 2.0::DOUBLE <= left_ THEN 1 ELSE 0 END))::BIGINT AS taken FROM ahead
 """
@@ -143,20 +144,13 @@ base AS (
     FROM docs d JOIN words w USING (r) LEFT JOIN repeats p USING (r) LEFT JOIN lines l USING (r)),
 judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base),
 hosts AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS failed FROM judged WHERE source IS NOT NULL GROUP BY source),
-prior AS (SELECT avg(failed / n) AS m, coalesce(var_pop(failed / n), 0) AS v FROM hosts),
-fitted AS (SELECT m, CASE WHEN v > 0 AND m * (1 - m) > v THEN m * (1 - m) / v - 1 ELSE 1 END AS strength FROM prior),
-bad AS (SELECT source FROM hosts, fitted WHERE (failed + m * strength) / (n + strength) > 0.5)
+prior AS (SELECT sum(failed) / sum(n)::DOUBLE AS m, sum((failed * failed) / n::DOUBLE) / sum(n)::DOUBLE AS square, count(*) / sum(n)::DOUBLE AS by_chance, sum(n)::DOUBLE AS total FROM hosts),
+fitted AS (SELECT m, CASE WHEN square - m * m - m * (1 - m) * by_chance > 0 THEN greatest(m * (1 - m) / (square - m * m - m * (1 - m) * by_chance) - 1, 0) ELSE total END AS strength FROM prior),
+rates AS (SELECT source, (failed + m * strength) / (n + strength) AS rate FROM hosts, fitted),
+verdicts AS (SELECT source, CASE WHEN rate > 0.5 THEN -1 ELSE 0.5::DOUBLE * (1 - rate / 0.5::DOUBLE) END AS symbols FROM rates)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(source NOT IN (SELECT source FROM bad), TRUE) AS kept
-FROM judged
-"""
-
-NEIGHBOURS_SQL = """
-WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL),
-pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(c.e, c.e))) AS score
-          FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
-SELECT query_id, rank, vec_id, score
-FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM pairs) WHERE rank <= 5
+       NOT base_failed AND n_symbols <= coalesce(symbols, 0.5::DOUBLE) * n_words AS kept
+FROM judged LEFT JOIN verdicts USING (source)
 """
 
 ORACLES: dict[str, str] = {"op3_mixing": MIXING_SQL, "op8_chat": CHAT_SQL, "op9_quality_rules": QUALITY_SQL}
