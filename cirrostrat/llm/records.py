@@ -71,16 +71,17 @@ def unit_starts(t: Texts) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-_caches: dict[str, Cache] = {}
+_caches: dict[str, tuple[Cache, Tokenizer, list[bytes]]] = {}
 
 
-def _cache(path: str) -> Cache:
+def _loaded(path: str) -> tuple[Cache, Tokenizer, list[bytes]]:
+    """The cached units of a tokenizer, the tokenizer itself, and the strings of its added tokens."""
     if path not in _caches:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        _caches[path] = Cache(partial(_encode, tokenizer))
+        special = [x.content.encode() for x in tokenizer.get_added_tokens_decoder().values()]
+        _caches[path] = Cache(partial(_encode, tokenizer)), tokenizer, special
     return _caches[path]
 
 
@@ -108,11 +109,22 @@ def _encode(tokenizer: Tokenizer, units: list[bytes]) -> list[list[int]]:
 
 
 def encode_texts(t: Texts, tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of some texts end to end, and the number of each text."""
+    """All ids of some texts end to end, and the number of each text. Texts with the string of an added token, which is cut out before
+    anything else, are encoded whole."""
+    cache, library, special = _loaded(tokenizer)
     start = unit_starts(t)
-    ids, length = _cache(tokenizer).ids(t.data, start)
+    ids, length = cache.ids(t.data, start)
     sums = np.concatenate(([0], np.cumsum(length)))
-    return ids, np.diff(sums[np.searchsorted(start, t.offsets)])
+    at = sums[np.searchsorted(start, t.offsets)]
+    data = t.data.tobytes()
+    if not any(x in data for x in special):
+        return ids, np.diff(at)
+    parts = []
+    for i, (a, b) in enumerate(zip(t.offsets[:-1], t.offsets[1:])):
+        text = data[a:b]
+        whole = any(x in text for x in special)
+        parts.append(np.array(library.encode(text.decode(), add_special_tokens=False).ids, np.uint32) if whole else ids[at[i] : at[i + 1]])
+    return np.concatenate(parts), np.array([len(x) for x in parts])
 
 
 def masked(data: bytes) -> int:
@@ -238,7 +250,8 @@ def read_ids(manifest: DataFrame, folder: str) -> DataFrame:
     has one row per file, so its running sum is small whatever the files hold."""
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
-    return files.repartition("part").mapInArrow(_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # As many tasks as files: a number given stays as it is, while plain repartitioning of so small a table would end in one task.
+    return files.repartitionByRange(max(1, manifest.count()), "part").mapInArrow(_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_and_read_back(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFrame:

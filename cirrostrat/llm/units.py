@@ -1,6 +1,6 @@
 """Encoding by distinct units: cut texts where a tokenizer always cuts them, encode each distinct unit once, and gather.
 
-`Cache` keeps the ids of units it has seen in a worker process, up to a bound, so that a frequent word is encoded once
+`Cache` keeps the ids of units it has seen in a worker process, up to a bound in number and bytes, so that a frequent word is encoded once
 per worker and not once per occurrence."""
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ def ragged(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
 
 
 class Cache:
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], bound: int = 300_000) -> None:
-        self.encode, self.bound = encode, bound
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], bound: int = 300_000, most_bytes: int = 48 << 20) -> None:
+        self.encode, self.bound, self.most_bytes = encode, bound, most_bytes
         self._clear()
 
     def _clear(self) -> None:
@@ -34,7 +34,7 @@ class Cache:
         self.flat = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 16, np.int64)
         self.length = np.zeros(1 << 16, np.int64)
-        self.used = 0
+        self.used, self.bytes = 0, 0
 
     def _add(self, units: list[bytes]) -> None:
         ids = self.encode(units)
@@ -48,6 +48,7 @@ class Cache:
         self.start[n : n + len(ids)] = self.used + np.cumsum(lengths) - lengths
         self.length[n : n + len(ids)] = lengths
         self.used += total
+        self.bytes += sum(map(len, units))
         self.known.update(zip(units, range(n, n + len(ids))))
 
     def ids(self, data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +57,7 @@ class Cache:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         coded = sliced(data, start).dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.known) > self.bound:
+        if len(self.known) > self.bound or self.bytes > self.most_bytes:
             self._clear()
         if new := [u for u in distinct if u not in self.known]:
             self._add(new)
