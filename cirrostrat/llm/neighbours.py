@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by cosine: cross-polytope hashing with multiprobe tables and exact reranking.
 
-Each table turns unit vectors by a fast pseudo-rotation (three rounds of random signs and a Hadamard transform) and
-assigns them to the nearest signed axis. A query looks into the buckets of its `probes` nearest signed axes in each
-table, and all that it finds there is ranked by the exact cosine of the original vectors, in double precision.
+Each table turns unit vectors by two fast pseudo-rotations (three rounds of random signs and a Hadamard transform each) and
+assigns them to a pair of signed axes, the nearest one in either rotation. A query looks into its `probes` pairs with the largest sums of
+scores in each table, and all that it finds there is ranked by the exact cosine of the original vectors, in double precision. Rows and
+queries meet by the first axis of a pair, and inside such a group a query's vector is compared with those rows only whose second axis is among its pairs.
 
 Equal vectors form one class with its smallest ids, as many as a result can hold, so that a vector that fills a third
-of the table is hashed and compared once. Rows and queries of a bucket meet in blocks of bounded size.
+of the table is hashed and compared once. Rows and queries of a group meet in blocks of bounded size.
 
 Vectors that are null, empty or zero, or hold a null or non-finite component take no part; vectors of different lengths never
 meet. Rows that share id and vector count once, and a row with a query's id is never its neighbour; a null id takes no part.
@@ -53,29 +54,49 @@ def _vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def best_pairs(first: np.ndarray, second: np.ndarray, probes: int, widest: int = 128) -> list[dict[int, list[int]]]:
+    """For each query the `probes` pairs of axes with the largest sums of scores, as lists of second axes by first axis. Of either rotation the
+    `widest` best axes are considered."""
+    out = []
+    tops = [np.argsort(-s, axis=1, kind="stable")[:, :widest] for s in (first, second)]
+    for i in range(len(first)):
+        a, b = (top[i] for top in tops)
+        sums = (first[i, a][:, None] + second[i, b][None, :]).ravel()
+        best = np.sort(np.argpartition(-sums, probes)[:probes] if probes < len(sums) else np.arange(len(sums)))
+        at, to = np.divmod(best, len(b))
+        cuts = np.flatnonzero(np.diff(at)) + 1
+        out.append({int(a[x[0]]): b[y].tolist() for x, y in zip(np.split(at, cuts), np.split(to, cuts))})
+    return out
+
+
+POST = pa.list_(pa.struct([("bucket", pa.int32()), ("seconds", pa.list_(pa.int32()))]))
+
+
 def _hasher(tables: int, probes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Adds the bucket of each table, and for queries the buckets that they look into."""
+    """Adds the pair of axes in each table, and for queries the pairs that they look into: a bucket for the first, and second axes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lengths = np.diff(batch.column("vec").offsets.to_numpy())
-            buckets, looks = np.empty(len(lengths), object), np.full(len(lengths), None, object)
-            asks = batch.column("asks").to_numpy(zero_copy_only=False)
-            for width in np.unique(lengths):
-                rows = np.flatnonzero(lengths == width)
-                x = _vectors(batch.column("vec").take(pa.array(rows)))
-                x /= np.linalg.norm(x, axis=1)[:, None]
-                own, looked, ask = [], [], asks[rows]
-                for t in range(tables):
-                    score = axis_scores(x, t)
-                    own.append(score.argmax(1) + t * score.shape[1])
-                    looked.append(np.argsort(-score[ask], axis=1, kind="stable")[:, :probes] + t * score.shape[1])
-                for r, b in zip(rows, np.stack(own, 1)):
-                    buckets[r] = b
-                for r, b in zip(rows[ask], np.concatenate(looked, 1)):
-                    looks[r] = b
-            kinds = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(buckets, kinds), pa.array(looks, kinds)], [*batch.schema.names, "buckets", "looks"])
+        for whole in batches:
+            for batch in (whole.slice(i, 2048) for i in range(0, whole.num_rows, 2048)):
+                lengths = np.diff(batch.column("vec").offsets.to_numpy())
+                posts: list[list[dict]] = [[] for _ in lengths]
+                looks: list[list[dict] | None] = [None] * len(lengths)
+                asks = batch.column("asks").to_numpy(zero_copy_only=False)
+                for width in np.unique(lengths):
+                    rows = np.flatnonzero(lengths == width)
+                    x = _vectors(batch.column("vec").take(pa.array(rows)))
+                    x /= np.linalg.norm(x, axis=1)[:, None]
+                    ask = rows[asks[rows]]
+                    for r in ask:
+                        looks[r] = []
+                    for t in range(tables):
+                        first, second = axis_scores(x, 2 * t), axis_scores(x, 2 * t + 1)
+                        base = t * first.shape[1]
+                        for r, a, b in zip(rows, first.argmax(1).tolist(), second.argmax(1).tolist()):
+                            posts[r].append({"bucket": base + a, "seconds": [b]})
+                        for r, pairs in zip(ask, best_pairs(first[asks[rows]], second[asks[rows]], probes)):
+                            looks[r] += [{"bucket": base + a, "seconds": b} for a, b in pairs.items()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(posts, POST), pa.array(looks, POST)], [*batch.schema.names, "posts", "looks"])
 
     return run
 
@@ -94,7 +115,7 @@ def _ranker(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
         for table in whole_groups(batches, "g"):
             g, asks = table.column("g").to_numpy(), table.column("asks").to_numpy(zero_copy_only=False)
             cid, ids = table.column("cid").to_numpy(), table.column("ids").combine_chunks()
-            vec = table.column("vec").combine_chunks()
+            vec, seconds = table.column("vec").combine_chunks(), table.column("seconds").to_pylist()
             flat, at = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64), vec.offsets.to_numpy() - vec.offsets[0].as_py()
             bounds = np.concatenate(([0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]))
             for start, end in zip(bounds[:-1], bounds[1:]):
@@ -104,10 +125,15 @@ def _ranker(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                 x = flat[at[start] : at[end]].reshape(end - start, -1)  # the vectors of a group are equally long
                 unit = x / np.linalg.norm(x, axis=1)[:, None]
                 rows, queries = np.flatnonzero(~ask), np.flatnonzero(ask)
-                score = unit[queries] @ unit[rows].T
+                score = np.full((len(queries), len(rows)), -np.inf)
+                held, wanted = np.array([seconds[start + r][0] for r in rows]), [seconds[start + q] for q in queries]
+                asker, sought = np.repeat(np.arange(len(queries)), [len(w) for w in wanted]), np.concatenate(wanted)
+                for axis in np.intersect1d(held, sought):
+                    some, by = np.flatnonzero(held == axis), asker[sought == axis]
+                    score[by[:, None], some] = unit[queries[by]] @ unit[rows[some]].T
                 k = min(most, len(rows))
                 least = np.partition(score, len(rows) - k, axis=1)[:, len(rows) - k]
-                q, r = np.nonzero(score >= least[:, None] - 1e-12)
+                q, r = np.nonzero((score >= least[:, None] - 1e-12) & (score > -np.inf))
                 exact = cosine(x[queries[q]], x[rows[r]])
                 order = np.lexsort((own[rows[r]], -exact, q))
                 place = np.arange(len(order)) - np.searchsorted(q[order], np.arange(len(queries)))[q[order]]
@@ -124,26 +150,19 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def nearest(rows: DataFrame, asks: Column, most: int = 5, *, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = 8, probes: int = 24, block: int = 4096) -> DataFrame:
+def nearest(rows: DataFrame, asks: Column, most: int = 5, *, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = 8, probes: int = 1200, block: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score: the `most` nearest rows found for each row for which `asks` holds."""
-    good = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vec"), F.coalesce(asks, F.lit(False)).alias("asks")).filter(usable(F.col("vec")) & F.col("id").isNotNull())
-    first = good.withColumn("place", F.dense_rank().over(Window.partitionBy("vec").orderBy("id"))).filter(F.col("place") <= most + 1)
-    classes = first.groupBy("vec").agg(F.sort_array(F.collect_set("id")).alias("ids")).withColumn("cid", F.col("ids")[0])
-    asked = stash(good.filter("asks").select("id", "vec").distinct(), "asked")
-    known = asked.select("vec").distinct().withColumn("asks", F.lit(True))
-    classes = classes.join(known, "vec", "left").select("cid", "ids", "vec", F.coalesce("asks", F.lit(False)).alias("asks"))
-    hashed = stash(classes.mapInArrow(_hasher(tables, probes), f"cid long, ids array<long>, vec {dict(rows.dtypes)[vector_col]}, asks boolean, buckets array<int>, looks array<int>"), "hashed")
-
+    hashed, asked = _hashed(rows, asks, most, id_col, vector_col, tables, probes)
     width = F.size("vec")
-    index = hashed.select("cid", "ids", "vec", F.lit(False).alias("asks"), width.alias("width"), F.explode("buckets").alias("bucket"))
-    looks = hashed.filter("asks").select("cid", F.array().cast("array<long>").alias("ids"), "vec", "asks", width.alias("width"), F.explode("looks").alias("bucket"))
+    index = hashed.select("cid", "ids", "vec", F.lit(False).alias("asks"), width.alias("width"), F.inline("posts"))
+    looks = hashed.filter("asks").select("cid", F.array().cast("array<long>").alias("ids"), "vec", "asks", width.alias("width"), F.inline("looks"))
     count = lambda df, name: df.groupBy("width", "bucket").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
     sizes = stash(count(index, "cuts").join(count(looks, "rounds"), ["width", "bucket"]), "sizes")  # tables * axes rows for each length of vectors
     own = lambda n: F.pmod(F.xxhash64(F.lit(3), "cid"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     index = index.join(sizes, ["width", "bucket"]).withColumn("cut", own("cuts")).withColumn("round", every("rounds"))
     looks = looks.join(sizes, ["width", "bucket"]).withColumn("round", own("rounds")).withColumn("cut", every("cuts"))
-    both = index.unionByName(looks).withColumn("g", F.xxhash64("width", "bucket", "cut", "round")).select("g", "asks", "cid", "ids", "vec")
+    both = index.unionByName(looks).withColumn("g", F.xxhash64("width", "bucket", "cut", "round")).select("g", "asks", "cid", "ids", "vec", "seconds")
     found = both.repartition("g").sortWithinPartitions("g").mapInArrow(_ranker(most + 1), "asker long, cid long, ids array<long>, score double")
     found = found.groupBy("asker", "cid").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
     best = found.withColumn("place", F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("score"), "cid"))).filter(F.col("place") <= most + 1)
@@ -152,3 +171,26 @@ def nearest(rows: DataFrame, asks: Column, most: int = 5, *, id_col: str = "vec_
     pairs = named.join(best, "asker").filter("query_id != vec_id")
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= most)
     return ranked.select("query_id", "rank", "vec_id", "score")
+
+
+def _hashed(rows: DataFrame, asks: Column, most: int, id_col: str, vector_col: str, tables: int, probes: int) -> tuple[DataFrame, DataFrame]:
+    """The classes of equal vectors (cid, ids, vec, asks, posts, looks), and the queries (id, vec)."""
+    good = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vec"), F.coalesce(asks, F.lit(False)).alias("asks")).filter(usable(F.col("vec")) & F.col("id").isNotNull())
+    # Repeats of a row go first; then each task keeps a vector's smallest ids, so that a frequent vector is cut before it is moved.
+    place = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
+    first = good.select("id", "vec").distinct().withColumn("place", place).filter(F.col("place") <= most + 1)
+    classes = first.groupBy("vec").agg(F.sort_array(F.collect_set("id")).alias("ids")).withColumn("cid", F.col("ids")[0])
+    asked = stash(good.filter("asks").select("id", "vec").distinct(), "asked")
+    known = asked.select("vec").distinct().withColumn("asks", F.lit(True))
+    classes = classes.join(known, "vec", "left").select("cid", "ids", "vec", F.coalesce("asks", F.lit(False)).alias("asks"))
+    post = "array<struct<bucket:int,seconds:array<int>>>"
+    return stash(classes.mapInArrow(_hasher(tables, probes), f"cid long, ids array<long>, vec {dict(rows.dtypes)[vector_col]}, asks boolean, posts {post}, looks {post}"), "hashed"), asked
+
+
+def looked_at(rows: DataFrame, asks: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = 8, probes: int = 1200) -> float:
+    """The share of all pairs of a query and a row, each vector once, that some table brings together: what `nearest` compares."""
+    hashed = _hashed(rows, asks, 5, id_col, vector_col, tables, probes)[0]
+    posts = hashed.select("cid", F.size("vec").alias("width"), F.inline("posts")).select("cid", "width", "bucket", F.col("seconds")[0].alias("second"))
+    looks = hashed.filter("asks").select(F.col("cid").alias("asker"), F.size("vec").alias("width"), F.inline("looks")).select("asker", "width", "bucket", F.explode("seconds").alias("second"))
+    met = looks.join(posts, ["width", "bucket", "second"]).select("asker", "cid").distinct().count()
+    return met / (hashed.count() * hashed.filter("asks").count())
