@@ -319,12 +319,12 @@ def _near(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: st
     repeats = not shared.isEmpty()
 
     def confirm(dealt: DataFrame) -> DataFrame:
-        # Written out, it has a known size: texts are shuffled by it only where it is too large to broadcast.
+        # The texts are shuffled once at every size, and streamed past the few numbers of their partition, unsorted.
         dealt = stash(dealt.select("g", "node", "label", "side", F.col("rep").alias("id"), "t"), "dealt")
         texts = thin
         if repeats:  # rows may repeat whole: one of each text is enough
             texts = thin.join(dealt.select("id", "t").distinct(), ["id", "t"]).groupBy("id", "t").agg(F.first("text").alias("text"))
-        met = texts.join(dealt, ["id", "t"]).select("g", "node", "label", "side", "text")
+        met = texts.join(dealt.hint("shuffle_hash"), ["id", "t"]).select("g", "node", "label", "side", "text")
         return met.repartition("g").sortWithinPartitions("g").mapInArrow(_confirmer(k, num, den), "a long, b long")
 
     groups = connected(members, confirm, block_rows, block_shingles)
