@@ -54,8 +54,11 @@ class Vocabulary:
         self.ids = {p: i for i, p in enumerate(pieces) if not special[i]}
         self.pieces = pieces
         self.penalty = min((scores[i] for i in self.ids.values()), default=0.0) - 10.0
-        self.stable: dict[int, bool] = {}
-        self.tails = {p[i:] for p in self.ids for i in range(len(p))}
+        #: Whether a piece may follow another (-1: the start, or a letter outside the vocabulary), as far as it was asked.
+        self.follows: dict[int, dict[int, bool]] = {-1: {}}
+        self.asked = 0
+        #: Every ending of a piece, with the piece's id if it is one itself, else -1.
+        self.tails = {p[i:]: -1 for p in self.ids for i in range(len(p))} | self.ids
         raw = [p.replace(MARK, " ").encode() if not special[i] else b"" for i, p in enumerate(pieces)]
         for b, i in byte_ids.items():
             raw[i] = bytes([b])
@@ -78,19 +81,24 @@ class Vocabulary:
         return parts
 
     def _stays(self, before: int, piece: int) -> bool:
-        """Whether merging the letters of two pieces (of one, where `before` is -1) gives them again. Remembered by the caller."""
+        """Whether merging the letters of two pieces (of one, where `before` is -1) gives them again. It is remembered."""
         parts = [self.pieces[piece]] if before < 0 else [self.pieces[before], self.pieces[piece]]
-        if len(self.stable) > 400_000:
-            self.stable.clear()
-        found = self.stable[before * 1_048_576 + piece] = self.merged("".join(parts)) == parts
+        if self.asked > 400_000:
+            self.asked = 0
+            for known in self.follows.values():
+                known.clear()
+        self.asked += 1
+        found = self.follows[before][piece] = self.merged("".join(parts)) == parts
         return found
 
     def words(self, words: list[str]) -> list[list[int]]:
         """The ids of marked words, in the order given."""
         order = sorted(range(len(words)), key=words.__getitem__)
         out: list[list[int]] = [[]] * len(words)
-        # By prefix length: the last piece (-1 at the start, -2 for a letter outside the vocabulary), its length, the best sum.
-        last, size, best, previous = [-1], [0], [0.0], ""
+        # By prefix length: the last piece (-1 at the start, -2 for a letter outside the vocabulary), its length, and what counts for the
+        # next one: the best sum, or which pieces may follow.
+        last, size, previous = [-1], [0], ""
+        best: list = [self.follows[-1] if self.kind == "bpe" else 0.0]
         extend = self._merging if self.kind == "bpe" else self._summing
         for w in order:
             word = words[w]
@@ -109,27 +117,31 @@ class Vocabulary:
             previous = word
         return out
 
-    def _merging(self, word: str, same: int, last: list[int], size: list[int], best: list[float]) -> None:
+    def _merging(self, word: str, same: int, last: list[int], size: list[int], nexts: list[dict[int, bool]]) -> None:
         """Forward states from prefix length `same` on: the one last piece that may follow the state before it. The piece grows leftwards while it
         ends some piece of the vocabulary."""
-        ids, tails, stable = self.ids, self.tails, self.stable
+        tails, follows = self.tails, self.follows
         for end in range(same + 1, len(word) + 1):
             found, start = -2, end - 1
             while start >= 0:
-                text = word[start:end]
-                if text not in tails:
-                    start = end - 1
+                piece = tails.get(word[start:end])
+                if piece is None:
                     break
-                piece = ids.get(text)
-                if piece is not None:
-                    before = max(last[start], -1)
-                    ok = stable.get(before * 1_048_576 + piece)
-                    if self._stays(before, piece) if ok is None else ok:
+                if piece >= 0:
+                    ok = nexts[start].get(piece)
+                    if ok is None:
+                        ok = self._stays(max(last[start], -1), piece)
+                    if ok:
                         found = piece
                         break
                 start -= 1
             last.append(found)
-            size.append(end - max(start, 0) if found >= 0 else 1)
+            if found >= 0:
+                size.append(end - start)
+                nexts.append(follows.get(found) or follows.setdefault(found, {}))
+            else:
+                size.append(1)
+                nexts.append(follows[-1])
 
     def _summing(self, word: str, same: int, last: list[int], size: list[int], best: list[float]) -> None:
         """Forward states from prefix length `same` on: the best sum of scores."""
@@ -139,8 +151,8 @@ class Vocabulary:
                 text = word[start:end]
                 if text not in self.tails:
                     break
-                piece = self.ids.get(text)
-                if piece is not None and best[start] + self.scores[piece] > top:
+                piece = self.tails[text]
+                if piece >= 0 and best[start] + self.scores[piece] > top:
                     top, found, length = best[start] + self.scores[piece], piece, end - start
             last.append(found)
             size.append(length)
@@ -156,7 +168,7 @@ _caches: dict[tuple[str, str], tuple[Vocabulary, Cache]] = {}
 def _loaded(path: str, kind: str) -> tuple[Vocabulary, Cache]:
     if (path, kind) not in _caches:
         vocabulary = Vocabulary(path, kind)
-        _caches[path, kind] = vocabulary, Cache(lambda units: vocabulary.words([u.decode().replace(" ", MARK) for u in units]))
+        _caches[path, kind] = vocabulary, Cache(lambda units: vocabulary.words([u.decode().replace(" ", MARK) for u in units]), bound=800_000)
     return _caches[path, kind]
 
 
@@ -197,7 +209,7 @@ def encode_documents(docs: DataFrame, path: str, kind: str = "bpe", *, text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, t in runs(marked(batch.column(text_col))):
+            for i, j, t in runs(marked(batch.column(text_col)), 4 << 20):
                 ids, offsets = encode_marked(t, path, kind)
                 data, at = decode_marked(ids, offsets, path, kind)
                 if np.array_equal(data, t.data) and np.array_equal(at, t.offsets):
