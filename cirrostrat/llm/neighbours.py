@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by cosine: cross-polytope hashing with multiprobe tables and exact reranking.
 
 Each table turns unit vectors by two fast pseudo-rotations (three rounds of random signs and a Hadamard transform each) and
-assigns them to a pair of signed axes, the nearest one in either rotation. A query looks into its `probes` pairs with the largest sums of
+assigns them to a pair of signed axes, the nearest one in either rotation. The first one has `coarse` of its dimensions only, so that
+few groups form. A query looks into its `probes` pairs with the largest sums of
 scores in each table, and all that it finds there is ranked by the exact cosine of the original vectors, in double precision. Rows and
 queries meet by the first axis of a pair, and inside such a group a query's vector is compared with those rows only whose second axis is among its pairs.
 
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cirrostrat.llm.arrowtext import whole_groups
+from cirrostrat.llm.units import ragged
 from cirrostrat.runtime import stash
 
 
@@ -72,14 +74,14 @@ def best_pairs(first: np.ndarray, second: np.ndarray, probes: int, widest: int =
 POST = pa.list_(pa.struct([("bucket", pa.int32()), ("seconds", pa.list_(pa.int32()))]))
 
 
-def _hasher(tables: int, probes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _hasher(tables: int, probes: int, coarse: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Adds the pair of axes in each table, and for queries the pairs that they look into: a bucket for the first, and second axes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(i, 2048) for i in range(0, whole.num_rows, 2048)):
                 lengths = np.diff(batch.column("vec").offsets.to_numpy())
-                posts: list[list[dict]] = [[] for _ in lengths]
+                buckets, seconds = (np.empty((len(lengths), tables), np.int32) for _ in range(2))
                 looks: list[list[dict] | None] = [None] * len(lengths)
                 asks = batch.column("asks").to_numpy(zero_copy_only=False)
                 for width in np.unique(lengths):
@@ -90,13 +92,15 @@ def _hasher(tables: int, probes: int) -> Callable[[Iterator[pa.RecordBatch]], It
                     for r in ask:
                         looks[r] = []
                     for t in range(tables):
-                        first, second = axis_scores(x, 2 * t), axis_scores(x, 2 * t + 1)
+                        first, second = axis_scores(x, 2 * t)[:, : 2 * coarse], axis_scores(x, 2 * t + 1)
                         base = t * first.shape[1]
-                        for r, a, b in zip(rows, first.argmax(1).tolist(), second.argmax(1).tolist()):
-                            posts[r].append({"bucket": base + a, "seconds": [b]})
+                        buckets[rows, t], seconds[rows, t] = base + first.argmax(1), second.argmax(1)
                         for r, pairs in zip(ask, best_pairs(first[asks[rows]], second[asks[rows]], probes)):
                             looks[r] += [{"bucket": base + a, "seconds": b} for a, b in pairs.items()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(posts, POST), pa.array(looks, POST)], [*batch.schema.names, "posts", "looks"])
+                each = np.arange(buckets.size + 1, dtype=np.int32)
+                pairs = pa.StructArray.from_arrays([pa.array(buckets.ravel()), pa.ListArray.from_arrays(pa.array(each), pa.array(seconds.ravel()))], fields=list(POST.value_type))
+                posts = pa.ListArray.from_arrays(pa.array(each[::tables]), pairs)
+                yield pa.RecordBatch.from_arrays([*batch.columns, posts, pa.array(looks, POST)], [*batch.schema.names, "posts", "looks"])
 
     return run
 
@@ -115,7 +119,8 @@ def _ranker(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
         for table in whole_groups(batches, "g"):
             g, asks = table.column("g").to_numpy(), table.column("asks").to_numpy(zero_copy_only=False)
             cid, ids = table.column("cid").to_numpy(), table.column("ids").combine_chunks()
-            vec, seconds = table.column("vec").combine_chunks(), table.column("seconds").to_pylist()
+            vec, seconds = table.column("vec").combine_chunks(), table.column("seconds").combine_chunks()
+            axes, axes_at = seconds.flatten().to_numpy(), seconds.offsets.to_numpy() - seconds.offsets[0].as_py()
             flat, at = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64), vec.offsets.to_numpy() - vec.offsets[0].as_py()
             bounds = np.concatenate(([0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]))
             for start, end in zip(bounds[:-1], bounds[1:]):
@@ -126,10 +131,11 @@ def _ranker(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                 unit = x / np.linalg.norm(x, axis=1)[:, None]
                 rows, queries = np.flatnonzero(~ask), np.flatnonzero(ask)
                 score = np.full((len(queries), len(rows)), -np.inf)
-                held, wanted = np.array([seconds[start + r][0] for r in rows]), [seconds[start + q] for q in queries]
-                asker, sought = np.repeat(np.arange(len(queries)), [len(w) for w in wanted]), np.concatenate(wanted)
+                held, first, n = axes[axes_at[rows + start]], axes_at[queries + start], np.diff(axes_at)[queries + start]
+                asker, sought = np.repeat(np.arange(len(queries)), n), ragged(axes, first, n)
+                by_held, by_sought = np.argsort(held, kind="stable"), np.argsort(sought, kind="stable")
                 for axis in np.intersect1d(held, sought):
-                    some, by = np.flatnonzero(held == axis), asker[sought == axis]
+                    some, by = by_held[slice(*np.searchsorted(held[by_held], (axis, axis + 1)))], asker[by_sought[slice(*np.searchsorted(sought[by_sought], (axis, axis + 1)))]]
                     score[by[:, None], some] = unit[queries[by]] @ unit[rows[some]].T
                 k = min(most, len(rows))
                 least = np.partition(score, len(rows) - k, axis=1)[:, len(rows) - k]
@@ -150,9 +156,9 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def nearest(rows: DataFrame, asks: Column, most: int = 5, *, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = 8, probes: int = 1200, block: int = 2048) -> DataFrame:
+def nearest(rows: DataFrame, asks: Column, most: int = 5, *, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = 8, probes: int = 320, coarse: int = 16, block: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score: the `most` nearest rows found for each row for which `asks` holds."""
-    hashed, asked = _hashed(rows, asks, most, id_col, vector_col, tables, probes)
+    hashed, asked = _hashed(rows, asks, most, id_col, vector_col, tables, probes, coarse)
     width = F.size("vec")
     index = hashed.select("cid", "ids", "vec", F.lit(False).alias("asks"), width.alias("width"), F.inline("posts"))
     looks = hashed.filter("asks").select("cid", F.array().cast("array<long>").alias("ids"), "vec", "asks", width.alias("width"), F.inline("looks"))
@@ -173,7 +179,7 @@ def nearest(rows: DataFrame, asks: Column, most: int = 5, *, id_col: str = "vec_
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def _hashed(rows: DataFrame, asks: Column, most: int, id_col: str, vector_col: str, tables: int, probes: int) -> tuple[DataFrame, DataFrame]:
+def _hashed(rows: DataFrame, asks: Column, most: int, id_col: str, vector_col: str, tables: int, probes: int, coarse: int) -> tuple[DataFrame, DataFrame]:
     """The classes of equal vectors (cid, ids, vec, asks, posts, looks), and the queries (id, vec)."""
     good = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vec"), F.coalesce(asks, F.lit(False)).alias("asks")).filter(usable(F.col("vec")) & F.col("id").isNotNull())
     # Repeats of a row go first; then each task keeps a vector's smallest ids, so that a frequent vector is cut before it is moved.
@@ -184,12 +190,12 @@ def _hashed(rows: DataFrame, asks: Column, most: int, id_col: str, vector_col: s
     known = asked.select("vec").distinct().withColumn("asks", F.lit(True))
     classes = classes.join(known, "vec", "left").select("cid", "ids", "vec", F.coalesce("asks", F.lit(False)).alias("asks"))
     post = "array<struct<bucket:int,seconds:array<int>>>"
-    return stash(classes.mapInArrow(_hasher(tables, probes), f"cid long, ids array<long>, vec {dict(rows.dtypes)[vector_col]}, asks boolean, posts {post}, looks {post}"), "hashed"), asked
+    return stash(classes.mapInArrow(_hasher(tables, probes, coarse), f"cid long, ids array<long>, vec {dict(rows.dtypes)[vector_col]}, asks boolean, posts {post}, looks {post}"), "hashed"), asked
 
 
-def looked_at(rows: DataFrame, asks: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = 8, probes: int = 1200) -> float:
+def looked_at(rows: DataFrame, asks: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = 8, probes: int = 320, coarse: int = 16) -> float:
     """The share of all pairs of a query and a row, each vector once, that some table brings together: what `nearest` compares."""
-    hashed = _hashed(rows, asks, 5, id_col, vector_col, tables, probes)[0]
+    hashed = _hashed(rows, asks, 5, id_col, vector_col, tables, probes, coarse)[0]
     posts = hashed.select("cid", F.size("vec").alias("width"), F.inline("posts")).select("cid", "width", "bucket", F.col("seconds")[0].alias("second"))
     looks = hashed.filter("asks").select(F.col("cid").alias("asker"), F.size("vec").alias("width"), F.inline("looks")).select("asker", "width", "bucket", F.explode("seconds").alias("second"))
     met = looks.join(posts, ["width", "bucket", "second"]).select("asker", "cid").distinct().count()
