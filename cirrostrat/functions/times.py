@@ -49,7 +49,7 @@ def run_start(directory: Column) -> Column:
 
 
 def length_blocks(runs: DataFrame, start: str, length: str) -> DataFrame:
-    """(block, length, first, last, runs): consecutive runs of one length."""
+    """(block, length, first, last, runs): consecutive runs of one length. All runs are ordered in one task, which suits a list of runs (a row each, not their data)."""
     w = Window.orderBy(start)
     new = F.coalesce((F.col(length) != F.lag(length).over(w)).cast("int"), F.lit(0))
     marked = runs.withColumn("block", F.sum(new).over(w))

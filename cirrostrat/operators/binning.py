@@ -13,24 +13,25 @@ LABELS = {"start": 0.0, "middle": 0.5, "end": 1.0}
 
 
 def pieces(df: DataFrame, ts: str, length: Column, width: int, start: int = 0) -> DataFrame:
-    """Adds `bin` and `weight`: one or two rows for a record that covers (ts - length, ts]; weights are seconds. A record is no longer
-    than a bin."""
+    """Adds `bin`, `weight` and `most`: one row for each bin that a record covering (ts - length, ts] touches; weights are seconds. `most`
+    holds in bins that it fills, and in the one with its largest part, the earliest of equal ones."""
     t = seconds(ts)
     first = (t - length - start) - F.pmod(t - length - start, F.lit(width)) + start
-    over = t - first - width
-    one = F.array(F.struct(first.cast("long").alias("bin"), length.cast("long").alias("weight")))
-    two = F.array(F.struct(first.cast("long").alias("bin"), (length - over).cast("long").alias("weight")), F.struct((first + width).cast("long").alias("bin"), over.cast("long").alias("weight")))
-    return df.withColumn("_p", F.explode(F.when(over > 0, two).otherwise(one))).select(*df.columns, "_p.bin", "_p.weight")
+    last = F.greatest(first, F.ceil((t - start) / width) * width - width + start)
+    parts = F.transform(F.sequence(first.cast("long"), last.cast("long"), F.lit(width).cast("long")), lambda b: F.struct(b.alias("bin"), (F.least(t, b + width) - F.greatest(t - length, b)).cast("long").alias("weight")))
+    rows = df.withColumn("_parts", parts).withColumn("_weights", F.transform("_parts", lambda p: p["weight"]))
+    rows = rows.withColumn("_best", F.array_position("_weights", F.array_max("_weights")) - 1)
+    most = (F.col("_p.weight") == width) | (F.col("_k") == F.col("_best"))
+    return rows.select(*df.columns, "_best", F.posexplode("_parts").alias("_k", "_p")).select(*df.columns, "_p.bin", "_p.weight", most.alias("most"))
 
 
 def weighted_bins(df: DataFrame, keys: Sequence[str], ts: str, length: Column, *, ave: str = "ave", low: str = "min", high: str = "max", width: int = 3600, start: int = 0, label: str = "end") -> DataFrame:
     """keys, bin, ave, min, max. The mean weighs each record by its seconds in the bin (records without a value weigh nothing); the
-    minimum and maximum of a record count in the bin that holds its larger part, the earlier one if the parts are equal."""
+    minimum and maximum of a record count in the bins that it fills and in the one that holds its largest part, the earliest of equal ones."""
     rows = df.withColumn("_len", length.cast("long"))
     shared = pieces(rows, ts, F.col("_len"), width, start)
     w = F.when(F.col(ave).isNotNull(), F.col("weight"))
-    larger = (F.col("weight") * 2 > F.col("_len")) | ((F.col("weight") * 2 == F.col("_len")) & (seconds(ts) > F.col("bin") + width)) | (F.col("weight") == F.col("_len"))
-    out = shared.groupBy(*keys, "bin").agg((F.sum(w * F.col(ave)) / F.sum(w)).alias("ave"), F.min(F.when(larger, F.col(low))).alias("min"), F.max(F.when(larger, F.col(high))).alias("max"))
+    out = shared.groupBy(*keys, "bin").agg((F.sum(w * F.col(ave)) / F.sum(w)).alias("ave"), F.min(F.when(F.col("most"), F.col(low))).alias("min"), F.max(F.when(F.col("most"), F.col(high))).alias("max"))
     return out.withColumn("bin", (F.col("bin") + int(width * LABELS[label])).cast("long"))
 
 
@@ -63,11 +64,13 @@ def trapezoid_hours(df: DataFrame, keys: Sequence[str], ts: str, value: str, cen
     return out.select(*keys, (F.col("_h") + (0 if centred else 3600)).alias("bin"), "ave", "min", "max")
 
 
-def hours_with_backfilled_length(df: DataFrame, keys: Sequence[str], ts: str, value: str) -> DataFrame:
-    """Hourly means whose record lengths are the steps from the record before, the first record taking that of the next; no longer than an hour."""
+def hours_with_backfilled_length(df: DataFrame, keys: Sequence[str], ts: str, value: str, longest: int | None = None) -> DataFrame:
+    """Hourly means whose record lengths are the steps from the record before, the first record taking that of the next (an hour, if there is
+    none). A step over `longest` seconds, if given, is a gap: the record stands for that long only."""
     w = Window.partitionBy(*keys).orderBy(ts)
     step = seconds(ts) - F.lag(seconds(ts)).over(w)
-    rows = df.withColumn("_step", F.least(F.lit(3600), F.coalesce(step, F.lead(seconds(ts)).over(w) - seconds(ts), F.lit(3600))))
+    step = F.coalesce(step, F.lead(seconds(ts)).over(w) - seconds(ts), F.lit(3600))
+    rows = df.withColumn("_step", step if longest is None else F.least(F.lit(longest), step))
     return weighted_bins(rows, keys, ts, F.col("_step"), ave=value, low=value, high=value).select(*keys, "bin", "ave")
 
 

@@ -115,8 +115,8 @@ def block_mask(df: DataFrame, place: str, time: str, share: float, mean_length:
 def distant_dropped(dist: DataFrame) -> DataFrame:
     """(station, weight): summed squared distances, without stations whose sum is over the mean plus one deviation."""
     total = dist.groupBy(F.col("a").alias("station")).agg(F.sum(F.pow("metres", F.lit(2))).alias("weight"))
-    w = Window.partitionBy()
-    return total.withColumn("_limit", F.avg("weight").over(w) + F.stddev_samp("weight").over(w)).filter("weight <= _limit").drop("_limit")
+    limit = total.agg((F.avg("weight") + F.stddev_samp("weight")).alias("_limit"))  # one row
+    return total.join(F.broadcast(limit)).filter("weight <= _limit").drop("_limit")
 
 
 def aligned(weights: DataFrame, reference: DataFrame, place: str) -> DataFrame:

@@ -8,23 +8,40 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cirrostrat.functions.geo import haversine, in_quadrilateral
+from cirrostrat.functions.geo import bearing, haversine, in_quadrilateral
+from cirrostrat.runtime import stash
+
+
+def _bands(band: Column, degrees: float) -> Column:
+    """How many buckets of longitude a band of latitude has: one spans `degrees` of a great circle at least, in the bands beside it, too."""
+    far = F.least(F.lit(90.0), F.greatest(F.abs((band - 1) * degrees), F.abs((band + 2) * degrees)))
+    return F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(far)) / degrees)).cast("long")
+
+
+def _lon_bucket(lon: Column, n: Column) -> Column:
+    return F.floor(F.pmod(lon, F.lit(360.0)) / 360 * n).cast("long")
 
 
 def _spread(df: DataFrame, lon: str, lat: str, degrees: float) -> DataFrame:
-    """Each row in the nine degree buckets around its own, so that an equi-join finds all within one bucket's width."""
-    near = lambda c: F.explode(F.expr(f"sequence(cast(floor({c} / {degrees}) AS long) - 1, cast(floor({c} / {degrees}) AS long) + 1)"))
-    return df.withColumn("_bx", near(lon)).withColumn("_by", near(lat))
+    """Each row in the buckets around its own, so that an equi-join finds all within `degrees` of a great circle, across the date line
+    and near the poles as well."""
+    own = F.floor(F.col(lat) / degrees).cast("long")
+    out = df.withColumn("_by", F.explode(F.sequence(own - 1, own + 1))).withColumn("_n", _bands(F.col("_by"), degrees))
+    at = _lon_bucket(F.col(lon), F.col("_n"))
+    around = F.array_distinct(F.array(*(F.pmod(at + k, F.col("_n")) for k in (-1, 0, 1))))
+    return out.withColumn("_bx", F.explode(around)).drop("_n")
 
 
 def _bucketed(df: DataFrame, lon: str, lat: str, degrees: float) -> DataFrame:
-    own = lambda c: F.floor(F.col(c) / degrees).cast("long")
-    return df.withColumn("_bx", own(lon)).withColumn("_by", own(lat))
+    out = df.withColumn("_by", F.floor(F.col(lat) / degrees).cast("long"))
+    return out.withColumn("_bx", F.pmod(_lon_bucket(F.col(lon), _bands(F.col("_by"), degrees)), _bands(F.col("_by"), degrees)))
+
+
+#: Metres in a degree of a great circle, a little less than on the sphere of `haversine`.
+DEGREE = 111_000.0
 
 
-def nearest_cell(stations: DataFrame, cells: DataFrame, degrees: float = 0.5, key: str = "station") -> DataFrame:
-    """(station, i, j, metres): the cell centre nearest to each station, the smaller (i, j) on a tie. Cells are sought within one bucket of
-    `degrees`, which must exceed the cells' spacing; a station without a cell there has no row."""
+def _nearest_within(stations: DataFrame, cells: DataFrame, degrees: float, key: str) -> DataFrame:
     spots = _spread(stations.select(key, F.col("lon").alias("_x"), F.col("lat").alias("_y")), "_x", "_y", degrees)
     met = spots.join(_bucketed(cells.select("i", "j", "lon", "lat"), "lon", "lat", degrees), ["_bx", "_by"])
     far = haversine(F.col("_x"), F.col("_y"), F.col("lon"), F.col("lat"))
@@ -32,6 +49,27 @@ def nearest_cell(stations: DataFrame, cells: DataFrame, degrees: float = 0.5, ke
     return best.select(key, "c.i", "c.j", "metres")
 
 
+def nearest_cell(stations: DataFrame, cells: DataFrame, within: float | None = None, key: str = "station") -> DataFrame:
+    """(station, i, j, metres): the cell centre nearest to each station, the smaller (i, j) on a tie; with `within`, only if it lies so many
+    metres away at most. Without, stations are first met with cells as far as these are apart on average, and those for which that settles
+    nothing again eight times as far, until all have a cell."""
+    if within is not None:
+        return _nearest_within(stations, cells, max(0.01, within / DEGREE), key).filter(F.col("metres") <= within)
+    box = cells.agg(F.count("*").alias("n"), *(f(c).alias(f"{f.__name__}_{c}") for c in ("lon", "lat") for f in (F.min, F.max))).first()
+    sides = [max(1e-3, box[f"max_{c}"] - box[f"min_{c}"]) for c in ("lon", "lat")] if box.n else [1.0, 1.0]
+    degrees, left, found = min(180.0, max(0.01, 2 * (sides[0] * sides[1] / max(1, box.n)) ** 0.5)), stations, None
+    while True:
+        best = _nearest_within(left, cells, degrees, key)
+        sure = stash(best if degrees >= 180 else best.filter(F.col("metres") <= degrees * DEGREE), "nearest")
+        found = sure if found is None else found.unionByName(sure)
+        if degrees >= 180 or not box.n:
+            return found
+        left = stash(left.select(key, "lon", "lat").join(sure.select(key), key, "left_anti"), "left")
+        if left.isEmpty():
+            return found
+        degrees = min(180.0, degrees * 8)
+
+
 def nearest_axes(stations: DataFrame, lon0: float, lat0: float, dlon: float, dlat: float, key: str = "station") -> DataFrame:
     """Nearest column and row of an evenly spaced grid, each on its own; halves go up."""
     at = lambda c, zero, d: F.floor((F.col(c) - zero) / d + 0.5).cast("long")
@@ -49,19 +87,29 @@ def squares(cells: DataFrame) -> DataFrame:
     return out.dropna()
 
 
-def cell_of_station(stations: DataFrame, cells: DataFrame, degrees: float = 0.5, key: str = "station") -> DataFrame:
+def _widest(sides: DataFrame) -> float:
+    """A width of buckets in which a square's first corner is found from everywhere in it."""
+    spans = [F.max(F.abs(F.col(f"{c}{k}") - F.col(f"{c}00"))) for c in "xy" for k in ("01", "10", "11")]
+    return max(0.01, 1.5 * max((x for x in sides.agg(*spans).first() if x is not None), default=0.0))
+
+
+def cell_of_station(stations: DataFrame, cells: DataFrame, key: str = "station") -> DataFrame:
     """(station, i, j): the square between cell centres that holds the station; the smaller (i, j) on an edge."""
+    sides = squares(cells)
+    degrees = _widest(sides)
     spots = _spread(stations.select(key, F.col("lon").alias("_x"), F.col("lat").alias("_y")), "_x", "_y", degrees)
-    met = spots.join(_bucketed(squares(cells), "x00", "y00", degrees), ["_bx", "_by"])
+    met = spots.join(_bucketed(sides, "x00", "y00", degrees), ["_bx", "_by"])
     corner = lambda k: (F.col(f"x{k}"), F.col(f"y{k}"))
     inside = in_quadrilateral(F.col("_x"), F.col("_y"), [corner("00"), corner("01"), corner("11"), corner("10")])
     return met.filter(inside).groupBy(key).agg(F.min(F.struct("i", "j")).alias("c")).select(key, "c.i", "c.j")
 
 
-def surrounding_square(stations: DataFrame, cells: DataFrame, degrees: float = 0.5, key: str = "station") -> DataFrame:
-    """The square of 2 x 2 cells with the least summed distance to each station, with its corners."""
+def surrounding_square(stations: DataFrame, cells: DataFrame, key: str = "station") -> DataFrame:
+    """The square of 2 x 2 cells with the least summed distance to each station, with its corners; none for stations far outside."""
+    sides = squares(cells)
+    degrees = _widest(sides)
     spots = _spread(stations.select(key, F.col("lon").alias("x"), F.col("lat").alias("y")), "x", "y", degrees)
-    met = spots.join(_bucketed(squares(cells), "x00", "y00", degrees), ["_bx", "_by"]).drop("_bx", "_by")
+    met = spots.join(_bucketed(sides, "x00", "y00", degrees), ["_bx", "_by"]).drop("_bx", "_by")
     total = sum((haversine(F.col("x"), F.col("y"), F.col(f"x{k}"), F.col(f"y{k}")) for k in ("00", "01", "10", "11")), F.lit(0.0))
     w = Window.partitionBy(key).orderBy(F.round("_d", 6), "i", "j")
     return met.withColumn("_d", total).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "_d")
@@ -116,8 +164,7 @@ def distances(stations: DataFrame, key: str = "station", within: float | None =
     if within is None:
         met = left.join(right, how="cross")
     else:
-        # A degree of latitude is about 111 km; buckets of longitude are widened by up to 1 / cos(70 degrees).
-        degrees = max(0.01, within / 111_000 * 3)
+        degrees = max(0.01, within / DEGREE)
         met = _spread(left, "_x", "_y", degrees).join(_bucketed(right, "lon", "lat", degrees), ["_bx", "_by"])
     far = met.select("a", "b", haversine(F.col("_x"), F.col("_y"), F.col("lon"), F.col("lat")).alias("metres"))
     return far if within is None else far.filter(F.col("metres") <= within)
@@ -133,7 +180,7 @@ def nearest_stations(obs: DataFrame, dist: DataFrame, k: int, overlap: int, key:
 
 def sea_classes(stations: DataFrame, cells: DataFrame, within: float = 5000.0, key: str = "station", sea: Column | None = None) -> DataFrame:
     """(station, coast): whether any sea cell lies within so many metres."""
-    degrees = max(0.01, within / 111_000 * 3)
+    degrees = max(0.01, within / DEGREE)
     spots = _spread(stations.select(key, F.col("lon").alias("_x"), F.col("lat").alias("_y")), "_x", "_y", degrees)
     wet = cells.filter(F.col("sea") if sea is None else sea).select("lon", "lat")
     near = spots.join(_bucketed(wet, "lon", "lat", degrees), ["_bx", "_by"]).filter(haversine(F.col("_x"), F.col("_y"), F.col("lon"), F.col("lat")) <= within)
@@ -150,10 +197,9 @@ def bracketed(levels: DataFrame, keys: Sequence[str], x: str, y: str, targets: S
     return seg.filter(inside).select(*keys, "target", (F.col("_y0") + (F.col("_y1") - F.col("_y0")) * (F.col("target") - F.col("_x0")) / (F.col("_x1") - F.col("_x0"))).alias(y))
 
 
-def horizon(stations: DataFrame, cells: DataFrame, within: float, sectors: int, degrees: float = 0.5, key: str = "station", nearest: float = 1.0) -> DataFrame:
+def horizon(stations: DataFrame, cells: DataFrame, within: float, sectors: int, key: str = "station", nearest: float = 1.0) -> DataFrame:
     """(station, sector, angle, metres): the largest elevation angle of terrain in each azimuth sector, and how far it is."""
-    from cirrostrat.functions.geo import bearing
-
+    degrees = max(0.01, within / DEGREE)
     spots = _spread(stations.select(key, F.col("lon").alias("_x"), F.col("lat").alias("_y"), F.col("elev").alias("_z")), "_x", "_y", degrees)
     met = spots.join(_bucketed(cells.select("lon", "lat", F.col("elev").alias("_e")), "lon", "lat", degrees), ["_bx", "_by"])
     at = (F.col("_x"), F.col("_y"), F.col("lon"), F.col("lat"))

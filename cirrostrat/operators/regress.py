@@ -65,8 +65,9 @@ def predicted_from_others(df: DataFrame, target: object, place: str, time: str,
     fit = pairs.join(right, ["pattern", "p"]).groupBy("pattern").applyInPandas(solve, schema)
     estimate = rows.join(fit, ["pattern", "p"]).groupBy(time).agg(F.sum(F.expr("x * b")).alias("predicted"))
     out = y.join(estimate, time, "left").withColumn("_d", F.col("y") - F.col("predicted"))
-    limit = 2 * F.stddev_samp("_d").over(Window.partitionBy())
-    return out.select(time, F.col("y").alias("value"), "predicted", F.coalesce(F.abs("_d") > limit, F.lit(False)).alias("flag"))
+    out = stash(out, "predicted")
+    limit = out.agg((2 * F.stddev_samp("_d")).alias("_limit"))  # one row
+    return out.join(F.broadcast(limit)).select(time, F.col("y").alias("value"), "predicted", F.coalesce(F.abs("_d") > F.col("_limit"), F.lit(False)).alias("flag"))
 
 
 def neighbour_differences(df: DataFrame, nearest: DataFrame, place: str, time: str, value: str) -> DataFrame:

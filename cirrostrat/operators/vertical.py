@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from cirrostrat.operators.grid import bracketed
 
-STANDARD_LEVELS = (1000, 925, 850, 700, 500, 400, 300, 250, 200, 150, 100, 70, 50)
-
 
 def vertical_integral(levels: DataFrame, keys: Sequence[str], p: str, w: str, layers: int = 5, widest: float = 20000.0) -> DataFrame:
     """Trapezoid integral over pressure between consecutive valid levels; only of profiles with more than `layers` layers whose mean and
@@ -43,7 +41,7 @@ def rate_variability(rates: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rates.groupBy(*keys).agg(F.stddev_pop("rate").alias("std"), F.count("rate").alias("n"))
 
 
-def at_pressures(levels: DataFrame, keys: Sequence[str], p: str, value: str, targets: Sequence[float] = STANDARD_LEVELS) -> DataFrame:
+def at_pressures(levels: DataFrame, keys: Sequence[str], p: str, value: str, targets: Sequence[float]) -> DataFrame:
     """Values at pressure levels, straight in the logarithm of pressure; nothing outside the profile."""
     import math
 

@@ -78,15 +78,15 @@ def _(t: Tables) -> DataFrame:
     return join.key_logic(part("F"), part("P"), "k")
 
 
-@query("j10_as_of", "l AS (SELECT id, field, t FROM obs WHERE id % 2 = 0), r AS (SELECT field, h AS t, v AS price FROM series) SELECT id, l.field, price FROM l ASOF LEFT JOIN r ON l.field = r.field AND l.t >= r.t", "price")
+@query("j10_as_of", "l AS (SELECT id, field, t FROM obs), r AS (SELECT field, h AS t, v AS price FROM series) SELECT id, l.field, price FROM l ASOF LEFT JOIN r ON l.field = r.field AND l.t >= r.t", "price")
 def _(t: Tables) -> DataFrame:
     right = t.series.select("field", "h", F.col("v").alias("price"))
-    return join.as_of(t.obs.filter("id % 2 = 0").select("id", "field", "t"), right, ["field"], "t", "price", right_ts="h").select("id", "field", "price")
+    return join.as_of(t.obs.select("id", "field", "t"), right, ["field"], "t", "price", right_ts="h").select("id", "field", "price")
 
 
-@query("j11_nearest", "l AS (SELECT DISTINCT t FROM obs), r AS (SELECT DISTINCT h FROM seen WHERE station = 3), n AS (SELECT l.t, (SELECT max(h) FROM r WHERE h <= l.t AND l.t - h <= 21600) AS run FROM l), m AS (SELECT l.t, arg_min(h, abs(l.t - h) * 1e6 + (h - l.t)) AS nearest FROM l JOIN r ON abs(l.t - h) <= 21600 GROUP BY l.t) SELECT n.t, run, nearest FROM n LEFT JOIN m USING (t)")
+@query("j11_nearest", "l AS (SELECT DISTINCT t FROM obs), r AS (SELECT DISTINCT h FROM seen), n AS (SELECT l.t, (SELECT max(h) FROM r WHERE h <= l.t AND l.t - h <= 21600) AS run FROM l), m AS (SELECT l.t, arg_min(h, abs(l.t - h) * 1e6 + (h - l.t)) AS nearest FROM l JOIN r ON abs(l.t - h) <= 21600 GROUP BY l.t) SELECT n.t, run, nearest FROM n LEFT JOIN m USING (t)")
 def _(t: Tables) -> DataFrame:
-    times, runs = t.obs.select("t").distinct(), t.seen.filter("station = 3").select("h")
+    times, runs = t.obs.select("t").distinct(), t.seen.select("h").distinct()
     return join.nearest_in_time(join.nearest_before(times, runs, "t", "h", 21600), runs, "t", "h", 21600)
 
 
@@ -118,13 +118,6 @@ def _(t: Tables) -> DataFrame:
     return join.lagged_ensemble(t.fcst, t.seen, 5).withColumn("ages", F.array_join("ages", ","))
 
 
-@query("j29_monthly_totals", "a AS (SELECT o_orderdate::DATE AS d, sum(o_totalprice) / 10 AS x FROM orders GROUP BY ALL), b AS (SELECT l_shipdate::DATE AS d, sum(l_quantity) * 1000 AS y FROM lineitem GROUP BY ALL) SELECT (year(d) * 12 + month(d))::BIGINT AS month, sum(x) AS x, sum(y) AS y FROM a JOIN b USING (d) GROUP BY 1", "x y")
-def _(t: Tables) -> DataFrame:
-    a = t("orders").groupBy(F.to_date("o_orderdate").alias("d")).agg((F.sum("o_totalprice") / 10).alias("x"))
-    b = t("lineitem").groupBy(F.to_date("l_shipdate").alias("d")).agg((F.sum("l_quantity") * 1000).alias("y"))
-    return join.complete_pairs(a, b, ["d"]).groupBy((F.year("d") * 12 + F.month("d")).cast("long").alias("month")).agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-
-
 @query("t1_largest_mismatches", f"{VERSIONS}, x AS (SELECT field, h, floor(a.v)::BIGINT AS a, floor(b.v)::BIGINT AS b FROM va a JOIN vb b USING (field, h)) SELECT field, h, a, b, abs(a - b) AS diff FROM x WHERE abs(a - b) > 0 AND h < (SELECT least((SELECT max(h) FROM va), (SELECT max(h) FROM vb))) ORDER BY diff DESC, field, h LIMIT 20")
 def _(t: Tables) -> DataFrame:
     a, b = (v.withColumn("v", F.floor("v")) for v in versions(t))
@@ -137,9 +130,9 @@ def _(t: Tables) -> DataFrame:
     return compare.dominating(rows, "a", "b", 10.0, 10, ["station", "h"])
 
 
-@query("t3_candidates", "SELECT field, station, h, row_number() OVER (PARTITION BY field ORDER BY v DESC, station, h)::INT AS place FROM hourly QUALIFY place <= 30")
+@query("t3_candidates", "SELECT field, station, h, row_number() OVER (PARTITION BY field ORDER BY v DESC, station, h)::INT AS place FROM hourly")
 def _(t: Tables) -> DataFrame:
-    return compare.candidates(t.hourly, "v", ["field", "station", "h"]).filter("place <= 30").drop("v")
+    return compare.candidates(t.hourly, "v", ["field", "station", "h"]).drop("v")
 
 
 @query("t4_ends", "SELECT station, h, v FROM seen QUALIFY row_number() OVER (PARTITION BY station ORDER BY h DESC) <= 3", "v")
@@ -236,7 +229,7 @@ def _(t: Tables) -> DataFrame:
 @query("a4_backfilled", (BINS.format(r="x0 AS (SELECT field AS sensor, t - t % 300 AS t, avg(v) AS ave FROM obs GROUP BY ALL), rec AS (SELECT *, ave AS lo, ave AS hi, least(3600, coalesce(t - lag(t) OVER w, lead(t) OVER w - t, 3600)) AS len FROM x0 WINDOW w AS (PARTITION BY sensor ORDER BY t))", s=0, l=3600)).replace(", min(lo) FILTER (larger) AS min, max(hi) FILTER (larger) AS max", ""), "ave")
 def _(t: Tables) -> DataFrame:
     rows = t.obs.groupBy(F.col("field").alias("sensor"), F.expr("t - t % 300").alias("t")).agg(F.avg("v").alias("ave"))
-    return binning.hours_with_backfilled_length(rows, ["sensor"], "t", "ave")
+    return binning.hours_with_backfilled_length(rows, ["sensor"], "t", "ave", longest=3600)
 
 
 @query("flagship_validation", f"{ALIGNED} SELECT station, step // 24 AS lead, count(v - obs) AS n, avg(v - obs) AS bias, sqrt(avg((v - obs) * (v - obs))) AS rmse, avg(abs(v - obs)) AS mae, stddev_samp(v - obs) AS std FROM aligned GROUP BY ALL", "bias rmse mae std")

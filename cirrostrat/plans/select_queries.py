@@ -62,10 +62,10 @@ def _(t: Tables) -> DataFrame:
     return t.obs.filter(F.hour("ts").isin(0, 12) & (F.col("ts") < F.lit("2024-01-18").cast("timestamp"))).select("id")
 
 
-@query("p10_runs", "SELECT DISTINCT start FROM fcst WHERE start >= 1704326400 AND start NOT IN (SELECT h FROM seen WHERE station = 3)")
+@query("p10_runs", "SELECT DISTINCT start FROM fcst WHERE start >= 1704326400 AND start NOT IN (SELECT h FROM seen)")
 def _(t: Tables) -> DataFrame:
     runs = t.fcst.select("start").distinct().withColumn("dir", F.date_format(F.timestamp_seconds("start"), "'c01_'yyyyMMddHH"))
-    return select.select_runs(runs, done=t.seen.filter("station = 3").select(F.col("h").alias("start")), pattern=r"^c01_\d{10}$", first=1704326400, hour=0).select("start")
+    return select.select_runs(runs, done=t.seen.select(F.col("h").alias("start")), pattern=r"^c01_\d{10}$", first=1704326400, hour=0).select("start")
 
 
 @query("p11_lead_day", "SELECT station, start, step, v FROM fcst WHERE (valid - start) // 86400 = 1", "v")

@@ -22,18 +22,18 @@ def stamp(c: str) -> F.Column:
     return F.date_format(F.timestamp_seconds(c), "yyyy-MM-dd HH:mm:ss")
 
 
-@query("s1_raw_csv", "SELECT sensor::VARCHAR AS sensor, t, v - 1 AS low, v AS ave, v + 1 AS high FROM obs WHERE field = 'view'", "low ave high")
+@query("s1_raw_csv", "SELECT sensor::VARCHAR AS sensor, t, v - 1 AS low, v AS ave, v + 1 AS high FROM obs", "low ave high")
 def _(t: Tables) -> DataFrame:
-    rows = t.obs.filter("field = 'view'")
+    rows = t.obs
     body = rows.select(F.concat_ws(",", "sensor", stamp("t"), (F.col("v") - 1), "v", (F.col("v") + 1), F.lit("")).alias("line"))
     comment = rows.limit(1).select(F.lit("# s_cod,datetime,min,ave,max,").alias("line"))
     got = text.without_empty_columns(text.raw_csv(t.spark, written(t, comment.unionByName(body))))
     return got.select(F.col("s_cod").alias("sensor"), F.col("datetime").cast("long").alias("t"), F.col("min").alias("low"), "ave", F.col("max").alias("high"))
 
 
-@query("s2_logger_file", "SELECT station::VARCHAR AS station, t, 'value' AS name, v AS value FROM obs WHERE field = 'click' UNION ALL SELECT station::VARCHAR, t, 'twice', v * 2 FROM obs WHERE field = 'click'", "value")
+@query("s2_logger_file", "SELECT station::VARCHAR AS station, t, 'value' AS name, v AS value FROM obs UNION ALL SELECT station::VARCHAR, t, 'twice', v * 2 FROM obs", "value")
 def _(t: Tables) -> DataFrame:
-    rows = t.obs.filter("field = 'click'")
+    rows = t.obs
     body = rows.select("station", F.lit(9).alias("n"), "id", F.concat_ws(",", F.concat(F.lit('"'), stamp("t"), F.lit('"')), "v", F.col("v") * 2).alias("line"))
     heads = ['"TOA5","x"', '"TIMESTAMP","value","twice"', '"TS","C","C"', '"","Avg","Avg"']
     top = rows.select("station").distinct().select("station", F.posexplode(F.array(*map(F.lit, heads))).alias("n", "line")).withColumn("id", F.lit(0).cast("long"))
@@ -62,9 +62,9 @@ def _(t: Tables) -> DataFrame:
     return got.select("id", "elev", "number", "name")
 
 
-@query("s5_soundings", "x AS (SELECT station, t // 86400 AS d, (row_number() OVER (PARTITION BY station, t // 86400 ORDER BY id))::INT - 1 AS k, floor(v)::BIGINT AS v, id FROM obs WHERE field = 'error') SELECT 'SND' || lpad(station::VARCHAR, 8, '0') AS station, d * 86400 AS t, k, (90000 - k * 100)::DOUBLE AS p, CASE WHEN id % 5 > 0 THEN v::DOUBLE END AS temp FROM x", "p temp")
+@query("s5_soundings", "x AS (SELECT station, t // 86400 AS d, (row_number() OVER (PARTITION BY station, t // 86400 ORDER BY id))::INT - 1 AS k, floor(v)::BIGINT AS v, id FROM obs) SELECT 'SND' || lpad(station::VARCHAR, 8, '0') AS station, d * 86400 AS t, k, (90000 - k * 100)::DOUBLE AS p, CASE WHEN id % 5 > 0 THEN v::DOUBLE END AS temp FROM x", "p temp")
 def _(t: Tables) -> DataFrame:
-    day = t.obs.filter("field = 'error'").groupBy("station", F.expr("t DIV 86400").alias("d")).agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("x"))
+    day = t.obs.groupBy("station", F.expr("t DIV 86400").alias("d")).agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("x"))
     when = F.date_from_unix_date(F.col("d").cast("int"))
     head = F.concat(F.lit("#"), F.format_string("SND%08d", "station"), F.date_format(when, " yyyy MM dd"), F.lit(" 00 2300 "), F.lpad(F.size("x").cast("string"), 4, " "))
     level = lambda x, i: F.concat(F.lit("20"), F.lit(" -9999 "), F.lpad((90000 - i * 100).cast("string"), 6, " "), F.lit(" "), F.lpad((100 * i).cast("string"), 5, " "), F.lit(" "), F.lpad(F.when(x["id"] % 5 > 0, F.floor(x["v"])).otherwise(F.lit(-8888)).cast("string"), 5, " "), F.lit("  -9999   -50   180    20"))
@@ -127,13 +127,13 @@ def _(t: Tables) -> DataFrame:
     return df
 
 
-@query("s11_basin_table", "SELECT t, 'flow' AS name, CASE WHEN id % 7 > 0 THEN v END AS value FROM obs WHERE station = 2 UNION ALL SELECT t, 'temp', v / 2 FROM obs WHERE station = 2", "value")
+@query("s11_basin_table", "SELECT station::VARCHAR AS station, t, 'flow' AS name, CASE WHEN id % 7 > 0 THEN v END AS value FROM obs UNION ALL SELECT station::VARCHAR, t, 'temp', v / 2 FROM obs", "value")
 def _(t: Tables) -> DataFrame:
-    rows = t.obs.filter("station = 2")
+    rows = t.obs
     body = rows.select("station", F.lit(9).alias("n"), "id", F.concat(F.concat_ws(",", stamp("t"), F.when(F.col("id") % 7 > 0, F.col("v").cast("string")).otherwise("-6999"), (F.col("v") / 2).cast("string")), F.lit("\r")).alias("line"))
     top = rows.select("station").distinct().select("station", F.posexplode(F.array(F.lit("a preamble\r"), F.lit("DateTime,flow,temp\r"))).alias("n", "line")).withColumn("id", F.lit(0).cast("long"))
     got = text.hourly_basin_table(t.spark, written(t, body.unionByName(top.select(*body.columns)), order=["n", "id"], by="station"))
-    return got.select(F.col("ts").cast("long").alias("t"), "name", "value")
+    return got.select(F.regexp_extract("file", r"station=(\d+)", 1).alias("station"), F.col("ts").cast("long").alias("t"), "name", "value")
 
 
 @query("s12_merged_variants", "SELECT id, v AS temp FROM obs", "temp")

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from cirrostrat.functions import geo
 from cirrostrat.operators import eof, grid, regress, spectral, vertical
+from cirrostrat.operators.join import complete_pairs
 from cirrostrat.plans.registry import Tables, query
 from cirrostrat.plans.select_queries import HAVERSINE_SQL
 
 FAR = HAVERSINE_SQL.replace("{a}", "s.").replace("{b}", "c.")
-CELLS = "cells AS (SELECT DISTINCT i, j, lon, lat FROM grid), near AS (SELECT station, elev, s.lon, s.lat FROM stations s WHERE s.lon <= -69.6 AND s.lat <= -30.2)"
+CELLS = "cells AS (SELECT DISTINCT i, j, lon, lat FROM grid), near AS (SELECT station, elev, s.lon, s.lat FROM stations s)"
 DIST = f"dist AS (SELECT s.station AS a, c.station AS b, {FAR} AS metres FROM stations s, stations c)"
 SMALL_DIST = f"few AS (SELECT * FROM stations WHERE station < 10), dist AS (SELECT s.station AS a, c.station AS b, {FAR} AS metres FROM few s, few c)"
 
@@ -22,10 +23,6 @@ def cells(t: Tables) -> DataFrame:
     return t.grid.select("i", "j", "lon", "lat").distinct()
 
 
-def near(t: Tables) -> DataFrame:
-    return t.stations.filter("lon <= -69.6 AND lat <= -30.2")
-
-
 def few(t: Tables) -> DataFrame:
     """The stations of the readings, which are numbered 0 to 9."""
     return t.stations.join(t.obs.select("station").distinct(), "station", "left_semi")
@@ -33,7 +30,7 @@ def few(t: Tables) -> DataFrame:
 
 @query("j15_nearest_cell", f"{CELLS}, d AS (SELECT station, i, j, {FAR} AS metres FROM near s, cells c WHERE abs(s.lon - c.lon) < 1 AND abs(s.lat - c.lat) < 1) SELECT station, i, j, metres FROM d WHERE metres < 30000 QUALIFY row_number() OVER (PARTITION BY station ORDER BY round(metres, 6), i, j) = 1", "metres")
 def _(t: Tables) -> DataFrame:
-    return grid.nearest_cell(near(t), cells(t)).filter("metres < 30000")
+    return grid.nearest_cell(t.stations, cells(t), 30000)
 
 
 @query("j16_nearest_axes", "SELECT station, floor((lat + 32) / 0.05::DOUBLE + 0.5)::BIGINT AS i, floor((lon + 72) / 0.05::DOUBLE + 0.5)::BIGINT AS j FROM stations")
@@ -48,7 +45,7 @@ OFF = "off AS (SELECT station, lon + 0.0131 AS lon, lat + 0.0177 AS lat FROM nea
 
 
 def off(t: Tables) -> DataFrame:
-    return near(t).select("station", (F.col("lon") + 0.0131).alias("lon"), (F.col("lat") + 0.0177).alias("lat"))
+    return t.stations.select("station", (F.col("lon") + 0.0131).alias("lon"), (F.col("lat") + 0.0177).alias("lat"))
 
 
 @query("j17_cell_of_station", f"{CELLS}, {SQUARE}, {OFF} SELECT station, i, j FROM off JOIN sq ON lon BETWEEN x00 AND x00 + 0.05 AND lat BETWEEN y00 AND y00 + 0.05")
@@ -76,7 +73,18 @@ def _(t: Tables) -> DataFrame:
 
 @query("j22_nearest_interpolation", f"{CELLS}, d AS (SELECT station, i, j, {FAR} AS metres FROM near s, cells c WHERE abs(s.lon - c.lon) < 1 AND abs(s.lat - c.lat) < 1), n AS (SELECT station, i, j FROM d WHERE metres < 30000 QUALIFY row_number() OVER (PARTITION BY station ORDER BY round(metres, 6), i, j) = 1) SELECT station, d, v FROM grid JOIN n USING (i, j)", "v")
 def _(t: Tables) -> DataFrame:
-    return t.grid.join(grid.nearest_cell(near(t), cells(t)).filter("metres < 30000"), ["i", "j"]).select("station", "d", "v")
+    return t.grid.join(grid.nearest_cell(t.stations, cells(t), 30000), ["i", "j"]).select("station", "d", "v")
+
+
+@query("j29_monthly_totals", f"{CELLS}, d AS (SELECT station, i, j, {FAR} AS metres FROM near s, cells c WHERE abs(s.lon - c.lon) < 1 AND abs(s.lat - c.lat) < 1), n AS (SELECT station, i, j FROM d WHERE metres < 30000 QUALIFY row_number() OVER (PARTITION BY station ORDER BY round(metres, 6), i, j) = 1), a AS (SELECT station, h // 86400 - 19723 AS d, sum(v) / 10 AS x FROM seen GROUP BY ALL), m AS (SELECT station, DATE '2024-01-01' + d::INT AS day, x, v * 1000 AS y FROM a JOIN n USING (station) JOIN grid USING (i, j, d)) SELECT station, (year(day) * 12 + month(day))::BIGINT AS month, sum(x) AS x, sum(y) AS y FROM m GROUP BY ALL", "x y")
+def _(t: Tables) -> DataFrame:
+    """Monthly station totals beside those of the nearest cell, on the days that both have."""
+    at = grid.nearest_cell(t.stations, cells(t), 30000).select("station", "i", "j")
+    stations = t.seen.groupBy("station", F.expr("h DIV 86400 - 19723").alias("d")).agg((F.sum("v") / 10).alias("x"))
+    model = t.grid.join(at, ["i", "j"]).select("station", "d", (F.col("v") * 1000).alias("y"))
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.col("d").cast("int"))
+    month = (F.year(day) * 12 + F.month(day)).cast("long").alias("month")
+    return complete_pairs(stations, model, ["station", "d"]).groupBy("station", month).agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
 
 
 @query("j23_distances", f"{DIST} SELECT a, b, metres FROM dist", "metres")
@@ -96,7 +104,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("j25_sea_classes", f"{CELLS}, w AS (SELECT * FROM cells WHERE (i * 3 + j) % 5 = 0) SELECT station, coalesce(bool_or({FAR} <= 5000), FALSE) AS coast FROM near s LEFT JOIN w c ON abs(s.lon - c.lon) < 0.2 AND abs(s.lat - c.lat) < 0.2 GROUP BY station")
 def _(t: Tables) -> DataFrame:
-    return grid.sea_classes(near(t), cells(t), sea=(F.col("i") * 3 + F.col("j")) % 5 == 0)
+    return grid.sea_classes(t.stations, cells(t), sea=(F.col("i") * 3 + F.col("j")) % 5 == 0)
 
 
 #: Profiles: one a station and field, levels being the ranks of its hours in the first days.
@@ -259,7 +267,7 @@ def local_rows(t: Tables) -> DataFrame:
 
 @query("r5_local_regression", f"{SMALL_DIST}, r AS (SELECT station AS b, t // 604800 AS chunk, (sensor % 17)::DOUBLE AS x, v AS y FROM obs WHERE field = 'view'), s AS (SELECT a AS station, chunk, count(*) AS n, sum(w) AS w, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy FROM r JOIN (SELECT a, b, exp(-pow(metres / 60000, 2)) AS w FROM dist WHERE metres < 120000) d ON d.b = r.b GROUP BY ALL HAVING count(*) >= 5), f AS (SELECT *, (w * sxy - sx * sy) / (w * sxx - sx * sx) AS slope FROM s) SELECT station, chunk, n, slope, (sy - slope * sx) / w AS icpt FROM f", "slope icpt")
 def _(t: Tables) -> DataFrame:
-    return regress.local_regression(local_rows(t), grid.distances(few(t)), "station", ["chunk"], "x", "y", 120000.0, regress.gaussian(60000.0))
+    return regress.local_regression(local_rows(t), grid.distances(few(t), within=120_000), "station", ["chunk"], "x", "y", 120000.0, regress.gaussian(60000.0))
 
 
 @query("r6_laplacian", rounds="slope icpt")
@@ -310,8 +318,8 @@ def _(t: Tables) -> DataFrame:
 @query("r11_r12_horizon", rounds="angle metres")
 def _(t: Tables) -> DataFrame:
     terrain = cells(t).withColumn("elev", 1000 + 500 * F.sin(F.col("i")) + 300 * F.cos(F.col("j")))
-    rim = grid.horizon(near(t), terrain, 100_000.0, 36, degrees=1.0)
-    sun = near(t).select("station", F.lit(0.05).alias("mu")).withColumn("azimuth", F.explode(F.array(F.lit(35.0), F.lit(125.0), F.lit(275.0))))
+    rim = grid.horizon(t.stations, terrain, 100_000.0, 36)
+    sun = t.stations.select("station", F.lit(0.05).alias("mu")).withColumn("azimuth", F.explode(F.array(F.lit(35.0), F.lit(125.0), F.lit(275.0))))
     hit = grid.blocked(sun, rim, 36).groupBy("station").agg(F.sum(F.col("blocked").cast("long")).alias("hits"))
     return rim.join(hit, "station")
 

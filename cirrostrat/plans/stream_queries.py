@@ -84,9 +84,9 @@ def _(t: Tables) -> DataFrame:
     return out.select("sensor", F.col("ts").cast("long").alias("t"), "change")
 
 
-@query("i7_not_validated", "e AS (SELECT DISTINCT f.start FROM fcst f JOIN seen s ON s.station = f.station AND s.h = f.valid WHERE f.station = 3) SELECT DISTINCT start, min(start) OVER () AS earliest FROM (SELECT DISTINCT start FROM fcst WHERE start NOT IN (SELECT start FROM e WHERE start % 172800 = 0))")
+@query("i7_not_validated", "e AS (SELECT DISTINCT f.start FROM fcst f JOIN seen s ON s.station = f.station AND s.h = f.valid) SELECT DISTINCT start, min(start) OVER () AS earliest FROM (SELECT DISTINCT start FROM fcst WHERE start NOT IN (SELECT start FROM e WHERE start % 172800 = 0))")
 def _(t: Tables) -> DataFrame:
-    done = t.fcst.filter("station = 3 AND start % 172800 = 0").join(t.seen.select("station", F.col("h").alias("valid")), ["station", "valid"])
+    done = t.fcst.filter("start % 172800 = 0").join(t.seen.select("station", F.col("h").alias("valid")), ["station", "valid"])
     return incremental.not_validated(t.fcst, done)
 
 

@@ -79,7 +79,7 @@ def soundings(spark: SparkSession, path: str) -> DataFrame:
     one long archive is read by many tasks."""
     records = spark.read.option("lineSep", "\n#").text(path).select(F.ltrim(F.col("value"), F.lit("#")).alias("value")).filter(F.trim("value") != "")
     parts = records.select(F.split(F.regexp_replace("value", r"\s+$", ""), "\n").alias("rows"))
-    head = parts.select(*fixed_width(F.col("rows")[0], HEADER), F.posexplode(F.slice("rows", 2, 100000)).alias("at", "line"))
+    head = parts.select(*fixed_width(F.col("rows")[0], HEADER), F.posexplode(F.slice("rows", F.lit(2), F.size("rows"))).alias("at", "line"))
     ts = F.try_make_timestamp("year", "month", "day", F.when(F.col("hour") == 99, 0).otherwise(F.col("hour")), F.lit(0), F.lit(0.0))
     out = head.select("station", ts.alias("ts"), "at", *fixed_width(F.col("line"), LEVEL))
     number = [n for n, _, _, kind in LEVEL if kind == "double"]

@@ -102,7 +102,7 @@ def stateful_steps(stream: DataFrame, key: str, ts: str, value: str, minutes: in
 def not_validated(forecasts: DataFrame, errors: DataFrame, start: str = "start") -> DataFrame:
     """Run starts of forecasts without errors, and which is the earliest."""
     left = forecasts.select(start).distinct().join(errors.select(start).distinct(), start, "left_anti")
-    return left.withColumn("earliest", F.min(start).over(Window.partitionBy()))
+    return left.join(F.broadcast(left.agg(F.min(start).alias("earliest"))))  # one row
 
 
 def restarted(spark: SparkSession, runs: DataFrame, done_path: str, process: Callable[[DataFrame], DataFrame], start: str = "start") -> int:

@@ -260,3 +260,94 @@ def test_humidity_round_trip(spark):
     t, p = F.lit(290.0), F.lit(95000.0)
     back = physics.relative_humidity(physics.mixing_ratio(F.lit(55.0), t, p), t, p)
     assert spark.range(1).select(back).first()[0] == pytest.approx(55.0)
+
+
+def test_a_long_record_is_shared_by_all_its_bins(spark):
+    # Three hours up to 04:00 and 90 minutes up to 06:15: every bin touched has its seconds.
+    df = spark.createDataFrame([("a", 14400, 6.0), ("a", 22500, 3.0)], "s string, t long, v double").withColumn("len", F.when(F.col("t") == 14400, 10800).otherwise(5400))
+    got = rows(binning.pieces(df, "t", F.col("len"), 3600), "t", "bin", "weight", "most")
+    assert got == [(14400, 3600, 3600, True), (14400, 7200, 3600, True), (14400, 10800, 3600, True), (22500, 14400, 900, False), (22500, 18000, 3600, True), (22500, 21600, 900, False)]
+    out = {r.bin: (r.ave, r["min"]) for r in binning.weighted_bins(df, ["s"], "t", F.col("len"), ave="v", low="v", high="v", label="start").collect()}
+    assert out == {3600: (6.0, 6.0), 7200: (6.0, 6.0), 10800: (6.0, 6.0), 14400: (3.0, None), 18000: (3.0, 3.0), 21600: (3.0, None)}
+
+
+def test_distances_across_the_date_line_and_near_poles(spark):
+    spots = [(1, 179.99, -20.0), (2, -179.99, -20.0), (3, 0.0, 89.9), (4, 180.0, 89.9), (5, 10.0, -79.0), (6, 12.0, -79.0), (7, 15.0, 0.0)]
+    df = spark.createDataFrame(spots, "station long, lon double, lat double")
+    near = rows(grid.distances(df, within=50_000).filter("a < b"), "a", "b")
+    full = rows(grid.distances(df).filter("a < b AND metres <= 50000"), "a", "b")
+    assert near == full == [(1, 2), (3, 4), (5, 6)]
+    rng = np.random.default_rng(3)
+    many = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(zip(rng.uniform(-180, 180, 300), np.degrees(np.arcsin(rng.uniform(-1, 1, 300)))))], "station long, lon double, lat double")
+    for within in (200_000, 1_500_000):
+        assert rows(grid.distances(many, within=within), "a", "b") == rows(grid.distances(many).filter(f"metres <= {within}"), "a", "b")
+
+
+def test_nearest_cell_is_found_however_far(spark):
+    rng = np.random.default_rng(4)
+    cells = spark.createDataFrame([(i, j, -179.0 + 2.5 * j, -60 + 2.5 * i) for i in range(12) for j in range(12)], "i long, j long, lon double, lat double")
+    st = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(zip(rng.uniform(-180, 180, 40), rng.uniform(-89, 89, 40)))], "station long, lon double, lat double")
+    far = geo.haversine(F.col("s.lon"), F.col("s.lat"), F.col("c.lon"), F.col("c.lat"))
+    want = st.alias("s").join(cells.alias("c"), how="cross").groupBy("s.station").agg(F.min(F.round(far, 3)).alias("metres"))
+    assert rows(grid.nearest_cell(st, cells).withColumn("metres", F.round("metres", 3)), "station", "metres") == rows(want, "station", "metres")
+    assert grid.nearest_cell(st, cells.filter("false")).count() == 0
+
+
+def test_horizon_finds_far_terrain_at_any_latitude(spark):
+    st = spark.createDataFrame([(1, 10.0, 60.0, 100.0), (2, 179.9, -70.0, 0.0)], "station long, lon double, lat double, elev double")
+    terrain = spark.createDataFrame([(10.0, 60.54, 1000.0), (11.53, 60.0, 1000.0), (-178.0, -70.0, 500.0), (10.0, 62.0, 9000.0)], "lon double, lat double, elev double")
+    got = {(r.station, r.sector): (r.angle, r.metres) for r in grid.horizon(st, terrain, 100_000, 4).collect()}
+    assert {station for station, _ in got} == {1, 2} and all(metres < 100_000 for _, metres in got.values())
+    assert max(a for (s, _), (a, _) in got.items() if s == 1) == pytest.approx(np.degrees(np.arctan(900 / 60045)), abs=2e-3)
+    sun = spark.createDataFrame([(1, 0.0, 0.001), (1, 0.0, 0.5), (1, 200.0, 0.001)], "station long, azimuth double, mu double")
+    assert rows(grid.blocked(sun, grid.horizon(st, terrain, 100_000, 4), 4), "azimuth", "mu", "blocked") == [(0.0, 0.001, True), (0.0, 0.5, False), (200.0, 0.001, False)]
+
+
+def test_robust_line_and_clusters(spark):
+    pts = [("a", float(x), 2.0 * x + 1) for x in range(20)] + [("a", 5.5, 400.0), ("a", 7.5, -300.0)]
+    fit = regress.ransac_fit(spark.createDataFrame(pts, "k string, x double, y double"), ["k"], "x", "y").first()
+    assert (fit.slope, fit.icpt) == (pytest.approx(2.0), pytest.approx(1.0))
+    curves = [(k, h, (np.sin(h) if k < 5 else np.cos(h)) + k) for k in range(10) for h in range(8)]
+    got = dict(rows(regress.clustered_curves(spark.createDataFrame([(k, h, float(v)) for k, h, v in curves], "k long, h long, v double"), "k", "h", "v", list(range(8)), 2), "k", "cluster"))
+    assert len({got[k] for k in range(5)}) == len({got[k] for k in range(5, 10)}) == 1 and got[0] != got[5]
+
+
+def test_masks_hold_their_share_and_lengths(spark):
+    df = spark.range(40_000).select((F.col("id") % 20).alias("p"), F.expr("id DIV 20").alias("t"))
+    one = eof.random_mask(df, ["p", "t"], 0.2)
+    assert one.filter("masked").count() == pytest.approx(8000, rel=0.06)
+    assert rows(one, "p", "t", "masked") == rows(eof.random_mask(df.repartition(7), ["p", "t"], 0.2), "p", "t", "masked")
+    blocks = eof.block_mask(df, "p", "t", 0.1, 30)
+    masked = blocks.filter("masked").count()
+    assert masked == pytest.approx(4000, rel=0.4)
+    runs = {}
+    for p, t in rows(blocks.filter("masked"), "p", "t"):
+        runs.setdefault(p, []).append(t)
+    lengths = [len(x) for ts in runs.values() for x in np.split(np.array(ts), np.flatnonzero(np.diff(ts) > 1) + 1)]
+    assert 15 < np.mean(lengths) < 60
+
+
+def test_turned_components(spark):
+    df = spark.createDataFrame([(t, c, float(t * 3 + c)) for t in range(4) for c in range(2)], "t long, component int, score double")
+    turn = np.array([[0.0, 1.0], [-1.0, 0.0]])
+    assert rows(eof.rotated(df, turn, ["t"], "score"), "t", "component", "score") == [(t, c, float(-(t * 3 + 1) if c == 0 else t * 3)) for t in range(4) for c in range(2)]
+
+
+def test_season_and_local_parabola_are_taken_out(spark):
+    hour = 3600
+    line = [("a", h * hour, 5.0) for h in range(0, 24 * 120, 6)]
+    flat = windows.deseasonalised(spark.createDataFrame(line, "k string, t long, v double"), ["k"], "t", "v")
+    assert max(abs(r.v) for r in flat.collect()) < 1e-9
+    curve = spark.createDataFrame([("a", s, (s / 1e4) ** 2 - s / 1e4 + 3) for s in range(0, 100_000, 500)], "k string, t long, v double")
+    at = spark.createDataFrame([("a", s) for s in (30_000, 52_000, 71_000)], "k string, s long")
+    for _, s, got in rows(windows.local_polynomial(curve, ["k"], "t", "v", at, 3000), "k", "s", "smooth"):
+        assert got == pytest.approx((s / 1e4) ** 2 - s / 1e4 + 3, abs=1e-6)
+
+
+def test_soundings_of_any_length_are_read_whole(spark, tmp_path):
+    from cirrostrat.sources import text
+
+    level = "20 -9999  50000   100    50  -9999   -50   180    20"
+    head = "#SND00000001 2020 01 02 00 2300 9999"
+    (tmp_path / "s.txt").write_text("\n".join([head, *[level] * 100_500, head, level]) + "\n")
+    assert text.soundings(spark, str(tmp_path)).count() == 100_501
