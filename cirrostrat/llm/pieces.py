@@ -168,7 +168,7 @@ _caches: dict[tuple[str, str], tuple[Vocabulary, Cache]] = {}
 def _loaded(path: str, kind: str) -> tuple[Vocabulary, Cache]:
     if (path, kind) not in _caches:
         vocabulary = Vocabulary(path, kind)
-        _caches[path, kind] = vocabulary, Cache(lambda units: vocabulary.words([u.decode().replace(" ", MARK) for u in units]), bound=800_000)
+        _caches[path, kind] = vocabulary, Cache(lambda units: vocabulary.words([u.decode().replace(" ", MARK) for u in units]))
     return _caches[path, kind]
 
 
@@ -209,7 +209,7 @@ def encode_documents(docs: DataFrame, path: str, kind: str = "bpe", *, text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, t in runs(marked(batch.column(text_col)), 4 << 20):
+            for i, j, t in runs(marked(batch.column(text_col)), 2 << 20):
                 ids, offsets = encode_marked(t, path, kind)
                 data, at = decode_marked(ids, offsets, path, kind)
                 if np.array_equal(data, t.data) and np.array_equal(at, t.offsets):
