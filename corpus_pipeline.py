@@ -1,6 +1,10 @@
 """The corpus pipeline: quality rules, near-duplicate removal, mixing, and pieces.
 
-Each stage is written as Parquet and read again. It is rebuilt from its input if it fails; no stage keeps state elsewhere."""
+Each stage is written as Parquet and read again. It is rebuilt from its input if it fails; no stage keeps state elsewhere.
+
+Nulls: a document without text or words fails the quality rules; one without host is judged by its own measures; one without id is never a
+duplicate, and is drawn like any other. Repeated rows become one at the second stage (without id, they stay). Ties go to the smallest id.
+An empty table gives none at each stage. Further columns stay, whatever their names, up to the last stage, which returns them beside the pieces."""
 
 from __future__ import annotations
 
@@ -16,7 +20,7 @@ from cirrostrat.runtime import stash, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the rules, or whose host fails them too often, go."""
+    """Documents that fail the rules go, as do those with more symbols than their host's rate of failures allows, and all of a host over half of which fails."""
     return keep_documents(docs)
 
 
@@ -27,9 +31,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document comes as often as the mix takes it; what the mix doesn't take goes."""
-    times = F.col("mix.epochs") + F.col("mix.drawn").cast("long")
-    mixed = mix_sources(docs).withColumn("mix", times).filter("mix > 0")
-    return mixed.withColumn("mix", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix")))).drop("mix")
+    mix = "mix"
+    while mix in docs.columns:
+        mix += "_"
+    times = F.col(f"{mix}.epochs") + F.col(f"{mix}.drawn").cast("long")
+    mixed = mix_sources(docs, out=mix).withColumn(mix, times).filter(F.col(mix) > 0)
+    return mixed.withColumn(mix, F.explode(F.sequence(F.lit(1).cast("long"), F.col(mix)))).drop(mix)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
