@@ -56,8 +56,8 @@ def test_stages_take_odd_documents(spark, sf):
         df = df.withColumn(c, F.lit("x"))
     for name, stage in corpus_pipeline.STAGES:
         out, none = stage(spark, df, sf), stage(spark, df.filter("false"), sf)
-        assert none.count() == 0 and out.count() > 0
-        assert name == "pieces" or set(out.columns) == set(df.columns) - ({"mix"} if name == "mixing" else set())
+        assert none.count() == 0 and (out.count() > 0) == (name != "quality_rules")  # more than half of each host's rows fail
+        assert name == "pieces" or out.columns == df.columns
 
 
 def test_one_of_each_group_stays(stages):
