@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cirrostrat.functions.stats import sample_kurtosis, sample_skewness, t_tail
 from cirrostrat.functions.times import floor_to, season_start, seconds, water_year
@@ -263,11 +266,56 @@ def gaussian_mean(df: DataFrame, keys: Sequence[str], distance: Column, value: s
     return df.groupBy(*keys).agg((F.sum(w * F.col(value)) / F.sum(w)).alias("mean"))
 
 
+def cross_sums(df: DataFrame, place: str, time: str, value: str, places: int = 512, times: int = 1024, centre: bool = False) -> DataFrame:
+    """(a, b, n, sxy, sx, sy) of all pairs of places with a <= b: sums over their common times, of values less the mean of all finite ones if
+    `centre`, so that large values lose few digits. NaN and infinite values make the sums NaN.
+
+    Places are dealt into blocks and times into buckets; the task of a bucket and two blocks multiplies matrices of about `times` by
+    `places`, so that the shuffle after it holds a row for each pair and bucket, not for each pair and time."""
+    x = df.filter(F.col(value).isNotNull() & F.col(place).isNotNull() & F.col(time).isNotNull())
+    x = x.select(F.col(place).alias("_p"), F.xxhash64(F.col(time)).alias("_h"), F.col(time).alias("_t"), F.col(value).cast("double").alias("_x"))
+    n_places, n_times, mean = x.agg(F.approx_count_distinct("_p"), F.approx_count_distinct("_t"), F.avg(F.when(F.abs("_x") < float("inf"), F.col("_x")))).first()
+    if centre and mean is not None:
+        x = x.withColumn("_x", F.col("_x") - mean)
+    blocks, buckets = n_places // places + 1, n_times // times + 1
+    x = x.withColumn("_k", F.pmod(F.xxhash64("_p"), F.lit(blocks)).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    x = x.select("_p", "_t", "_x", "_k", F.pmod("_h", F.lit(buckets)).alias("_bucket"), F.least("_k", "_other").alias("_i"), F.greatest("_k", "_other").alias("_j"))
+    kind = x.schema["_p"].dataType
+    numbers = [T.StructField(c, T.DoubleType()) for c in ("n", "sxy", "sx", "sy")]
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), *numbers])
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        p, t = (rows.column(c).combine_chunks().dictionary_encode() for c in ("_p", "_t"))
+        shape = len(t.dictionary), len(p.dictionary)
+        cell = t.indices.to_numpy().astype(np.int64) * shape[1] + p.indices.to_numpy()
+        v, k = rows.column("_x").to_numpy(), rows.column("_k").to_numpy()
+        finite = np.isfinite(v)
+        dense = lambda w: np.bincount(cell, w, shape[0] * shape[1]).reshape(shape)
+        s, c, odd = dense(np.where(finite, v, 0.0)), dense(np.ones(len(v))), dense(~finite)
+        block = np.zeros(shape[1], k.dtype)
+        block[p.indices.to_numpy()] = k
+        i, j = key[1].as_py(), key[2].as_py()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        n = c[:, left].T @ c[:, right]
+        met = n > 0
+        if i == j:
+            met &= np.triu(np.ones(n.shape, bool))
+        a, b = np.nonzero(met)
+        sums = [s[:, left].T @ s[:, right], s[:, left].T @ c[:, right], c[:, left].T @ s[:, right]]
+        if odd.any():
+            bad = odd[:, left].T @ c[:, right] + c[:, left].T @ odd[:, right] > 0
+            sums = [np.where(bad, np.nan, x) for x in sums]
+        return pa.Table.from_arrays([p.dictionary.take(pa.array(left[a])), p.dictionary.take(pa.array(right[b])), *(pa.array(x[met]) for x in (n, *sums))], names=schema.names)
+
+    pairs = x.groupBy("_bucket", "_i", "_j").applyInArrow(run, schema).withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b"), "sx": F.when(F.col("a") <= F.col("b"), F.col("sx")).otherwise(F.col("sy")), "sy": F.when(F.col("a") <= F.col("b"), F.col("sy")).otherwise(F.col("sx"))})
+    return pairs.groupBy("a", "b").agg(F.sum("n").cast("long").alias("n"), *(F.sum(c).alias(c) for c in ("sxy", "sx", "sy")))
+
+
 def covariance(df: DataFrame, place: str, time: str, value: str, scale: Column | None = None) -> DataFrame:
-    """(a, b, n, cov) of all pairs of places with a <= b, over their common times."""
-    x = df.filter(F.col(value).isNotNull()).select(F.col(place).alias("a"), F.col(time).alias("_t"), F.col(value).alias("_x"))
-    y = x.select(F.col("a").alias("b"), "_t", F.col("_x").alias("_y"))
-    pairs = x.join(y, "_t").filter("a <= b").groupBy("a", "b").agg(F.count("*").alias("n"), F.covar_samp("_x", "_y").alias("cov"))
+    """(a, b, n, cov) of all pairs of places with a <= b, over their common times; null for a single one."""
+    sums = cross_sums(df, place, time, value, centre=True)
+    n = F.col("n")
+    pairs = sums.select("a", "b", "n", F.when(n > 1, (F.col("sxy") - F.col("sx") * F.col("sy") / n) / (n - 1)).alias("cov"))
     return pairs if scale is None else pairs.withColumn("cov", F.col("cov") * scale)
 
 

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cirrostrat.operators.aggregate import covariance
+from cirrostrat.operators.aggregate import covariance, cross_sums
 from cirrostrat.runtime import stash
 
 log = logging.getLogger(__name__)
@@ -78,9 +78,7 @@ def fill_gaps(df: DataFrame, place: str, time: str, value: str, k: int, rounds:
     current, last = base.withColumn("_y", F.coalesce("_x", F.lit(0.0))), None
     kind = dict(df.dtypes)[place]
     for n in range(rounds):
-        x = current.select(F.col(place).alias("a"), F.col(time).alias("_t"), F.col("_y").alias("_p"))
-        y = current.select(F.col(place).alias("b"), F.col(time).alias("_t"), F.col("_y").alias("_q"))
-        cov = x.join(y, "_t").filter("a <= b").groupBy("a", "b").agg(F.sum(F.expr("_p * _q")).alias("cov"))
+        cov = cross_sums(current, place, time, "_y").select("a", "b", F.col("sxy").alias("cov"))
         places, _, vectors = eigenvectors(stash(cov, "cov"), k, max_series)
         weights = df.sparkSession.createDataFrame([(p, v) for p, v in zip(places, vectors.tolist())], f"{place} {kind}, _v array<double>")
         met = current.join(weights, place)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -137,17 +138,48 @@ def ricker_weights(width: int, reach: int = 5) -> list[float]:
     return [norm * (1 - (x / width) ** 2) * math.exp(-((x / width) ** 2) / 2) for x in range(-reach * width, reach * width + 1)]
 
 
-def fir(df: DataFrame, keys: Sequence[str], index: str, value: str, kernels: dict[str, list[float]], renormalise: bool = True) -> DataFrame:
+def fir(df: DataFrame, keys: Sequence[str], index: str, value: str, kernels: dict[str, list[float]], renormalise: bool = True, chunk: int = 8192) -> DataFrame:
     """(keys, index, kernel, filtered): centred filters of an evenly spaced series. `index` counts samples. Null and missing samples
-    take no part, and what is left is divided by the sum of its weights, so that edges are handled too."""
-    spark = df.sparkSession
-    taps = spark.createDataFrame([(k, i - len(w) // 2, float(x)) for k, w in kernels.items() for i, x in enumerate(w)], "kernel string, offset long, weight double")
-    spread = df.filter(F.col(value).isNotNull()).join(F.broadcast(taps), how="cross")  # taps: as many rows as the kernels are long
-    spread = spread.select(*keys, (F.col(index) - F.col("offset")).alias(index), "kernel", (F.col("weight") * F.col(value)).alias("_wv"), "weight")
-    sums = spread.groupBy(*keys, index, "kernel").agg(F.sum("_wv").alias("filtered"), F.sum("weight").alias("_w"))
-    if renormalise:
-        sums = sums.withColumn("filtered", F.try_divide("filtered", "_w"))
-    return sums.drop("_w").join(df.select(*keys, index).distinct(), [*keys, index], "left_semi")
+    take no part, and what is left is divided by the sum of its weights, so that edges are handled too. Samples at one index add up.
+
+    A series is cut into chunks of many samples that overlap by the reach of the kernels, so that a row moves once (twice near a cut)
+    however many taps there are, and a long series is shared among tasks."""
+    reach = max(map(len, kernels.values()))
+    size = max(chunk, 4 * reach)
+    at = F.col(index)
+    spread = df.filter(at.isNotNull()).select(*keys, at.cast("long").alias("_i"), F.col(value).cast("double").alias("_v"))
+    near = F.sequence(F.floor((F.col("_i") - reach) / size), F.floor((F.col("_i") + reach) / size))
+    spread = spread.withColumn("_chunk", F.explode(near))
+    fields = {f.name: f for f in df.schema.fields}
+    schema = T.StructType([*(fields[k] for k in keys), T.StructField("_i", T.LongType()), T.StructField("kernel", T.StringType()), T.StructField("filtered", T.DoubleType())])
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        *group, number = key
+        first = number.as_py() * size
+        i = rows.column("_i").to_numpy() - (first - reach)
+        here = rows.column("_v").is_valid().to_numpy()
+        v = rows.column("_v").fill_null(0.0).to_numpy()
+        width = size + 2 * reach
+        sums, counts = (np.bincount(i[here], x, width) for x in (v[here], np.ones(here.sum())))
+        wanted = np.unique(i) - reach
+        wanted = wanted[(wanted >= 0) & (wanted < size)]
+        out = []
+        for name, weights in kernels.items():
+            left = reach - len(weights) // 2
+            of = lambda x, w: np.correlate(x[left : left + size + len(w) - 1], w, "valid")[wanted]
+            w = np.array(weights, float)
+            filtered, reached = of(sums, w), of(counts, np.ones(len(w))) > 0.5
+            if renormalise:
+                total = of(counts, w)
+                reached_sum = total != 0
+                filtered = np.divide(filtered, total, out=np.zeros(len(total)), where=reached_sum)
+            k, n = wanted[reached], int(reached.sum())
+            values = pa.array(filtered[reached], mask=~reached_sum[reached] if renormalise else None)
+            out.append(pa.Table.from_arrays([*(pa.repeat(g, n) for g in group), pa.array(k + first), pa.array([name] * n, pa.string()), values], names=schema.names))
+        return pa.concat_tables(out)
+
+    filtered = spread.groupBy(*keys, "_chunk").applyInArrow(run, schema)
+    return filtered.select(*keys, F.col("_i").cast(fields[index].dataType).alias(index), "kernel", "filtered")
 
 
 def local_extrema(df: DataFrame, keys: Sequence[str], ts: str, value: str, order: int, minima: bool = True) -> DataFrame:

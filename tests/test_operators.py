@@ -127,6 +127,46 @@ def test_filters_keep_a_constant_and_pass_gaps(spark):
     assert out.count() == 20 and all(abs(r.filtered - 5) < 1e-9 for r in out.collect())
 
 
+@pytest.mark.parametrize("renormalise", [True, False])
+def test_filters_of_chunks_agree_with_brute_force(spark, renormalise):
+    rng = np.random.default_rng(1)
+    data = [(k, int(i), None if i % 11 == 0 else float(x)) for k in ("a", None) for i, x in zip(range(-40, 90), rng.normal(size=130)) if i % 13 and not 30 < i < 52]
+    data.append(("a", 5, 2.0))  # a second sample at one index
+    df = spark.createDataFrame(data, "k string, i int, v double")
+    kernels = {"odd": [0.5, 1.0, -0.25], "even": [1.0, 2.0, 3.0, -4.0]}
+    want = {}
+    for k in ("a", None):
+        for name, w in kernels.items():
+            for at in {i for q, i, _ in data if q == k}:
+                hits = [(w[i - at + len(w) // 2], v) for q, i, v in data if q == k and v is not None and 0 <= i - at + len(w) // 2 < len(w)]
+                total = sum(x for x, _ in hits) if renormalise else 1.0
+                if hits:
+                    want[k, at, name] = sum(x * v for x, v in hits) / total if total else None
+    out = windows.fir(df, ["k"], "i", "v", kernels, renormalise, chunk=17)
+    got = {(r.k, r.i, r.kernel): r.filtered for r in out.collect()}
+    assert out.columns == ["k", "i", "kernel", "filtered"] and got.keys() == want.keys() and len(got) == out.count()
+    assert all(got[x] is None if want[x] is None else got[x] == pytest.approx(want[x]) for x in want)
+    assert windows.fir(df.limit(0), ["k"], "i", "v", kernels).count() == 0
+
+
+def test_covariance_of_blocks_agrees_with_the_self_join(spark):
+    rng = np.random.default_rng(2)
+    data = [(f"p{p}", t, float(x)) for t in range(40) for p, x in enumerate(rng.normal(size=9) + 1e6) if (t * 7 + p) % 5]
+    data += [("p1", 3, 7.0), ("p1", 3, 8.0), ("p2", 4, float("nan")), ("p3", 5, None), ("once", 1, 2.0), ("alone", 99, 1.0)]
+    df = spark.createDataFrame(data, "s string, t long, v double")
+    x = df.filter("v IS NOT NULL")
+    want = x.alias("x").join(x.alias("y"), "t").filter("x.s <= y.s").groupBy(F.col("x.s").alias("a"), F.col("y.s").alias("b"))
+    want = {(r.a, r.b): r for r in want.agg(F.count("*").alias("n"), F.covar_samp("x.v", "y.v").alias("cov")).collect()}
+    sums = {(r.a, r.b): r for r in aggregate.cross_sums(df, "s", "t", "v", places=3, times=8).collect()}
+    assert {k: r.n for k, r in sums.items()} == {k: r.n for k, r in want.items()}
+    assert sums["p0", "p5"].sx == pytest.approx(sum(a for s, t, a in data if s == "p0" and any(q == "p5" and u == t for q, u, _ in data)))
+    got = {(r.a, r.b): r for r in aggregate.covariance(df, "s", "t", "v").collect()}
+    assert got.keys() == want.keys()
+    for k, r in want.items():
+        assert got[k].n == r.n and (got[k]["cov"] == pytest.approx(r["cov"], rel=1e-6, abs=1e-6, nan_ok=True) if r["cov"] is not None else got[k]["cov"] is None)
+    assert aggregate.covariance(df.limit(0), "s", "t", "v").count() == 0
+
+
 def test_interpolated_spine_and_merged_intervals(spark):
     df = spark.createDataFrame([("k", 0, 0.0), ("k", 30, 3.0)], "k string, t long, v double")
     assert rows(windows.regular(df, ["k"], "t", 10, "v", interpolate=True), "s", "v") == [(0, 0.0), (10, 1.0), (20, 2.0), (30, 3.0)]
