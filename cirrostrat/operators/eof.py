@@ -1,5 +1,5 @@
 """Principal components of many series, and filling of gaps with them. Spark makes the covariance matrix (D x D, D the number of
-series); it is solved on the driver, which `max_series` keeps to a bounded size."""
+series); up to `max_series` it is solved on the driver, and beyond by Spark jobs that multiply it by a few vectors."""
 
 from __future__ import annotations
 
@@ -7,11 +7,12 @@ import logging
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cirrostrat.operators.aggregate import covariance, cross_sums
-from cirrostrat.runtime import stash
+from cirrostrat.runtime import drop_stash, stash
 
 log = logging.getLogger(__name__)
 
@@ -21,23 +22,57 @@ def centred(df: DataFrame, place: str, value: str) -> DataFrame:
 
 
 def eigenvectors(cov: DataFrame, k: int, max_series: int = 3000) -> tuple[list, np.ndarray, np.ndarray]:
-    """Places in order, the k largest eigenvalues, and their vectors as columns, each with its largest entry positive; from pairs (a, b, cov)."""
-    n = cov.select("a").distinct().count()
-    if n > max_series:
-        raise ValueError(f"{n} series; at most {max_series} are solved on the driver")
-    rows = cov.select("a", "b", "cov").collect()
-    places = sorted({r.a for r in rows} | {r.b for r in rows})
+    """Places in order, the k largest eigenvalues, and their vectors as columns, each with its largest entry positive; from written pairs
+    (a, b, cov). Beyond `max_series` places the pairs stay in Spark, and the driver holds some 3 (k + 4) numbers for each place."""
+    places = sorted(r.a for r in cov.select("a").union(cov.select("b")).distinct().collect())
     at = {p: i for i, p in enumerate(places)}
-    m = np.zeros((len(places), len(places)))
-    for r in rows:
-        m[at[r.a], at[r.b]] = m[at[r.b], at[r.a]] = r["cov"] if r["cov"] is not None else 0.0
-    values, vectors = np.linalg.eigh(m)
+    if len(places) > max_series:
+        values, vectors = _leading(cov, at, k)
+    else:
+        m = np.zeros((len(places), len(places)))
+        rows = cov.select("a", "b", "cov").toArrow()
+        i, j = (np.array([at[p] for p in rows.column(c).to_pylist()], int) for c in ("a", "b"))
+        m[i, j] = m[j, i] = rows.column("cov").fill_null(0.0).to_numpy()
+        values, vectors = np.linalg.eigh(m)
     order = np.argsort(-values)[:k]
     vectors = vectors[:, order]
     vectors *= np.sign(vectors[np.abs(vectors).argmax(0), np.arange(vectors.shape[1])])
     return places, values[order], vectors
 
 
+def _leading(cov: DataFrame, at: dict, k: int, settled: float = 1e-9, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """The largest eigenvalues and their vectors by locally optimal block gradients: each round multiplies the pairs by a basis of the
+    vectors, their residuals and their last step, in one Spark job, and takes the best combination of the basis."""
+    spark, kind, d = cov.sparkSession, cov.schema["a"].dataType.simpleString(), len(at)
+
+    def product(basis: np.ndarray) -> np.ndarray:
+        v = spark.createDataFrame(pa.table({"b": list(at), "_v": basis.tolist()})).select(F.col("b").cast(kind), "_v")
+        both = cov.select("a", "b", "cov").unionByName(cov.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "cov"))
+        sums = both.join(v, "b").groupBy("a").agg(*(F.sum(F.col("cov") * F.col("_v")[c]).alias(f"_{c}") for c in range(basis.shape[1]))).toArrow()
+        out = np.zeros(basis.shape)
+        out[[at[p] for p in sums.column("a").to_pylist()]] = np.column_stack([sums.column(c + 1).fill_null(0.0).to_numpy() for c in range(basis.shape[1])])
+        return out
+
+    width = min(d, k + 4)
+    x = np.linalg.qr(np.random.default_rng(0).normal(size=(d, width)))[0]
+    cx, step = product(x), np.zeros((d, 0))
+    values = (x * cx).sum(0)
+    for n in range(rounds):
+        basis = np.linalg.qr(np.column_stack([x, cx - x * values, step]))[0]
+        times = product(basis)
+        best, mix = np.linalg.eigh(basis.T @ times)
+        mix, values = mix[:, ::-1][:, :width], best[::-1][:width]
+        new, cx = basis @ mix, times @ mix
+        x, step = new, new - x @ (x.T @ new)
+        miss = np.linalg.norm(cx - x * values, axis=0)[:k].max()
+        if miss <= settled * max(abs(values[0]), 1e-300):
+            log.info("components settled in round %d", n + 1)
+            break
+    else:
+        log.warning("components not settled after %d rounds, residual %g", rounds, miss)
+    return values, x
+
+
 def loadings(df: DataFrame, place: str, time: str, value: str, k: int, scale: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(place, component, weight) and (component, eigenvalue, explained): EOFs of the covariance over common times. `scale` (place, s) multiplies each series first."""
     if scale is not None:
@@ -71,22 +106,24 @@ def rms_difference(a: DataFrame, b: DataFrame, keys: Sequence[str], x: str, y: s
 
 def fill_gaps(df: DataFrame, place: str, time: str, value: str, k: int, rounds: int = 100, settled: float = 1e-6, max_series: int = 3000) -> DataFrame:
     """(place, time, value, filled): gaps from k components, refilled until the fit to what was observed stops changing. Each round is two
-    passes over a written table; the D x D problem is solved on the driver. Every (place, time) of `df` has a row, null where missing.
+    passes over a written table, and `eigenvectors` of the D x D sums. Every (place, time) of `df` has a row, null where missing.
     Rounds and the last loss are logged, as a warning if `rounds` ended before the fit had settled."""
     means = df.groupBy(place).agg(F.avg(value).alias("_mean"))
     base = stash(df.join(means, place).select(place, time, value, "_mean", (F.col(value) - F.col("_mean")).alias("_x")), "gaps")
     current, last = base.withColumn("_y", F.coalesce("_x", F.lit(0.0))), None
     kind = dict(df.dtypes)[place]
     for n in range(rounds):
-        cov = cross_sums(current, place, time, "_y").select("a", "b", F.col("sxy").alias("cov"))
-        places, _, vectors = eigenvectors(stash(cov, "cov"), k, max_series)
+        cov = stash(cross_sums(current, place, time, "_y").select("a", "b", F.col("sxy").alias("cov")), "cov")
+        places, _, vectors = eigenvectors(cov, k, max_series)
+        drop_stash(cov)
         weights = df.sparkSession.createDataFrame([(p, v) for p, v in zip(places, vectors.tolist())], f"{place} {kind}, _v array<double>")
         met = current.join(weights, place)
         score = met.groupBy(time).agg(*(F.sum(F.col("_y") * F.col("_v")[c]).alias(f"_s{c}") for c in range(vectors.shape[1])))
         rebuilt = sum((F.col(f"_s{c}") * F.col("_v")[c] for c in range(vectors.shape[1])), F.lit(0.0))
-        current = stash(met.join(score, time).select(place, time, value, "_mean", "_x", F.coalesce("_x", rebuilt).alias("_y"), rebuilt.alias("_r")), "filled")
-        loss = current.agg(F.avg(F.pow(F.col("_x") - F.col("_r"), F.lit(2)))).first()[0] or 0.0
-        current = current.drop("_r")
+        made = stash(met.join(score, time).select(place, time, value, "_mean", "_x", F.coalesce("_x", rebuilt).alias("_y"), rebuilt.alias("_r")), "filled")
+        drop_stash(base)
+        loss = made.agg(F.avg(F.pow(F.col("_x") - F.col("_r"), F.lit(2)))).first()[0] or 0.0
+        base, current = made, made.drop("_r")
         if n > 1 and last is not None and abs(last - loss) < settled:
             log.info("gaps settled in round %d, loss %g", n + 1, loss)
             break

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 
 import numpy as np
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cirrostrat.operators.aggregate import line_fit
-from cirrostrat.runtime import stash
+from cirrostrat.runtime import drop_stash, stash
+
+log = logging.getLogger(__name__)
 
 
 def standardised(df: DataFrame, place: str, value: str) -> DataFrame:
@@ -93,40 +96,73 @@ def local_regression(df: DataFrame, dist: DataFrame, place: str, chunk: Sequence
     return s.select(place, *chunk, "n", "slope", F.expr("(sy - slope * sx) / w").alias("icpt"))
 
 
-def laplacian_regression(df: DataFrame, dist: DataFrame, place: str, chunk: str, x: str, y: str, smooth: float, weight: object, max_unknowns: int = 5000) -> DataFrame:
+def laplacian_regression(df: DataFrame, dist: DataFrame, place: str, chunk: str, x: str, y: str, smooth: float, weight: object, max_unknowns: int = 2000) -> DataFrame:
     """(place, chunk, slope, icpt): one line per place and chunk, with slopes pulled together along a graph: places by `weight` of distance,
-    chunks with the next one. Spark sums centred squares per (place, chunk); the joint system of one unknown each is solved on the driver."""
-    sums = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(place, chunk).agg(F.regr_sxx(y, x).alias("sxx"), F.regr_sxy(y, x).alias("sxy"), F.avg(x).alias("mx"), F.avg(y).alias("my"))
+    chunks with the next one. Spark sums centred squares per (place, chunk). The joint system of one unknown each is solved on the driver for up
+    to `max_unknowns` (and so at most half their square in links of places), and by conjugate gradients in Spark for more.
+    Rows that lack a place, chunk, x or y don't count."""
+    sums = df.filter(F.col(place).isNotNull() & F.col(chunk).isNotNull() & F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(place).alias("_p"), F.col(chunk).alias("_c")).agg(F.regr_sxx(y, x).alias("sxx"), F.regr_sxy(y, x).alias("sxy"), F.avg(x).alias("mx"), F.avg(y).alias("my"))
     sums = stash(sums, "sums")
-    if (n := sums.count()) > max_unknowns:
-        raise ValueError(f"{n} unknowns; at most {max_unknowns} are solved on the driver")
-    rows = sums.orderBy(place, chunk).collect()
-    links = {(r.a, r.b): r.w for r in dist.filter("a < b").select("a", "b", weight(F.col("metres")).alias("w")).join(sums.select(F.col(place).alias("a")).distinct(), "a").join(sums.select(F.col(place).alias("b")).distinct(), "b").collect()}
-    scale = sum(r.sxx for r in rows) / max(1, n)
-    system, right = np.diag([r.sxx for r in rows]).astype(float), np.array([r.sxy for r in rows], float)
-    by_chunk: dict[object, list[int]] = {}
-    by_place: dict[object, list[int]] = {}
-    for i, r in enumerate(rows):
-        by_chunk.setdefault(r[chunk], []).append(i)
-        by_place.setdefault(r[place], []).append(i)
+    n, scale = sums.agg(F.count("*"), F.avg("sxx")).first()
+    scale = scale or 0.0
+    there = sums.select("_p").distinct()
+    pairs = dist.filter("a < b").select("a", "b", (weight(F.col("metres")) * smooth * scale).alias("w"))
+    pairs = pairs.join(there.withColumnRenamed("_p", "a"), "a").join(there.withColumnRenamed("_p", "b"), "b")
+    slopes = _slopes_on_driver(sums, pairs, smooth * scale, scale) if n <= max_unknowns else _slopes_by_gradients(sums, pairs, smooth * scale, scale)
+    return slopes.select(F.col("_p").alias(place), F.col("_c").alias(chunk), "slope", F.expr("my - slope * mx").alias("icpt"))
+
+
+def _slopes_on_driver(sums: DataFrame, pairs: DataFrame, along: float, scale: float) -> DataFrame:
+    rows, links = sums.orderBy("_p", "_c").collect(), pairs.collect()
+    at = {(r._p, r._c): i for i, r in enumerate(rows)}
+    system, right = np.diag([r.sxx for r in rows] or [0.0]).astype(float), np.array([r.sxy for r in rows], float)
 
     def link(i: int, j: int, w: float) -> None:
-        system[i, i] += w
-        system[j, j] += w
-        system[i, j] -= w
-        system[j, i] -= w
-
-    for at in by_chunk.values():
-        for k, i in enumerate(at):
-            for j in at[k + 1 :]:
-                link(i, j, smooth * scale * links.get((rows[i][place], rows[j][place]), 0.0))
-    for at in by_place.values():
-        for i, j in zip(at, at[1:]):
-            link(i, j, smooth * scale)
-    b = np.linalg.solve(system + 1e-12 * scale * np.eye(n), right) if n else np.zeros(0)
-    kinds = dict(df.dtypes)
-    out = [(r[place], r[chunk], float(s), float(r.my - s * r.mx)) for r, s in zip(rows, b)]
-    return df.sparkSession.createDataFrame(out, f"{place} {kinds[place]}, {chunk} {kinds[chunk]}, slope double, icpt double")
+        system[[i, j], [i, j]] += w
+        system[[i, j], [j, i]] -= w
+
+    for c in {r._c for r in rows}:
+        for r in links:
+            if (r.a, c) in at and (r.b, c) in at:
+                link(at[r.a, c], at[r.b, c], r.w)
+    for i, (r, later) in enumerate(zip(rows, rows[1:])):
+        if r._p == later._p:
+            link(i, i + 1, along)
+    b = np.linalg.solve(system + (1e-12 * scale or 1.0) * np.eye(len(system)), right) if rows else []
+    schema = T.StructType([*sums.schema.fields, T.StructField("slope", T.DoubleType())])
+    return sums.sparkSession.createDataFrame([(*r, float(s)) for r, s in zip(rows, b)], schema)
+
+
+def _slopes_by_gradients(sums: DataFrame, pairs: DataFrame, along: float, scale: float, settled: float = 1e-10, rounds: int = 1000) -> DataFrame:
+    """The same system by conjugate gradients, scaled by the diagonal: a round joins the written links with the direction, and writes one
+    row for each unknown. It ends once the scaled residual has fallen by `settled`; a warning tells if it has not after `rounds`."""
+    both = pairs.select("a", "b", "w").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    nodes = sums.select("_p", "_c")
+    near = nodes.join(both, nodes["_p"] == both["a"]).select("_p", "_c", F.col("b").alias("_q"), F.col("_c").alias("_d"), "w")
+    near = near.join(nodes.select(F.col("_p").alias("_q"), F.col("_c").alias("_d")), ["_q", "_d"], "left_semi")
+    later = nodes.withColumn("_d", F.lead("_c").over(Window.partitionBy("_p").orderBy("_c"))).filter("_d IS NOT NULL")
+    ends = [later.select("_p", F.col(i).alias("_c"), F.col("_p").alias("_q"), F.col(j).alias("_d"), F.lit(along).alias("w")) for i, j in (("_c", "_d"), ("_d", "_c"))]
+    links = stash(near.select("_p", "_c", "_q", "_d", "w").unionByName(ends[0]).unionByName(ends[1]), "links")
+    degree = links.groupBy("_p", "_c").agg(F.sum("w").alias("_g"))
+    diagonal = F.col("sxx") + F.coalesce("_g", F.lit(0.0)) + (1e-12 * scale or 1.0)
+    start = sums.join(degree, ["_p", "_c"], "left").withColumn("d", diagonal).drop("_g")
+    now = stash(start.withColumns({"slope": F.lit(0.0), "r": F.col("sxy"), "p": F.expr("sxy / d")}), "gradient")
+    first = size = now.agg(F.sum(F.expr("r * r / d"))).first()[0] or 0.0
+    for n in range(rounds):
+        if size <= settled * settled * first:
+            log.info("slopes settled after %d rounds", n)
+            break
+        pulled = links.join(now.select(F.col("_p").alias("_q"), F.col("_c").alias("_d"), F.col("p").alias("_v")), ["_q", "_d"]).groupBy("_p", "_c").agg(F.sum(F.expr("w * _v")).alias("_s"))
+        met = stash(now.join(pulled, ["_p", "_c"], "left").withColumn("q", F.expr("d * p - coalesce(_s, 0D)")).drop("_s"), "gradient")
+        step = size / met.agg(F.sum(F.expr("p * q"))).first()[0]
+        moved = met.withColumns({"slope": F.col("slope") + step * F.col("p"), "r": F.col("r") - step * F.col("q")}).drop("q")
+        last, size = size, moved.agg(F.sum(F.expr("r * r / d"))).first()[0]
+        drop_stash(now)
+        now = moved.withColumn("p", F.expr("r / d") + size / last * F.col("p"))
+        now.stash_path = met.stash_path
+    else:
+        log.warning("slopes not settled after %d rounds", rounds)
+    return now
 
 
 def flag_statistics(flags: DataFrame, place: str) -> DataFrame:

@@ -1,4 +1,5 @@
-"""Incremental and streaming forms: upserts, late corrections, running bins, sessions, a stateful check, restarts."""
+"""Incremental and streaming forms: upserts, late corrections, running bins, sessions, a stateful check, restarts. A watermark starts at 1970, so
+that streams take older readings as late; the batch forms (`fresh_readings`, `upsert`) take any time."""
 
 from __future__ import annotations
 

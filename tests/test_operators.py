@@ -274,6 +274,33 @@ def test_local_and_laplacian_slopes(spark):
         assert g["a", 0] == pytest.approx(3, abs=0.1) and g["b", 1] == pytest.approx(-5, abs=0.1)
 
 
+def test_slopes_by_gradients_equal_those_of_the_driver(spark, caplog):
+    caplog.set_level("INFO", "cirrostrat.operators.regress")
+    rng = np.random.default_rng(5)
+    data = [(p, c, float(v), p * float(v) + c + float(rng.normal())) for p in range(5) for c in range(4) if (p, c) != (2, 1) for v in rng.normal(size=6)]
+    df = spark.createDataFrame([*data, (7, 0, 1.0, 2.0), (None, 0, 1.0, 2.0)], "station int, chunk int, x double, y double")  # one place has a single row
+    dist = spark.createDataFrame([(a, b, 40_000.0 * abs(a - b)) for a in range(9) for b in range(9)], "a int, b int, metres double")
+    there, here = (
+        {(r.station, r.chunk): (r.slope, r.icpt) for r in regress.laplacian_regression(df, dist, "station", "chunk", "x", "y", 0.1, regress.gaussian(60_000.0), n).collect()} for n in (2000, 0)
+    )
+    assert there.keys() == here.keys() == {(p, c) for p, c, *_ in data} | {(7, 0)}
+    assert all(here[k] == pytest.approx(there[k], rel=1e-6, abs=1e-8) for k in there)
+    assert [r.message[:14] for r in caplog.records] == ["slopes settled"]
+    assert regress.laplacian_regression(df.limit(0), dist, "station", "chunk", "x", "y", 0.1, regress.gaussian(60_000.0), -1).count() == 0
+
+
+@pytest.mark.parametrize("named", [True, False])
+def test_components_by_products_equal_those_of_the_driver(spark, named):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(80, 30)) * np.linspace(1, 4, 30)
+    m = np.cov(x.T)
+    name = lambda i: f"p{i}" if named else i
+    cov = spark.createDataFrame([(name(i), name(j), None if (i, j) == (3, 9) else float(m[i, j])) for i in range(30) for j in range(i, 30)], f"a {'string' if named else 'int'}, b {'string' if named else 'int'}, cov double")
+    there, here = (eof.eigenvectors(cov, 3, n) for n in (3000, 0))
+    assert there[0] == here[0] and there[1] == pytest.approx(here[1], rel=1e-8)
+    assert np.abs(there[2] - here[2]).max() < 1e-6
+
+
 def test_prediction_by_pattern_flags_the_outlier(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=80)
