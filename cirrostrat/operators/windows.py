@@ -20,6 +20,15 @@ def _w(keys: Sequence[str], ts: str) -> Window:
     return Window.partitionBy(*keys).orderBy(ts)
 
 
+def _chunks(df: DataFrame, ts: str, reach: int) -> DataFrame:
+    """Rows with `_chunk`, a span of 30 days or 16 times `reach` seconds, whichever is longer. Rows of the last `reach` seconds of a span stand in the
+    next one as well, not `_own` there: a window that looks back no further can so be partitioned by time too, and a long series isn't one task."""
+    width, s = max(30 * 86400, 16 * reach), seconds(ts)
+    span = F.floor(s / width)
+    both = F.when(s >= (span + 1) * width - reach, F.array(span, span + 1)).otherwise(F.array(span))
+    return df.withColumn("_chunk", F.explode(both)).withColumn("_own", F.col("_chunk").eqNullSafe(span))
+
+
 def islands(df: DataFrame, keys: Sequence[str], ts: str, flag: Column) -> DataFrame:
     """(keys, start, end, length) of runs of rows for which `flag` holds."""
     w = _w(keys, ts)
@@ -38,12 +47,14 @@ def irregular(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
     return odd.withColumn("together", F.count("*").over(Window.partitionBy(*keys, "_run"))).drop("_b", "_a", "_n", "_run", "step")
 
 
-def step_changes(df: DataFrame, keys: Sequence[str], ts: str, low: str, high: str, minutes: int) -> DataFrame:
-    """`change`: the largest difference of a record's and the last one's extremes, if that is recent enough."""
-    w = _w(keys, ts)
+def step_changes(df: DataFrame, keys: Sequence[str], ts: str, low: str, high: str, minutes: int, ties: Sequence[str] = ()) -> DataFrame:
+    """`change`: the largest difference of a record's and the last one's extremes, if that is recent enough. Records of one time are ordered by
+    `ties`; without it any order may come out."""
+    w = Window.partitionBy(*keys, "_chunk").orderBy(ts, *ties)
     s = seconds(ts)
     change = F.greatest(F.abs(F.lag(high).over(w) - F.col(low)), F.abs(F.col(high) - F.lag(low).over(w)))
-    return df.withColumn("change", F.when(s - F.lag(s).over(w) <= minutes * 60, change))
+    steps = _chunks(df, ts, minutes * 60).withColumn("change", F.when(s - F.lag(s).over(w) <= minutes * 60, change))
+    return steps.filter("_own").drop("_chunk", "_own")
 
 
 def out_of_range(df: DataFrame, limits: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -121,8 +132,8 @@ def filled(df: DataFrame, keys: Sequence[str], ts: str, value: str, forward: boo
 
 def rolling_mean(df: DataFrame, keys: Sequence[str], ts: str, value: str, width: int, out: str) -> DataFrame:
     """Mean over the last `width` seconds, the present one included: (t - width, t]."""
-    w = Window.partitionBy(*keys).orderBy(seconds(ts)).rangeBetween(-(width - 1), 0)
-    return df.withColumn(out, F.avg(value).over(w))
+    w = Window.partitionBy(*keys, "_chunk").orderBy(seconds(ts)).rangeBetween(-(width - 1), 0)
+    return _chunks(df, ts, width - 1).withColumn(out, F.avg(value).over(w)).filter("_own").drop("_chunk", "_own")
 
 
 def lanczos_weights(period: int, a: int = 3) -> list[float]:

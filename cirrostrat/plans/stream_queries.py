@@ -109,7 +109,7 @@ def quality_control(t: Tables) -> DataFrame:
 
     limits = t.obs.select("station").distinct().select("station", F.lit(0.5).alias("range_min"), F.lit(120.0).alias("range_max"))
     span = windows.out_of_range(t.obs, limits, ["station"], "v").select(F.lit("range").alias("check"), "station", "flag")
-    step = windows.step_changes(t.obs.select("station", "t", "id", "v"), ["station"], "t", "v", "v", 30)
+    step = windows.step_changes(t.obs.select("station", "t", "id", "v"), ["station"], "t", "v", "v", 30, ["id"])
     step = step.select(F.lit("step").alias("check"), "station", (F.col("change") > 80).alias("flag"))
     flat = windows.persistence(t.obs, ["station"], "t", "v", 30.0).select(F.lit("persistence").alias("check"), "station", F.col("flat").alias("flag"))
     return flag_statistics(span.unionByName(step).unionByName(flat), "station")

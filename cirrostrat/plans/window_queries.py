@@ -26,9 +26,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("w2_step_changes", "SELECT id, CASE WHEN t - lag(t) OVER w <= 3600 THEN greatest(abs(lag(v + 1) OVER w - v), abs(v + 1 - lag(v) OVER w)) END AS change FROM obs WINDOW w AS (PARTITION BY station, field ORDER BY t, id)", "change")
 def _(t: Tables) -> DataFrame:
-    rows = t.obs.withColumn("high", F.col("v") + 1).withColumn("ts", F.struct("t", "id"))
-    s = rows.select("id", "station", "field", "v", "high", "t")
-    return windows.step_changes(s, ["station", "field"], "t", "v", "high", 60).select("id", "change")
+    s = t.obs.select("id", "station", "field", "v", (F.col("v") + 1).alias("high"), "t")
+    return windows.step_changes(s, ["station", "field"], "t", "v", "high", 60, ["id"]).select("id", "change")
 
 
 @query("w3_range", "SELECT id, v < sensor % 5 OR v > 100 + sensor AS flag FROM obs")

@@ -149,6 +149,23 @@ def test_filters_of_chunks_agree_with_brute_force(spark, renormalise):
     assert windows.fir(df.limit(0), ["k"], "i", "v", kernels).count() == 0
 
 
+def test_windows_over_spans_of_time_agree_with_brute_force(spark):
+    rng = np.random.default_rng(8)
+    edge = 30 * 86400
+    at = sorted({int(t) for t in [*rng.integers(-2 * edge, 3 * edge, 150), *(k * edge + d for k in (-1, 0, 1, 2) for d in (-600, -599, -1, 0, 1, 600)), *range(edge - 5000, edge + 5000, 400)]})
+    data = [("s", t, float(rng.normal())) for t in at]
+    df = spark.createDataFrame([*data, ("s", None, 3.0)], "k string, t long, v double")
+    steps = windows.step_changes(df, ["k"], "t", "v", "v", 10)
+    want = {t: abs(v - data[i - 1][2]) if i and t - data[i - 1][1] <= 600 else None for i, (_, t, v) in enumerate(data)} | {None: None}
+    got = steps.collect()
+    assert steps.columns == ["k", "t", "v", "change"] and len(got) == len(data) + 1
+    assert {r.t: r.change for r in got} == want
+    for width in (601, 20 * 86400):
+        means = {r.t: r.m for r in windows.rolling_mean(df, ["k"], "t", "v", width, "m").collect()}
+        assert len(means) == len(data) + 1 and means[None] == 3.0
+        assert all(means[t] == pytest.approx(np.mean([v for _, u, v in data if t - width < u <= t])) for t in at)
+
+
 def test_covariance_of_blocks_agrees_with_the_self_join(spark):
     rng = np.random.default_rng(2)
     data = [(f"p{p}", t, float(x)) for t in range(40) for p, x in enumerate(rng.normal(size=9) + 1e6) if (t * 7 + p) % 5]
