@@ -17,6 +17,7 @@ from cirrostrat.llm.pieces import encode_documents
 from cirrostrat.llm.records import encode_and_read_back
 from cirrostrat.llm.sharding import shard_documents
 from cirrostrat.llm.url_rules import document_of, judge_urls
+from cirrostrat.llm.variants import count_words, group_variants
 from cirrostrat.runtime import table
 
 URL_RULES = [
@@ -88,7 +89,11 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash, op2_token_records, op3_mixing, op4_sharding, op5_html_text, op6_url_filter, op7_sentencepiece, op8_chat, op9_quality_rules, op10_neighbours)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(count_words(table(spark, sf_dir, "documents"), slips=31))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash, op2_token_records, op3_mixing, op4_sharding, op5_html_text, op6_url_filter, op7_sentencepiece, op8_chat, op9_quality_rules, op10_neighbours, op11_spelling_variants)}
 
 MIXING_SQL = r"""
 WITH sized AS (
