@@ -76,11 +76,21 @@ class Texts:
 
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of byte spans; equal spans have equal hashes wherever they stand."""
+        sums, down = self._prefix_sums()
+        return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+    def grams(self, k: int) -> np.ndarray:
+        """The hash of every span of k bytes, across the ends of texts too."""
+        sums, down = self._prefix_sums()
+        n = max(0, len(self.data) - k + 1)
+        return mix((sums[k : k + n] - sums[:n]) * down[:n] + np.uint64(k))
+
+    def _prefix_sums(self) -> tuple[np.ndarray, np.ndarray]:
         up, down = _powers(len(self.data) + 1)
         if self._sums is None:
             self._sums = np.zeros(len(self.data) + 1, np.uint64)
             np.cumsum(_BYTE[self.data] * up[: len(self.data)], out=self._sums[1:])
-        return mix((self._sums[end] - self._sums[start]) * down[start] + (end - start).astype(np.uint64))
+        return self._sums, down
 
     def words(self) -> np.ndarray:
         return self.span_hash(self.start, self.end)

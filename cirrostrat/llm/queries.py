@@ -15,6 +15,7 @@ from cirrostrat.llm.mixing import mix_sources
 from cirrostrat.llm.neighbours import nearest
 from cirrostrat.llm.pieces import encode_documents
 from cirrostrat.llm.records import encode_and_read_back
+from cirrostrat.llm.repeats import cut_repeats
 from cirrostrat.llm.sharding import shard_documents
 from cirrostrat.llm.url_rules import document_of, judge_urls
 from cirrostrat.llm.variants import count_words, group_variants
@@ -93,7 +94,11 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_variants(count_words(table(spark, sf_dir, "documents"), slips=31))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash, op2_token_records, op3_mixing, op4_sharding, op5_html_text, op6_url_filter, op7_sentencepiece, op8_chat, op9_quality_rules, op10_neighbours, op11_spelling_variants)}
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_repeats(table(spark, sf_dir, "documents"), need=200)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash, op2_token_records, op3_mixing, op4_sharding, op5_html_text, op6_url_filter, op7_sentencepiece, op8_chat, op9_quality_rules, op10_neighbours, op11_spelling_variants, op12_repeats)}
 
 MIXING_SQL = r"""
 WITH sized AS (
