@@ -195,6 +195,17 @@ def decode_marked(ids: np.ndarray, offsets: np.ndarray, path: str, kind: str = "
     return ragged(v.raw, v.raw_start[ids], length), np.concatenate(([0], np.cumsum(length)))[offsets]
 
 
+def piece_sizes(ids: np.ndarray, path: str, kind: str = "bpe") -> np.ndarray:
+    """How many bytes each piece stands for."""
+    return _loaded(path, kind)[0].raw_length[ids]
+
+
+def n_pieces(path: str) -> int:
+    from sentencepiece import SentencePieceProcessor
+
+    return SentencePieceProcessor(model_file=path).get_piece_size()
+
+
 def decode(ids: list[int], path: str, kind: str = "bpe") -> str:
     """The text of one list of ids; bytes that are no UTF-8 become replacement characters."""
     data, _ = decode_marked(np.array(ids, np.int64), np.array([0, len(ids)]), path, kind)

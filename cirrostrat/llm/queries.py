@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cirrostrat.llm.alignment import align_documents
 from cirrostrat.llm.chat import format_conversations, learned_text, read_turns
 from cirrostrat.llm.host_rules import judge_documents
 from cirrostrat.llm.html_text import extract_text
@@ -98,7 +99,11 @@ def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_repeats(table(spark, sf_dir, "documents"), need=200)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash, op2_token_records, op3_mixing, op4_sharding, op5_html_text, op6_url_filter, op7_sentencepiece, op8_chat, op9_quality_rules, op10_neighbours, op11_spelling_variants, op12_repeats)}
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash, op2_token_records, op3_mixing, op4_sharding, op5_html_text, op6_url_filter, op7_sentencepiece, op8_chat, op9_quality_rules, op10_neighbours, op11_spelling_variants, op12_repeats, op13_token_alignment)}
 
 MIXING_SQL = r"""
 WITH sized AS (

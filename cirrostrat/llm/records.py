@@ -16,6 +16,7 @@ are written each time. No rows give no files and no rows. Other columns are not
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -71,18 +72,46 @@ def unit_starts(t: Texts) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-_caches: dict[str, tuple[Cache, Tokenizer, list[bytes]]] = {}
+_caches: dict[tuple[str, bool], tuple[Cache, Tokenizer, list[bytes], bool]] = {}
 
 
-def _loaded(path: str) -> tuple[Cache, Tokenizer, list[bytes]]:
-    """The cached units of a tokenizer, the tokenizer itself, and the strings of its added tokens."""
-    if path not in _caches:
+def _loaded(path: str, plain: bool = False) -> tuple[Cache, Tokenizer, list[bytes], bool]:
+    """The cached units of a tokenizer, the tokenizer itself, the strings of its added tokens (none if they are plain text), and whether it
+    cuts texts as `unit_starts` takes for granted: bytes by the usual pattern, as they are, into pairs merged without further rules."""
+    if (path, plain) not in _caches:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        special = [x.content.encode() for x in tokenizer.get_added_tokens_decoder().values()]
-        _caches[path] = Cache(partial(_encode, tokenizer)), tokenizer, special
-    return _caches[path]
+        tokenizer.encode_special_tokens = plain
+        made = json.loads(tokenizer.to_str())
+        model, first = made["model"], made["pre_tokenizer"] or {}
+        usual = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        usual = usual and first.get("type") == "ByteLevel" and not first["add_prefix_space"] and first.get("use_regex", True)
+        usual = usual and not made["normalizer"] and not made["truncation"] and not made["padding"]
+        special = [] if plain else [x.content.encode() for x in tokenizer.get_added_tokens_decoder().values()]
+        _caches[path, plain] = Cache(partial(_encode, tokenizer), *[150_000, 24 << 20] * plain), tokenizer, special, usual
+    return _caches[path, plain]
+
+
+def vocabulary_size(path: str) -> int:
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size()
+
+
+def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all tokens of a byte-level vocabulary end to end, and each one's start and length. Added tokens have those of their string."""
+    if path not in _bytes:
+        tokenizer = _loaded(path, True)[1]
+        added, of = {i: x.content.encode() for i, x in tokenizer.get_added_tokens_decoder().items()}, {letter: b for b, letter in _LETTERS.items()}
+        names = [tokenizer.id_to_token(i) or "" for i in range(vocabulary_size(path))]
+        raw = [added[i] if i in added else bytes(of[c] for c in x) for i, x in enumerate(names)]
+        length = np.fromiter(map(len, raw), np.int64, len(raw))
+        _bytes[path] = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(length) - length, length
+    return _bytes[path]
+
+
+_bytes: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
 #: A space and letters, which no pattern of the tokenizer cuts: these need its merges only.
@@ -108,23 +137,23 @@ def _encode(tokenizer: Tokenizer, units: list[bytes]) -> list[list[int]]:
     return ids
 
 
-def encode_texts(t: Texts, tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(t: Texts, tokenizer: str, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """All ids of some texts end to end, and the number of each text. Texts with the string of an added token, which is cut out before
-    anything else, are encoded whole."""
-    cache, library, special = _loaded(tokenizer)
-    start = unit_starts(t)
-    ids, length = cache.ids(t.data, start)
-    sums = np.concatenate(([0], np.cumsum(length)))
-    at = sums[np.searchsorted(start, t.offsets)]
-    data = t.data.tobytes()
-    if not any(x in data for x in special):
-        return ids, np.diff(at)
+    anything else, are encoded whole, unless such strings are plain text; so are all texts where the tokenizer is not of the usual kind."""
+    cache, library, special, usual = _loaded(tokenizer, plain)
+    data = t.data.tobytes() if special or not usual else b""
+    if usual:
+        start = unit_starts(t)
+        ids, length = cache.ids(t.data, start)
+        at = np.concatenate(([0], np.cumsum(length)))[np.searchsorted(start, t.offsets)]
+        if not any(x in data for x in special):
+            return ids, np.diff(at)
     parts = []
     for i, (a, b) in enumerate(zip(t.offsets[:-1], t.offsets[1:])):
         text = data[a:b]
-        whole = any(x in text for x in special)
+        whole = not usual or any(x in text for x in special)
         parts.append(np.array(library.encode(text.decode(), add_special_tokens=False).ids, np.uint32) if whole else ids[at[i] : at[i + 1]])
-    return np.concatenate(parts), np.array([len(x) for x in parts])
+    return np.concatenate([*parts, np.zeros(0, np.uint32)]), np.array([len(x) for x in parts], np.int64)
 
 
 def masked(data: bytes) -> int:
