@@ -5,6 +5,7 @@ assigns them to a pair of signed axes, the nearest one in either rotation. The f
 few groups form. A query looks into its `probes` pairs with the largest sums of
 scores in each table, and all that it finds there is ranked by the exact cosine of the original vectors, in double precision. Rows and
 queries meet by the first axis of a pair, and inside such a group a query's vector is compared with those rows only whose second axis is among its pairs.
+A query that finds fewer rows than asked for is compared with all.
 
 Equal vectors form one class with its smallest ids, as many as a result can hold, so that a vector that fills a third
 of the table is hashed and compared once. Rows and queries of a group meet in blocks of bounded size.
@@ -157,11 +158,28 @@ def usable(vector: Column) -> Column:
 
 
 def nearest(rows: DataFrame, asks: Column, most: int = 5, *, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = 8, probes: int = 320, coarse: int = 16, block: int = 2048) -> DataFrame:
-    """query_id, rank, vec_id, score: the `most` nearest rows found for each row for which `asks` holds."""
+    """query_id, rank, vec_id, score: the `most` nearest rows found for each row for which `asks` holds. A query for which the tables find
+    fewer is compared with all rows of its length, block by block, so that none lacks a neighbour that exists."""
     hashed, asked = _hashed(rows, asks, most, id_col, vector_col, tables, probes, coarse)
-    width = F.size("vec")
-    index = hashed.select("cid", "ids", "vec", F.lit(False).alias("asks"), width.alias("width"), F.inline("posts"))
-    looks = hashed.filter("asks").select("cid", F.array().cast("array<long>").alias("ids"), "vec", "asks", width.alias("width"), F.inline("looks"))
+    width = F.size("vec").alias("width")
+    none = F.array().cast("array<long>").alias("ids")
+    index = hashed.select("cid", "ids", "vec", F.lit(False).alias("asks"), width, F.inline("posts"))
+    looks = hashed.filter("asks").select("cid", none, "vec", "asks", width, F.inline("looks"))
+    named = stash(asked.join(hashed.filter("asks").select("vec", F.col("cid").alias("asker")), "vec").select(F.col("id").alias("query_id"), "asker"), "named")
+    ranked = stash(_ranked(named, _met(index, looks, most, block), most), "ranked")
+    counts = ranked.groupBy("query_id").agg(F.count("*").alias("n"))
+    short = stash(named.join(counts, "query_id", "left").filter(F.coalesce("n", F.lit(0)) < most).select("asker").distinct(), "short")
+    # Their group is that of all rows of one length; without such queries no row is moved.
+    every = F.lit(0).alias("bucket"), F.array(F.lit(0)).alias("seconds")
+    rest = hashed.filter("asks").join(short, F.col("cid") == F.col("asker"), "left_semi").select("cid", none, "vec", "asks", width, *every)
+    whole = hashed.select("cid", "ids", "vec", F.lit(False).alias("asks"), width, *every)
+    more = _ranked(named.join(short, "asker"), _met(whole, rest, most, block), most)
+    return ranked.join(short, "asker", "left_anti").unionByName(more).select("query_id", "rank", "vec_id", "score")
+
+
+def _met(index: DataFrame, looks: DataFrame, most: int, block: int) -> DataFrame:
+    """(asker, score, vec_id) of the nearest rows that queries meet in a bucket. Both sides of a bucket are dealt into blocks, and each block of
+    rows meets each of queries."""
     count = lambda df, name: df.groupBy("width", "bucket").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
     sizes = stash(count(index, "cuts").join(count(looks, "rounds"), ["width", "bucket"]), "sizes")  # tables * axes rows for each length of vectors
     own = lambda n: F.pmod(F.xxhash64(F.lit(3), "cid"), F.col(n))
@@ -172,11 +190,13 @@ def nearest(rows: DataFrame, asks: Column, most: int = 5, *, id_col: str = "vec_
     found = both.repartition("g").sortWithinPartitions("g").mapInArrow(_ranker(most + 1), "asker long, cid long, ids array<long>, score double")
     found = found.groupBy("asker", "cid").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
     best = found.withColumn("place", F.row_number().over(Window.partitionBy("asker").orderBy(F.desc("score"), "cid"))).filter(F.col("place") <= most + 1)
-    best = best.select("asker", "score", F.explode("ids").alias("vec_id"))
-    named = asked.join(hashed.filter("asks").select("vec", F.col("cid").alias("asker")), "vec").select(F.col("id").alias("query_id"), "asker")
+    return best.select("asker", "score", F.explode("ids").alias("vec_id"))
+
+
+def _ranked(named: DataFrame, best: DataFrame, most: int) -> DataFrame:
     pairs = named.join(best, "asker").filter("query_id != vec_id")
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= most)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return ranked.select("asker", "query_id", "rank", "vec_id", "score")
 
 
 def _hashed(rows: DataFrame, asks: Column, most: int, id_col: str, vector_col: str, tables: int, probes: int, coarse: int) -> tuple[DataFrame, DataFrame]:

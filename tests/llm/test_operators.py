@@ -697,13 +697,29 @@ def test_odd_vectors_and_ties(spark):
     rows = [(i, base[0]) for i in range(12)] + [(20 + i, b) for i, b in enumerate(base)] + [(20, base[0]), (30, None), (31, []), (32, [0.0] * 5), (33, [1.0, None, 1.0, 1.0, 1.0]), (34, [float("nan")] * 5), (35, [float("inf"), 1.0, 1.0, 1.0, 1.0]), (None, base[1]), (40, [1.0, 2.0]), (44, [2.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit(1)).withColumn("ids", F.lit(1))
     got = {}
-    for r in neighbours.nearest(df, F.col("vec_id") % 4 == 0, 5, probes=999).orderBy("query_id", "rank").collect():
+    for r in neighbours.nearest(df, F.col("vec_id") % 4 == 0, 5).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert got[0] == [1, 2, 3, 4, 5] and got[4] == [0, 1, 2, 3, 5] and got[40] == [44] and got[20] == [0, 1, 2, 3, 4]
     assert got.keys() == {0, 4, 8, 20, 24, 40, 44} and len(got[24]) == 5
     assert neighbours.nearest(df.filter("false"), F.col("vec_id") % 4 == 0).count() == 0
 
 
+def test_few_vectors_are_all_found(spark):
+    """Small tables at the query's own parameters, opposite vectors included: a query gets all rows there are, up to five."""
+    draw = np.random.default_rng(23)
+    tables = []
+    for n in range(2, 13):
+        vectors = draw.normal(size=(n, 64))
+        vectors[n // 2] = -vectors[0]
+        tables.append([(i, v.tolist()) for i, v in enumerate(vectors)])
+    tables.append([(0, [0.0] * 63 + [1.0]), (1, [0.0] * 63 + [-1.0]), (2, [0.01] + [0.0] * 62 + [-1.0]), (3, draw.normal(size=64).tolist())])
+    for rows in (tables[0], tables[2], tables[5], tables[10], tables[11]):
+        want, got = brute_nearest(rows, lambda i: i % 4 == 0, 5), {}
+        for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 4 == 0).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        assert {q: set(x) for q, x in got.items()} == {q: set(x) for q, x in want.items()} if len(rows) < 7 else {q: len(x) for q, x in got.items()} == {q: 5 for q in want}
+
+
 def test_small_blocks_change_nothing(spark, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     a, b = (sorted(map(tuple, neighbours.nearest(df, F.col("vec_id") % 50 == 0, block=n).collect())) for n in (4096, 3))
