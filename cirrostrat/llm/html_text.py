@@ -8,7 +8,8 @@ in which more than half of the characters fall in the upper cluster are. A regio
 
 Elements named as adverts, notices, sidebars, reader comments and the like are left out, too, but a name alone never removes an
 article or an element with most of the upper cluster: such a one stays if it has an article or three upper lines, and
-articles outside of it have less than a tenth of its characters.
+articles outside of it have less than a tenth of its characters. A name with parts that say nothing (user-comments) is judged by the figures
+of its element: it goes if it holds no article, little of the upper cluster, and is mostly links, mostly of the lower cluster, or behind the body.
 
 A null or empty page has empty text, as has one without content. Equal rows give equal results. No rows give no rows. Other
 columns are passed on.
@@ -37,41 +38,46 @@ LEFT_OUT = frozenset("aside dialog footer form header menu nav button select tex
 TRACKED = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 span".split())
 ITEMS = frozenset("li dt dd".split())
 ENDED_BY_ITEM, ENDED_BY_BLOCK = TRACKED - {"span"}, TRACKED - ITEMS - {"span"}
-#: Class and id names, and what may stand beside them in a name; a name with any other part, as in no-sidebar or comment-open, says nothing.
+#: Class and id names, what may stand beside them in a name, and what tells the state of something else, as in no-sidebar or comment-open.
 LEFT_OUT_NAMES = frozenset("ad ads advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer gdpr header menu modal nav navbar navigation newsletter notice notices popup promo promoted related reply replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 BESIDE_NAMES = frozenset("area bar block bottom box button buttons card container global google inner item items left links list message outer page policy post posts primary right secondary section signup site slot top unit widgets wrap wrapper".split())
+STATES = frozenset("no non not has have with without is are on off open closed show hide hidden active enabled disabled enable disable free".split())
 LEFT_OUT_ROLE = frozenset({"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"})
 #: A tag that the page ends inside of.
 CUT_TAG = re.compile(r"<[/A-Za-z!?][^<>]*\Z")
 HOLDERS = frozenset({"article", "main", "section", "div", "body"})
 
 
-def named_out(names: str) -> bool:
-    """Whether one of the names, each taken whole, is that of something beside the content."""
+def named_out(names: str) -> int:
+    """2 if one of the names, each taken whole, is that of something beside the content; 1 if a part of one is, and no other part tells more."""
+    found = 0
     for name in names.lower().split():
-        parts = {x for x in re.split(r"[-_]+|\d+", name) if x}
-        if parts & LEFT_OUT_NAMES and parts <= LEFT_OUT_NAMES | BESIDE_NAMES:
-            return True
-    return False
+        parts = {x for x in re.split(r"[-_]+|\d+", re.sub(r"\d+x\d+", "", name)) if x}
+        if parts & LEFT_OUT_NAMES and not parts & STATES:
+            found = max(found, 2 if parts <= LEFT_OUT_NAMES | BESIDE_NAMES else 1)
+    return found
 
 
 class Lines(HTMLParser):
-    """Collects [text, tags, region, in an article, left out, elements that are left out by name] for each block."""
+    """Collects [text, tags, region, in an article, left out, characters in links] for each block, and the lines of elements that names would leave out."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, bool, tuple[int, ...]]] = []
-        self.open: list[tuple[str, bool, bool, list[str] | None]] = []
+        self.lines: list[tuple[str, int, int, bool, bool, int]] = []
+        self.open: list[tuple[str, bool, int, list[str] | None]] = []
         self.regions, self.region, self.articles, self.out, self.seen = 0, [0], 0, 0, False
+        #: By element: its first line, the line after its last, and how sure its name is; the open ones.
+        self.named: list[list[int]] = []
         self.names: list[int] = []
+        self.linked, self.in_link = 0, False
         self.text: list[str] = []
         self.tags = 0
 
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, self.region[-1], self.articles > 0, self.out > 0, tuple(self.names)))
-            self.tags = 0
+            self.lines.append((text, self.tags, self.region[-1], self.articles > 0, self.out > 0, min(self.linked, len(text))))
+            self.tags = self.linked = 0
         self.text = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -81,6 +87,8 @@ class Lines(HTMLParser):
                 self._end_tracked(ENDED_BY_ITEM if tag in ITEMS else ENDED_BY_BLOCK)
         elif tag == "br":
             self.text.append(" ")
+        elif tag == "a":
+            self.in_link = True
         self.tags += 1
         if tag not in NESTED and tag not in TRACKED:
             return
@@ -88,11 +96,12 @@ class Lines(HTMLParser):
             while self.open and any(out or name for _, out, name, _ in self.open):  # an element that was never closed
                 self._pop()
             self.seen = tag != "body"
-        out, name = tag in LEFT_OUT, False
+        out, name = tag in LEFT_OUT, 0
         if attrs and not out and tag not in ("body", "html"):
             named = dict(attrs)
             out = (named.get("role") or "").lower() in LEFT_OUT_ROLE or "hidden" in named
-            name = not out and named_out(f"{named.get('class') or ''} {named.get('id') or ''}")
+            name = 0 if out else named_out(f"{named.get('class') or ''} {named.get('id') or ''}")
+            name = 0 if name == 1 and tag not in NESTED else name
         aside = self.text if tag == "span" and (out or name) else None  # the line goes on behind it
         if aside is not None:
             self.text = []
@@ -102,7 +111,8 @@ class Lines(HTMLParser):
         self.regions += 1
         self.region.append(self.regions if tag in HOLDERS else self.region[-1])
         if name:
-            self.names.append(self.regions)
+            self.names.append(len(self.named))
+            self.named.append([len(self.lines), 0, name])
 
     def _pop(self) -> None:
         tag, out, name, aside = self.open[-1]
@@ -113,7 +123,8 @@ class Lines(HTMLParser):
         self.out -= out
         self.articles -= tag in ("article", "main")
         if name:
-            self.names.pop()
+            self.named[self.names.pop()][1] = len(self.lines)
+        self.in_link = self.in_link and tag not in NESTED
         if aside is not None:
             self.text = aside
 
@@ -130,6 +141,8 @@ class Lines(HTMLParser):
         if tag in BLOCKS or tag in LEFT_OUT:
             self.end_line()
         self.tags += 1
+        if tag == "a":
+            self.in_link = False
         if tag in NESTED and any(x[0] == tag for x in self.open):
             while self.open[-1][0] != tag:
                 self._pop()
@@ -149,6 +162,7 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.cdata_elem not in ("script", "style"):
             self.text.append(data)
+            self.linked += len(data) * self.in_link
 
     def finish(self) -> None:
         self.close()
@@ -195,16 +209,8 @@ def main_text(html: str | None) -> str:
     size = np.array([len(x[0]) for x in lines])
     rate = smoothed(size / np.maximum(1, [x[1] for x in lines]))
     article = np.array([x[3] for x in lines], bool)
-    named = {name for x in lines for name in x[5]}
-    if named:
-        upper = in_upper(rate, inside) & inside
-        unnamed = inside & np.array([not x[5] for x in lines], bool)
-        for name in list(named):
-            at = inside & np.array([name in x[5] for x in lines], bool)
-            most = 2 * size[at & upper].sum() > size[upper].sum()
-            if most and (article[at].any() or (at & upper).sum() >= 3) and 10 * size[article & unnamed].sum() < size[at].sum():
-                named.discard(name)
-        inside &= np.array([named.isdisjoint(x[5]) for x in lines], bool)
+    if parser.named:
+        inside &= ~_left_out_by_name(parser.named, size, np.array([x[5] for x in lines]), article, inside, in_upper(rate, inside) & inside)
         if not inside.any():
             return ""
     upper = in_upper(rate, inside) & inside
@@ -212,8 +218,29 @@ def main_text(html: str | None) -> str:
     if 2 * size[upper & article].sum() > size[upper].sum():
         return "\n".join(lines[i][0] for i in allowed if article[i])
     regions = np.array([x[2] for x in lines])
-    kept = {r for r in np.unique(regions[inside]).tolist() if 2 * size[upper & (regions == r)].sum() > size[inside & (regions == r)].sum()}
-    return "\n".join(lines[i][0] for i in allowed if not kept or regions[i] in kept)
+    kept = 2 * np.bincount(regions, size * upper) > np.bincount(regions, size * inside)
+    return "\n".join(lines[i][0] for i in allowed if not kept.any() or kept[regions[i]])
+
+
+def _left_out_by_name(named: list[list[int]], size: np.ndarray, linked: np.ndarray, article: np.ndarray, inside: np.ndarray, upper: np.ndarray) -> np.ndarray:
+    """The lines of elements that go by their name and figures. An element has lines first to end; sums over them are differences of prefix sums."""
+    first, end, sure = np.array(named).T
+    over = lambda values: (sums := np.concatenate(([0], np.cumsum(values))))[end] - sums[first]
+
+    def covered(some: np.ndarray) -> np.ndarray:
+        steps = np.bincount(first[some], minlength=len(size) + 1) - np.bincount(end[some], minlength=len(size) + 1)
+        return np.cumsum(steps)[:-1] > 0
+
+    unnamed = inside & ~covered(sure > 0)
+    chars, high, articles = over(size * inside), over(size * upper), over(article & inside) > 0
+    most = 2 * high > (size * upper).sum()
+    stays = most & (articles | (over(upper) >= 3)) & (10 * (size * (article & unnamed)).sum() < chars)
+    body = np.flatnonzero(upper & unnamed)
+    behind = first > (body[-1] if len(body) else len(size))
+    whole = over(article & inside) == over(inside)  # inside of an article, or all of it one
+    unlike = (2 * over(linked * inside) >= chars) | (2 * high < chars) | behind
+    doubtful = (sure == 1) & ~((~articles | whole) & ~most & unlike)
+    return covered(~stays & ~doubtful)
 
 
 def extract_text(pages: DataFrame, *, html_col: str = "html", out: str = "text") -> DataFrame:

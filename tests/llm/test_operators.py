@@ -440,6 +440,35 @@ def test_pages_give_their_articles(spark, sf):
         assert r.n_chars == len(r.text)
 
 
+def test_pages_judge_doubtful_names_by_figures():
+    body = "".join(f"<p>The {w} paragraph of this article has a good many words in it, as such paragraphs do.</p>" for w in ("first", "second", "third", "fourth", "fifth"))
+    want = html_text.main_text(f"<body><article>{body}</article></body>")
+    for beside in (
+        "<div class='user-comments'><p>A reader wrote these many words about the article above, and meant all of them.</p></div>",
+        "<div class='ad-300x250'><p>Buy these many fine things now, as all who bought them wanted more of them.</p></div>",
+        "<div id='my-related-reads'><a href=x>Another long headline of a story</a> <a href=y>And one more headline</a></div>",
+    ):
+        assert html_text.main_text(f"<body><article>{body}{beside}</article></body>") == want
+    inner = f"<div class='comment-analysis'>{body}</div>"
+    assert html_text.main_text(f"<body><article>{inner}<p>And the end of it all has its own many words, as it should.</p></article></body>").startswith(want)
+    assert html_text.main_text(f"<body><article>{body}<div class='no-ads'><p>Not left out, as this has no adverts but a lot of words.</p></div></article></body>").startswith(want + "\nNot left out")
+    assert html_text.main_text(f"<body><article class='user-comments'>{body}</article></body>") == want
+
+
+def test_pages_with_many_named_elements_take_linear_time():
+    import time
+
+    took = []
+    for n in (2000, 8000):
+        page = "<body><article>" + "".join(f"<p>Paragraph {i} has some words.</p><div class=ad>Buy it.</div>" for i in range(n)) + "</article></body>"
+        began = time.process_time()
+        assert html_text.main_text(page).count("\n") == n - 1
+        took.append(time.process_time() - began)
+    nested = "<body><article><p>Words here.</p>" + "<div class=ad>x" * 4000 + "</article></body>"
+    assert html_text.main_text(nested) == "Words here."
+    assert took[1] < 8 * max(took[0], 0.05)
+
+
 def test_pages_with_clashing_columns(spark):
     df = spark.createDataFrame([(1, "<p>x</p>", "old"), (None, None, None)], "page_id long, html string, text string")
     assert sorted((r.page_id or 0, r.text) for r in html_text.extract_text(df).collect()) == [(0, ""), (1, "x")]
