@@ -6,8 +6,8 @@ with a payload of one flag byte (1: the document has no id), the document's id (
 numbers are little-endian. The index file holds the offset of each record (8 bytes each) and a masked CRC-32 of them,
 so that records can be read in any order.
 
-Files are in ascending order of document id: the rows are dealt by ranges of the id (and a hash of the text, so that
-one id can't fill a partition) and sorted inside. Each file is written under a name of its task attempt and then
+Files are in ascending order of document id, and of a hash of the text and the text itself where an id repeats: the rows are dealt by ranges of id
+and hash and sorted inside. There is a file for each `file_bytes` of text or more, as many as the session has shuffle partitions at least. Each file is written under a name of its task attempt and then
 renamed, so that a repeated task leaves one whole file.
 
 Nulls: a null text is an empty one (just the end id); a null document id comes first and is flagged. Repeated rows
@@ -17,6 +17,7 @@ are written each time. No rows give no files and no rows. Other columns are not
 from __future__ import annotations
 
 import json
+import math
 import re
 import struct
 import zlib
@@ -201,12 +202,18 @@ def _writer(folder: str, tokenizer: str, end_id: int, width: int) -> Callable[[I
     return run
 
 
-def write_ids(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int = 0, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_ids(docs: DataFrame, folder: str, tokenizer: str, *, end_id: int = 0, width: int = 2, file_bytes: int = 256 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write all documents; return the manifest (part, file, n_records, n_ids, bytes), one row per file. `width` is 2
-    where the vocabulary has at most 65,536 ids, else 4."""
+    where the vocabulary has at most 65,536 ids, else 4: ids that are wider raise ValueError."""
+    most = max(end_id, vocabulary_size(tokenizer) - 1)
+    if width not in (2, 4) or most >> (8 * width):
+        raise ValueError(f"ids of {width} bytes do not hold {most}")
     small_batches(docs.sparkSession)
     thin = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    dealt = thin.repartitionByRange(F.col("id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("id").asc_nulls_first())
+    size = thin.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / file_bytes))
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
+    dealt = thin.repartitionByRange(files, *order).sortWithinPartitions(*order, "text")
     return stash(dealt.mapInArrow(_writer(folder, tokenizer, end_id, width), "part int, file string, n_records long, n_ids long, bytes long"), "manifest")
 
 

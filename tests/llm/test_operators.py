@@ -297,6 +297,28 @@ def test_records_in_any_order_and_damage(spark, odd, empty, tmp_path):
 # 3
 
 
+def test_records_order_ties_and_check_widths(spark, tmp_path):
+    df = spark.createDataFrame([(5, f"text {i % 4}") for i in range(12)] + [(None, "b"), (None, "a"), (4, None)], "doc_id long, text string")
+    path = tokenizer_file("byte_bpe_50k.json")
+    got = [sorted((r.start, r.doc_id or -1, r.ids_crc32) for r in records.encode_and_read_back(spark, x, path).collect()) for x in (df, df.repartition(7), df.orderBy(F.desc("text")).coalesce(1))]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 15
+    for width, end in ((2, 70_000), (1, 0)):
+        with pytest.raises(ValueError, match="do not hold"):
+            records.write_ids(df, f"file://{tmp_path}/x", path, width=width, end_id=end)
+    assert records.write_ids(df, f"file://{tmp_path}/y", path, file_bytes=8).count() > 4
+
+
+def test_records_take_other_tokenizers_whole():
+    """A tokenizer with a normalizer and word ends isn't cut into units."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("word_bpe_49k.json")
+    texts = ["Some TEXT here", "", "and  more\n\nof it's <|endoftext|> x", "é à"]
+    ids, counts = records.encode_texts(next(arrowtext.runs(pa.array(texts)))[2], path)
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 def test_mix_of_odd_documents_and_reruns(odd, empty):
     def run():
         return sorted((r.doc_id or -1, r.source or "~", r.mix.size, r.mix.source_size, r.mix.taken) for r in mixing.mix_sources(odd).collect())
@@ -304,6 +326,8 @@ def test_mix_of_odd_documents_and_reruns(odd, empty):
     got = run()
     assert got == run() and len(got) == len(ODD)
     assert all(taken <= 3 * size and (size == 0 or taken % size == 0) for _, _, size, _, taken in got)
+    rows = mixing.mix_sources(odd).select("mix.*").collect()
+    assert all(r.taken == r.size * (r.epochs + r.drawn) and (r.size or not r.drawn and not r.epochs) for r in rows)
     assert mixing.mix_sources(odd).columns == [*(c for c in odd.columns if c != "mix"), "mix"]
     assert mixing.mix_sources(empty).count() == 0
 
@@ -317,6 +341,15 @@ def test_mix_comes_near_its_targets(spark):
     assert abs(sum(r.target for r in per) - sum(r["size"] for r in per)) < 1e-3
 
 
+def test_mix_draws_nothing_from_empty_texts_and_ties_one_by_one(spark):
+    rows = [(i, None if i % 2 else "", "empty") for i in range(20)] + [(i, "a b c", "small") for i in range(30)]
+    rows += [(7, "one row that repeats very often", "alike")] * 200 + [(8, "x y", "alike")]
+    out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).select("source", "mix.*").collect()
+    assert not any(r.drawn or r.epochs or r.taken for r in out if r.source == "empty")
+    alike = [r for r in out if r.source == "alike" and r.size == 6]
+    assert len(out) == len(rows) and 0 < sum(r.drawn for r in alike) < 200 and abs(sum(r.taken for r in out if r.source == "alike") - alike[0].target) <= 6
+
+
 def test_mix_cuts_evenly_for_any_quality(spark):
     rng = np.random.default_rng(15)
     rows = [(i, " ".join("x" * int(rng.integers(300, 900)) for _ in range(3)), "unbroken") for i in range(3000)]
