@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from cirrostrat.functions.stats import sample_kurtosis, sample_skewness, t_tail
 from cirrostrat.functions.times import floor_to, season_start, seconds, water_year
+from cirrostrat.operators import scan
 
 PERIODS = {
     "hour": lambda s: floor_to(s, 3600),
@@ -102,8 +103,8 @@ def minutes_of_hour(df: DataFrame, keys: Sequence[str], ts: str, expected: list[
 
 
 def step_counts(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
-    step = seconds(ts) - F.lag(seconds(ts)).over(Window.partitionBy(*keys).orderBy(ts))
-    return df.withColumn("step", step).filter("step IS NOT NULL").groupBy(*keys, "step").agg(F.count("*").alias("n"))
+    steps = scan.beside(scan.spans(df, ts), keys, [ts], {"_b": seconds(ts)})
+    return steps.withColumn("step", seconds(ts) - F.col("_b")).filter("step IS NOT NULL").groupBy(*keys, "step").agg(F.count("*").alias("n"))
 
 
 def modal_step(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cirrostrat.operators import scan
+
 
 def both_versions(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """keys, `a`, `b`, in_a, in_b; every key of either."""
@@ -30,9 +32,11 @@ def dominating(df: DataFrame, a: str, b: str, times: float, n: int, keys: Sequen
 
 
 def candidates(df: DataFrame, measure: str, keys: Sequence[str], descending: bool = True) -> DataFrame:
-    """Rows numbered by a measure of quality within each first key, to be gone through in that order."""
+    """Rows numbered by a measure of quality within each first key, to be gone through in that order. Rows are sorted by ranges and numbered inside of
+    them, from the counts of the ranges before."""
     order = F.desc(measure) if descending else F.asc(measure)
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(keys[0]).orderBy(order, *keys[1:])))
+    dealt = scan.ranges(df, F.col(keys[0]), order, *map(F.col, keys[1:]))
+    return scan.running(dealt, keys[:1], [order, *keys[1:]], "place", F.lit(1).cast("long")).withColumn("place", F.col("place").cast("int")).drop("_span")
 
 
 def ends(df: DataFrame, keys: Sequence[str], order: str, n: int, last: bool = False) -> DataFrame:
@@ -112,3 +116,17 @@ def differing_cells(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str)
 def odd_percentages(df: DataFrame, column: str) -> Column:
     """Whether a share of data is neither 0 nor 100."""
     return ~F.col(column).isin(0, 100)
+
+
+def length_blocks(runs: DataFrame, start: str, length: str) -> DataFrame:
+    """(block, length, first, last, runs): consecutive runs of one length, in the order of their starts."""
+    dealt = scan.ranges(runs, F.col(start))
+    marked = scan.numbered(dealt, [], [start], "block", F.col(length), lambda a, b: a != b)
+    return marked.groupBy("block").agg(F.min(length).alias("length"), F.min(start).alias("first"), F.max(start).alias("last"), F.count("*").alias("runs"))
+
+
+def attribute_changes(runs: DataFrame, start: str, attributes: str) -> DataFrame:
+    """Rows (start, key, before, after) where an attribute of a map column differs from that of the run before."""
+    long = runs.select(start, F.explode(attributes).alias("key", "after"))
+    long = scan.beside(scan.ranges(long, F.col("key"), F.col(start)), ["key"], [start], {"before": F.col("after")})
+    return long.filter("before IS NOT NULL AND NOT (before <=> after)").select(start, "key", "after", "before")

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cirrostrat.functions.physics import mixing_ratio
 from cirrostrat.functions.times import nearest_hour, seconds
+from cirrostrat.operators import scan
 
 
 def align(forecasts: DataFrame, observations: DataFrame, keys: Sequence[str] = ("station",), valid: str = "valid", ts: str = "ts", value: str = "obs") -> DataFrame:
@@ -74,13 +75,13 @@ def key_logic(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return part(x.join(y, key, "left_anti"), "a").unionByName(part(y.join(x, key, "left_anti"), "b")).unionByName(part(x.join(y, key, "left_semi"), "both"))
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, value: str, right_ts: str | None = None) -> DataFrame:
-    """Each left row with the last right value at or before its time. Both sides go through one window by key, so that nothing multiplies."""
+def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, value: str, right_ts: str | None = None, width: int = scan.MONTH) -> DataFrame:
+    """Each left row with the last right value at or before its time, however old. Both sides go through one scan by key and span of time, so that
+    nothing multiplies and a key with most of the rows is shared among tasks."""
     others = [c for c in left.columns if c not in (*keys,)]
     a = left.select(*keys, seconds(ts).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(dict(right.dtypes)[value]).alias("_v"), F.struct(*others).alias("_row"))
     b = right.select(*keys, seconds(right_ts or ts).alias("_t"), F.lit(0).alias("_side"), F.col(value).alias("_v"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"))
-    w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    out = a.unionByName(b).withColumn("_held", F.last("_v", True).over(w)).filter("_side = 1")
+    out = scan.held(scan.spans(a.unionByName(b), "_t", width), keys, ["_t", "_side"], {"_held": F.col("_v")}).filter("_side = 1")
     return out.select(*keys, "_row.*", F.col("_held").alias(value))
 
 
@@ -105,8 +106,8 @@ def nearest_in_time(left: DataFrame, right: DataFrame, ts: str, right_ts: str, w
 def interval_sums(events: DataFrame, passes: DataFrame, keys: Sequence[str], ts: str, value: str, pass_ts: str, closed: str = "right", bucket: int = 86400) -> DataFrame:
     """Sums of events in the intervals between consecutive passes of a key: (start, end], or [start, end] with closed="both".
     Intervals are spread over the buckets of time that they touch, so that the join has an equality on key and bucket."""
-    w = Window.partitionBy(*keys).orderBy("_a")
-    spans = passes.select(*keys, seconds(pass_ts).alias("_a")).distinct().withColumn("_e", F.lead("_a").over(w)).filter("_e IS NOT NULL")
+    times = scan.spans(passes.select(*keys, seconds(pass_ts).alias("_a")).distinct(), "_a")
+    spans = scan.beside(times, keys, ["_a"], after={"_e": F.col("_a")}).filter("_e IS NOT NULL").drop("_span")
     spread = spans.withColumn("_b", F.explode(F.expr(f"sequence(_a DIV {bucket}, _e DIV {bucket})")))
     rain = events.select(*keys, seconds(ts).alias("_t"), F.col(value).alias("_v")).withColumn("_b", F.expr(f"_t DIV {bucket}"))
     inside = (F.col("_t") <= F.col("_e")) & ((F.col("_t") >= F.col("_a")) if closed == "both" else (F.col("_t") > F.col("_a")))

@@ -13,11 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cirrostrat.functions.times import floor_to, seconds
+from cirrostrat.operators import scan
 from cirrostrat.operators.aggregate import modal_step
-
-
-def _w(keys: Sequence[str], ts: str) -> Window:
-    return Window.partitionBy(*keys).orderBy(ts)
+from cirrostrat.runtime import stash
 
 
 def _chunks(df: DataFrame, ts: str, reach: int) -> DataFrame:
@@ -31,20 +29,18 @@ def _chunks(df: DataFrame, ts: str, reach: int) -> DataFrame:
 
 def islands(df: DataFrame, keys: Sequence[str], ts: str, flag: Column) -> DataFrame:
     """(keys, start, end, length) of runs of rows for which `flag` holds."""
-    w = _w(keys, ts)
-    numbered = df.withColumn("_n", F.row_number().over(w)).withColumn("_f", F.coalesce(flag, F.lit(False)))
-    marked = numbered.filter("_f").withColumn("_run", F.col("_n") - F.row_number().over(w))
-    return marked.groupBy(*keys, "_run").agg(F.min(seconds(ts)).alias("start"), F.max(seconds(ts)).alias("end"), F.count("*").alias("length")).drop("_run")
+    marked = scan.spans(df.withColumn("_f", F.coalesce(flag, F.lit(False))), ts)
+    runs = scan.numbered(marked, keys, [ts], "_run", F.col("_f"), lambda a, b: a != b).filter("_f")
+    return runs.groupBy(*keys, "_run").agg(F.min(seconds(ts)).alias("start"), F.max(seconds(ts)).alias("end"), F.count("*").alias("length")).drop("_run")
 
 
 def irregular(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
     """Rows whose steps before and after both differ from the usual one, with the number of adjacent ones; 1 is a lonely row."""
-    w = _w(keys, ts)
     s = seconds(ts)
-    steps = df.withColumn("_b", s - F.lag(s).over(w)).withColumn("_a", F.lead(s).over(w) - s).withColumn("_n", F.row_number().over(w))
-    odd = steps.join(modal_step(df, keys, ts), list(keys)).filter("_b <> step AND _a <> step")
-    odd = odd.withColumn("_run", F.col("_n") - F.row_number().over(w))
-    return odd.withColumn("together", F.count("*").over(Window.partitionBy(*keys, "_run"))).drop("_b", "_a", "_n", "_run", "step")
+    steps = scan.beside(scan.spans(df, ts), keys, [ts], {"_b": s}, {"_a": s}).withColumn("_b", s - F.col("_b")).withColumn("_a", F.col("_a") - s)
+    odd = steps.join(modal_step(df, keys, ts), list(keys)).withColumn("_f", F.coalesce(F.expr("_b <> step AND _a <> step"), F.lit(False)))
+    odd = scan.numbered(odd, keys, [ts], "_run", F.col("_f"), lambda a, b: a != b).filter("_f").drop("_b", "_a", "_f", "step", "_span")
+    return odd.join(odd.groupBy(*keys, "_run").agg(F.count("*").alias("together")), [*keys, "_run"]).select(*df.columns, "together")
 
 
 def step_changes(df: DataFrame, keys: Sequence[str], ts: str, low: str, high: str, minutes: int, ties: Sequence[str] = ()) -> DataFrame:
@@ -71,63 +67,71 @@ def persistence(df: DataFrame, keys: Sequence[str], ts: str, value: str, least_s
 
 def amounts(df: DataFrame, keys: Sequence[str], ts: str, total: str, resets_to_zero: bool = False) -> DataFrame:
     """`amount` from an accumulated total: differences, the first as it is; negative ones null (or 0)."""
-    d = F.col(total) - F.lag(total).over(_w(keys, ts))
-    first = F.row_number().over(_w(keys, ts)) == 1
-    return df.withColumn("amount", F.when(first, F.col(total)).when(d < 0, F.lit(0.0) if resets_to_zero else F.lit(None)).otherwise(d))
+    x = scan.beside(scan.spans(df, ts), keys, [ts], {"_b": F.col(total), "_some": F.lit(True)})
+    d = F.col(total) - F.col("_b")
+    return x.withColumn("amount", F.when(F.col("_some").isNull(), F.col(total)).when(d < 0, F.lit(0.0) if resets_to_zero else F.lit(None)).otherwise(d)).drop("_b", "_some", "_span")
 
 
 def without_spikes(df: DataFrame, keys: Sequence[str], ts: str, total: str) -> DataFrame:
     """An accumulated series without rows that go up by some amount and down again by the same."""
-    w = _w(keys, ts)
-    up, down = F.col(total) - F.lag(total).over(w), F.lead(total).over(w) - F.col(total)
-    return df.withColumn("_s", F.coalesce((up > 0) & (up == -down), F.lit(False))).filter("NOT _s").drop("_s")
+    x = scan.beside(scan.spans(df, ts), keys, [ts], {"_b": F.col(total)}, {"_a": F.col(total)})
+    up, down = F.col(total) - F.col("_b"), F.col("_a") - F.col(total)
+    return x.filter(~F.coalesce((up > 0) & (up == -down), F.lit(False))).drop("_b", "_a", "_span")
 
 
 def breaks(df: DataFrame, keys: Sequence[str], ts: str, longest: int = 86400) -> DataFrame:
     """Longest gap in seconds, number of gaps over `longest`, and the start of what follows the last of these."""
     s = seconds(ts)
-    gaps = df.withColumn("_g", s - F.lag(s).over(_w(keys, ts)))
+    gaps = scan.beside(scan.spans(df, ts), keys, [ts], {"_b": s}).withColumn("_g", s - F.col("_b"))
     return gaps.groupBy(*keys).agg(F.max("_g").alias("longest"), F.count(F.when(F.col("_g") > longest, 1)).alias("gaps"), F.max(F.when(F.col("_g") > longest, s)).alias("resumed"))
 
 
-def interval_segments(df: DataFrame, keys: Sequence[str], ts: str, least: int = 3) -> DataFrame:
+def interval_segments(df: DataFrame, keys: Sequence[str], ts: str, least: int = 3, width: int = scan.MONTH) -> DataFrame:
     """Per row its `interval` (the smaller of the steps before and after) and `segment`. Runs of fewer than `least` rows of one interval
-    take the interval of the long run before them (of the one after at the start), and a segment begins where the interval then changes."""
-    w = _w(keys, ts)
-    s = seconds(ts)
-    x = df.withColumn("_i", F.least(s - F.lag(s).over(w), F.lead(s).over(w) - s))
-    x = x.withColumn("_run", F.sum(F.coalesce((F.col("_i") != F.lag("_i").over(w)).cast("int"), F.lit(0))).over(w))
-    x = x.withColumn("_long", F.when(F.count("*").over(Window.partitionBy(*keys, "_run")) >= least, F.col("_i")))
-    filled = F.coalesce(F.last("_long", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("_long", True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.col("_i"))
-    x = x.withColumn("interval", filled)
-    x = x.withColumn("segment", F.sum(F.coalesce((F.col("interval") != F.lag("interval").over(w)).cast("int"), F.lit(0))).over(w))
-    return x.drop("_i", "_run", "_long")
-
-
-def backward_pieces(df: DataFrame, order: str, ts: str, keys: Sequence[str] = ()) -> DataFrame:
-    """`piece`: a new one begins where time doesn't go forward in file order."""
-    w = _w(keys, order)
-    return df.withColumn("piece", F.sum(F.coalesce((seconds(ts) <= F.lag(seconds(ts)).over(w)).cast("int"), F.lit(0))).over(w))
-
-
-def regular(df: DataFrame, keys: Sequence[str], ts: str, step: int, value: str, interpolate: bool = False) -> DataFrame:
-    """A row for every step between the first and last time of a key, times in seconds; gaps are null or filled in by straight lines."""
+    take the interval of the long run before them (of the one after at the start), and a segment begins where the interval then changes.
+
+    Rows are numbered by runs, and the rest is work on runs, of which there are fewer."""
+    s, change = seconds(ts), lambda a, b: a != b
+    x = scan.beside(scan.spans(df, ts, width), keys, [ts], {"_b": s}, {"_a": s})
+    x = x.withColumn("_i", F.least(s - F.col("_b"), F.col("_a") - s)).drop("_b", "_a")
+    rows = stash(scan.numbered(x, keys, [ts], "_run", F.col("_i"), change).drop("_span"), "runs")
+    # A run begins where the interval changes; one without an interval is that of a single row.
+    runs = rows.groupBy(*keys, "_run").agg(F.max("_i").alias("_i"), F.count("*").alias("_n"))
+    runs = scan.spans(runs.withColumn("_long", F.when(F.col("_n") >= least, F.col("_i"))), "_run", 100_000)
+    runs = scan.held(runs, keys, ["_run"], {"_last": F.col("_long")})
+    runs = stash(scan.held(runs, keys, ["_run"], {"_next": F.col("_long")}, forward=False).withColumn("interval", F.coalesce("_last", "_next", "_i")), "runs")
+    runs = scan.numbered(runs, keys, ["_run"], "segment", F.col("interval"), change).select(*keys, "_run", "interval", "segment")
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate((*keys, "_run"))]
+    return rows.join(runs.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate((*keys, "_run"))), "interval", "segment"), same).select(*df.columns, "interval", "segment")
+
+
+def backward_pieces(df: DataFrame, order: str, ts: str, keys: Sequence[str] = (), width: int = 100_000) -> DataFrame:
+    """`piece`: a new one begins where time doesn't go forward in file order. Spans are of `width` numbers of that order."""
+    return scan.numbered(scan.spans(df, order, width), keys, [order], "piece", seconds(ts), lambda a, b: b <= a).drop("_span")
+
+
+def regular(df: DataFrame, keys: Sequence[str], ts: str, step: int, value: str, interpolate: bool = False, width: int = scan.MONTH) -> DataFrame:
+    """A row for every step between the first and last time of a key, times in seconds; gaps are null or filled in by straight lines.
+    The steps are made span by span, and a gap of any length is bridged by the values before and behind it."""
     rows = df.select(*keys, floor_to(ts, step).alias("s"), value)
-    spine = rows.groupBy(*keys).agg(F.explode(F.sequence(F.min("s"), F.max("s"), F.lit(step).cast("long"))).alias("s"))
+    wide = -(-width // step) * step
+    ends = rows.groupBy(*keys).agg(F.min("s").alias("_lo"), F.max("s").alias("_hi"))
+    parts = ends.withColumn("_from", F.explode(F.sequence("_lo", "_hi", F.lit(wide).cast("long"))))
+    last = F.least(F.col("_from") + wide - step, F.col("_hi"))
+    spine = parts.select(*keys, F.explode(F.sequence("_from", last, F.lit(step).cast("long"))).alias("s"))
     out = spine.join(rows, [*keys, "s"], "left")
     if not interpolate:
         return out
-    w = Window.partitionBy(*keys).orderBy("s")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    t = F.when(F.col(value).isNotNull(), F.col("s"))
-    t0, t1, v0, v1 = F.last(t, True).over(back), F.first(t, True).over(ahead), F.last(value, True).over(back), F.first(value, True).over(ahead)
-    return out.withColumn(value, F.coalesce(F.col(value), v0 + (v1 - v0) * (F.col("s") - t0) / (t1 - t0)))
+    known = F.when(F.col(value).isNotNull(), F.struct(F.col("s").alias("t"), F.col(value).alias("v")))
+    x = scan.held(scan.spans(out, "s", wide), keys, ["s"], {"_0": known})
+    x = scan.held(x, keys, ["s"], {"_1": known}, forward=False)
+    a, b = F.col("_0"), F.col("_1")
+    return x.withColumn(value, F.coalesce(F.col(value), a["v"] + (b["v"] - a["v"]) * (F.col("s") - a["t"]) / (b["t"] - a["t"]))).drop("_0", "_1", "_span")
 
 
-def filled(df: DataFrame, keys: Sequence[str], ts: str, value: str, forward: bool = True) -> DataFrame:
-    w = _w(keys, ts)
-    held = F.last(value, True).over(w.rowsBetween(Window.unboundedPreceding, 0)) if forward else F.first(value, True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return df.withColumn(value, held)
+def filled(df: DataFrame, keys: Sequence[str], ts: str, value: str, forward: bool = True, width: int = scan.MONTH) -> DataFrame:
+    """The last value that is not null in place of nulls, however far back it stands; or the next one."""
+    return scan.held(scan.spans(df, ts, width), keys, [ts], {value: F.col(value)}, forward).drop("_span")
 
 
 def rolling_mean(df: DataFrame, keys: Sequence[str], ts: str, value: str, width: int, out: str) -> DataFrame:
@@ -195,23 +199,26 @@ def fir(df: DataFrame, keys: Sequence[str], index: str, value: str, kernels: dic
 
 def local_extrema(df: DataFrame, keys: Sequence[str], ts: str, value: str, order: int, minima: bool = True) -> DataFrame:
     """Rows strictly below (or above) their `order` neighbours on each side; the first and last rows are none."""
-    w = _w(keys, ts)
+    w = scan.inside(keys, ts)
     best = F.min if minima else F.max
     before, after = best(value).over(w.rowsBetween(-order, -1)), best(value).over(w.rowsBetween(1, order))
     v = F.col(value)
     hit = (v < before) & (v < after) if minima else (v > before) & (v > after)
-    return df.withColumn("_hit", hit).filter("_hit").drop("_hit")
+    return scan.near(scan.spans(df, ts), keys, [ts], order).withColumn("_hit", hit).filter("_hit AND _own").select(*df.columns)
 
 
 def rolling_peak_times(df: DataFrame, keys: Sequence[str], ts: str, value: str, rows: int = 10) -> DataFrame:
     """Distinct times at which the largest of the last `rows` values stood; only full windows count."""
-    w = _w(keys, ts).rowsBetween(-(rows - 1), 0)
+    w = scan.inside(keys, ts).rowsBetween(-(rows - 1), 0)
     peak = F.max_by(seconds(ts), F.struct(F.col(value), -seconds(ts))).over(w)
-    return df.withColumn("_n", F.count("*").over(w)).withColumn("peak", peak).filter(F.col("_n") == rows).select(*keys, "peak").distinct()
+    return scan.near(scan.spans(df, ts), keys, [ts], rows).withColumn("peak", peak).filter((F.col("_n") >= rows) & F.col("_own")).select(*keys, "peak").distinct()
 
 
 def anomaly(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    return df.withColumn(value, F.col(value) - F.avg(value).over(Window.partitionBy(*keys)))
+    """Values less the mean of their key. Means are summed before they are shuffled, and joined back."""
+    means = df.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.avg(value).alias("_m"))
+    met = df.join(means, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return met.withColumn(value, F.col(value) - F.col("_m")).select(*df.columns)
 
 
 def natural_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -269,39 +276,42 @@ def local_line(df: DataFrame, keys: Sequence[str], ts: str, value: str, at: Data
 
 def decay_times(df: DataFrame, keys: Sequence[str], ts: str, value: str) -> DataFrame:
     """`quotient` of each value and the one before, and `efold` = 1 / ln of it; without ones and zeros."""
-    x = df.withColumn("quotient", F.try_divide(F.col(value), F.lag(value).over(_w(keys, ts)))).filter("quotient > 0 AND quotient <> 1")
+    x = scan.beside(scan.spans(df, ts), keys, [ts], {"_b": F.col(value)})
+    x = x.withColumn("quotient", F.try_divide(F.col(value), F.col("_b"))).filter("quotient > 0 AND quotient <> 1").drop("_b", "_span")
     return x.withColumn("efold", 1 / F.log("quotient"))
 
 
 def autoregression(df: DataFrame, keys: Sequence[str], ts: str, value: str) -> DataFrame:
     """`residual` of a first-order autoregression by key, and `pulse`: over one deviation, and followed by a positive one."""
-    w = _w(keys, ts)
-    x = df.withColumn("_p", F.lag(value).over(w))
+    x = stash(scan.beside(scan.spans(df, ts), keys, [ts], {"_p": F.col(value)}, {"_n": F.col(value)}).drop("_span"), "lagged")
+    residual = lambda v, p: F.col(v) - F.col("_a") - F.col("_b") * F.col(p)
     fit = x.groupBy(*keys).agg(F.regr_slope(F.col(value), F.col("_p")).alias("_b"), F.regr_intercept(F.col(value), F.col("_p")).alias("_a"))
-    x = x.join(fit, list(keys)).withColumn("residual", F.col(value) - F.col("_a") - F.col("_b") * F.col("_p"))
-    std = F.stddev_samp("residual").over(Window.partitionBy(*keys))
-    return x.withColumn("pulse", F.coalesce((F.col("residual") > std) & (F.lead("residual").over(w) > 0), F.lit(False))).drop("_p", "_a", "_b")
+    x = x.join(fit, list(keys)).withColumn("residual", residual(value, "_p")).withColumn("_next", residual("_n", value))
+    std = x.groupBy(*keys).agg(F.stddev_samp("residual").alias("_std"))
+    x = x.join(std, list(keys))
+    return x.withColumn("pulse", F.coalesce((F.col("residual") > F.col("_std")) & (F.col("_next") > 0), F.lit(False))).select(*df.columns, "residual", "pulse")
 
 
 def rises(df: DataFrame, keys: Sequence[str], ts: str, value: str, other: str) -> DataFrame:
     """Rows where `value` rises: the increment, and what `other` is in the next record."""
-    w = _w(keys, ts)
-    return df.withColumn("rise", F.col(value) - F.lag(value).over(w)).withColumn("next", F.lead(other).over(w)).filter("rise > 0")
+    x = scan.beside(scan.spans(df, ts), keys, [ts], {"_b": F.col(value)}, {"next": F.col(other)})
+    return x.withColumn("rise", F.col(value) - F.col("_b")).filter("rise > 0").select(*df.columns, "rise", "next")
 
 
 def context(df: DataFrame, keys: Sequence[str], ts: str, at: Column, rows: int = 20) -> DataFrame:
     """The rows within `rows` of one for which `at` holds."""
-    around = Window.partitionBy(*keys).orderBy(ts).rowsBetween(-rows, rows)
-    return df.withColumn("_hit", F.max(F.coalesce(at, F.lit(False)).cast("int")).over(around)).filter("_hit = 1").drop("_hit")
-
-
-def merged_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
-    """The union of intervals: those that touch or overlap become one."""
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    x = df.withColumn("_new", F.coalesce((F.col(start) > reach).cast("int"), F.lit(0)))
-    x = x.withColumn("_part", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return x.groupBy(*keys, "_part").agg(F.min(start).alias("start"), F.max(end).alias("end")).drop("_part")
+    around = scan.inside(keys, ts).rowsBetween(-rows, rows)
+    hit = F.max(F.coalesce(at, F.lit(False)).cast("int")).over(around)
+    return scan.near(scan.spans(df, ts), keys, [ts], rows).withColumn("_hit", hit).filter("_hit = 1 AND _own").select(*df.columns)
+
+
+def merged_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str, width: int = scan.MONTH) -> DataFrame:
+    """The union of intervals: those that touch or overlap become one. An interval may reach over any number of spans."""
+    order = [start, end]
+    x = scan.running(scan.spans(df, start, width), keys, order, "_reach", F.col(end), "max", before=True)
+    first = F.when(~F.coalesce(F.col(start) <= F.col("_reach"), F.lit(False)), F.col(start))
+    x = scan.held(x, keys, order, {"_start": first})
+    return x.groupBy(*keys, "_start").agg(F.max(end).alias("end")).select(*keys, F.col("_start").alias("start"), "end")
 
 
 def local_polynomial(df: DataFrame, keys: Sequence[str], ts: str, value: str, at: DataFrame, scale: int, degree: int = 2) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cirrostrat.functions import geo, physics, times
-from cirrostrat.operators import select
+from cirrostrat.operators import compare, select
 from cirrostrat.plans.registry import Tables, query
 
 CORNERS = [(-71.013, -31.017), (-69.5, -31.23), (-69.2, -29.6), (-70.8, -29.4)]
@@ -210,7 +210,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     named = t.fcst.select(F.date_format(F.timestamp_seconds("start"), "'run_'yyyyMMddHH").alias("dir"), "step")
     runs = named.groupBy(times.run_start(F.col("dir")).cast("long").alias("start")).agg(F.countDistinct("step").alias("length"))
-    return times.length_blocks(runs, "start", "length")
+    return compare.length_blocks(runs, "start", "length")
 
 
 @query("m15_attribute_changes", """
@@ -218,7 +218,7 @@ def _(t: Tables) -> DataFrame:
     SELECT start, key, before, after FROM (SELECT *, lag(after) OVER (PARTITION BY key ORDER BY start) AS before FROM long) WHERE before IS NOT NULL AND before <> after""")
 def _(t: Tables) -> DataFrame:
     runs = t("events").filter("event_type = 'error'").select(F.col("event_id").alias("start"), F.from_json("props", "map<string,string>").alias("a"))
-    return times.attribute_changes(runs, "start", "a")
+    return compare.attribute_changes(runs, "start", "a")
 
 
 @query("m17_level_arrays", "SELECT station, round(v * 2, 6) AS v FROM obs WHERE v > 50", "v")
