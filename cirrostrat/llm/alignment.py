@@ -35,30 +35,23 @@ from cirrostrat.runtime import small_batches, stash
 
 def gallop(short: np.ndarray, long: np.ndarray, stride: int = 16) -> np.ndarray:
     """For each of `short` (ascending) the first place in `long` (ascending) with a value as large or larger. Every `stride`-th value is looked for from
-    the place of the one `stride` before it, and those between from the place of the first of their block, all blocks at once."""
-    n = len(long)
-    place = np.zeros(len(short), np.int64)
+    the place of the one `stride` before it, and those between from the place of the first of their block, all blocks in step."""
+    if not len(short):
+        return np.zeros(0, np.int64)
+    n, ends = len(long), np.append(long, np.iinfo(np.int64).max)
+    # The value at `low` is smaller than the one looked for, or `low` stands before the list.
+    low = np.full(len(short), -1)
     if len(short) > stride:
-        heads = gallop(short[::stride], long, stride)
-        place = np.repeat(heads, stride)[: len(short)]
-    # Below `low` all values are smaller; `step` doubles until the value at low + step is no longer smaller, or the list ends.
-    low, step = place, np.ones(len(short), np.int64)
-    todo = np.flatnonzero(low < n)
-    todo = todo[long[low[todo]] < short[todo]]
-    high = low.copy()
-    while len(todo):
-        high[todo] = np.minimum(low[todo] + step[todo], n)
-        passed = high[todo] == n
-        passed[~passed] = long[high[todo[~passed]]] >= short[todo[~passed]]
-        todo = todo[~passed]
-        low[todo] = high[todo]
-        step[todo] *= 2
-    todo = np.flatnonzero(high - low > 1)
-    while len(todo):
-        mid = (low[todo] + high[todo]) >> 1
-        smaller = long[mid] < short[todo]
-        low[todo[smaller]], high[todo[~smaller]] = mid[smaller], mid[~smaller]
-        todo = todo[high[todo] - low[todo] > 1]
+        low = np.repeat(gallop(short[::stride], long, stride), stride)[: len(short)] - 1
+    high, step = np.minimum(low + 1, n), 1
+    while (more := ends[high] < short).any():
+        step *= 2
+        low, high = np.where(more, high, low), np.where(more, np.minimum(high + step, n), high)
+    while step > 1:
+        mid = (low + high + 1) >> 1
+        smaller = ends[mid] < short
+        low, high = np.where(smaller, mid, low), np.where(smaller, high, mid)
+        step = (step + 1) // 2
     return high
 
 
@@ -142,11 +135,11 @@ def _aligned(t: Texts, bytes_file: str, pieces_file: str, n_b: int, writer: Writ
     none = np.zeros(0, np.int64)
     ids_a, counts = encode_texts(t, bytes_file, plain=True)
     at_a = np.concatenate(([0], np.cumsum(counts)))
-    ids_b, at_b = encode_marked(_marks_as_spaces(t), pieces_file)
+    ids_b, at_b = encode_marked(_marks_as_spaces(t), pieces_file, "library")
     flat, start, length = token_bytes(bytes_file)
     ids_a, ids_b = ids_a.astype(np.int64), ids_b.astype(np.int64)
-    size_a, size_b = length[ids_a], piece_sizes(ids_b, pieces_file)
-    data_a, data_b = ragged(flat, start[ids_a], size_a), decode_marked(ids_b, at_b, pieces_file)[0]
+    size_a, size_b = length[ids_a], piece_sizes(ids_b, pieces_file, "library")
+    data_a, data_b = ragged(flat, start[ids_a], size_a), decode_marked(ids_b, at_b, pieces_file, "library")[0]
     to_a, to_b = (np.concatenate(([0], np.cumsum(s))) for s in (size_a, size_b))
     for k in range(len(t.offsets) - 1):
         own = t.data[t.offsets[k] : t.offsets[k + 1]]

@@ -168,7 +168,13 @@ _caches: dict[tuple[str, str], tuple[Vocabulary, Cache]] = {}
 def _loaded(path: str, kind: str) -> tuple[Vocabulary, Cache]:
     if (path, kind) not in _caches:
         vocabulary = Vocabulary(path, kind)
-        _caches[path, kind] = vocabulary, Cache(lambda units: vocabulary.words([u.decode().replace(" ", MARK) for u in units]))
+        if kind == "library":  # words as the library encodes them, which sets the first mark itself
+            from sentencepiece import SentencePieceProcessor
+
+            model = SentencePieceProcessor(model_file=path)
+            _caches[path, kind] = vocabulary, Cache(lambda units: model.encode([u[1:].decode() for u in units], num_threads=1), 150_000, 24 << 20)
+        else:
+            _caches[path, kind] = vocabulary, Cache(lambda units: vocabulary.words([u.decode().replace(" ", MARK) for u in units]))
     return _caches[path, kind]
 
 

@@ -6,6 +6,7 @@ per worker and not once per occurrence."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ class Cache:
             self.flat = np.append(self.flat, np.zeros_like(self.flat))
         while n + len(ids) > len(self.start):
             self.start, self.length = (np.append(x, np.zeros_like(x)) for x in (self.start, self.length))
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
         self.start[n : n + len(ids)] = self.used + np.cumsum(lengths) - lengths
         self.length[n : n + len(ids)] = lengths
         self.used += total
