@@ -172,7 +172,9 @@ def _loaded(path: str, kind: str) -> tuple[Vocabulary, Cache]:
             from sentencepiece import SentencePieceProcessor
 
             model = SentencePieceProcessor(model_file=path)
-            _caches[path, kind] = vocabulary, Cache(lambda units: model.encode([u[1:].decode() for u in units], num_threads=1), 150_000, 24 << 20)
+            alone = vocabulary.merged(MARK)  # a last space, of which the library would make an empty text
+            one = [vocabulary.ids[p] for p in alone if p in vocabulary.ids]
+            _caches[path, kind] = vocabulary, Cache(lambda units: [x or one for x in model.encode([u[1:].decode() for u in units], num_threads=1)], 150_000, 24 << 20)
         else:
             _caches[path, kind] = vocabulary, Cache(lambda units: vocabulary.words([u.decode().replace(" ", MARK) for u in units]))
     return _caches[path, kind]
