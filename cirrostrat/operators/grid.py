@@ -127,12 +127,12 @@ def bilinear_weights(square: DataFrame, key: str = "station") -> DataFrame:
     return s.select(key, F.explode(w).alias("c")).select(key, "c.*")
 
 
-def interpolate(grid: DataFrame, weights: DataFrame, keys: Sequence[str], value: str = "v", key: str = "station") -> DataFrame:
+def interpolate(grid: DataFrame, weights: DataFrame, keys: Sequence[str], value: str = "v", key: str = "station", cells: int = 4) -> DataFrame:
     """Values at stations for all other keys of the grid. The weights are sparse, and cells without one leave in the join, before anything is
-    shuffled where the weights are small enough to broadcast. All four cells must have a value."""
+    shuffled where the weights are small enough to broadcast. All of a station's `cells` must have a value."""
     met = grid.join(weights, ["i", "j"])
     out = met.groupBy(key, *keys).agg(F.sum(F.col("w") * F.col(value)).alias(value), F.count(value).alias("_n"))
-    return out.withColumn(value, F.when(F.col("_n") == 4, F.col(value))).drop("_n")
+    return out.withColumn(value, F.when(F.col("_n") == cells, F.col(value))).drop("_n")
 
 
 def affine(cells: DataFrame) -> np.ndarray:
@@ -170,14 +170,6 @@ def distances(stations: DataFrame, key: str = "station", within: float | None =
     return far if within is None else far.filter(F.col("metres") <= within)
 
 
-def nearest_stations(obs: DataFrame, dist: DataFrame, k: int, overlap: int, key: str = "station", ts: str = "h") -> DataFrame:
-    """(a, b, metres, place): per station the k nearest with at least `overlap` common times; itself comes first."""
-    x = obs.select(F.col(key).alias("a"), ts).distinct()
-    common = x.join(x.withColumnRenamed("a", "b"), ts).groupBy("a", "b").agg(F.count("*").alias("_n")).filter(F.col("_n") >= overlap).drop("_n")
-    w = Window.partitionBy("a").orderBy("metres", "b")
-    return common.join(dist, ["a", "b"]).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
-
-
 def sea_classes(stations: DataFrame, cells: DataFrame, within: float = 5000.0, key: str = "station", sea: Column | None = None) -> DataFrame:
     """(station, coast): whether any sea cell lies within so many metres."""
     degrees = max(0.01, within / DEGREE)
@@ -220,14 +212,15 @@ def _bilinear(stations: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def _nearest(stations: DataFrame, cells: DataFrame) -> DataFrame:
-    return nearest_cell(stations, cells).select("station", "i", "j", F.lit(0.25).alias("w")).withColumn("copy", F.explode(F.array(*map(F.lit, range(4))))).drop("copy")
+    return nearest_cell(stations, cells).select("station", "i", "j", F.lit(1.0).alias("w"))
 
 
-#: Interpolators by name: from stations and cells to weights (station, i, j, w) of four rows each.
-INTERPOLATORS = {"bilinear": _bilinear, "affine": affine_weights, "nearest": _nearest}
+#: Interpolators by name: from stations and cells to weights (station, i, j, w), and how many rows each station has.
+INTERPOLATORS = {"bilinear": (_bilinear, 4), "affine": (affine_weights, 4), "nearest": (_nearest, 1)}
 
 
 def interpolated(grid: DataFrame, stations: DataFrame, keys: Sequence[str], how: str = "bilinear", value: str = "v") -> DataFrame:
     """Values at stations by the interpolator of that name."""
     cells = grid.select("i", "j", "lon", "lat").distinct()
-    return interpolate(grid, INTERPOLATORS[how](stations, cells), keys, value)
+    weights, n = INTERPOLATORS[how]
+    return interpolate(grid, weights(stations, cells), keys, value, cells=n)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cirrostrat.operators import network
 from cirrostrat.operators.aggregate import line_fit
 from cirrostrat.runtime import drop_stash, stash
 
@@ -18,9 +19,10 @@ log = logging.getLogger(__name__)
 
 
 def standardised(df: DataFrame, place: str, value: str) -> DataFrame:
-    w = Window.partitionBy(place)
-    std = F.stddev_samp(value).over(w)
-    return df.withColumn("std", std).withColumn("z", F.try_divide(F.col(value) - F.avg(value).over(w), std))
+    """`std` and `z` by place. Sums are combined before the shuffle and joined back."""
+    sums = df.groupBy(F.col(place).alias("_k")).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("std"))
+    met = df.join(sums, F.col(place).eqNullSafe(F.col("_k")))
+    return met.withColumn("z", F.try_divide(F.col(value) - F.col("_m"), F.col("std"))).drop("_k", "_m")
 
 
 def neighbour_average(df: DataFrame, dist: DataFrame, place: str, time: str, value: str) -> DataFrame:
@@ -34,13 +36,19 @@ def neighbour_average(df: DataFrame, dist: DataFrame, place: str, time: str, val
     return out.join(scale, place).select(place, time, (F.col("_e") * F.col("std")).alias("estimate"))
 
 
-def availability(df: DataFrame, place: str, time: str, value: str) -> DataFrame:
-    """(time, pattern): the sorted set of places with a value, as text."""
-    return df.filter(F.col(value).isNotNull()).groupBy(time).agg(F.array_join(F.sort_array(F.collect_set(F.col(place))), ",").alias("pattern"))
+def availability(df: DataFrame, place: str, time: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """(time, pattern): the set of places with a value, a bit each; and (place, number), which bit is whose."""
+    there = df.filter(F.col(value).isNotNull() & F.col(place).isNotNull())
+    numbers = network.numbered_places(there, place)
+    return network.present(there, numbers, place, time), numbers
 
 
 def pattern_blocks(df: DataFrame, place: str, time: str, value: str) -> DataFrame:
-    return availability(df, place, time, value).groupBy("pattern").agg(F.count("*").alias("times"), F.min(time).alias("first"), F.max(time).alias("last"))
+    """(pattern, times, first, last): rows by the set of places present. Sets are grouped as bits; their names are written once for each set."""
+    patterns, numbers = availability(df, place, time, value)
+    blocks = stash(patterns.groupBy("pattern").agg(F.count("*").alias("times"), F.min(time).alias("first"), F.max(time).alias("last")), "blocks")
+    names = network.pattern_places(blocks, numbers, place).groupBy("pattern").agg(F.array_join(F.sort_array(F.collect_list(place)), ",").alias("names"))
+    return blocks.join(names, "pattern").select(F.col("names").alias("pattern"), "times", "first", "last")
 
 
 def predicted_from_others(df: DataFrame, target: object, place: str, time: str, value: str, least: int = 10) -> DataFrame:
@@ -51,19 +59,20 @@ def predicted_from_others(df: DataFrame, target: object, place: str, time: str,
     y = df.filter((F.col(place) == F.lit(target)) & F.col(value).isNotNull()).select(time, F.col(value).alias("y"))
     one = y.select(time, F.lit(None).cast(dict(df.dtypes)[place]).alias("p"), F.lit(1.0).alias("x"))
     x = others.join(y.select(time), time, "left_semi").unionByName(one)
-    pattern = x.groupBy(time).agg(F.array_join(F.sort_array(F.collect_set(F.coalesce(F.col("p").cast("string"), F.lit("")))), ",").alias("pattern"))
-    rows = stash(x.join(pattern, time).withColumn("p", F.coalesce(F.col("p").cast("string"), F.lit(""))), "rows")
+    x = x.withColumn("p", F.coalesce(F.col("p").cast("string"), F.lit("")))
+    pattern = network.present(x, network.numbered_places(x, "p"), "p", time)
+    rows = stash(x.join(pattern, time), "rows")
     pairs = rows.join(rows.select(time, F.col("p").alias("q"), F.col("x").alias("w")), time).groupBy("pattern", "p", "q").agg(F.sum(F.expr("x * w")).alias("s"), F.count("*").alias("n"))
     right = rows.join(y, time).groupBy("pattern", "p").agg(F.sum(F.expr("x * y")).alias("r"))
-    schema = "pattern string, p string, b double"
+    schema = "pattern binary, p string, b double"
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         names = sorted(pdf["p"].unique())
         if pdf["n"].max() < max(least, len(names) + 1):
-            return pd.DataFrame({"pattern": [], "p": [], "b": []}).astype({"pattern": str, "p": str, "b": float})
+            return pd.DataFrame({"pattern": [], "p": [], "b": []}).astype({"pattern": object, "p": str, "b": float})
         m = pdf.pivot(index="p", columns="q", values="s").loc[names, names].to_numpy(float)
         b = np.linalg.lstsq(m, pdf.drop_duplicates("p").set_index("p").loc[names, "r"].to_numpy(float), rcond=None)[0]
-        return pd.DataFrame({"pattern": pdf["pattern"].iloc[0], "p": names, "b": b})
+        return pd.DataFrame({"pattern": [pdf["pattern"].iloc[0]] * len(names), "p": names, "b": b})
 
     fit = pairs.join(right, ["pattern", "p"]).groupBy("pattern").applyInPandas(solve, schema)
     estimate = rows.join(fit, ["pattern", "p"]).groupBy(time).agg(F.sum(F.expr("x * b")).alias("predicted"))
@@ -79,7 +88,8 @@ def neighbour_differences(df: DataFrame, nearest: DataFrame, place: str, time: s
     mine = x.select(F.col(place).alias("a"), time, F.col(value).alias("_x"))
     theirs = x.select(F.col(place).alias("b"), time, F.col(value).alias("_y"))
     d = mine.join(nearest.filter("a <> b").select("a", "b"), "a").join(theirs, ["b", time]).groupBy("a", time).agg(F.sum(F.abs(F.col("_x") - F.col("_y"))).alias("_d"))
-    return d.select(F.col("a").alias(place), time, F.try_divide(F.col("_d"), F.stddev_samp("_d").over(Window.partitionBy("a"))).alias("score"))
+    std = d.groupBy("a").agg(F.stddev_samp("_d").alias("_s"))
+    return d.join(std, "a").select(F.col("a").alias(place), time, F.try_divide(F.col("_d"), F.col("_s")).alias("score"))
 
 
 def gaussian(half: float) -> object:

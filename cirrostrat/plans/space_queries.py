@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cirrostrat.functions import geo
-from cirrostrat.operators import eof, grid, regress, spectral, vertical
+from cirrostrat.operators import eof, grid, network, regress, spectral, vertical
 from cirrostrat.operators.join import complete_pairs
 from cirrostrat.plans.registry import Tables, query
 from cirrostrat.plans.select_queries import HAVERSINE_SQL
@@ -99,7 +99,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("j24_nearest_stations", f"{SMALL_DIST}, o AS (SELECT a.station AS a, b.station AS b, count(*) AS n FROM seen a JOIN seen b USING (h) GROUP BY ALL HAVING count(*) >= 40) SELECT o.a, o.b, metres, (row_number() OVER (PARTITION BY o.a ORDER BY metres, o.b))::INT AS place FROM o JOIN dist d ON d.a = o.a AND d.b = o.b QUALIFY place <= 4", "metres")
 def _(t: Tables) -> DataFrame:
-    return grid.nearest_stations(t.seen, grid.distances(few(t)), 4, 40)
+    return network.nearest_overlapping(t.seen, few(t), 4, 40)
 
 
 @query("j25_sea_classes", f"{CELLS}, w AS (SELECT * FROM cells WHERE (i * 3 + j) % 5 = 0) SELECT station, coalesce(bool_or({FAR} <= 5000), FALSE) AS coast FROM near s LEFT JOIN w c ON abs(s.lon - c.lon) < 0.2 AND abs(s.lat - c.lat) < 0.2 GROUP BY station")
@@ -242,7 +242,7 @@ ZED = "z AS (SELECT station, h, (v - avg(v) OVER w) / stddev_samp(v) OVER w AS z
 
 @query("r1_neighbour_average", f"{SMALL_DIST}, {ZED}, w AS (SELECT a, b, exp(-pow(metres / (SELECT avg(metres) FROM dist), 2)) AS w FROM dist WHERE a <> b), e AS (SELECT a AS station, h, sum(w * z) / sum(w) AS e FROM z JOIN w ON w.b = z.station GROUP BY ALL) SELECT e.station, e.h, e.e * s.std AS estimate FROM e JOIN (SELECT DISTINCT station, std FROM z) s ON s.station = e.station", "estimate")
 def _(t: Tables) -> DataFrame:
-    return regress.neighbour_average(t.seen, grid.distances(few(t)), "station", "h", "v")
+    return regress.neighbour_average(t.seen, network.nearest_graph(few(t), 16), "station", "h", "v")
 
 
 @query("r2_availability", "p AS (SELECT h, array_to_string(list_sort(list(DISTINCT station)), ',') AS pattern FROM seen GROUP BY h) SELECT pattern, count(*) AS times, min(h) AS first, max(h) AS last FROM p GROUP BY pattern")
@@ -257,7 +257,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("r4_neighbour_differences", f"{SMALL_DIST}, o AS (SELECT a.station AS a, b.station AS b, count(*) AS n FROM seen a JOIN seen b USING (h) GROUP BY ALL HAVING count(*) >= 40), nn AS (SELECT o.a, o.b FROM o JOIN dist d ON d.a = o.a AND d.b = o.b QUALIFY row_number() OVER (PARTITION BY o.a ORDER BY metres, o.b) <= 5), d AS (SELECT nn.a AS station, x.h, sum(abs(x.v - y.v)) AS d FROM nn JOIN seen x ON x.station = nn.a JOIN seen y ON y.station = nn.b AND y.h = x.h WHERE nn.a <> nn.b GROUP BY ALL) SELECT station, h, d / nullif(stddev_samp(d) OVER (PARTITION BY station), 0) AS score FROM d", "score")
 def _(t: Tables) -> DataFrame:
-    near5 = grid.nearest_stations(t.seen, grid.distances(few(t)), 5, 40)
+    near5 = network.nearest_overlapping(t.seen, few(t), 5, 40)
     return regress.neighbour_differences(t.seen, near5, "station", "h", "v")
 
 
@@ -272,7 +272,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("r6_laplacian", rounds="slope icpt")
 def _(t: Tables) -> DataFrame:
-    return regress.laplacian_regression(local_rows(t), grid.distances(few(t)), "station", "chunk", "x", "y", 0.1, regress.gaussian(60000.0))
+    return regress.laplacian_regression(local_rows(t), network.nearest_graph(few(t), 16), "station", "chunk", "x", "y", 0.1, regress.gaussian(60000.0))
 
 
 @query("r7_flag_statistics", "f AS (SELECT 'high' AS \"check\", station, v > 100 AS flag FROM obs UNION ALL SELECT 'low', station, v < 1 FROM obs) SELECT \"check\", station, count(flag) AS n, sum(flag::INT)::BIGINT AS flagged, avg(flag::INT) AS share FROM f GROUP BY ALL", "share")
