@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cirrostrat.operators import scan
+
 RAW = "s_cod string, datetime timestamp, min double, ave double, max double, data_pc double"
 
 
@@ -29,9 +31,15 @@ def without_empty_columns(df: DataFrame) -> DataFrame:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, n, line) with the number of each line in its file. A file is a row, and so a task at a time: files of one station or run are small."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"\r\n?", "\n").alias("value"))
-    return whole.select("file", F.posexplode(F.split("value", "\n")).alias("n", "line")).filter(F.col("line") != "")
+    """(file, n, line, _span) with the number of each line in its file, whatever line ends it has; empty lines are left out. Large files are read in byte
+    ranges by many tasks. Lines of a range are counted as they come, and numbers go on from the counts of the ranges before, so no line is shuffled.
+    `_span` is where a line's range begins, for the scans of `operators.scan`."""
+    at = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_span")
+    read = spark.read.text(path).select(*at, F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
+    ranges = read.groupBy("file", "_span").agg(F.min("_id").alias("_first"), F.count("*").alias("_rows"))
+    before = Window.partitionBy("file").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("file", "_span", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_to_n"))
+    return read.join(ranges, ["file", "_span"]).select("file", (F.col("_id") + F.col("_to_n")).alias("n"), "line", "_span").filter(F.col("line") != "")
 
 
 def logger_file(spark: SparkSession, path: str, header: int = 1, skip: Sequence[int] = (0, 2, 3)) -> DataFrame:
@@ -99,8 +107,7 @@ def index_table(spark: SparkSession, path: str, missing: Sequence[float] = (-99.
     don't go on by one a new block begins, as in files that stack several tables."""
     rows = lines(spark, path).filter(F.col("line").rlike(r"^\s*\d{4}(\s+-?[\d.]+){12}\s*$")).withColumn("c", F.split(F.trim("line"), r"\s+"))
     rows = rows.withColumn("year", F.col("c")[0].cast("int"))
-    w = Window.partitionBy("file").orderBy("n")
-    rows = rows.withColumn("block", F.sum(F.coalesce((F.col("year") != F.lag("year").over(w) + 1).cast("int"), F.lit(0))).over(w))
+    rows = scan.numbered(rows, ["file"], ["n"], "block", F.col("year"), lambda a, b: b != a + 1)
     long = rows.select("file", "block", "year", F.posexplode(F.slice("c", 2, 12)).alias("m", "v"))
     value = F.col("v").cast("double")
     return long.select("file", "block", F.make_date("year", F.col("m") + 1, F.lit(1)).alias("month"), cleaned(value, *missing).alias("value")).filter("value IS NOT NULL")
@@ -108,9 +115,8 @@ def index_table(spark: SparkSession, path: str, missing: Sequence[float] = (-99.
 
 def blocks_by_kind(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """(file, n, line, block): a new block begins where lines change between matching a pattern and not."""
-    w = Window.partitionBy("file").orderBy("n")
-    rows = lines(spark, path).withColumn("_k", F.col("line").rlike(kind))
-    return rows.withColumn("block", F.sum(F.coalesce((F.col("_k") != F.lag("_k").over(w)).cast("int"), F.lit(0))).over(w)).drop("_k")
+    rows = scan.numbered(lines(spark, path), ["file"], ["n"], "block", F.col("line").rlike(kind), lambda a, b: a != b)
+    return rows.drop("_span")
 
 
 def flight_lines(spark: SparkSession, path: str, schema: str, separator: str = ",") -> DataFrame:
@@ -130,7 +136,7 @@ def hemisphere_number(text: Column) -> Column:
 
 def year_month_table(spark: SparkSession, path: str, missing: str = "-") -> DataFrame:
     """(file, month, value) of lines with a year and twelve white-space cells, `-` being missing."""
-    rows = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.split(F.trim("value"), r"\s+").alias("c")).filter(F.size("c") >= 13)
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.split(F.trim("value"), r"\s+").alias("c")).filter(F.size("c") >= 13)
     long = rows.select("file", F.col("c")[0].try_cast("int").alias("year"), F.posexplode(F.slice("c", 2, 12)).alias("m", "v")).filter(F.col("year").isNotNull() & (F.col("v") != missing))
     return long.select("file", F.make_date("year", F.col("m") + 1, F.lit(1)).alias("month"), F.col("v").try_cast("double").alias("value")).filter("value IS NOT NULL")
 
