@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import pi
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cirrostrat.functions.stats import chi2_quantile
 
@@ -19,8 +22,8 @@ def _with_frequencies(df: DataFrame, freqs: Sequence[float]) -> DataFrame:
 
 def periodogram(df: DataFrame, keys: Sequence[str], t: str, value: str, freqs: Sequence[float], norm: str = "psd", weight: Column | None = None) -> DataFrame:
     """(keys, k, f, re, im, power): the normalised least-squares transform at each frequency (cycles per unit of `t`). Nulls are left out.
-    Pass one sums sin 2wt and cos 2wt to the shift tau, pass two has four sums; both combine before the shuffle.
-    norm: `psd` for density, `pow` for the power spectrum, `raw` for neither."""
+    Pass one sums sin 2wt and cos 2wt to the shift tau, pass two has five sums; both combine before the shuffle. The work is rows times frequencies: for
+    many evenly spaced ones there is `full_periodogram`. norm: `psd` for density, `pow` for the power spectrum, `raw` for neither."""
     rows = df.filter(F.col(value).isNotNull())
     y = F.col(value) if weight is None else F.col(value) * weight
     rows = _with_frequencies(rows.select(*keys, F.col(t).cast("double").alias("_t"), y.alias("_y")), freqs)
@@ -29,11 +32,21 @@ def periodogram(df: DataFrame, keys: Sequence[str], t: str, value: str, freqs: S
     met = rows.join(tau, [*keys, "k", "f"])
     a = w * (F.col("_t") - F.col("_tau"))
     s = met.groupBy(*keys, "k", "f", "_tau").agg(
-        F.sum(F.col("_y") * F.cos(a)).alias("_yc"), F.sum(F.col("_y") * F.sin(a)).alias("_ys"), F.sum(F.cos(a) * F.cos(a)).alias("_cc"), F.sum(F.sin(a) * F.sin(a)).alias("_ss"),
+        F.sum(F.col("_y") * F.cos(a)).alias("_yc"), F.sum(F.col("_y") * F.sin(a)).alias("_ys"), F.sum(F.cos(a) * F.cos(a)).alias("_cc"), F.sum(F.sin(a) * F.sin(a)).alias("_ss"), F.sum(F.col("_t") * F.sin(a) * F.cos(a)).alias("_cross"),
         F.sum("_y").alias("_sy"), F.count("*").alias("n"), (F.max("_t") - F.min("_t")).alias("_span"),
     )
+    return _normalised(s, keys, norm)
+
+
+#: Under the first bound the sine term has no norm (at the Nyquist frequency of even steps): the mean takes its place, or nothing where the cross term is over the second.
+NO_SINE, NO_CROSS = 1e-4, 1e-8
+
+
+def _normalised(s: DataFrame, keys: Sequence[str], norm: str) -> DataFrame:
+    """(keys, k, f, re, im, power, n) from the sums of a frequency."""
     c = F.col("_yc") / F.sqrt("_cc")
-    sn = F.when(F.col("_ss") < 1e-8, F.col("_sy") / F.sqrt("n")).otherwise(F.col("_ys") / F.sqrt("_ss"))
+    none = F.when(F.col("_cross") > NO_CROSS, 0.0).otherwise(F.col("_sy") / F.sqrt("n"))
+    sn = F.when(F.col("_ss") < NO_SINE, none).otherwise(F.col("_ys") / F.sqrt("_ss"))
     scale = {"psd": F.sqrt(F.col("_span") / F.col("n")), "pow": 1 / F.sqrt("n"), "raw": F.lit(1.0)}[norm] / F.sqrt(F.lit(2.0))
     # The shift tau turns the transform by -w * tau.
     turn = 2 * pi * F.col("f") * F.col("_tau")
@@ -41,6 +54,76 @@ def periodogram(df: DataFrame, keys: Sequence[str], t: str, value: str, freqs: S
     return out.select(*keys, "k", "f", "re", "im", (2 * (F.col("re") * F.col("re") + F.col("im") * F.col("im"))).alias("power"), "n")
 
 
+def grid_transform(t: np.ndarray, values: np.ndarray, first: float, step: float, count: int, width: int = 14) -> np.ndarray:
+    """Sums of values * exp(-2 pi i f t) at f = first + step * k for k under `count`: each value is spread over `width` cells of a regular grid with
+    twice as many cells as frequencies, which a fast transform turns into all sums; they are divided by the transform of what was spread.
+    The work is rows + count * log(count), the error about 1e-12 of the sum of all sizes."""
+    middle, cells = count // 2, 1 << max(6, (2 * count - 1).bit_length())
+    beta = 2.3 * width
+    turned = values * np.exp(-2j * pi * (((first + middle * step) * t) % 1.0))
+    place = ((step * t) % 1.0) * cells
+    low = np.ceil(place - width / 2)
+    grid = np.zeros(cells, complex)
+    for k in range(width):
+        u = low + k - place
+        share = turned * np.exp(beta * (np.sqrt(np.maximum(0.0, 1 - (2 * u / width) ** 2)) - 1))
+        at = (low + k).astype(np.int64) % cells
+        grid += np.bincount(at, share.real, cells) + 1j * np.bincount(at, share.imag, cells)
+    k = np.arange(count) - middle
+    nodes, weights = np.polynomial.legendre.leggauss(40)
+    bell = weights * np.exp(beta * (np.sqrt(1 - nodes**2) - 1))
+    spread = width / 2 * np.sum(bell[:, None] * np.cos(2 * pi / cells * width / 2 * nodes[:, None] * k), axis=0)
+    return np.fft.fft(grid)[k % cells] / spread
+
+
+def _transforms(rows: DataFrame, keys: Sequence[str], first: float, step: float, count: int, double: bool, rows_per_task: int) -> DataFrame:
+    """(keys, k, yr, yi, n, _sy, t0, t1), and with `double` the transforms of 1 and of t at twice the frequencies, from rows (keys, _t, _y). A series is
+    dealt into parts of so many rows; parts are transformed as wholes, and their sums at a frequency are added up."""
+    counts = rows.groupBy(*keys).agg(F.ceil(F.count("*") / rows_per_task).cast("int").alias("_parts"))
+    dealt = rows.join(counts, list(keys)).withColumn("_part", F.pmod(F.xxhash64("_t", "_y"), F.col("_parts")))
+    names = ["yr", "yi", *(["wr", "wi", "tr", "ti"] if double else [])]
+    fields = [T.StructField(c, T.DoubleType()) for c in (*names, "n", "_sy", "t0", "t1")]
+    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("k", T.IntegerType()), *fields])
+
+    def run(key: tuple, part: pa.Table) -> pa.Table:
+        t, y = (part.column(c).to_numpy().astype(float) for c in ("_t", "_y"))
+        sums = [grid_transform(t, y, first, step, count)]
+        if double:
+            sums += [grid_transform(t, v, 2 * first, 2 * step, count) for v in (np.ones(len(t)), t)]
+        columns = [x for z in sums for x in (z.real, z.imag)]
+        ends = [np.full(count, x) for x in (float(len(t)), y.sum(), t.min(), t.max())]
+        return pa.Table.from_arrays([*(pa.repeat(g, count) for g in key[:-1]), pa.array(np.arange(count, dtype=np.int32)), *map(pa.array, (*columns, *ends))], names=schema.names)
+
+    made = dealt.groupBy(*keys, "_part").applyInArrow(run, schema)
+    return made.groupBy(*keys, "k").agg(*(F.sum(c).alias(c) for c in (*names, "n", "_sy")), F.min("t0").alias("t0"), F.max("t1").alias("t1"))
+
+
+def full_periodogram(df: DataFrame, keys: Sequence[str], t: str, value: str, step: float, count: int, first: float | None = None, norm: str = "psd", rows_per_task: int = 1 << 19) -> DataFrame:
+    """As `periodogram`, at `count` frequencies from `first` (else `step`) on, `step` apart: the sums come from fast transforms on a regular grid, so that
+    rows are not multiplied by frequencies. sin^2 and cos^2 sums follow from the transform of 1 at twice the frequency, turned by the shift."""
+    first = step if first is None else first
+    rows = df.filter(F.col(value).isNotNull() & F.col(t).isNotNull()).select(*keys, F.col(t).cast("double").alias("_t"), F.col(value).cast("double").alias("_y"))
+    s = _transforms(rows, keys, first, step, count, True, rows_per_task).withColumn("f", first + step * F.col("k")).filter("f <> 0")
+    w = 2 * pi * F.col("f")
+    s = s.withColumn("_tau", F.atan2(-F.col("wi"), F.col("wr")) / (2 * w))
+    cos, sin, size = F.cos(w * F.col("_tau")), F.sin(w * F.col("_tau")), F.sqrt(F.expr("wr * wr + wi * wi"))
+    both = F.cos(2 * w * F.col("_tau")), F.sin(2 * w * F.col("_tau"))
+    s = s.withColumns({
+        "_yc": F.col("yr") * cos - F.col("yi") * sin, "_ys": -F.col("yi") * cos - F.col("yr") * sin, "_cc": (F.col("n") + size) / 2, "_ss": (F.col("n") - size) / 2,
+        "_cross": (-F.col("ti") * both[0] - F.col("tr") * both[1]) / 2, "_span": F.col("t1") - F.col("t0"), "n": F.col("n").cast("long"),
+    })
+    return _normalised(s, keys, norm)
+
+
+def full_fourier_sums(df: DataFrame, keys: Sequence[str], t: str, value: str, step: float, count: int, first: float | None = None, left_out: Column | None = None, rows_per_task: int = 1 << 19) -> DataFrame:
+    """As `fourier_sums`, at evenly spaced frequencies, by fast transforms."""
+    first = step if first is None else first
+    rows = df.filter(F.col(value).isNotNull() & F.col(t).isNotNull())
+    rows = rows.filter(~left_out) if left_out is not None else rows
+    s = _transforms(rows.select(*keys, F.col(t).cast("double").alias("_t"), F.col(value).cast("double").alias("_y")), keys, first, step, count, False, rows_per_task)
+    return s.select(*keys, "k", (first + step * F.col("k")).alias("f"), (F.col("yr") / F.col("n")).alias("re"), (F.col("yi") / F.col("n")).alias("im"))
+
+
 def segments(df: DataFrame, keys: Sequence[str], t: str, value: str, n: int) -> DataFrame:
     """Rows dealt into 2n - 1 half-overlapping segments, `_w` being the Hann weight; a row is in two at most."""
     x = F.col(t).cast("double")
@@ -86,9 +169,9 @@ def coherence(df: DataFrame, key: str, a: object, b: object, t: str, value: str,
 def one_cycle(df: DataFrame, keys: Sequence[str], t: str, value: str, period: float) -> DataFrame:
     """Amplitude and the phase of the maximum (in units of t, 0 to period) of the least-squares cycle of one period about the mean; null where
     the series spans less than a quarter of it."""
-    w = Window.partitionBy(*keys)
     x = F.col(t).cast("double")
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, x.alias("_t"), (F.col(value) - F.avg(value).over(w)).alias("_y"))
+    there = df.filter(F.col(value).isNotNull())
+    rows = there.join(there.groupBy(*keys).agg(F.avg(value).alias("_m")), list(keys)).select(*keys, x.alias("_t"), (F.col(value) - F.col("_m")).alias("_y"))
     c, s = F.cos(2 * pi / period * F.col("_t")), F.sin(2 * pi / period * F.col("_t"))
     m = rows.groupBy(*keys).agg(F.sum(c * c).alias("cc"), F.sum(s * s).alias("ss"), F.sum(c * s).alias("cs"), F.sum(F.col("_y") * c).alias("yc"), F.sum(F.col("_y") * s).alias("ys"), (F.max("_t") - F.min("_t")).alias("_span"))
     det = F.expr("cc * ss - cs * cs")

@@ -176,6 +176,17 @@ def _(t: Tables) -> DataFrame:
     return spectral.periodogram(hours(t), ["field"], "t", "y", FREQS).drop("f")
 
 
+ALL_FREQS = SPECTRUM.replace(f"(VALUES {FREQ_SQL})", "(SELECT k::INT, (k + 1) / 4000.0::DOUBLE FROM range(2000) AS r(k))")
+WHOLE = ", ".join(f'round({e} + 3.7e-8::DOUBLE, 2) + 0 AS {n}' for n, e in (("re", "sqrt(span / n / 2) * (yc / sqrt(cc) * cos(2 * pi() * f * tau) - sn * sin(2 * pi() * f * tau))"), ("im", "sqrt(span / n / 2) * (yc / sqrt(cc) * sin(2 * pi() * f * tau) + sn * cos(2 * pi() * f * tau))"), ("power", "span / n * (yc * yc / cc + sn * sn)")))
+
+
+@query("x1_full_periodogram", f"{ALL_FREQS}, x AS (SELECT *, CASE WHEN ss >= 1e-4 THEN ys / sqrt(ss) END AS sn FROM s) SELECT field, k, {WHOLE}, n FROM x WHERE k < 1990")
+def _(t: Tables) -> DataFrame:
+    """All frequencies up to one in two hours, but the last ones, where the sine term of whole hours has no norm."""
+    got = spectral.full_periodogram(hours(t), ["field"], "t", "y", 1 / 4000, 2000).filter("k < 1990")
+    return got.select("field", "k", *((F.round(F.col(c) + 3.7e-8, 2) + F.lit(0.0)).alias(c) for c in ("re", "im", "power")), "n")
+
+
 @query("x2_one_cycle", "y AS (SELECT field, h // 3600 - 473352 AS t, v - avg(v) OVER (PARTITION BY field) AS y FROM series), m AS (SELECT field, sum(cos(2 * pi() / 24 * t) * cos(2 * pi() / 24 * t)) AS cc, sum(sin(2 * pi() / 24 * t) * sin(2 * pi() / 24 * t)) AS ss, sum(cos(2 * pi() / 24 * t) * sin(2 * pi() / 24 * t)) AS cs, sum(y * cos(2 * pi() / 24 * t)) AS yc, sum(y * sin(2 * pi() / 24 * t)) AS ys FROM y GROUP BY field), b AS (SELECT field, (yc * ss - ys * cs) / (cc * ss - cs * cs) AS a, (ys * cc - yc * cs) / (cc * ss - cs * cs) AS b FROM m) SELECT field, sqrt(a * a + b * b) AS amplitude, ((atan2(b, a) / (2 * pi()) * 24) % 24 + 24) % 24 AS phase FROM b", "amplitude phase")
 def _(t: Tables) -> DataFrame:
     return spectral.one_cycle(hours(t), ["field"], "t", "y", 24.0)
