@@ -22,13 +22,18 @@ AXES = ("x", "y", "z")
 CELL = ["level", "cx", "cy", "cz"]
 
 
+def unit_point(lon: Column, lat: Column) -> dict[str, Column]:
+    """The point of the unit sphere at a longitude and a latitude."""
+    x, y = F.radians(lon), F.radians(lat)
+    return {"x": F.cos(y) * F.cos(x), "y": F.cos(y) * F.sin(x), "z": F.sin(y)}
+
+
 def _sites(places: DataFrame, most: int, key: str) -> DataFrame:
     """Each distinct location with its smallest keys, as many as a result can hold, its point on the sphere and its deepest cell."""
     known = places.filter(F.col(key).isNotNull() & F.col("lon").isNotNull() & F.col("lat").isNotNull()).select(F.col(key).alias("key"), F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"))
     first = known.distinct().withColumn("n", F.row_number().over(Window.partitionBy("lon", "lat").orderBy("key"))).filter(F.col("n") <= most)
     sites = first.groupBy("lon", "lat").agg(F.sort_array(F.collect_list("key")).alias("keys")).withColumn("site", F.col("keys")[0])
-    lon, lat = F.radians("lon"), F.radians("lat")
-    point = {"x": F.cos(lat) * F.cos(lon), "y": F.cos(lat) * F.sin(lon), "z": F.sin(lat)}
+    point = unit_point(F.col("lon"), F.col("lat"))
     cell = {f"c{a}": F.least(F.lit((1 << DEEPEST) - 1), F.floor((F.col(a) + 1) / 2 * (1 << DEEPEST))).cast("long") for a in AXES}
     return stash(sites.withColumns(point).withColumns(cell), "sites")
 
@@ -39,7 +44,7 @@ def _at_levels(sites: DataFrame, *columns: str) -> DataFrame:
     return levels.withColumns({c: F.expr(f"shiftright({c}, {DEEPEST} - level)") for c in CELL[1:]})
 
 
-def _reach(far: bool) -> Column:
+def cell_reach(far: bool) -> Column:
     """The distance through the sphere from a place (px, py, pz) to the nearest or the farthest point of a cell."""
     total = F.lit(0.0)
     for a in AXES:
@@ -52,7 +57,7 @@ def _reach(far: bool) -> Column:
 def _pruned(frontier: DataFrame, wanted: int) -> DataFrame:
     """Cells that can hold one of the `wanted` nearest: those that begin before the cells that surely hold so many end."""
     w = Window.partitionBy("site").orderBy("far", *CELL).rowsBetween(Window.unboundedPreceding, 0)
-    held = frontier.withColumns({"near": _reach(False), "far": _reach(True)}).withColumn("held", F.sum("n").over(w))
+    held = frontier.withColumns({"near": cell_reach(False), "far": cell_reach(True)}).withColumn("held", F.sum("n").over(w))
     bound = F.min(F.when(F.col("held") >= wanted, F.col("far"))).over(Window.partitionBy("site"))
     return held.withColumn("bound", F.least("bound", bound)).filter(F.col("near") <= F.col("bound") + 1e-12).drop("near", "far", "held")
 

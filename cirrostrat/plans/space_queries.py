@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cirrostrat.functions import geo
-from cirrostrat.operators import eof, grid, network, regress, spectral, vertical
+from cirrostrat.operators import eof, grid, network, regress, spectral, terrain, vertical
 from cirrostrat.operators.join import complete_pairs
 from cirrostrat.plans.registry import Tables, query
 from cirrostrat.plans.select_queries import HAVERSINE_SQL
@@ -329,9 +329,9 @@ def _(t: Tables) -> DataFrame:
 @query("r11_r12_horizon", rounds="angle metres")
 def _(t: Tables) -> DataFrame:
     terrain = cells(t).withColumn("elev", 1000 + 500 * F.sin(F.col("i")) + 300 * F.cos(F.col("j")))
-    rim = grid.horizon(t.stations, terrain, 100_000.0, 36)
+    rim = terrain.horizon(t.stations, terrain, 100_000.0, 36)
     sun = t.stations.select("station", F.lit(0.05).alias("mu")).withColumn("azimuth", F.explode(F.array(F.lit(35.0), F.lit(125.0), F.lit(275.0))))
-    hit = grid.blocked(sun, rim, 36).groupBy("station").agg(F.sum(F.col("blocked").cast("long")).alias("hits"))
+    hit = terrain.blocked(sun, rim, 36).groupBy("station").agg(F.sum(F.col("blocked").cast("long")).alias("hits"))
     return rim.join(hit, "station")
 
 
