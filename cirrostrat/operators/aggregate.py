@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from cirrostrat.functions.stats import sample_kurtosis, sample_skewness, t_tail
 from cirrostrat.functions.times import floor_to, season_start, seconds, water_year
 from cirrostrat.operators import scan
+from cirrostrat.runtime import stash
 
 PERIODS = {
     "hour": lambda s: floor_to(s, 3600),
@@ -275,6 +276,7 @@ def cross_sums(df: DataFrame, place: str, time: str, value: str, places: int = 5
     `places`, so that the shuffle after it holds a row for each pair and bucket, not for each pair and time."""
     x = df.filter(F.col(value).isNotNull() & F.col(place).isNotNull() & F.col(time).isNotNull())
     x = x.select(F.col(place).alias("_p"), F.xxhash64(F.col(time)).alias("_h"), F.col(time).alias("_t"), F.col(value).cast("double").alias("_x"))
+    x = stash(x, "series")  # read twice
     n_places, n_times, mean = x.agg(F.approx_count_distinct("_p"), F.approx_count_distinct("_t"), F.avg(F.when(F.abs("_x") < float("inf"), F.col("_x")))).first()
     if centre and mean is not None:
         x = x.withColumn("_x", F.col("_x") - mean)

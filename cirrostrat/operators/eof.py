@@ -18,7 +18,8 @@ log = logging.getLogger(__name__)
 
 
 def centred(df: DataFrame, place: str, value: str) -> DataFrame:
-    return df.withColumn(value, F.col(value) - F.avg(value).over(Window.partitionBy(place)))
+    means = df.groupBy(F.col(place).alias("_k")).agg(F.avg(value).alias("_m"))
+    return df.join(means, F.col(place).eqNullSafe(F.col("_k"))).withColumn(value, F.col(value) - F.col("_m")).select(*df.columns)
 
 
 def eigenvectors(cov: DataFrame, k: int, max_series: int = 3000) -> tuple[list, np.ndarray, np.ndarray]:
@@ -69,7 +70,7 @@ def _leading(cov: DataFrame, at: dict, k: int, settled: float = 1e-9, rounds: in
             log.info("components settled in round %d", n + 1)
             break
     else:
-        log.warning("components not settled after %d rounds, residual %g", rounds, miss)
+        raise ArithmeticError(f"components not settled after {rounds} rounds, residual {miss:g}")
     return values, x
 
 
@@ -105,9 +106,10 @@ def rms_difference(a: DataFrame, b: DataFrame, keys: Sequence[str], x: str, y: s
 
 
 def fill_gaps(df: DataFrame, place: str, time: str, value: str, k: int, rounds: int = 100, settled: float = 1e-6, max_series: int = 3000) -> DataFrame:
-    """(place, time, value, filled): gaps from k components, refilled until the fit to what was observed stops changing. Each round is two
+    """(place, time, value, filled, settled): gaps from k components, refilled until the fit to what was observed stops changing. Each round is two
     passes over a written table, and `eigenvectors` of the D x D sums. Every (place, time) of `df` has a row, null where missing.
-    Rounds and the last loss are logged, as a warning if `rounds` ended before the fit had settled."""
+    `settled` is false in all rows, and a warning is logged, if `rounds` ended before the fit had settled."""
+    done = True
     means = df.groupBy(place).agg(F.avg(value).alias("_mean"))
     base = stash(df.join(means, place).select(place, time, value, "_mean", (F.col(value) - F.col("_mean")).alias("_x")), "gaps")
     current, last = base.withColumn("_y", F.coalesce("_x", F.lit(0.0))), None
@@ -130,7 +132,8 @@ def fill_gaps(df: DataFrame, place: str, time: str, value: str, k: int, rounds:
         last = loss
     else:
         log.warning("gaps not settled after %d rounds, loss %s", rounds, last)
-    return current.select(place, time, value, (F.col("_y") + F.col("_mean")).alias("filled"))
+        done = False
+    return current.select(place, time, value, (F.col("_y") + F.col("_mean")).alias("filled"), F.lit(done).alias("settled"))
 
 
 def random_mask(df: DataFrame, keys: Sequence[str], share: float, seed: int = 1) -> DataFrame:

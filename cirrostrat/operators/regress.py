@@ -145,7 +145,7 @@ def _slopes_on_driver(sums: DataFrame, pairs: DataFrame, along: float, scale: fl
 
 def _slopes_by_gradients(sums: DataFrame, pairs: DataFrame, along: float, scale: float, settled: float = 1e-10, rounds: int = 1000) -> DataFrame:
     """The same system by conjugate gradients, scaled by the diagonal: a round joins the written links with the direction, and writes one
-    row for each unknown. It ends once the scaled residual has fallen by `settled`; a warning tells if it has not after `rounds`."""
+    row for each unknown. It ends once the scaled residual has fallen by `settled`; if it has not after `rounds`, this raises."""
     both = pairs.select("a", "b", "w").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
     nodes = sums.select("_p", "_c")
     near = nodes.join(both, nodes["_p"] == both["a"]).select("_p", "_c", F.col("b").alias("_q"), F.col("_c").alias("_d"), "w")
@@ -171,7 +171,7 @@ def _slopes_by_gradients(sums: DataFrame, pairs: DataFrame, along: float, scale:
         now = moved.withColumn("p", F.expr("r / d") + size / last * F.col("p"))
         now.stash_path = met.stash_path
     else:
-        log.warning("slopes not settled after %d rounds", rounds)
+        raise ArithmeticError(f"slopes not settled after {rounds} rounds")
     return now
 
 

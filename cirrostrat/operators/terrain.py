@@ -26,14 +26,18 @@ def _shifted(offsets: tuple[int, ...]) -> Column:
     return F.explode(F.array(*(F.struct(*(F.lit(d).alias(f"d{a}") for a, d in zip(AXES, (i, j, m)))) for i in offsets for j in offsets for m in offsets))).alias("d")
 
 
+def _placed(cells: DataFrame, level: int) -> DataFrame:
+    """Cells with their tile of a level."""
+    point = unit_point(F.col("lon"), F.col("lat"))
+    tile = {f"c{a}": F.least(F.lit((1 << level) - 1), F.floor((point[a] + 1) / 2 * (1 << level))).cast("long") for a in AXES}
+    known = cells.select(F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"), F.col("elev").cast("double").alias("elev")).dropna()
+    return known.withColumns(tile)
+
+
 def pyramid(cells: DataFrame, top: int, deep: int) -> tuple[DataFrame, DataFrame]:
     """Tiles (level, cx, cy, cz, n, best) of levels `deep` up to `top`, each from those below it: how many cells, and the highest one (elev, lon, lat); and
     the cells with their deepest tile. Tiles halve from level to level."""
-    point, cell = unit_point(F.col("lon"), F.col("lat")), {}
-    for a in AXES:
-        cell[f"c{a}"] = F.least(F.lit((1 << deep) - 1), F.floor((point[a] + 1) / 2 * (1 << deep))).cast("long")
-    known = cells.select(F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"), F.col("elev").cast("double").alias("elev")).dropna()
-    placed = known.withColumns(cell)
+    placed = _placed(cells, deep)
     level = placed.groupBy(*CELL[1:]).agg(F.count("*").alias("n"), F.max(F.struct("elev", "lon", "lat")).alias("best")).withColumn("level", F.lit(deep))
     level = stash(level.select(*CELL, "n", "best"), "tiles")
     tiles = level
@@ -76,16 +80,20 @@ def opened_tiles(stations: DataFrame, tiles: DataFrame, within: float, sectors:
     return frontier
 
 
-def levels_for(within: float, tile: float | None) -> tuple[int, int]:
-    """The level whose tiles are as wide as a station sees, and the one whose tiles are opened: `tile` metres wide, or a 200th of that."""
+def levels_for(cells: DataFrame, within: float, tile: float | None = None) -> tuple[int, int]:
+    """The level whose tiles are as wide as a station sees, and the one whose tiles are opened: `tile` metres wide, or wide enough for some four by four cells,
+    as they lie on average."""
     top = max(0, floor(log2(2 * EARTH_RADIUS / within)))
-    return top, min(20, max(top, floor(log2(2 * EARTH_RADIUS / (tile or within / 200)))))
+    if tile:
+        return top, min(20, max(top, floor(log2(2 * EARTH_RADIUS / tile))))
+    mean = _placed(cells, top).groupBy(*CELL[1:]).agg(F.count("*").alias("n")).agg(F.avg("n")).first()[0] or 1.0
+    return top, min(20, top + floor(log2(mean) / 2))
 
 
 def horizon(stations: DataFrame, cells: DataFrame, within: float, sectors: int, key: str = "station", nearest: float = 1.0, tile: float | None = None) -> DataFrame:
     """(station, sector, angle, metres): the largest elevation angle of terrain in each azimuth sector, and how far it is. Stations and cells
     without a place or a height don't count."""
-    top, deep = levels_for(within, tile)
+    top, deep = levels_for(cells, within, tile)
     tiles, placed = pyramid(cells, top, deep)
     opened = opened_tiles(stations, tiles, within, sectors, top, deep, key, nearest)
     met = opened.drop("n", "level").join(placed, CELL[1:])

@@ -271,10 +271,10 @@ def _(t: Tables) -> DataFrame:
     return winter.join(summer, ["field", "water_year"]).select("field", "water_year", F.expr("0.3D * a + 0.7D * b").alias("predictor"))
 
 
-@query("a46_twice_daily", "x AS (SELECT station, t - t % 43200 AS h, sum(v) AS v FROM obs WHERE field = 'error' GROUP BY ALL) SELECT station, (h - 3600) - (h - 3600) % 86400 AS day, sum(v) AS total FROM x GROUP BY ALL HAVING count(v) = 2", "total")
+@query("a46_twice_daily", "x AS (SELECT station, field, t - t % 43200 AS h, sum(v) AS v FROM obs GROUP BY ALL) SELECT station, field, (h - 3600) - (h - 3600) % 86400 AS day, sum(v) AS total FROM x GROUP BY ALL HAVING count(v) = 2", "total")
 def _(t: Tables) -> DataFrame:
-    halves = t.obs.filter("field = 'error'").groupBy("station", F.expr("t - t % 43200").alias("h")).agg(F.sum("v").alias("v"))
-    return agg.twice_daily_totals(halves, ["station"], "h", "v")
+    halves = t.obs.groupBy("station", "field", F.expr("t - t % 43200").alias("h")).agg(F.sum("v").alias("v"))
+    return agg.twice_daily_totals(halves, ["station", "field"], "h", "v")
 
 
 @query("a47_period_difference", "SELECT station, field, avg(v) FILTER (h >= 1705276800) - avg(v) FILTER (h < 1705276800) AS change FROM hourly GROUP BY ALL", "change")

@@ -214,10 +214,10 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("m15_attribute_changes", """
-    long AS (SELECT event_id AS start, 'k' AS key, (props->>'k')::VARCHAR AS after FROM events WHERE event_type = 'error')
+    long AS (SELECT event_id AS start, 'k' AS key, (props->>'k')::VARCHAR AS after FROM events)
     SELECT start, key, before, after FROM (SELECT *, lag(after) OVER (PARTITION BY key ORDER BY start) AS before FROM long) WHERE before IS NOT NULL AND before <> after""")
 def _(t: Tables) -> DataFrame:
-    runs = t("events").filter("event_type = 'error'").select(F.col("event_id").alias("start"), F.from_json("props", "map<string,string>").alias("a"))
+    runs = t("events").select(F.col("event_id").alias("start"), F.from_json("props", "map<string,string>").alias("a"))
     return compare.attribute_changes(runs, "start", "a")
 
 

@@ -273,10 +273,10 @@ def _(t: Tables) -> DataFrame:
 
 
 def local_rows(t: Tables) -> DataFrame:
-    return t.obs.filter("field = 'view'").select("station", F.expr("t DIV 604800").alias("chunk"), ((F.col("sensor") % 17).cast("double")).alias("x"), F.col("v").alias("y"))
+    return t.obs.select("station", F.expr("t DIV 604800").alias("chunk"), ((F.col("sensor") % 17).cast("double")).alias("x"), F.col("v").alias("y"))
 
 
-@query("r5_local_regression", f"{SMALL_DIST}, r AS (SELECT station AS b, t // 604800 AS chunk, (sensor % 17)::DOUBLE AS x, v AS y FROM obs WHERE field = 'view'), s AS (SELECT a AS station, chunk, count(*) AS n, sum(w) AS w, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy FROM r JOIN (SELECT a, b, exp(-pow(metres / 60000, 2)) AS w FROM dist WHERE metres < 120000) d ON d.b = r.b GROUP BY ALL HAVING count(*) >= 5), f AS (SELECT *, (w * sxy - sx * sy) / (w * sxx - sx * sx) AS slope FROM s) SELECT station, chunk, n, slope, (sy - slope * sx) / w AS icpt FROM f", "slope icpt")
+@query("r5_local_regression", f"{SMALL_DIST}, r AS (SELECT station AS b, t // 604800 AS chunk, (sensor % 17)::DOUBLE AS x, v AS y FROM obs), s AS (SELECT a AS station, chunk, count(*) AS n, sum(w) AS w, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy FROM r JOIN (SELECT a, b, exp(-pow(metres / 60000, 2)) AS w FROM dist WHERE metres < 120000) d ON d.b = r.b GROUP BY ALL HAVING count(*) >= 5), f AS (SELECT *, (w * sxy - sx * sy) / (w * sxx - sx * sx) AS slope FROM s) SELECT station, chunk, n, slope, (sy - slope * sx) / w AS icpt FROM f", "slope icpt")
 def _(t: Tables) -> DataFrame:
     return regress.local_regression(local_rows(t), grid.distances(few(t), within=120_000), "station", ["chunk"], "x", "y", 120000.0, regress.gaussian(60000.0))
 
@@ -328,27 +328,35 @@ def _(t: Tables) -> DataFrame:
 
 @query("r11_r12_horizon", rounds="angle metres")
 def _(t: Tables) -> DataFrame:
-    terrain = cells(t).withColumn("elev", 1000 + 500 * F.sin(F.col("i")) + 300 * F.cos(F.col("j")))
-    rim = terrain.horizon(t.stations, terrain, 100_000.0, 36)
+    land = cells(t).withColumn("elev", 1000 + 500 * F.sin(F.col("i")) + 300 * F.cos(F.col("j")))
+    rim = terrain.horizon(t.stations, land, 100_000.0, 36)
     sun = t.stations.select("station", F.lit(0.05).alias("mu")).withColumn("azimuth", F.explode(F.array(F.lit(35.0), F.lit(125.0), F.lit(275.0))))
     hit = terrain.blocked(sun, rim, 36).groupBy("station").agg(F.sum(F.col("blocked").cast("long")).alias("hits"))
     return rim.join(hit, "station")
 
 
-@query("u4_per_series", "SELECT field, max(v) - min(v) AS spread, median(v) AS middle FROM series GROUP BY field", "spread middle")
+@query("u4_per_series", "o AS (SELECT field, v, row_number() OVER (PARTITION BY field ORDER BY v) AS i, count(*) OVER (PARTITION BY field) AS n FROM series) SELECT field, 2 * sum((2 * i - n - 1) * v) / (any_value(n) * (any_value(n) - 1.0::DOUBLE)) AS spread, avg(v) FILTER (i > n // 4 AND i <= n - n // 4) AS middle FROM o GROUP BY field", "spread middle")
 def _(t: Tables) -> DataFrame:
+    """Mean difference of all pairs of values, from their order, and the mean of the middle half: reductions that Spark lacks."""
+    return regress.per_series(t.series, ["field"], ["v"], spread_and_middle, ["spread", "middle"])
+
+
+def spread_and_middle(v: object) -> tuple[float, float]:
     import numpy as np
 
-    return regress.per_series(t.series, ["field"], ["v"], lambda v: (float(np.ptp(v)), float(np.median(v))), ["spread", "middle"])
+    v, n = np.sort(v), len(v)
+    return 2 * ((2 * np.arange(1, n + 1) - n - 1) * v).sum() / (n * (n - 1)), v[n // 4 : n - n // 4].mean()
 
 
-@query("u1_each_run", "SELECT start, max(v) AS top FROM fcst GROUP BY start", "top")
+@query("u1_each_run", "x AS (SELECT start, abs(v - lag(v) OVER (PARTITION BY start, station ORDER BY step)) AS d FROM fcst) SELECT start, avg(d) AS rough, count(d) AS n FROM x GROUP BY start HAVING count(d) > 0", "rough")
 def _(t: Tables) -> DataFrame:
-    return regress.each_run(t.fcst.select("start", "v"), "start", "cirrostrat.plans.space_queries.top_of_run", "start long, top double")
+    return regress.each_run(t.fcst.select("start", "station", "step", "v"), "start", "cirrostrat.plans.space_queries.roughness", "start long, rough double, n long")
 
 
-def top_of_run(rows: object) -> object:
-    return rows.groupby("start", as_index=False)["v"].max().rename(columns={"v": "top"})
+def roughness(rows: object) -> object:
+    """The mean change from step to step over the stations of a run."""
+    changes = rows.sort_values(["station", "step"]).groupby("station")["v"].diff().abs().dropna()
+    return rows[["start"]].head(int(len(changes) > 0)).assign(rough=changes.mean(), n=len(changes))
 
 
 

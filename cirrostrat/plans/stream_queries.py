@@ -39,19 +39,19 @@ def _(t: Tables) -> DataFrame:
     return drained(t, incremental.unseen(both, ["id"])).select("id")
 
 
-@query("i2_corrections", "SELECT id, CASE WHEN id % 3 = 0 THEN v + 1 ELSE v END AS v FROM obs WHERE field = 'view'", "v")
+@query("i2_corrections", "SELECT id, CASE WHEN id % 3 = 0 THEN v + 1 ELSE v END AS v FROM obs", "v")
 def _(t: Tables) -> DataFrame:
     path = fresh_path(t.spark, "corrected")
-    rows = t.obs.filter("field = 'view'").select("id", F.expr("t DIV 604800").alias("week"), "v")
+    rows = t.obs.select("id", F.expr("t DIV 604800").alias("week"), "v")
     incremental.upsert(t.spark, rows, path, ["id"], "week")
     incremental.upsert(t.spark, rows.filter("id % 3 = 0").withColumn("v", F.col("v") + 1), path, ["id"], "week")
     return t.spark.read.parquet(path).select("id", "v")
 
 
-@query("i2_streamed_corrections", "SELECT id, v FROM obs WHERE field = 'click'", "v")
+@query("i2_streamed_corrections", "SELECT id, v FROM obs", "v")
 def _(t: Tables) -> DataFrame:
     path = fresh_path(t.spark, "upserted")
-    stream = readings(t).filter("field = 'click'").select("id", F.expr("unix_seconds(ts) DIV 604800").alias("week"), "v")
+    stream = readings(t).select("id", F.expr("unix_seconds(ts) DIV 604800").alias("week"), "v")
     incremental.corrections(stream, path, ["id"], "week", fresh_path(t.spark, "progress")).awaitTermination()
     return t.spark.read.parquet(path).select("id", "v")
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -29,10 +29,12 @@ def fresh_readings(new: DataFrame, stored: DataFrame, keys: Sequence[str], ts: s
 
 def upsert(spark: SparkSession, batch: DataFrame, path: str, keys: Sequence[str], partition: str) -> None:
     """Put a batch over the stored rows of the partitions that it touches; the others are neither read nor rewritten. Of readings with one
-    key in a batch the last by `arrival` wins, where there is such a column."""
-    if "arrival" in batch.columns:
-        w = Window.partitionBy(*keys).orderBy(F.desc("arrival"))
-        batch = batch.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "arrival")
+    key in a batch the last by `arrival` wins, where there is such a column; among equals the one of the largest hash. A partition is replaced as a whole,
+    but not all partitions at once: readers may see some old and some new ones while it runs."""
+    values = [c for c in batch.columns if c not in (*keys, "arrival")]
+    at = ([F.col("arrival")] if "arrival" in batch.columns else []) + [F.xxhash64(*values)]
+    # One row for each key, combined before the shuffle.
+    batch = batch.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(*at)).alias("_v")).select(*keys, "_v.*")
     touched = [r[0] for r in batch.select(partition).distinct().collect()]  # values of the partition column, such as days
     if not touched:
         return

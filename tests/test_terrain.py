@@ -46,7 +46,7 @@ def test_few_tiles_of_large_terrain_are_opened(spark):
     hills = 800 + 700 * F.sin(i / 90.0) * F.cos(j / 70.0) + 60 * F.sin(i / 5.0 + j / 7.0) + (F.xxhash64("id") % 1000) / 100.0
     cells = spark.range(1_000_000).select(lon.alias("lon"), lat.alias("lat"), hills.alias("elev"))
     st = spark.createDataFrame([(k, -70.5 + 0.13 * k, -30.4 + 0.11 * k, 700.0 + 250 * k) for k in range(6)], "station long, lon double, lat double, elev double")
-    top, deep = terrain.levels_for(100_000.0, None)
+    top, deep = terrain.levels_for(cells, 100_000.0)
     tiles, placed = terrain.pyramid(cells, top, deep)
     opened = terrain.opened_tiles(st, tiles, 100_000.0, 36, top, deep, "station", 1.0).agg(F.sum("n")).first()[0]
     a = F.pow(F.sin(F.radians(F.col("lat") - F.col("y")) / 2), F.lit(2)) + F.cos(F.radians("lat")) * F.cos(F.radians("y")) * F.pow(F.sin(F.radians(F.col("lon") - F.col("x")) / 2), F.lit(2))
