@@ -84,6 +84,30 @@ def _(t: Tables) -> DataFrame:
     return out.select("sensor", F.col("ts").cast("long").alias("t"), "change")
 
 
+@query("i6_silent_sensors", f"SELECT sensor, t, 'reading' AS event FROM obs UNION ALL SELECT sensor, max(t), 'silent' FROM obs GROUP BY sensor HAVING max(t) + 43200 <= {LAST} - 86400")
+def _(t: Tables) -> DataFrame:
+    """All readings with their steps, and the sensors that were silent for half a day when the stream ended."""
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = t.spark.conf.get(store, None)
+    t.spark.conf.set(store, incremental.ROCKS)
+    try:
+        out = drained(t, incremental.watched_steps(readings(t), "sensor", "ts", "v", 360, 43200))
+    finally:
+        t.spark.conf.set(store, before) if before else t.spark.conf.unset(store)
+    return out.select("sensor", F.col("ts").cast("long").alias("t"), "event")
+
+
+@query("i7_streamed_validation", "x AS (SELECT station, field, (t + 1800) - (t + 1800) % 3600 AS h FROM obs), f AS (SELECT DISTINCT station, h FROM x WHERE field = 'click') SELECT station, h, EXISTS (SELECT 1 FROM x WHERE x.station = f.station AND x.h = f.h AND x.field = 'view') AS validated FROM f WHERE validated")
+def _(t: Tables) -> DataFrame:
+    """Hours of one field's readings that the other's validate, from two streams; the others come out once the watermark has passed them."""
+    both = readings(t)
+    forecasts = both.filter("field = 'click'").select("station", F.col("ts").alias("valid"), F.col("v").alias("forecast"))
+    observed = both.filter("field = 'view'").select("station", "ts", F.col("v").alias("obs"))
+    out = drained(t, incremental.validated(forecasts, observed, ["station"], "valid", "ts", "obs"))
+    hour = F.expr("unix_seconds(valid) + 1800 - (unix_seconds(valid) + 1800) % 3600").alias("h")
+    return out.filter("validated").select("station", hour, "validated").distinct()
+
+
 @query("i7_not_validated", "e AS (SELECT DISTINCT f.start FROM fcst f JOIN seen s ON s.station = f.station AND s.h = f.valid) SELECT DISTINCT start, min(start) OVER () AS earliest FROM (SELECT DISTINCT start FROM fcst WHERE start NOT IN (SELECT start FROM e WHERE start % 172800 = 0))")
 def _(t: Tables) -> DataFrame:
     done = t.fcst.filter("start % 172800 = 0").join(t.seen.select("station", F.col("h").alias("valid")), ["station", "valid"])

@@ -8,9 +8,9 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from cirrostrat.functions.times import seconds
+from cirrostrat.functions.times import nearest_hour, seconds
 from cirrostrat.operators.binning import pieces
 from cirrostrat.operators.join import fill_over
 
@@ -102,6 +102,72 @@ def stateful_steps(stream: DataFrame, key: str, ts: str, value: str, minutes: in
     return stream.withWatermark(ts, late).groupBy(key).applyInPandasWithState(steps, f"{key} {kind}, {ts} timestamp, change double", "s double, v double", "append", "NoTimeout")
 
 
+class _Watched(StatefulProcessor):
+    """Of each sensor the time and value of its last reading, and a timer that ends when it has been silent for `silence` seconds."""
+
+    def __init__(self, key: str, ts: str, value: str, minutes: int, silence: int) -> None:
+        self.key, self.ts, self.value, self.minutes, self.silence = key, ts, value, minutes, silence
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "s double, v double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        last = self.last.get() if self.last.exists() else None
+        for frame in rows:  # a piece of the batch at a time, whatever the key holds
+            out = []
+            for at, v in frame.sort_values([self.ts, self.value])[[self.ts, self.value]].itertuples(index=False):
+                s = at.timestamp()
+                if last is not None and s < last[0]:
+                    continue
+                change = abs(v - last[1]) if last is not None and s - last[0] <= self.minutes * 60 else None
+                out.append((key[0], at, "reading", change))
+                last = (s, float(v))
+            yield self._events(out)
+        if last is not None:
+            self.last.update(last)
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int((last[0] + self.silence) * 1000))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        last = self.last.get()
+        self.last.clear()
+        yield self._events([(key[0], pd.Timestamp(last[0], unit="s"), "silent", None)])
+
+    def close(self) -> None:
+        pass
+
+    def _events(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[self.key, "ts", "event", "change"]).astype({"ts": "datetime64[ns]", "change": "float64"})
+
+
+#: Timers need this store of state, by the setting `spark.sql.streaming.stateStore.providerClass`.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def watched_steps(stream: DataFrame, key: str, ts: str, value: str, minutes: int, silence: int = 180 * 86400, late: str = "1 day") -> DataFrame:
+    """(key, ts, event, change): the readings of a stream, each with the step from the key's last one if that is recent enough, and one row `silent` at the
+    last reading of a key that has sent none for `silence` seconds of event time. A silent key leaves the state; its next reading begins anew.
+    Readings older than the last of their key are passed over; those of a batch come in order if they arrive in one piece (10,000 rows). The session
+    that starts the stream needs `ROCKS` as its store of state."""
+    kind = dict(stream.dtypes)[key]
+    rows = stream.select(key, ts, value).withWatermark(ts, late).groupBy(key)
+    return rows.transformWithStateInPandas(_Watched(key, ts, value, minutes, silence), f"{key} {kind}, ts timestamp, event string, change double", "Append", "EventTime")
+
+
+def validated(forecasts: DataFrame, observations: DataFrame, keys: Sequence[str], valid: str, ts: str, obs: str, late: str = "6 hours", apart: int = 1800) -> DataFrame:
+    """Streams of forecasts and observations: each forecast with the observation of its hour, `validated` being false for those of which none came in
+    time. An observation belongs to the hour that it is nearest to, half past to the next; of several the first to come counts. Both sides are kept
+    as state until the watermark has passed what could still meet them."""
+    f = forecasts.withWatermark(valid, late).withColumn("_hour", nearest_hour(valid))
+    seen = observations.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(ts).alias("_ts"), F.col(obs).alias(obs), nearest_hour(ts).alias("_of"))
+    o = seen.withWatermark("_ts", late).dropDuplicatesWithinWatermark([*(f"_{k}" for k in keys), "_of"])
+    near = F.expr(f"_ts >= `{valid}` - INTERVAL {2 * apart} SECONDS AND _ts <= `{valid}` + INTERVAL {2 * apart} SECONDS")
+    same = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("_hour") == F.col("_of"), near]
+    return f.join(o, same, "left_outer").withColumn("validated", F.col("_ts").isNotNull()).drop(*(f"_{k}" for k in keys), "_ts", "_of", "_hour")
+
+
 def not_validated(forecasts: DataFrame, errors: DataFrame, start: str = "start") -> DataFrame:
     """Run starts of forecasts without errors, and which is the earliest."""
     left = forecasts.select(start).distinct().join(errors.select(start).distinct(), start, "left_anti")

@@ -96,3 +96,39 @@ def test_corrections_of_several_batches_reach_only_their_weeks(spark, feed, tmp_
     got = {r.id: r.v for r in spark.read.parquet(store).collect()}
     assert got == {1: 1.5, 2: 2.5, 3: 3.0, 4: 4.0}  # a null doesn't replace a value
     assert sorted(os.listdir(tmp_path / "store" / "week=1")) == untouched
+
+
+def test_silent_sensors_leave_the_state(spark, feed):
+    """Timers over several batches and a restart: a sensor that is silent for ten days gives one row, and begins anew when it comes back."""
+    day, old = 24 * HOUR, 100 * 24 * HOUR
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, incremental.ROCKS)
+    at = lambda *rows: [(k, old + t, v) for k, t, v in rows]
+    f = feed("sensor long, t long, v double").add(at((1, 0, 1.0), (2, 0, 5.0), (1, 600, 2.0)), at((1, 5 * day, 4.0), (1, 5 * day + 1200, 7.0)))
+    out = lambda: incremental.watched_steps(f.stream(), "sensor", "ts", "v", 60, 10 * day)
+    events = lambda df: {(r.sensor, r.t - old, r.event, r.change) for r in df.select("sensor", F.col("ts").cast("long").alias("t"), "event", "change").collect()}
+    first = events(f.run(out()))
+    assert first == {(1, 0, "reading", None), (2, 0, "reading", None), (1, 600, "reading", 1.0), (1, 5 * day, "reading", None), (1, 5 * day + 1200, "reading", 3.0)}
+    f.add(at((1, 14 * day, 8.0)), at((1, 14 * day + 600, 8.5)), at((3, 30 * day, 1.0)), at((2, 30 * day, 6.0)))
+    got = events(f.run(out())) - first
+    silent = {e[:2] for e in got if e[2] == "silent"}
+    assert silent == {(1, 14 * day + 600), (2, 0)}
+    assert {e for e in got if e[2] == "reading"} == {(1, 14 * day, "reading", None), (1, 14 * day + 600, "reading", 0.5), (3, 30 * day, "reading", None), (2, 30 * day, "reading", None)}
+    spark.conf.set(store, before)
+
+
+def test_forecasts_wait_for_their_observation(spark, tmp_path):
+    """Late, missing and double observations over four batches: each forecast comes out once, with the first observation of its hour or as not validated."""
+    feeds = {}
+    for name, schema in (("f", "station long, t long, v double"), ("o", "station long, t long, obs double")):
+        (tmp_path / name).mkdir()
+        feeds[name] = Feed(spark, tmp_path / name, schema)
+    hours = [1, 2, 3, 4, 6, 30, 31]
+    feeds["f"].add([(1, h * HOUR, float(h)) for h in hours[:3]], [(1, h * HOUR, float(h)) for h in hours[3:5]], [(1, 30 * HOUR, 30.0)], [(1, 31 * HOUR, 31.0)], [(1, 60 * HOUR, 60.0)])
+    feeds["o"].add([(1, HOUR + 100, 10.0)], [(1, 4 * HOUR - 200, 40.0), (1, 3 * HOUR, 30.0), (2, 2 * HOUR, 99.0)], [(1, HOUR + 200, 11.0), (1, 30 * HOUR, 300.0)], [(1, 31 * HOUR, 310.0)], [(1, 60 * HOUR, 600.0)])
+    valid = feeds["f"].stream().withColumnRenamed("ts", "valid").drop("t")
+    out = incremental.validated(valid, feeds["o"].stream(), ["station"], "valid", "ts", "obs")
+    got = sorted((r.t // HOUR, r.v, r.obs, r.validated) for r in feeds["f"].run(out).select(F.col("valid").cast("long").alias("t"), "v", "obs", "validated").collect())
+    want = {1: 10.0, 3: 30.0, 4: 40.0, 30: 300.0, 31: 310.0, 60: 600.0}
+    assert got == [(h, float(h), want.get(h), h in want) for h in (*hours, 60)]
