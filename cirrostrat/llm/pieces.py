@@ -83,7 +83,7 @@ class Vocabulary:
     def _stays(self, before: int, piece: int) -> bool:
         """Whether merging the letters of two pieces (of one, where `before` is -1) gives them again. It is remembered."""
         parts = [self.pieces[piece]] if before < 0 else [self.pieces[before], self.pieces[piece]]
-        if self.asked > 400_000:
+        if self.asked > 250_000:
             self.asked = 0
             for known in self.follows.values():
                 known.clear()
@@ -176,7 +176,7 @@ def _loaded(path: str, kind: str) -> tuple[Vocabulary, Cache]:
             one = [vocabulary.ids[p] for p in alone if p in vocabulary.ids]
             _caches[path, kind] = vocabulary, Cache(lambda units: [x or one for x in model.encode([u[1:].decode() for u in units], num_threads=1)], 150_000, 24 << 20)
         else:
-            _caches[path, kind] = vocabulary, Cache(lambda units: vocabulary.words([u.decode().replace(" ", MARK) for u in units]))
+            _caches[path, kind] = vocabulary, Cache(lambda units: vocabulary.words([u.decode().replace(" ", MARK) for u in units]), 200_000, 32 << 20)
     return _caches[path, kind]
 
 
@@ -228,7 +228,7 @@ def encode_documents(docs: DataFrame, path: str, kind: str = "bpe", *, text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, t in runs(marked(batch.column(text_col)), 2 << 20):
+            for i, j, t in runs(marked(batch.column(text_col))):
                 ids, offsets = encode_marked(t, path, kind)
                 data, at = decode_marked(ids, offsets, path, kind)
                 if np.array_equal(data, t.data) and np.array_equal(at, t.offsets):
