@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cirrostrat.functions.times import seconds
 from cirrostrat.operators import scan
+from cirrostrat.runtime import stash
 
 
 def both_versions(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -84,23 +86,50 @@ def key_sets(tables: Sequence[DataFrame], key: str, how: str) -> DataFrame:
     return union.groupBy(key).agg(F.count("*").alias("_n")).filter("_n % 2 = 1").select(key)
 
 
-def table_diff(a: DataFrame, b: DataFrame, group: str, keys: Sequence[str], ts: str, value: str) -> DataFrame:
-    """Per group: rows only in a, only in b, unequal ones (two nulls are equal), and the first and last common time."""
-    met = both_versions(a, b, [group, *keys], value)
+def equal_ranges(a: DataFrame, b: DataFrame, group: str, keys: Sequence[str], ts: str, value: str, width: int = scan.MONTH) -> DataFrame:
+    """(group, _range, n, start, end): the spans of `width` seconds of a group in which both versions hold the same rows, by their number and two sums of
+    hashes. Only sums are shuffled, combined before; keys are unique in a version."""
+
+    def sums(df: DataFrame) -> DataFrame:
+        row = [*dict.fromkeys([group, *keys, ts]), value, F.col(value).isNull()]
+        hashes = F.bit_xor(F.xxhash64(*row)).alias("_x"), F.sum(F.pmod(F.xxhash64(F.lit(7), *row), F.lit(1 << 31))).alias("_s")
+        return df.groupBy(group, F.floor(seconds(ts) / width).alias("_range")).agg(F.count("*").alias("n"), *hashes, F.min(ts).alias("start"), F.max(ts).alias("end"))
+
+    same = [group, "_range", "n", "_x", "_s"]
+    return stash(sums(a).join(sums(b).select(*same), same).drop("_x", "_s"), "equal")
+
+
+def changed(df: DataFrame, equal: DataFrame, group: str, ts: str, width: int = scan.MONTH) -> DataFrame:
+    """The rows outside of equal ranges: where those are few enough to be sent to all tasks, no other row is shuffled."""
+    return df.withColumn("_range", F.floor(seconds(ts) / width)).join(equal.select(group, "_range"), [group, "_range"], "left_anti").select(*df.columns)
+
+
+def table_diff(a: DataFrame, b: DataFrame, group: str, keys: Sequence[str], ts: str, value: str, width: int = scan.MONTH) -> DataFrame:
+    """Per group: rows only in a, only in b, unequal ones (two nulls are equal), and the first and last common time. Ranges of time that are equal in both
+    versions are told by their sums, and not joined."""
+    equal = equal_ranges(a, b, group, keys, ts, value, width)
+    met = both_versions(changed(a, equal, group, ts, width), changed(b, equal, group, ts, width), [group, *keys], value)
     both = F.col("in_a") & F.col("in_b")
     count = lambda c: F.count(F.when(c, 1))
-    return met.groupBy(group).agg(
+    differ = met.groupBy(group).agg(
         count(F.col("in_a") & ~F.col("in_b")).alias("only_a"), count(F.col("in_b") & ~F.col("in_a")).alias("only_b"), count(both & ~F.col("a").eqNullSafe(F.col("b"))).alias("unequal"),
         F.min(F.when(both, F.col(ts))).alias("start"), F.max(F.when(both, F.col(ts))).alias("end"),
     )
+    none = [F.lit(0).cast("long").alias(c) for c in ("only_a", "only_b", "unequal")]
+    parts = differ.unionByName(equal.select(group, *none, "start", "end"))
+    return parts.groupBy(group).agg(*(F.sum(c).alias(c) for c in ("only_a", "only_b", "unequal")), F.min("start").alias("start"), F.max("end").alias("end"))
 
 
-def inequality(a: DataFrame, b: DataFrame, group: str, ts: str, value: str) -> DataFrame:
-    """Per group: equal and unequal values, differences in what is missing, and the first time of inequality."""
-    met = both_versions(a, b, [group, ts], value).filter("in_a AND in_b")
+def inequality(a: DataFrame, b: DataFrame, group: str, ts: str, value: str, width: int = scan.MONTH) -> DataFrame:
+    """Per group: equal and unequal values, differences in what is missing, and the first time of inequality. Equal ranges are counted, not joined."""
+    ranges = equal_ranges(a, b, group, [ts], ts, value, width)
+    met = both_versions(changed(a, ranges, group, ts, width), changed(b, ranges, group, ts, width), [group, ts], value).filter("in_a AND in_b")
     same = F.col("a").eqNullSafe(F.col("b"))
     count = lambda c: F.count(F.when(c, 1))
-    return met.groupBy(group).agg(count(same).alias("equal"), count(~same).alias("unequal"), count(F.col("a").isNull() != F.col("b").isNull()).alias("missing"), F.min(F.when(~same, F.col(ts))).alias("first_unequal"))
+    parts = met.groupBy(group).agg(count(same).alias("equal"), count(~same).alias("unequal"), count(F.col("a").isNull() != F.col("b").isNull()).alias("missing"), F.min(F.when(~same, F.col(ts))).alias("first_unequal"))
+    zero = F.lit(0).cast("long")
+    parts = parts.unionByName(ranges.select(group, F.col("n").alias("equal"), zero.alias("unequal"), zero.alias("missing"), F.lit(None).cast(dict(a.dtypes)[ts]).alias("first_unequal")))
+    return parts.groupBy(group).agg(*(F.sum(c).alias(c) for c in ("equal", "unequal", "missing")), F.min("first_unequal").alias("first_unequal"))
 
 
 def spread_differences(a: DataFrame, b: DataFrame, group: str, ts: str, value: str) -> DataFrame:
@@ -109,8 +138,11 @@ def spread_differences(a: DataFrame, b: DataFrame, group: str, ts: str, value: s
     return met.groupBy(group).agg((F.max(ts) - F.min(ts)).alias("span")).filter("span > 0")
 
 
-def differing_cells(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    return both_versions(a, b, keys, value).filter("in_a AND in_b AND a <> b").select(*keys, "a", "b")
+def differing_cells(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str, width: int = scan.MONTH) -> DataFrame:
+    """Cells of keys (group, time, ...) that both versions have with other values. Ranges of time with equal sums are left out before the join."""
+    group, ts = keys[:2]
+    equal = equal_ranges(a, b, group, keys[1:], ts, value, width)
+    return both_versions(changed(a, equal, group, ts, width), changed(b, equal, group, ts, width), keys, value).filter("in_a AND in_b AND a <> b").select(*keys, "a", "b")
 
 
 def odd_percentages(df: DataFrame, column: str) -> Column:

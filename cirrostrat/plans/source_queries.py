@@ -166,7 +166,7 @@ def _(t: Tables) -> DataFrame:
 @query("s17_s19_store", "SELECT id, field, v FROM obs WHERE field = 'view' AND t BETWEEN 1704800000 AND 1705800000", "v")
 def _(t: Tables) -> DataFrame:
     path = fresh_path(t.spark, "store")
-    stores.store_by_field(t.obs.select("id", "field", "t", "v"), path)
+    stores.store_by_field(t.obs.select("id", "field", "t", "v"), path, ts="t")
     return stores.read_span(t.spark, path, "view", 1704800000, 1705800000).select("id", "field", "v")
 
 

@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def store_by_field(df: DataFrame, path: str, field: str = "field", mode: str = "append") -> None:
-    """Parquet in a folder for each field; rows of a field are gathered first, so that each gets few files, and large fields still get many."""
-    df.hint("rebalance", field).write.mode(mode).partitionBy(field).parquet(path)
+def store_by_field(df: DataFrame, path: str, field: str = "field", mode: str = "append", ts: str | None = None, files: int | None = None) -> None:
+    """Parquet in a folder for each field; rows of a field are gathered first, so that each gets few files, and large fields still get many. With `ts`, a file
+    holds a range of times (of about one in `files` of all rows), in order, so that reading a span opens few of them."""
+    if ts is None:
+        dealt = df.hint("rebalance", field)
+    else:
+        dealt = (df.repartitionByRange(files, field, ts) if files else df.repartitionByRange(field, ts)).sortWithinPartitions(field, ts)
+    dealt.write.mode(mode).partitionBy(field).parquet(path)
 
 
 def store_version(df: DataFrame, path: str, version: str) -> None:
