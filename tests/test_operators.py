@@ -379,12 +379,12 @@ def test_nearest_cell_is_found_however_far(spark):
 
 def test_horizon_finds_far_terrain_at_any_latitude(spark):
     st = spark.createDataFrame([(1, 10.0, 60.0, 100.0), (2, 179.9, -70.0, 0.0)], "station long, lon double, lat double, elev double")
-    terrain = spark.createDataFrame([(10.0, 60.54, 1000.0), (11.53, 60.0, 1000.0), (-178.0, -70.0, 500.0), (10.0, 62.0, 9000.0)], "lon double, lat double, elev double")
-    got = {(r.station, r.sector): (r.angle, r.metres) for r in terrain.horizon(st, terrain, 100_000, 4).collect()}
+    land = spark.createDataFrame([(10.0, 60.54, 1000.0), (11.53, 60.0, 1000.0), (-178.0, -70.0, 500.0), (10.0, 62.0, 9000.0)], "lon double, lat double, elev double")
+    got = {(r.station, r.sector): (r.angle, r.metres) for r in terrain.horizon(st, land, 100_000, 4).collect()}
     assert {station for station, _ in got} == {1, 2} and all(metres < 100_000 for _, metres in got.values())
     assert max(a for (s, _), (a, _) in got.items() if s == 1) == pytest.approx(np.degrees(np.arctan(900 / 60045)), abs=2e-3)
     sun = spark.createDataFrame([(1, 0.0, 0.001), (1, 0.0, 0.5), (1, 200.0, 0.001)], "station long, azimuth double, mu double")
-    assert rows(terrain.blocked(sun, terrain.horizon(st, terrain, 100_000, 4), 4), "azimuth", "mu", "blocked") == [(0.0, 0.001, True), (0.0, 0.5, False), (200.0, 0.001, False)]
+    assert rows(terrain.blocked(sun, terrain.horizon(st, land, 100_000, 4), 4), "azimuth", "mu", "blocked") == [(0.0, 0.001, True), (0.0, 0.5, False), (200.0, 0.001, False)]
 
 
 def test_robust_line_and_clusters(spark):
