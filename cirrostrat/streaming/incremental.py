@@ -74,9 +74,10 @@ def sliding_means(stream: DataFrame, keys: Sequence[str], ts: str, value: str, w
 
 
 def sessions(stream: DataFrame, keys: Sequence[str], ts: str, gap: str, late: str = "1 day") -> DataFrame:
-    """Spans of readings without a gap; the end is the last reading's time plus the gap."""
-    out = stream.withWatermark(ts, late).groupBy(*keys, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("n"))
-    return out.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+    """Spans of readings without a gap of that length or more; the end is the last reading's time plus the gap. Spark joins sessions that only
+    touch, so that its own windows are a microsecond, the grain of timestamps, shorter."""
+    out = stream.withWatermark(ts, late).groupBy(*keys, F.session_window(ts, f"{gap} -1 microseconds").alias("w")).agg(F.count("*").alias("n"))
+    return out.select(*keys, F.col("w.start").alias("start"), F.expr("w.end + INTERVAL 1 MICROSECOND").alias("end"), "n")
 
 
 def stateful_steps(stream: DataFrame, key: str, ts: str, value: str, minutes: int, late: str = "1 day") -> DataFrame:

@@ -68,6 +68,13 @@ def test_sessions_grow_over_batches(feed):
     assert got == [(1, 0, 6, 3), (1, 9, 12, 1), (2, 10, 13, 1)]
 
 
+def test_sessions_part_at_a_gap_of_exactly_their_length(feed):
+    f = feed("sensor long, t long").add([(1, 0), (1, 3 * HOUR)], [(1, 6 * HOUR), (1, 9 * HOUR - 1)], [(3, 300 * HOUR)])
+    out = f.run(incremental.sessions(f.stream(), ["sensor"], "ts", "3 hours"))
+    got = sorted((r.s, r.e, r.n) for r in out.filter("sensor = 1").select(F.col("start").cast("long").alias("s"), F.col("end").cast("long").alias("e"), "n").collect())
+    assert got == [(0, 3 * HOUR, 1), (3 * HOUR, 6 * HOUR, 1), (6 * HOUR, 12 * HOUR - 1, 2)]
+
+
 def test_sliding_means_over_batches(feed):
     day = 24 * HOUR
     f = feed("t long, v double").add([(0, 1.0)], [(day, 3.0)], [(HOUR, 2.0)], [(5 * day, 0.0)])
