@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cirrostrat.operators import scan
 from cirrostrat.plans.registry import Tables, query
 from cirrostrat.runtime import fresh_path
 from cirrostrat.sources import grids, stores, text, web
@@ -62,15 +63,26 @@ def _(t: Tables) -> DataFrame:
     return got.select("id", "elev", "number", "name")
 
 
+#: Levels of one sounding: pressures go down from 90,000 in steps of 100 and have six columns, numbers of levels have four.
+LONGEST = 900
+
+
 @query("s5_soundings", "x AS (SELECT station, t // 86400 AS d, (row_number() OVER (PARTITION BY station, t // 86400 ORDER BY id))::INT - 1 AS k, floor(v)::BIGINT AS v, id FROM obs) SELECT 'SND' || lpad(station::VARCHAR, 8, '0') AS station, d * 86400 AS t, k, (90000 - k * 100)::DOUBLE AS p, CASE WHEN id % 5 > 0 THEN v::DOUBLE END AS temp FROM x", "p temp")
 def _(t: Tables) -> DataFrame:
-    day = t.obs.groupBy("station", F.expr("t DIV 86400").alias("d")).agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("x"))
+    """A day's readings of a station as soundings of up to LONGEST levels, as many as the columns of the format hold. The height field tells how many soundings
+    of the day come before."""
+    rows = scan.running(scan.spans(t.obs.withColumn("d", F.expr("t DIV 86400")), "id", 100_000), ["station", "d"], ["id"], "k", F.lit(1), before=True)
+    k = F.coalesce("k", F.lit(0)).cast("long")
+    rows = rows.select("station", "d", F.floor(k / LONGEST).alias("part"), (k % LONGEST).cast("int").alias("i"), "id", "v")
+    day = rows.groupBy("station", "d", "part").agg(F.sort_array(F.collect_list(F.struct("i", "id", "v"))).alias("x"))
     when = F.date_from_unix_date(F.col("d").cast("int"))
     head = F.concat(F.lit("#"), F.format_string("SND%08d", "station"), F.date_format(when, " yyyy MM dd"), F.lit(" 00 2300 "), F.lpad(F.size("x").cast("string"), 4, " "))
-    level = lambda x, i: F.concat(F.lit("20"), F.lit(" -9999 "), F.lpad((90000 - i * 100).cast("string"), 6, " "), F.lit(" "), F.lpad((100 * i).cast("string"), 5, " "), F.lit(" "), F.lpad(F.when(x["id"] % 5 > 0, F.floor(x["v"])).otherwise(F.lit(-8888)).cast("string"), 5, " "), F.lit("  -9999   -50   180    20"))
+    temp = lambda x: F.coalesce(F.when(x["id"] % 5 > 0, F.floor(x["v"])).otherwise(F.lit(-8888)), F.lit(-9999))
+    level = lambda x: F.concat(F.lit("20"), F.lit(" -9999 "), F.lpad((90000 - x["i"] * 100).cast("string"), 6, " "), F.lit(" "), F.lpad(F.col("part").cast("string"), 5, " "), F.lit(" "), F.lpad(temp(x).cast("string"), 5, " "), F.lit("  -9999   -50   180    20"))
     whole = day.select("station", F.concat_ws("\n", head, F.array_join(F.transform("x", level), "\n")).alias("line"))
     got = text.soundings(t.spark, written(t, whole))
-    return got.select("station", F.col("ts").cast("long").alias("t"), F.col("at").alias("k"), "p", "temp")
+    before = F.col("gph").cast("long") * LONGEST
+    return got.select("station", F.col("ts").cast("long").alias("t"), (F.col("at") + before).cast("int").alias("k"), (F.col("p") - before * 100).alias("p"), "temp")
 
 
 @query("s6_monthly_soundings", "SELECT (l_suppkey % 30)::VARCHAR AS station, year(l_shipdate)::INT * 12 + month(l_shipdate)::INT AS month, avg(l_quantity) AS value, count(*)::INT AS n FROM lineitem GROUP BY ALL", "value")

@@ -59,3 +59,16 @@ def test_basin_table_over_ranges(spark, tmp_path, ranges):
     (tmp_path / "k.csv").write_bytes("\r".join(rows).encode())
     got = {(r.ts.day, r.name): r.value for r in text.hourly_basin_table(spark, str(tmp_path)).collect()}
     assert got == {(d, "flow"): float(d) if d % 5 else None for d in range(1, 29)} | {(d, "level"): d / 4 for d in range(1, 29)}
+
+
+def test_soundings_of_more_levels_than_a_record_holds(spark, tmp_path):
+    """Over 11,000 readings of a station in a day: pressures and counts would be cut to the columns of the format."""
+    from pyspark.sql import functions as F
+
+    from cirrostrat import plans
+
+    n = 11_000
+    rows = spark.range(n).select(F.col("id").alias("event_id"), F.timestamp_seconds(1_704_067_200 + F.col("id") % 86_400).alias("ts"), F.lit(3).cast("long").alias("user_id"), F.lit("view").alias("event_type"), (F.col("id") % 500).cast("double").alias("value"))
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted((r.k, r.p, r.temp) for r in plans.queries()["s5_soundings"](spark, str(tmp_path)).collect())
+    assert got == [(k, 90000.0 - k * 100, float(k % 500) if k % 5 else None) for k in range(n)]
