@@ -73,7 +73,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("j22_nearest_interpolation", f"{CELLS}, d AS (SELECT station, i, j, {FAR} AS metres FROM near s, cells c WHERE abs(s.lon - c.lon) < 1 AND abs(s.lat - c.lat) < 1), n AS (SELECT station, i, j FROM d WHERE metres < 30000 QUALIFY row_number() OVER (PARTITION BY station ORDER BY round(metres, 6), i, j) = 1) SELECT station, d, v FROM grid JOIN n USING (i, j)", "v")
 def _(t: Tables) -> DataFrame:
-    return t.grid.join(grid.nearest_cell(t.stations, cells(t), 30000), ["i", "j"]).select("station", "d", "v")
+    return grid.unsent(t.grid).join(grid.nearest_cell(t.stations, cells(t), 30000), ["i", "j"]).select("station", "d", "v")
 
 
 @query("j29_monthly_totals", f"{CELLS}, d AS (SELECT station, i, j, {FAR} AS metres FROM near s, cells c WHERE abs(s.lon - c.lon) < 1 AND abs(s.lat - c.lat) < 1), n AS (SELECT station, i, j FROM d WHERE metres < 30000 QUALIFY row_number() OVER (PARTITION BY station ORDER BY round(metres, 6), i, j) = 1), a AS (SELECT station, h // 86400 - 19723 AS d, sum(v) / 10 AS x FROM seen GROUP BY ALL), m AS (SELECT station, DATE '2024-01-01' + d::INT AS day, x, v * 1000 AS y FROM a JOIN n USING (station) JOIN grid USING (i, j, d)) SELECT station, (year(day) * 12 + month(day))::BIGINT AS month, sum(x) AS x, sum(y) AS y FROM m GROUP BY ALL", "x y")
@@ -81,7 +81,7 @@ def _(t: Tables) -> DataFrame:
     """Monthly station totals beside those of the nearest cell, on the days that both have."""
     at = grid.nearest_cell(t.stations, cells(t), 30000).select("station", "i", "j")
     stations = t.seen.groupBy("station", F.expr("h DIV 86400 - 19723").alias("d")).agg((F.sum("v") / 10).alias("x"))
-    model = t.grid.join(at, ["i", "j"]).select("station", "d", (F.col("v") * 1000).alias("y"))
+    model = grid.unsent(t.grid).join(at, ["i", "j"]).select("station", "d", (F.col("v") * 1000).alias("y"))
     day = F.date_add(F.lit("2024-01-01").cast("date"), F.col("d").cast("int"))
     month = (F.year(day) * 12 + F.month(day)).cast("long").alias("month")
     return complete_pairs(stations, model, ["station", "d"]).groupBy("station", month).agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
