@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cirrostrat.operators.aggregate import covariance, cross_sums
+from cirrostrat.operators.grid import distance_weights
 from cirrostrat.runtime import drop_stash, stash
 
 log = logging.getLogger(__name__)
@@ -150,9 +151,9 @@ def block_mask(df: DataFrame, place: str, time: str, share: float, mean_length:
     return starts.withColumn("masked", F.coalesce(F.max("_end").over(w) >= F.col(time), F.lit(False))).drop("_end")
 
 
-def distant_dropped(dist: DataFrame) -> DataFrame:
-    """(station, weight): summed squared distances, without stations whose sum is over the mean plus one deviation."""
-    total = dist.groupBy(F.col("a").alias("station")).agg(F.sum(F.pow("metres", F.lit(2))).alias("weight"))
+def distant_dropped(stations: DataFrame) -> DataFrame:
+    """(station, weight): summed squared distances to all, without stations whose sum is over the mean plus one deviation."""
+    total = stash(distance_weights(stations), "weights")
     limit = total.agg((F.avg("weight") + F.stddev_samp("weight")).alias("_limit"))  # one row
     return total.join(F.broadcast(limit)).filter("weight <= _limit").drop("_limit")
 

@@ -240,6 +240,23 @@ def test_grids_are_not_broadcast(spark, sf, name):
     assert not joins and "SortMergeJoin" in plan
 
 
+def test_products_of_stations_go_by_places_and_many_tasks(spark):
+    """A table of one file and its product were one task, and each pair of stations had a distance of its own."""
+    from cirrostrat.operators import eof
+
+    st = spark.createDataFrame([(k, float(k % 3), float(k % 2)) for k in range(40)] + [(40, 2.0, 9.0)], "station long, lon double, lat double").coalesce(1)
+    d = grid.distances(st)
+    assert d.count() == 41 * 41 and d.rdd.getNumPartitions() > 1
+    calls = []
+    assert grid.distances(st, measure=lambda m: calls.append(1) or F.round(m, 3)).agg(F.countDistinct("a", "b")).first()[0] == 41 * 41 and calls
+    sums = d.groupBy("a").agg(F.sum(F.col("metres") * F.col("metres")).alias("w")).collect()
+    mean = sum(r.w for r in sums) / 41
+    limit = mean + (sum((r.w - mean) ** 2 for r in sums) / 40) ** 0.5
+    want = {r.a: r.w for r in sums if r.w <= limit}
+    got = {r.station: r.weight for r in eof.distant_dropped(st).collect()}
+    assert got.keys() == want.keys() and 40 not in got and all(abs(got[k] - want[k]) <= 1e-9 * want[k] for k in want)
+
+
 def test_distances_agree_between_sphere_and_ellipsoid(spark):
     st = spark.createDataFrame([("a", -70.0, -30.0), ("b", -71.0, -31.0)], "station string, lon double, lat double")
     d = {(r.a, r.b): r.metres for r in grid.distances(st).collect()}
