@@ -114,10 +114,13 @@ class _Watched(StatefulProcessor):
         self.last = handle.getValueState("last", "s double, v double")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        last = self.last.get() if self.last.exists() else None
+        # Each call of the handle is an exchange with the JVM, and there is one of these for each key and batch: state is asked for once, and the only timer
+        # of a key is the one that its last reading set.
+        last = before = self.last.get()
         for frame in rows:  # a piece of the batch at a time, whatever the key holds
             out = []
-            for at, v in frame.sort_values([self.ts, self.value])[[self.ts, self.value]].itertuples(index=False):
+            frame = frame.sort_values([self.ts, self.value])
+            for at, v in zip(frame[self.ts], frame[self.value]):
                 s = at.timestamp()
                 if last is not None and s < last[0]:
                     continue
@@ -127,9 +130,13 @@ class _Watched(StatefulProcessor):
             yield self._events(out)
         if last is not None:
             self.last.update(last)
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(int((last[0] + self.silence) * 1000))
+            if before is None or self._due(before) != self._due(last):
+                if before is not None:
+                    self.handle.deleteTimer(self._due(before))
+                self.handle.registerTimer(self._due(last))
+
+    def _due(self, last: tuple) -> int:
+        return int((last[0] + self.silence) * 1000)
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
         last = self.last.get()

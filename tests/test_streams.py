@@ -139,3 +139,32 @@ def test_forecasts_wait_for_their_observation(spark, tmp_path):
     got = sorted((r.t // HOUR, r.v, r.obs, r.validated) for r in feeds["f"].run(out).select(F.col("valid").cast("long").alias("t"), "v", "obs", "validated").collect())
     want = {1: 10.0, 3: 30.0, 4: 40.0, 30: 300.0, 31: 310.0, 60: 600.0}
     assert got == [(h, float(h), want.get(h), h in want) for h in (*hours, 60)]
+
+
+def test_silent_sensors_ask_for_their_state_once_a_batch():
+    """Each call of the handle is an exchange with the JVM; timers were listed and all deleted for each key and batch."""
+    calls = []
+
+    class Handle:
+        def __getattr__(self, name):
+            return lambda *args: calls.append((name, *args))
+
+    class State:
+        kept = None
+
+        def get(self):
+            calls.append(("get",))
+            return self.kept
+
+        def update(self, value):
+            calls.append(("update",))
+            self.kept = value
+
+    watch = incremental._Watched("sensor", "ts", "v", 60, HOUR)
+    watch.handle, watch.last = Handle(), State()
+    frame = pd.DataFrame({"ts": pd.to_datetime([600, 0], unit="s"), "v": [2.0, 1.0]})
+    out = pd.concat(watch.handleInputRows((1,), iter([frame]), None))
+    assert out["change"].fillna(-1).tolist() == [-1.0, 1.0] and calls == [("get",), ("update",), ("registerTimer", 4_200_000)]
+    calls.clear()
+    list(watch.handleInputRows((1,), iter([frame.assign(ts=frame["ts"] + pd.Timedelta(seconds=1200))]), None))
+    assert calls == [("get",), ("update",), ("deleteTimer", 4_200_000), ("registerTimer", 5_400_000)]
