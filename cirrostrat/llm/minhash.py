@@ -268,9 +268,10 @@ def connected(members: DataFrame, linker: Linker, most_rows: int, most_weight: i
     deal = F.explode(F.sequence(F.lit(1), F.when(F.col("blocks") > 1, deals).otherwise(1)))
     once = sized.withColumn("deal", deal).withColumn("g", F.xxhash64("grp", "deal", block(F.col("deal"), "blocks")))
     parts = stash(components(linker(once.withColumn("label", F.col("node")).withColumn("side", F.lit(2)))), "parts")
-    if sizes.filter("blocks > 1").isEmpty():
+    several = stash(sizes.filter("blocks > 1"), "several")  # few, where `sizes` may be too many to broadcast
+    if several.isEmpty():
         return parts
-    large = sized.filter("blocks > 1").join(parts, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component", "blocks")
+    large = members.join(several, "grp").join(parts, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component", "blocks")
     large = stash(large, "large")
     counts = large.groupBy("grp", "label").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
     of = counts.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.max_by("w", F.struct("n", "label")).alias("w_main"), F.sum("n").alias("n"), F.sum("w").alias("w")).filter("n > n_main")
@@ -314,20 +315,20 @@ def _near(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: st
         return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(_collider(threshold), "a long, b long")
 
     maybe = connected(posted, collide, list_rows, list_rows)
-    members = maybe.join(classes.select("node", "rep", "t", F.col("n").alias("weight")), "node").withColumnRenamed("component", "grp")
+    members = stash(maybe.join(classes.select("node", F.col("rep").alias("id"), "t", F.col("n").alias("weight")), "node").withColumnRenamed("component", "grp"), "candidates")
 
-    repeats = not shared.isEmpty()
+    # All texts are shuffled once, at every size, and streamed past the few numbers of their partition, unsorted. Those of the candidates are
+    # written, as they may be dealt several times.
+    texts = thin.join(members.select("id", "t", "node").hint("shuffle_hash"), ["id", "t"]).select("node", "text")
+    if not shared.isEmpty():  # rows may repeat whole: one of each text is enough
+        texts = texts.groupBy("node").agg(F.first("text").alias("text"))
+    texts = stash(texts, "texts")
 
     def confirm(dealt: DataFrame) -> DataFrame:
-        # The texts are shuffled once at every size, and streamed past the few numbers of their partition, unsorted.
-        dealt = stash(dealt.select("g", "node", "label", "side", F.col("rep").alias("id"), "t"), "dealt")
-        texts = thin
-        if repeats:  # rows may repeat whole: one of each text is enough
-            texts = thin.join(dealt.select("id", "t").distinct(), ["id", "t"]).groupBy("id", "t").agg(F.first("text").alias("text"))
-        met = texts.join(dealt.hint("shuffle_hash"), ["id", "t"]).select("g", "node", "label", "side", "text")
-        return met.repartition("g").sortWithinPartitions("g").mapInArrow(_confirmer(k, num, den), "a long, b long")
-
-    groups = connected(members, confirm, block_rows, block_shingles)
+        met = texts.join(dealt.select("g", "node", "label", "side").hint("shuffle_hash"), "node")
+        return met.select("g", "node", "label", "side", "text").repartition("g").sortWithinPartitions("g").mapInArrow(_confirmer(k, num, den), "a long, b long")
+
+    groups = connected(members.select("node", "grp", "weight"), confirm, block_rows, block_shingles)
     placed = classes.select(*whole, "node", "rep").join(groups, "node", "left").withColumn("grp", F.coalesce("component", "node"))
     lows = placed.filter("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("least"))
     placed = stash(placed.join(lows, "component", "left").select(*whole, "grp", F.coalesce("least", "rep").alias("low")), "placed")

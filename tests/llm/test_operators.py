@@ -140,6 +140,28 @@ def test_dense_groups_and_their_rest_lose_no_link(spark):
         assert got == want
 
 
+def test_texts_are_read_twice_however_often_candidates_are_dealt(spark):
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(300)]
+    base, rows = list(rng.choice(words, 100)), []
+    for i in range(150):  # blocks leave a rest, which is dealt again
+        own = base.copy()
+        for at in rng.choice(100, int(rng.integers(0, 9)), replace=False):
+            own[at] = f"y{rng.integers(60)}"
+        rows.append((i, " ".join(own)))
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    df = spark.createDataFrame(rows, "doc_id long, text string").mapInArrow(count, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 3, 85, 100, list_rows=30, block_rows=30).collect()}
+    assert got == {i: c for i, (_, c) in brute_groups(rows, 3, 85, 100).items()}
+    assert read.value == 2 * len(rows)  # for signatures, and for the texts of candidates
+
+
 def test_lists_are_merged_as_all_pairs_would_be():
     rng = np.random.default_rng(13)
     for threshold in (1, 5, 12):
