@@ -18,11 +18,6 @@ from cirrostrat.runtime import drop_stash, stash
 log = logging.getLogger(__name__)
 
 
-def centred(df: DataFrame, place: str, value: str) -> DataFrame:
-    means = df.groupBy(F.col(place).alias("_k")).agg(F.avg(value).alias("_m"))
-    return df.join(means, F.col(place).eqNullSafe(F.col("_k"))).withColumn(value, F.col(value) - F.col("_m")).select(*df.columns)
-
-
 def eigenvectors(cov: DataFrame, k: int, max_series: int = 3000) -> tuple[list, np.ndarray, np.ndarray]:
     """Places in order, the k largest eigenvalues, and their vectors as columns, each with its largest entry positive; from written pairs
     (a, b, cov). Beyond `max_series` places the pairs stay in Spark, and the driver holds some 3 (k + 4) numbers for each place."""
@@ -89,9 +84,32 @@ def loadings(df: DataFrame, place: str, time: str, value: str, k: int, scale: Da
     return weights, shares
 
 
+def _score_rows(df: DataFrame, weights: DataFrame, place: str, time: str, value: str) -> tuple[DataFrame, DataFrame, list]:
+    """(time, _s) with an array of scores, one row for each time; (place, _m, _v) with the mean and an array of weights; and the components in order. The
+    weights, which the driver made, are sent to all tasks, so that no task gets all times of a place."""
+    order = sorted(r.component for r in weights.select("component").distinct().collect())
+    by_place = weights.groupBy(place).agg(*(F.sum(F.when(F.col("component") == c, F.col("weight"))).alias(f"_{n}") for n, c in enumerate(order)))
+    by_place = by_place.select(place, F.array(*(f"_{n}" for n in range(len(order)))).alias("_v"))
+    by_place = F.broadcast(df.groupBy(place).agg(F.avg(value).alias("_m")).join(F.broadcast(by_place), place))
+    x = F.col(value) - F.col("_m")
+    sums = df.join(by_place, place).groupBy(time).agg(*(F.sum(F.col("_v")[n] * x).alias(f"_{n}") for n in range(len(order))))
+    return sums.select(time, F.array(*(f"_{n}" for n in range(len(order)))).alias("_s")), by_place, order
+
+
 def scores(df: DataFrame, weights: DataFrame, place: str, time: str, value: str) -> DataFrame:
     """(time, component, score) of the anomalies; weights are D x k rows."""
-    return centred(df, place, value).join(weights, place).groupBy(time, "component").agg(F.sum(F.col("weight") * F.col(value)).alias("score"))
+    rows, _, order = _score_rows(df, weights, place, time, value)
+    kind = dict(weights.dtypes)["component"]
+    each = F.explode(F.array(*(F.struct(F.lit(c).cast(kind).alias("component"), F.col("_s")[n].alias("score")) for n, c in enumerate(order))))
+    return rows.select(time, each.alias("_e")).select(time, "_e.component", "_e.score")
+
+
+def with_reconstruction(df: DataFrame, weights: DataFrame, place: str, time: str, value: str, out: str = "rebuilt") -> DataFrame:
+    """Each row with what the components give for its place and time. A row for each place, time and component is never made, and no row
+    is sorted: the scores of a time are one row, and a task holds those of its times."""
+    rows, by_place, order = _score_rows(df, weights, place, time, value)
+    rebuilt = sum((F.col("_s")[n] * F.col("_v")[n] for n in range(len(order))), F.lit(0.0)) + F.col("_m")
+    return df.join(rows.hint("shuffle_hash"), time).join(by_place, place).withColumn(out, rebuilt).select(*df.columns, out)
 
 
 def reconstruction(score: DataFrame, weights: DataFrame, means: DataFrame, place: str, time: str) -> DataFrame:
@@ -100,10 +118,11 @@ def reconstruction(score: DataFrame, weights: DataFrame, means: DataFrame, place
     return parts.join(means, place).select(place, time, (F.col("_s") + F.col("mean")).alias("rebuilt"))
 
 
-def rms_difference(a: DataFrame, b: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """(rms, n) of the difference of two columns at common keys, and the missing share of the first."""
+def rms_difference(a: DataFrame, b: DataFrame | None, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """(rms, n) of the difference of two columns at common keys, and the missing share of the first. Without `b`, `a` has both columns."""
     d = F.col(x) - F.col(y)
-    return a.join(b, list(keys)).agg(F.sqrt(F.avg(d * d)).alias("rms"), F.count(d).alias("n"), F.avg(F.col(x).isNull().cast("double")).alias("missing"))
+    both = a if b is None else a.join(b, list(keys))
+    return both.agg(F.sqrt(F.avg(d * d)).alias("rms"), F.count(d).alias("n"), F.avg(F.col(x).isNull().cast("double")).alias("missing"))
 
 
 def fill_gaps(df: DataFrame, place: str, time: str, value: str, k: int, rounds: int = 100, settled: float = 1e-6, max_series: int = 3000) -> DataFrame:

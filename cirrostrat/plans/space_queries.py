@@ -232,9 +232,7 @@ def _(t: Tables) -> DataFrame:
 @query("e3_reconstruction_error", rounds="rms missing")
 def _(t: Tables) -> DataFrame:
     weights, _ = eof.loadings(matrix(t), "place", "time", "v", 8)
-    means = matrix(t).groupBy("place").agg(F.avg("v").alias("mean"))
-    rebuilt = eof.reconstruction(eof.scores(matrix(t), weights, "place", "time", "v"), weights, means, "place", "time")
-    return eof.rms_difference(matrix(t), rebuilt, ["place", "time"], "v", "rebuilt")
+    return eof.rms_difference(eof.with_reconstruction(matrix(t), weights, "place", "time", "v"), None, [], "v", "rebuilt")
 
 
 @query("e4_masks")

@@ -323,6 +323,19 @@ def test_components_and_gap_filling_recover_low_rank(spark):
     assert rms < 0.3 * x.std()
 
 
+def test_scores_are_sums_by_time_and_no_row_is_sorted(spark):
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(d, n, None if (d + n) % 11 == 0 else float(rng.normal() + d)) for n in range(50) for d in range(6)], "place int, time int, v double")
+    weights, _ = eof.loadings(df, "place", "time", "v", 3)
+    score = eof.scores(df, weights, "place", "time", "v")
+    plan = score._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "SortAggregate" not in plan  # all times of a place met in one task before
+    means = df.groupBy("place").agg(F.avg("v").alias("mean"))
+    want = {(r.place, r.time): r.rebuilt for r in eof.reconstruction(score, weights, means, "place", "time").collect()}
+    got = {(r.place, r.time): r.rebuilt for r in eof.with_reconstruction(df, weights, "place", "time", "v").collect()}
+    assert got.keys() == want.keys() and len(got) == 300 and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+
+
 def test_filled_gaps_of_the_query_settle(spark, sf, caplog):
     caplog.set_level("INFO", "cirrostrat.operators.eof")
     assert plans.queries()["e2_filled_gaps"](spark, sf).count() > 0
