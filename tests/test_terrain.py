@@ -39,6 +39,22 @@ def test_horizon_by_brute_force(spark, tile, where):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
 
 
+def test_stations_at_one_place_open_tiles_once(spark, monkeypatch):
+    """Many heights over one place, some cells of which lie on each other: every horizon is right, and the place is looked up once."""
+    draw = np.random.default_rng(4)
+    cells = [(-70 + draw.uniform(-0.4, 0.4), -30 + draw.uniform(-0.4, 0.4), float(draw.gamma(2, 400))) for _ in range(1500)]
+    cells += [(x, y, z - 50) for x, y, z in cells[:300]] + [(x, y + 360, z + 50) for x, y, z in cells[300:600]]
+    stations = [(i, -70.0, -30.0, float(z)) for i, z in enumerate((-500, 0, 300, 700, 1100, 1500, 2500, 9000))]
+    asked, opened = [], terrain.opened_tiles
+    monkeypatch.setattr(terrain, "opened_tiles", lambda st, *rest: asked.append(st.count()) or opened(st, *rest))
+    st = spark.createDataFrame(stations, "station long, lon double, lat double, elev double")
+    df = spark.createDataFrame(cells, "lon double, lat double, elev double")
+    got = {(r.station, r.sector): r.angle for r in terrain.horizon(st, df, 40_000.0, 24).collect()}
+    want = brute(stations, cells, 40_000.0, 24)
+    assert asked == [1]
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
 def test_few_tiles_of_large_terrain_are_opened(spark):
     """A million cells of hills and ridges: under one in twenty pairs of a station and a cell in its reach are looked at."""
     i, j = F.expr("id DIV 1000"), F.expr("id % 1000")
