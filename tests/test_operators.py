@@ -268,6 +268,19 @@ def test_products_of_stations_go_by_places_and_many_tasks(spark):
     assert got.keys() == want.keys() and 40 not in got and all(abs(got[k] - want[k]) <= 1e-9 * want[k] for k in want)
 
 
+def test_pairs_of_stations_leave_block_by_block(spark):
+    """A broadcast product held all rows of a place until the last was made (over 8 GB at 60 copies of sf0.1), and a station without a number was lost."""
+    st = spark.createDataFrame([(k if k else None, 1.0, 2.0) for k in range(150)] + [(k, 3.0, 2.0) for k in range(150, 160)], "station long, lon double, lat double")
+    blocks = [sorted(r._k, key=lambda k: k or 0) for r in grid._blocks(st, "station").collect()]
+    assert sorted(len(b) for b in blocks) == [10, 50, 50, 50] and sorted(k or 0 for b in blocks for k in b) == list(range(160))
+    d = grid.distances(st)
+    plan = d._jdf.queryExecution().sparkPlan().toString()
+    assert "CartesianProduct" in plan and "BroadcastNestedLoopJoin" not in plan
+    got = d.selectExpr("coalesce(a, 0) AS a", "coalesce(b, 0) AS b", "metres > 0 AS far").collect()
+    assert sorted((r.a, r.b, r.far) for r in got) == [(a, b, (a < 150) != (b < 150)) for a in range(160) for b in range(160)]
+    assert grid.distances(st.limit(0)).count() == 0
+
+
 def test_distances_agree_between_sphere_and_ellipsoid(spark):
     st = spark.createDataFrame([("a", -70.0, -30.0), ("b", -71.0, -31.0)], "station string, lon double, lat double")
     d = {(r.a, r.b): r.metres for r in grid.distances(st).collect()}
